@@ -7,41 +7,51 @@ compositions are then joined back to the pieces by length and rank.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pandas as pd
 import regex
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlwork.llm.bpe import REMEMBERED, unicode_white
+from marlwork.llm.bpe import unicode_white
 from marlwork.llm.common import durable
 
 
-class TokenizerPieces(dict):
-    """Piece of text -> its ids by a tokenizer file, as little-endian unsigned 32-bit integers."""
+def byte_of_character() -> dict[str, int]:
+    """Byte-level vocabularies write printable Latin-1 bytes as themselves and the others as the characters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+@cache
+def encoding(path: str, pattern: str) -> tiktoken.Encoding:
+    """The encoding of a byte-level tokenizer file whose ids follow its merges; one a Python worker.
 
-    def __missing__(self, piece: str) -> bytes:
-        found = b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(piece, add_special_tokens=False).ids)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[piece] = found
-        return found
+    It gives the ids that the file's own library gives (without special tokens, whose strings are ordinary text here).
+    """
+    with open(path, encoding="utf-8") as file:
+        vocabulary = json.load(file)
+    special = {x["content"] for x in vocabulary["added_tokens"]}
+    raw = byte_of_character()
+    ranks = {bytes(raw[c] for c in token): i for token, i in vocabulary["model"]["vocab"].items() if token not in special}
+    return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-@cache
-def tokenizer_pieces(path: str) -> TokenizerPieces:
-    return TokenizerPieces(path)
+def packed_ids(text: str, own: tiktoken.Encoding, pattern: str) -> bytes:
+    """A text's ids as little-endian unsigned 32-bit integers."""
+    try:
+        return own.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+    except ValueError:  # its splitter gives up on runs of about a million spaces; split here and encode piece by piece
+        ids = [i for piece in splitter(pattern)(text) for i in own._encode_single_piece(piece)]
+        return np.array(ids, "<u4").tobytes()
 
 
 @cache
@@ -87,11 +97,11 @@ def tokenized_pieces(docs: DataFrame, path: str, pattern: str, most: int, end_id
     """Each document's ids and `end_id`, cut into pieces of `most` ids and a rest."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, split, end = tokenizer_pieces(path), splitter(pattern), end_id.to_bytes(4, "little")
+        own, end = encoding(path, pattern), end_id.to_bytes(4, "little")
         for pdf in batches:
             rows = []
             for doc_id, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"], strict=True):
-                ids = b"".join(map(own.__getitem__, split(text or ""))) + end
+                ids = packed_ids(text or "", own, pattern) + end
                 n = len(ids) // 4
                 rows += [(doc_id, at, min(most, n - at), zlib.crc32(ids[4 * at : 4 * (at + most)]), n) for at in range(0, n, most)]
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
