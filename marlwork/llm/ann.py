@@ -40,24 +40,39 @@ def estimates(codes: np.ndarray, scalars: np.ndarray, queries: np.ndarray, width
     return estimate, error.astype(np.float32)
 
 
-def nearest(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, scalars: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, width: float) -> pd.DataFrame:
-    """Each query's k nearest in one block, by bounds first, then by exact cosine."""
+#: Queries estimated at once against a block, and (query, candidate) pairs reranked at once; both bound a task's memory.
+QUERY_STEP, PAIR_STEP = 128, 1 << 15
+
+
+def cosines(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of the unit rows a[i] and b[j]."""
+    out = np.empty(len(i))
+    for lo in range(0, len(i), PAIR_STEP):
+        at = slice(lo, lo + PAIR_STEP)
+        out[at] = np.einsum("ij,ij->i", a[i[at]], b[j[at]])
+    return out
+
+
+def nearest(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, scalars: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, width: float) -> Iterator[pd.DataFrame]:
+    """Each query's k nearest in one block: estimates first, then the exact cosines of those whose bound allows it."""
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    unit_queries = queries / np.linalg.norm(queries, axis=1, keepdims=True)
-    estimate, error = estimates(codes, scalars, unit_queries @ rotation(queries.shape[1]).T, width)
-    own = ids[None, :] == query_ids[:, None]
-    low, high = np.where(own, -np.inf, estimate - error), np.where(own, -np.inf, estimate + error)
-    if low.shape[1] > k:
-        need = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k]
-    else:
-        need = np.full(len(low), -np.inf)
-    q, c = np.nonzero((high >= need[:, None]) & ~own)
-    exact = np.einsum("ij,ij->i", unit_queries[q], unit[c])
-    order = np.lexsort((ids[c], -exact, q))
-    q, c, exact = q[order], c[order], exact[order]
-    rank = np.arange(len(q)) - np.searchsorted(q, q)
-    top = rank < k
-    return pd.DataFrame({"query_id": query_ids[q[top]], "vec_id": ids[c[top]], "score": exact[top]})
+    turn = rotation(queries.shape[1]).T
+    for lo in range(0, len(queries), QUERY_STEP):
+        own_ids, some = query_ids[lo : lo + QUERY_STEP], queries[lo : lo + QUERY_STEP]
+        some = some / np.linalg.norm(some, axis=1, keepdims=True)
+        estimate, error = estimates(codes, scalars, some @ turn, width)
+        estimate[ids[None, :] == own_ids[:, None]] = -np.inf
+        # The k best estimates, reranked, give a score that the k nearest reach at least.
+        best = min(k, len(ids))
+        first = np.argpartition(estimate, len(ids) - best, axis=1)[:, len(ids) - best :]
+        known = cosines(some, unit, np.repeat(np.arange(len(some)), best), first.ravel()).reshape(-1, best)
+        known[np.take_along_axis(estimate, first, axis=1) == -np.inf] = -np.inf
+        q, c = np.nonzero((estimate + error >= known.min(axis=1, keepdims=True)) & (estimate > -np.inf))
+        exact = cosines(some, unit, q, c)
+        order = np.lexsort((ids[c], -exact, q))
+        q, c, exact = q[order], c[order], exact[order]
+        top = np.arange(len(q)) - np.searchsorted(q, q) < k
+        yield pd.DataFrame({"query_id": own_ids[q[top]], "vec_id": ids[c[top]], "score": exact[top]})
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -105,7 +120,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, width: float = 3.0, block:
                 codes = np.frombuffer(r.codes, np.uint8).reshape(len(ids), -1)
                 query_ids = np.frombuffer(r.query_ids, np.int64)
                 v, q = np.frombuffer(r.vectors).reshape(len(ids), -1), np.frombuffer(r.queries).reshape(len(query_ids), -1)
-                yield nearest(ids, v, codes, scalars, query_ids, q, k, width)
+                yield from nearest(ids, v, codes, scalars, query_ids, q, k, width)
 
     shards = shards or 2 * vectors.sparkSession.sparkContext.defaultParallelism
     kept = usable(vectors)
