@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def texts_of(batch: pa.RecordBatch, step: int = 256) -> Iterator[str | None]:
+    """The values of the column text, of which only `step` are Python objects at a time."""
+    column = batch.column(batch.schema.get_field_index("text"))
+    for lo in range(0, len(column), step):
+        yield from column.slice(lo, step).to_pylist()
+
+
 def small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
     """`df`, computed, and marked for broadcast if its rows are counted and few; a plain join side otherwise."""
     df = durable(df)
@@ -39,8 +47,8 @@ def small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id and text (as text_hash) are not among those of `gone`; rows stay where they are if `gone` is small."""
-    gone = small(gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_hash() == F.col("_hash"))
+    gone = small(gone.select(F.col("doc_id").alias("marlwork_id"), F.col("text_hash").alias("marlwork_hash")).distinct())
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["marlwork_id"]) & (text_hash() == gone["marlwork_hash"])
     return docs.join(gone, same, "left_anti")
 
 

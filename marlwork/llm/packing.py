@@ -14,14 +14,14 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlwork.llm.bpe import unicode_white
-from marlwork.llm.common import durable
+from marlwork.llm.common import durable, texts_of
 
 
 def byte_of_character() -> dict[str, int]:
@@ -96,18 +96,21 @@ def slots(packs: list[tuple[int, dict[int, int]]]) -> list[tuple[int, int, int,
 def tokenized_pieces(docs: DataFrame, path: str, pattern: str, most: int, end_id: int) -> DataFrame:
     """Each document's ids and `end_id`, cut into pieces of `most` ids and a rest."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end = encoding(path, pattern), end_id.to_bytes(4, "little")
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for doc_id, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"], strict=True):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
                 ids = packed_ids(text or "", own, pattern) + end
                 n = len(ids) // 4
                 rows += [(doc_id, at, min(most, n - at), zlib.crc32(ids[4 * at : 4 * (at + most)]), n) for at in range(0, n, most)]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
+            columns = zip(*rows, strict=True) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names)
 
-    shape = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, shape)
+    shape = ", ".join(f"{x} long" for x in names)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, shape)
 
 
 def pack(docs: DataFrame, path: str, pattern: str, most: int = 1024, end_id: int = 0) -> DataFrame:

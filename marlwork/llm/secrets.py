@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlwork.llm.common import durable, let, small
+from marlwork.llm.common import durable, let, small, text_hash
 
 #: The contract's patterns. Fixed values.
 ASSIGN = """((?i)password|passwd|secret|token|api_?key)["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -158,11 +158,11 @@ def redact(docs: DataFrame, scope: int = 256) -> DataFrame:
     The rows are those of docs, which has doc_id and text; n_chars, where there is one, follows the text.
     """
     found = scan(docs, scope).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_hash"])
-    found = small(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans")))
+    found = small(found.select(F.col("doc_id").alias("marlwork_id"), F.col("text_hash").alias("marlwork_hash"), F.col("spans").alias("marlwork_spans")))
     text = F.coalesce(F.col("text"), F.lit(""))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
+    same = docs["doc_id"].cast("long").eqNullSafe(found["marlwork_id"]) & (text_hash() == found["marlwork_hash"])
     out = docs.join(found, same, "left")
-    out = out.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(redacted(text, F.col("_spans"))))
+    out = out.withColumn("text", F.when(F.col("marlwork_spans").isNull(), F.col("text")).otherwise(redacted(text, F.col("marlwork_spans"))))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col("marlwork_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)

@@ -13,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlwork.llm.common import durable, small
+from marlwork.llm.common import durable, small, texts_of
 
 #: Seed of a shingle's XXH64. Fixed value.
 SEED = 42
@@ -109,12 +110,12 @@ def star_edges(pdf: pd.DataFrame, most: int, step: int = 4096) -> pd.DataFrame:
 def fingerprints(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a signed long) of every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            prints = np.array([fingerprint(x, words_in_shingle) for x in pdf["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": prints})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.array([fingerprint(x, words_in_shingle) for x in texts_of(batch)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
 def links(prints: DataFrame, most: int = 2, range_size: int = 1024, most_ranges: int = 4096) -> DataFrame:
@@ -212,10 +213,10 @@ def keep_first(docs: DataFrame, most: int = 2, words_in_shingle: int = 3) -> Dat
     Of repeated rows with this id one stays. The columns are those of docs.
     """
     found = durable(near_duplicates(docs.where("doc_id is not null"), most, words_in_shingle))
-    gone = small(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    repeated = small(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")))
+    gone = small(found.where("doc_id <> component_id").select(F.col("doc_id").alias("marlwork_gone")).distinct())
+    kept = docs.join(gone, docs["doc_id"] == gone["marlwork_gone"], "left_anti")
+    repeated = small(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("marlwork_twice")))
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, kept["doc_id"] == repeated["_twice"], "left_anti")
-    return once.unionByName(kept.join(repeated, kept["doc_id"] == repeated["_twice"], "left_semi").dropDuplicates(["doc_id"]))
+    once = kept.join(repeated, kept["doc_id"] == repeated["marlwork_twice"], "left_anti")
+    return once.unionByName(kept.join(repeated, kept["doc_id"] == repeated["marlwork_twice"], "left_semi").dropDuplicates(["doc_id"]))
