@@ -17,7 +17,7 @@ SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 20, 30
 
 
-def words_in_repeats(words: Column, width: int = 8) -> Column:
+def words_in_repeats(hashes: Column, width: int = 8) -> Column:
     """Words inside windows of `width` words that stand in the text more than once, the first ones included."""
 
     def covered(hashes: Column) -> Column:
@@ -32,22 +32,33 @@ def words_in_repeats(words: Column, width: int = 8) -> Column:
 
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(ordered, of))
 
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), lambda i: F.xxhash64(F.slice(words, i, width)))
-    return F.when(F.size(words) <= width, F.lit(0)).otherwise(let(hashes, covered))
+    return covered(hashes)
+
+
+def window_hashes(words: Column, width: int = 8) -> Column:
+    """Hashes of the windows of `width` words; of all words together in shorter texts."""
+    windows = F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), lambda i: F.xxhash64(F.slice(words, i, width)))
+    return F.when(F.size(words) <= width, F.array(F.xxhash64(words))).otherwise(windows)
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and lines (hash, words) of each row."""
+    """doc_id, text_hash, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, name and lines (hash, words) of each row.
+
+    name is the smallest hash of the text's windows of words: copies, near ones too, mostly share it, other texts hardly do.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     plain = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string").alias("host"), F.col("text").cast("string"))
     bare = F.translate(text, WHITE, "")
     full_lines = F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, WHITE, "") != "")
     by_words = let(
         white_words(text),
-        lambda w: F.struct(F.size(w).cast("long").alias("n_words"), words_in_repeats(w).cast("long").alias("n_repeat_words")),
+        lambda w: let(
+            window_hashes(w),
+            lambda h: F.struct(F.size(w).cast("long").alias("n_words"), words_in_repeats(h).cast("long").alias("n_repeat_words"), F.array_min(h).alias("name")),
+        ),
     )
     normal = lambda x: F.regexp_replace(F.lower(x), "[\\x20\\x09-\\x0D]+", " ")
-    line = lambda x: F.struct(F.unhex(F.md5(F.trim(normal(x)))).alias("h"), F.size(white_words(x)).alias("n"))
+    line = lambda x: F.struct(F.xxhash64(F.trim(normal(x))).alias("h"), F.size(white_words(x)).alias("n"))
     by_lines = let(
         full_lines,
         lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), F.transform(x, line).alias("lines")),
@@ -60,30 +71,26 @@ def measures(docs: DataFrame) -> DataFrame:
         F.length(bare).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         by_lines.alias("l"),
-    ).select("doc_id", "text_hash", "host", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.lines")
+    ).select("doc_id", "text_hash", "host", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "w.name", "l.lines")
 
 
 def judge(docs: DataFrame, limit: int = 20, share: float = 0.05, left: float = 0.2) -> DataFrame:
     """One row per row of docs (doc_id, text, source): doc_id, the measures, base_failed, kept, removed_words and text_hash.
 
     A line of a host is removed if more than `limit` distinct documents of the host, and more than `share` of its
-    documents, hold it. A document and its copies, near ones too, count as one: what is counted is the smallest hash
-    among a document's other lines. kept is false if the base rule fails or if less than `left` of the words remain.
+    documents, hold it. A document and its copies, near ones too, count as one: what is counted is their names. kept is false if the base rule fails or if less than `left` of the words remain.
     Null is an empty text, which fails; a null source is a host of its own. Repeated rows stay repeated, null ids stay
     null, other columns are ignored, an empty table gives an empty result.
     """
     docs = durable(measures(docs).withColumn("uid", F.monotonically_increasing_id()).withColumn("host", F.coalesce(F.concat(F.lit("="), "host"), F.lit(""))))
-    smallest = F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["h"])))
-    lines = docs.select("uid", "host", F.slice(smallest, 1, 2).alias("low"), F.explode("lines").alias("line"))
-    # A document's name for one of its lines: the smallest hash of the others; alone, a line names itself.
-    other = F.when((F.get("low", F.lit(0)) != F.col("line.h")) | (F.size("low") == 1), F.get("low", F.lit(0))).otherwise(F.get("low", F.lit(1)))
-    named = lines.select("host", F.col("line.h").alias("h"), other.alias("name")).distinct()
+    lines = docs.select("uid", "host", "name", F.explode("lines").alias("line"))
+    named = lines.select("host", F.col("line.h").alias("h"), "name").distinct()
     counts = named.groupBy("host", "h").agg(F.count("*").alias("holders")).where(F.col("holders") > limit)
     sizes = docs.groupBy("host").agg(F.count("*").alias("size"))
     common = counts.join(sizes, "host").where(F.col("holders") > share * F.col("size")).select(F.col("host").alias("c_host"), F.col("h").alias("c_h"))
     held = lines.join(common, (F.col("host") == F.col("c_host")) & (F.col("line.h") == F.col("c_h")))
     removed = held.groupBy("uid").agg(F.sum("line.n").alias("removed_words"))
-    out = docs.drop("lines", "host").join(removed, "uid", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
+    out = docs.drop("lines", "host", "name").join(removed, "uid", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     remains = F.col("n_words") - F.col("removed_words") >= left * F.col("n_words")
     return out.select(

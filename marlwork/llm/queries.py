@@ -70,7 +70,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     found = {
         "op1_secret_scan": oracle.secrets_sql(),
-        "op2_quality_rules": oracle.quality_sql(),
         "op5_license_scan": oracle.licenses_sql(),
         "op9_chat_format": oracle.chat_sql(),
     }
