@@ -127,20 +127,20 @@ def links(prints: DataFrame, most: int = 2, range_size: int = 1024, most_ranges:
     spark = prints.sparkSession
     count = prints.count()
     n = max(1, min(most_ranges, -(-count // range_size)))
-    sign = np.uint64(1 << 63)
 
-    def ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rank = gray_rank(pdf["fp"].to_numpy().view(np.uint64)) ^ sign  # as a signed long it sorts alike
-            yield pd.DataFrame({"fp": pdf["fp"], "rank": rank.view(np.int64)})
-
-    by_rank = prints.select("fp").mapInPandas(ranked, "fp long, rank long")
+    rank = F.col("fp")
+    for shift in (1, 2, 4, 8, 16, 32):
+        rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, shift))
+    by_rank = prints.select("fp", rank.bitwiseXOR(F.lit(-(1 << 63))).alias("rank"))  # as a signed long it sorts alike
     cuts = [] if n == 1 else by_rank.agg(F.percentile_approx("rank", [i / n for i in range(1, n)], 10_000)).first()[0]
     cuts = np.unique(np.array(cuts or [], np.int64))
 
+    def home_of(pdf: pd.DataFrame) -> np.ndarray:
+        return np.searchsorted(cuts, pdf["rank"].to_numpy(), side="right").astype(np.int32)
+
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"fp": pdf["fp"], "home": np.searchsorted(cuts, pdf["rank"].to_numpy(), side="right").astype(np.int32)})
+            yield pd.DataFrame({"fp": pdf["fp"], "home": home_of(pdf)})
 
     at_home = by_rank.mapInPandas(placed, "fp long, home int")
     rows = at_home.groupBy("home").agg(F.bit_and("fp").alias("a"), F.bit_or("fp").alias("o")).orderBy("home").collect()
@@ -152,14 +152,14 @@ def links(prints: DataFrame, most: int = 2, range_size: int = 1024, most_ranges:
     def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = GrayIndex(*ends)
         for pdf in batches:
-            fp, home = pdf["fp"].to_numpy(), pdf["home"].to_numpy()
+            fp, home = pdf["fp"].to_numpy(), home_of(pdf)
             for lo in range(0, len(fp), 4096):
                 some = fp[lo : lo + 4096].view(np.uint64)
                 for who, leaf in index.visit(some, most):
                     to = homes[leaf]
                     yield pd.DataFrame({"range": to, "fp": some[who].view(np.int64), "member": home[lo : lo + 4096][who] == to})
 
-    visits = at_home.mapInPandas(routed, "range int, fp long, member boolean")
+    visits = by_rank.mapInPandas(routed, "range int, fp long, member boolean")
     return visits.groupBy("range").applyInPandas(lambda pdf: star_edges(pdf, most), "v long, u long")
 
 
