@@ -104,7 +104,7 @@ def test_quality(docs):
 
 
 def test_quality_removes_common_lines(spark):
-    common = "".join(f"{x} line of a frame that stands on each page of the host {x}\n" for x in ("first", "second", "third"))
+    common = "".join(" ".join(f"{x}{j}" for j in range(10)) + "\n" for x in "abc")
     rows = [(i, common + " ".join(f"w{i}x{j}" for j in range(60)), "s") for i in range(40)]
     rows += [(100 + i, common + f"own {i}", "s") for i in range(3)]
     rows += [(200 + i, " ".join(f"copy{j}" for j in range(40)) + "\n" + " ".join(f"more{j}" for j in range(40)), "s") for i in range(60)]
