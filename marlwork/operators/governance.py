@@ -83,6 +83,34 @@ def pii_masked(text: Column) -> Column:
     return text
 
 
+def input_report(text: Column, mode: str = "mask") -> Column:
+    """flags, decision, confidence and processed text of an input: a policy hit refuses it, personal data is masked or refused."""
+    policy, personal = policy_category(text), F.size(pii_kinds(text)) > 0
+    refused = policy.isNotNull() | (personal if mode == "refuse" else F.lit(False))
+    flags = F.array_compact(F.array(F.when(policy.isNotNull(), F.lit("policy_violation")), F.when(personal, F.lit("pii_refusal" if mode == "refuse" else "pii_masked"))))
+    return F.struct(
+        flags.alias("flags"),
+        F.when(refused, F.lit("refused")).otherwise(F.lit("allowed")).alias("decision"),
+        F.when(refused, F.lit(0.9)).otherwise(F.lit(1.0)).alias("confidence"),
+        F.when(refused, F.lit("")).otherwise(pii_masked(text)).alias("processed"),
+    )
+
+
+def answer_problems(body: Column) -> Column:
+    """What is wrong with an answer's JSON text: its object, answer, citations, confidence or escalation."""
+    found = F.from_json(json_object(body), "answer string, citations array<struct<section_id:string,snippet:string>>, confidence string, should_escalate boolean")
+    size = F.size(found["citations"])
+    return F.array_compact(
+        F.array(
+            F.when(json_object(body).isNull(), F.lit("no_object")),
+            F.when(F.coalesce(F.length(found["answer"]), F.lit(0)) == 0, F.lit("answer")),
+            F.when(~F.coalesce(size.between(1, 5), F.lit(False)), F.lit("citations")),
+            F.when(~F.coalesce(found["confidence"].isin("high", "medium", "low"), F.lit(False)), F.lit("confidence")),
+            F.when(found["should_escalate"].isNull(), F.lit("should_escalate")),
+        )
+    )
+
+
 def citations(text: Column) -> Column:
     """Cited sections as EA-..., each once, in the order of the patterns."""
     found = F.concat(*(F.regexp_extract_all(text, F.lit("(?i)" + p), F.lit(1)) for p in CITATIONS))

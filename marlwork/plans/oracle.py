@@ -87,6 +87,14 @@ def policies() -> str:
 SELECT conv_id, turn, {category} AS category, array_to_string(list_filter([{rules}], lambda x: x IS NOT NULL), ',') AS rules FROM a"""
 
 
+def guarding() -> str:
+    hit = " OR ".join(any_of("lower(q)", ws) for ws in governance.POLICIES.values())
+    personal = " OR ".join(f"regexp_matches(q, {q(p)})" for _, p, _ in governance.PII)
+    return f"""WITH a AS (SELECT conv_id, turn, text || CASE WHEN conv_id % 4 = 0 THEN ' mail a.b@example.com' ELSE '' END AS q FROM conversations), b AS (SELECT *, {hit} AS p, {personal} AS i FROM a)
+SELECT conv_id, turn, concat_ws(',', CASE WHEN p THEN 'policy_violation' END, CASE WHEN i THEN 'pii_masked' END) AS flags, CASE WHEN p THEN 'refused' ELSE 'allowed' END AS decision, CASE WHEN p THEN 0.9 ELSE 1.0 END::DOUBLE AS confidence,
+  md5(CASE WHEN p THEN '' ELSE {masked('q')} END) AS processed FROM b"""
+
+
 def citing() -> str:
     known = "[" + ", ".join(q(f"EA-{n}") for n in (*range(2, 21), 25, 60, "60A", "60F", 77)) + "]"
     found = "flatten([" + ", ".join(f"regexp_extract_all(s, {q('(?i)' + p)}, 1)" for p in governance.CITATIONS) + "])"
@@ -191,6 +199,10 @@ SELECT a.doc_id, a.chunk_index, coalesce(a.found, b.found || repeat('-cont', a.r
         "pii_scrub": f"SELECT doc_id, array_to_string(list_filter([{kinds}], lambda x: x IS NOT NULL), ',') AS kinds, md5({masked('text')}) AS masked FROM documents",
         "pii_stats": f"SELECT kind, count(*) AS n FROM (SELECT unnest([{kinds}]) AS kind FROM documents) WHERE kind IS NOT NULL GROUP BY kind",
         "policy_classify": policies(),
+        "guardrail_report": guarding(),
+        "answer_check": """SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'no_object,answer,citations,confidence,should_escalate' ELSE concat_ws(',', CASE WHEN p_partkey % 5 = 0 THEN 'answer' END,
+  CASE WHEN p_partkey % 4 = 0 THEN 'citations' END, CASE WHEN p_partkey % 3 = 0 THEN 'confidence' END) END AS problems FROM part""",
+        "token_usage": f"SELECT role, (sum(len({words('text')})) * 13 // 10)::BIGINT AS tokens FROM conversations GROUP BY role",
         "citation_validate": citing(),
         "canonical_normalize": "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'EA-2022-' || p_partkey % 90 || 'E' WHEN 1 THEN 'EA-2022-' || p_partkey % 90 || 'E' ELSE 'EA-2022-' || p_partkey % 90 || 'F(2)' END AS section FROM part",
         "citation_scores": f"""WITH a AS (SELECT p_partkey, {ids('p_partkey % 5', 'p_partkey % 7')} AS p, {ids('p_partkey % 3', 'p_partkey % 5')} AS g FROM part),

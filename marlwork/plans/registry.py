@@ -114,6 +114,33 @@ def policy_classify(spark, d):
     return rows.select("conv_id", "turn", governance.policy_category(F.col("q")).alias("category"), F.array_join(governance.policy_rules(F.col("q")), ",").alias("rules"))
 
 
+@query
+def guardrail_report(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", governance.input_report(F.concat("text", F.when(F.col("conv_id") % 4 == 0, F.lit(" mail a.b@example.com")).otherwise(F.lit("")))).alias("r"))
+    return rows.select("conv_id", "turn", F.array_join("r.flags", ",").alias("flags"), "r.decision", "r.confidence", F.md5("r.processed").alias("processed"))
+
+
+@query
+def answer_check(spark, d):
+    k = F.col("p_partkey")
+    cites = F.when(k % 4 == 0, F.lit("[]")).otherwise(F.lit('[{"section_id": "EA-60E", "snippet": "s"}]'))
+    grade = F.when(k % 3 == 0, F.lit("sure")).otherwise(F.lit("high"))
+    body = F.concat(F.lit('Here: {"answer": "'), F.when(k % 5 == 0, F.lit("")).otherwise(F.lit("yes")), F.lit('", "citations": '), cites, F.lit(', "confidence": "'), grade, F.lit('", "should_escalate": false} end'))
+    rows = table(spark, d, "part").select("p_partkey", F.when(k % 7 == 0, F.lit("no json")).otherwise(body).alias("body"))
+    return rows.select("p_partkey", F.array_join(governance.answer_problems(F.col("body")), ",").alias("problems"))
+
+
+@query
+def token_usage(spark, d):
+    rows = table(spark, d, "conversations").groupBy("role").agg(F.sum(F.size(tokens(F.col("text")))).alias("words"))
+    return rows.select("role", F.floor(F.col("words") * 13 / 10).cast("long").alias("tokens"))
+
+
+@query
+def circuit_breaker(spark, d):
+    return serving.circuit_breaker(table(spark, d, "events").withColumn("ok", F.col("event_id") % 3 == 0), "event_type", 5, 60).select("event_id", "state")
+
+
 def cited(spark, d) -> DataFrame:
     """p_partkey and a sentence with citations."""
     key = F.col("p_partkey")

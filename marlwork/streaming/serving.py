@@ -45,6 +45,28 @@ def ttl_cache(events: DataFrame, key: str, ttl_seconds: int) -> DataFrame:
     return seen.groupBy(key, "day").applyInPandas(fold, f"event_id long, {key} string, hit boolean")
 
 
+def circuit_breaker(calls: DataFrame, key: str, most_failures: int = 5, reset_seconds: int = 60) -> DataFrame:
+    """event_id, key and state (closed, open, half_open) in which each of calls (event_id, ts, key, ok) finds its service.
+
+    `most_failures` failures in a row open the circuit; calls then are rejected and don't count until `reset_seconds`
+    later one is let through, which closes or opens it. Each service and day is an ordered fold of its own.
+    """
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, failures, opened, states = pdf.sort_values(["at", "event_id"]), 0, None, []
+        for at, ok in zip(pdf["at"], pdf["ok"], strict=True):
+            waiting = opened is not None and at - opened < reset_seconds * 1_000_000
+            states.append("open" if waiting else "closed" if opened is None else "half_open")
+            if waiting:
+                continue
+            failures = 0 if ok else failures + 1
+            opened = None if ok else at if opened is not None or failures >= most_failures else None
+        return pd.DataFrame({"event_id": pdf["event_id"], key: pdf[key], "state": states})
+
+    seen = calls.select(F.col("event_id").cast("long"), F.col(key).cast("string").alias(key), micros("ts").alias("at"), F.to_date("ts").alias("day"), F.coalesce("ok", F.lit(False)).alias("ok"))
+    return seen.groupBy(key, "day").applyInPandas(fold, f"event_id long, {key} string, state string")
+
+
 def active_requests(events: DataFrame, key: str, seconds: int) -> DataFrame:
     """event_id and how many requests of its key are open when it begins, if each lasts `seconds`."""
     order = Window.partitionBy(key).orderBy(micros("ts")).rangeBetween(-seconds * 1_000_000 + 1, 0)

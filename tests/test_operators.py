@@ -103,6 +103,19 @@ def test_sources(spark, tmp_path):
     assert files.up_to_date(seen.limit(0), seen, 1).first().up_to_date and not files.up_to_date(seen, seen, 1).first().up_to_date
 
 
+def test_circuit_breaker(spark):
+    rows = [(i, f"2024-01-01 00:00:{i:02d}", "s", False) for i in range(6)] + [(6, "2024-01-01 00:02:00", "s", True), (7, "2024-01-01 00:02:01", "s", True)]
+    calls = spark.createDataFrame(rows, "event_id long, ts string, s string, ok boolean").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got = serving.circuit_breaker(calls, "s").orderBy("event_id").collect()
+    assert [r.state for r in got] == ["closed"] * 5 + ["open", "half_open", "closed"]
+
+
+def test_ttl_cache(spark):
+    rows = [(i, f"2024-01-01 00:00:{s:02d}", "k") for i, s in enumerate((0, 1, 2, 4, 5))]
+    events = spark.createDataFrame(rows, "event_id long, ts string, k string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    assert [r.hit for r in serving.ttl_cache(events, "k", 3).orderBy("event_id").collect()] == [False, True, True, False, True]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     path = "/root/testdata/sf0.001/events.parquet"
     batch = spark.read.parquet(path)
