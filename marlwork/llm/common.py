@@ -39,10 +39,11 @@ def texts_of(batch: pa.RecordBatch, step: int = 256) -> Iterator[str | None]:
         yield from column.slice(lo, step).to_pylist()
 
 
-def small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
-    """`df`, computed, and marked for broadcast if its rows are counted and few; a plain join side otherwise."""
+def small(df: DataFrame, most: int = 200_000, weight: Column | None = None) -> DataFrame:
+    """`df`, computed, and marked for broadcast if its rows, each counted as 1 and `weight`, are few; a plain join side otherwise."""
     df = durable(df)
-    return F.broadcast(df) if df.count() <= most_rows else df
+    rows = df.agg(F.count("*").alias("n"), F.sum(F.lit(0) if weight is None else weight).alias("w")).first()
+    return F.broadcast(df) if rows["n"] + (rows["w"] or 0) <= most else df
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:

@@ -158,7 +158,7 @@ def redact(docs: DataFrame, scope: int = 256) -> DataFrame:
     The rows are those of docs, which has doc_id and text; n_chars, where there is one, follows the text.
     """
     found = scan(docs, scope).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_hash"])
-    found = small(found.select(F.col("doc_id").alias("marlwork_id"), F.col("text_hash").alias("marlwork_hash"), F.col("spans").alias("marlwork_spans")))
+    found = small(found.select(F.col("doc_id").alias("marlwork_id"), F.col("text_hash").alias("marlwork_hash"), F.col("spans").alias("marlwork_spans")), weight=F.size("marlwork_spans"))
     text = F.coalesce(F.col("text"), F.lit(""))
     same = docs["doc_id"].cast("long").eqNullSafe(found["marlwork_id"]) & (text_hash() == found["marlwork_hash"])
     out = docs.join(found, same, "left")
