@@ -150,10 +150,10 @@ def within_bounds(name: Column, number: Column, unit: Column) -> Column:
 
 
 def numeric_claim(text: Column) -> Column:
-    """Number, unit, category and verdict of the first number with a unit in a text."""
+    """Number, unit, category and verdict of the first number with a unit in a text; number, unit and verdict are null without one."""
     low = F.lower(text)
     rule = r"(\d+(?:\.\d+)?)\s+(day|week|month|year|hour)s?"
-    number, unit = F.regexp_extract(low, rule, 1).cast("double"), F.regexp_extract(low, rule, 2)
+    number, unit = F.regexp_extract(low, rule, 1).try_cast("double"), F.nullif(F.regexp_extract(low, rule, 2), F.lit(""))
     return F.struct(number.alias("number"), unit.alias("unit"), category(low).alias("category"), within_bounds(category(low), number, unit).alias("ok"))
 
 

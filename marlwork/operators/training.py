@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlwork.sources.durable import kept
+
 
 def drawn(key: Column, seed: int = 42) -> Column:
     """A stable stand-in for a random order: the md5 of key and seed, alike in every engine."""
@@ -57,20 +58,20 @@ def similar_pairs(rows: DataFrame, by: str, key: str, text: str, least: float =
 
 
 def keep_first_similar(rows: DataFrame, by: str, key: str, text: str, least: float = 0.8) -> DataFrame:
-    """Ids that stay if rows go, in the order of `key`, that are similar to an earlier row that stays.
+    """rows without those that are similar to an earlier row (in the order of `key`) that stays.
 
-    Greedy within each component of similar rows of a group, so a task holds pairs of one group only.
+    In rounds over all groups at once: a row without an earlier neighbour stays, and its later neighbours go. Each round
+    settles one row of every chain at least and is kept durably; no group is collected.
     """
-    pairs = similar_pairs(rows, by, key, text, least)
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        gone: set = set()
-        for a, b in sorted(zip(pdf["a"], pdf["b"], strict=True), key=lambda x: (x[1], x[0])):
-            if a not in gone:
-                gone.add(b)
-        return pd.DataFrame({"gone": sorted(gone)})
-
-    gone = pairs.groupBy(by).applyInPandas(greedy, "gone long")
+    left = kept(similar_pairs(rows, by, key, text, least).select("a", "b").distinct())
+    gone = left.select(F.col("b").alias("gone")).limit(0)
+    while not left.isEmpty():
+        stays = left.select(F.col("a").alias("stays")).distinct().join(left.select("b"), F.col("stays") == F.col("b"), "left_anti")
+        goes = kept(left.join(stays, left["a"] == stays["stays"], "left_semi").select(F.col("b").alias("gone")).distinct())
+        gone = gone.union(goes)
+        # Pairs of rows that are settled say nothing more: every neighbour of a row that stays goes.
+        left = left.join(goes, left["a"] == goes["gone"], "left_anti")
+        left = kept(left.join(goes, left["b"] == goes["gone"], "left_anti"))
     return rows.join(gone, rows[key] == gone["gone"], "left_anti")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlwork.operators import calculator, chunking, governance, metrics, search
+from marlwork.operators import answers, calculator, chunking, governance, metrics, questions, search
 
 
 def q(text: str) -> str:
@@ -169,6 +169,59 @@ def routing() -> str:
 FROM conversations WHERE role = 'user') SELECT *, CASE WHEN signals = '' THEN 'small' ELSE 'large' END AS tier FROM a"""
 
 
+def listing(values) -> str:
+    return "[" + ", ".join(map(q, values)) + "]"
+
+
+def personal(x: str) -> str:
+    return "(" + " OR ".join(f"regexp_matches({x}, {q(p)})" for _, p, _ in governance.PII) + ")"
+
+
+def reporting() -> str:
+    ends = listing(("Take 12 days of annual leave.", "Take 90 days of annual leave.", "You should sue them.", "Expect triple compensation.", "Write to a.b@example.com."))
+    return f"""WITH a AS (SELECT o_orderkey, o_orderkey % 30 AS n, 'Section ' || o_orderkey % 30 || ' says so. ' || {ends}[o_orderkey % 5 + 1] AS t FROM orders),
+b AS (SELECT o_orderkey, n > 24 AS c, contains(t, '90 days') AS m, regexp_matches(lower(t), {q('|'.join(answers.HALLUCINATIONS))}) AS h, regexp_matches(lower(t), {q('|'.join(answers.ADVICE))}) AS v, {personal('t')} AS p FROM a)
+SELECT o_orderkey, concat_ws(',', CASE WHEN c THEN 'invalid_citations' END, CASE WHEN m THEN 'numeric_out_of_bounds' END, CASE WHEN h THEN 'hallucination' END, CASE WHEN v THEN 'inappropriate_advice' END, CASE WHEN p THEN 'pii_leak' END) AS flags,
+  CASE WHEN c OR m THEN 'escalated' WHEN h OR v OR p THEN 'refused' ELSE 'allowed' END AS decision, CASE WHEN c OR m OR h OR v OR p THEN 0.8 ELSE 1.0 END::DOUBLE AS confidence FROM b"""
+
+
+def flagging() -> str:
+    begins = listing(("Shall I go to court? ", "Give me legal advice. ", "My mail is a.b@example.com. ", "So: "))
+    policy = " OR ".join(any_of("lower(t)", ws) for ws in governance.POLICIES.values())
+    message = "CASE coalesce(refusal, CASE WHEN x THEN 'complex_legal' END, 'other') " + " ".join(f"WHEN {q(k)} THEN {q(text)}" for k, text in answers.REFUSALS.items()) + " END"
+    return f"""WITH a AS (SELECT conv_id, turn, {begins}[conv_id % 4 + 1] || text AS t FROM conversations),
+b AS (SELECT conv_id, turn, {policy} AS p, {personal('t')} AS i, {any_of('lower(t)', answers.COMPLEX_CASE)} AS x FROM a),
+c AS (SELECT *, CASE WHEN p THEN 'policy_violation' WHEN i THEN 'privacy_concern' END AS refusal FROM b)
+SELECT conv_id, turn, concat_ws(',', CASE WHEN p THEN 'policy_violation' END, CASE WHEN i THEN 'pii_refusal' END, CASE WHEN i THEN 'pii_detected' END, CASE turn % 3 WHEN 0 THEN 'insufficient_context' WHEN 1 THEN 'limited_context' END, CASE WHEN x THEN 'complex_legal' END) AS flags, refusal, md5({message}) AS message FROM c"""
+
+
+def repairing() -> str:
+    return f"""WITH a AS (SELECT p_partkey AS k, repeat(p_name, 20) AS t FROM part),
+b AS (SELECT k, CASE WHEN length(t) > 150 THEN t[1:150] || '...' ELSE t END AS filled, t[1:150] || '...' AS quoted FROM a),
+c AS (SELECT k, CASE k % 3 WHEN 0 THEN CASE WHEN k % 2 = 0 THEN 'EA-60E:' || filled ELSE {q(answers.NO_SECTION + ':' + answers.NO_CONTEXT)} END
+  WHEN 1 THEN 'EA-60E:' || CASE WHEN k % 2 = 0 THEN quoted ELSE {q(answers.NO_SNIPPET)} END || ';' || {q(answers.NO_SECTION + ':own')} ELSE 'EA-9:' || repeat('z', 197) || '...' END AS cites FROM b)
+SELECT k AS p_partkey, CASE WHEN k % 7 > 0 THEN CASE WHEN k % 5 = 0 THEN {q(answers.NO_ANSWER)} ELSE 'yes' END END AS answer, CASE WHEN k % 7 > 0 THEN md5(cites) END AS citations, CASE WHEN k % 7 > 0 THEN CASE WHEN k % 4 = 0 THEN 'low' ELSE 'high' END END AS confidence, CASE WHEN k % 7 > 0 THEN true END AS should_escalate FROM c"""
+
+
+def asking() -> str:
+    pick = lambda values, what: f"{listing(values)}[('0x' || md5(doc_id || '|{what}')[1:8])::BIGINT % {len(values)} + 1]"
+    category = "CASE " + " ".join(f"WHEN {any_of('lower(text)', ws)} THEN {q(name)}" for name, ws in questions.KINDS.items()) + f" ELSE {pick(questions.KINDS, 'kind')} END"
+    question = "CASE category " + " ".join(f"WHEN {q(k)} THEN {pick(ts, 'template')}" for k, ts in questions.TEMPLATES.items()) + " END"
+    for word, values in questions.WORDS.items():
+        question = f"replace({question}, '{{{word}}}', {pick(values, word)})"
+    claims = "flatten([" + ", ".join(f"regexp_extract_all(text, {q('(?i)' + p)}, 1)" for p in questions.CLAIMS) + "])"
+    return f"""WITH a AS (SELECT doc_id, source, {category} AS category, {claims} AS cl, list_filter(list_transform(string_split(text, '.'), lambda x: {strip('x')}), lambda x: length(x) > 20)[1] AS s FROM documents),
+b AS (SELECT *, concat_ws(' ', 'According to the Employment Act, ' || lower(s) || '.', 'The specific requirement is ' || cl[1] || ' as stated in the legislation.', 'This is covered under section ' || source || '.') AS w FROM a)
+SELECT doc_id, category, len(cl)::INT AS n_claims, md5(CASE WHEN length(w) > 500 THEN w[1:450] || '... (Reference: ' || source || ')' ELSE w END) AS answer, {question} AS question FROM b"""
+
+
+def streaming() -> str:
+    return f"""WITH a AS (SELECT conv_id * 1000 + turn AS request_id, {words('text')} AS w, conv_id % 5 = 0 AS bad FROM conversations WHERE role = 'assistant'),
+b AS (SELECT request_id, list_concat(list_concat([{{'t': 'metadata', 'c': ''}}], list_transform(w, lambda x: {{'t': 'token', 'c': x}})), CASE WHEN bad THEN [{{'t': 'error', 'c': 'error'}}, {{'t': 'status', 'c': 'error'}}] ELSE [{{'t': 'usage', 'c': len(w)::VARCHAR}}, {{'t': 'status', 'c': 'completed'}}] END || [{{'t': 'done', 'c': '[DONE]'}}]) AS o FROM a),
+c AS (SELECT request_id, unnest(range(len(o)))::INT AS seq, unnest(o) AS e FROM b)
+SELECT request_id, seq, e.t AS chunk_type, e.c AS content FROM c"""
+
+
 def all_sql() -> dict[str, str]:
     lines = f"li AS (SELECT source AS doc, doc_id AS page, unnest(string_split(text, chr(10))) AS t FROM documents), no AS (SELECT doc, regexp_replace({strip('lower(t)')}, '\\s+', ' ', 'g') AS norm FROM li), pg AS (SELECT doc, count(DISTINCT page) AS pages FROM li GROUP BY doc)"
     cleaned = f"array_to_string(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: {strip('x')}), lambda x: x <> '' AND NOT regexp_matches(x, '^\\d+$') AND length(x) >= 10), lambda x: regexp_replace(x, '\\s+', ' ', 'g')), chr(10))"
@@ -176,6 +229,11 @@ def all_sql() -> dict[str, str]:
     flag = lambda p, a: f"sum(CASE WHEN {'' if p else 'NOT '}p AND {'' if a else 'NOT '}a THEN 1 ELSE 0 END)"
     ids = lambda *xs: "list_distinct([" + ", ".join(f"'EA-' || {x}" for x in xs) + "])"
     return {
+        "output_report": reporting(),
+        "query_flags": flagging(),
+        "answer_repair": repairing(),
+        "sft_questions": asking(),
+        "token_stream": streaming(),
         "bm25_index_stats": f"WITH {TERMS} SELECT term, df, round(idf, 6) AS idf FROM idf",
         "bm25_topk": f"WITH {BM25} SELECT query_id, rank, doc_id, score FROM bm WHERE rank <= 10 AND score > 0",
         "dense_topk": f"WITH {dense('(SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0)', 10)} SELECT query_id, rank, doc_id, score FROM nn",

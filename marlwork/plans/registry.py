@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlwork.functions.text import hits, tokens, word_f1
-from marlwork.operators import calculator, chunking, governance, metrics, search, training
+from marlwork.operators import answers, calculator, chunking, governance, metrics, questions, search, training
 from marlwork.plans import oracle
 from marlwork.streaming import serving
 
@@ -357,6 +357,53 @@ def cache_keys(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("query:"), F.substring(F.sha2(body, 256), 1, 16)).alias("key"), F.substring(F.sha2(F.concat_ws(":", F.lit("model"), "text"), 256), 1, 16).alias("embedding_key"))
 
 
+@query
+def output_report(spark, d):
+    key = F.col("o_orderkey")
+    ends = ("Take 12 days of annual leave.", "Take 90 days of annual leave.", "You should sue them.", "Expect triple compensation.", "Write to a.b@example.com.")
+    text = F.concat(F.lit("Section "), (key % 30).cast("string"), F.lit(" says so. "), F.element_at(F.array(*map(F.lit, ends)), (key % 5 + 1).cast("int")))
+    known = F.array(*(F.lit(f"EA-{n}") for n in range(25)))
+    rows = table(spark, d, "orders").select("o_orderkey", answers.output_report(text, known).alias("r"))
+    return rows.select("o_orderkey", F.array_join("r.flags", ",").alias("flags"), "r.decision", "r.confidence")
+
+
+@query
+def query_flags(spark, d):
+    text = F.concat(F.element_at(F.array(*map(F.lit, ("Shall I go to court? ", "Give me legal advice. ", "My mail is a.b@example.com. ", "So: "))), (F.col("conv_id") % 4 + 1).cast("int")), "text")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", answers.query_flags(text, F.col("turn") % 3, "refuse").alias("r"))
+    return rows.select("conv_id", "turn", F.array_join("r.flags", ",").alias("flags"), "r.refusal", F.md5(answers.refusal_message(F.col("r.refusal"), F.col("r.flags"))).alias("message"))
+
+
+@query
+def answer_repair(spark, d):
+    k = F.col("p_partkey")
+    cites = F.when(k % 3 == 0, F.lit("[]")).when(k % 3 == 1, F.lit('[{"section_id": "EA-60E"}, {"snippet": "own"}]')).otherwise(F.concat(F.lit('[{"section_id": "EA-9", "snippet": "'), F.repeat(F.lit("z"), 250), F.lit('"}]')))
+    body = F.concat(F.lit('So: {"answer": "'), F.when(k % 5 == 0, F.lit("")).otherwise(F.lit("yes")), F.lit('", "citations": '), cites, F.lit(', "confidence": "'), F.when(k % 4 == 0, F.lit("sure")).otherwise(F.lit("high")), F.lit('"} end'))
+    context = F.when(k % 2 == 0, F.array(F.struct(F.lit("EA-60E").alias("section_id"), F.repeat(F.col("p_name"), 20).alias("text")), F.struct(F.lit("").alias("section_id"), F.lit("none").alias("text")))).otherwise(F.array().cast("array<struct<section_id:string,text:string>>"))
+    rows = table(spark, d, "part").select("p_partkey", answers.repaired(F.when(k % 7 == 0, F.lit("no json")).otherwise(body), context).alias("r"))
+    listed = F.array_join(F.transform("r.citations", lambda c: F.concat_ws(":", c["section_id"], c["snippet"])), ";")
+    return rows.select("p_partkey", "r.answer", F.md5(listed).alias("citations"), "r.confidence", "r.should_escalate")
+
+
+@query
+def sft_questions(spark, d):
+    text, key = F.col("text"), F.col("doc_id")
+    rows = table(spark, d, "documents").select("doc_id", questions.kind(text, key).alias("category"), F.size(questions.claims(text)).alias("n_claims"), F.md5(questions.answer(text, F.col("source"))).alias("answer"))
+    return rows.withColumn("question", questions.question(F.col("category"), key))
+
+
+@query
+def token_stream(spark, d):
+    rows = table(spark, d, "conversations").where("role = 'assistant'")
+    rows = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), tokens(F.col("text")).alias("tokens"), (F.col("conv_id") % 5 == 0).alias("failed"))
+    return serving.token_stream(rows)
+
+
+@query
+def cache_replay_lru(spark, d):
+    return serving.lru_cache(table(spark, d, "events"), "user_id", 20, 3600, 4)
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,44 +30,98 @@ def minute_counts(events: DataFrame, key: str, late: str = "5 minutes") -> DataF
     return counted.select(F.col("w.start").cast("timestamp_ntz").alias("minute"), key, "n", "total")
 
 
+def ordered_fold(rows: DataFrame, keys: list[str], values: list[str], step: Callable, start: Callable, result: str, kind: str) -> DataFrame:
+    """event_id, `keys` and `result` of rows in the order of (at, event_id) within each key.
+
+    `step(state, at, *values)` returns the next state and the row's result. Rows are sorted by Spark and pass by in
+    batches, so that a task holds the state of one key, however many rows the key has.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, None
+        for pdf in batches:
+            out = []
+            for key, *row in zip(zip(*(pdf[k] for k in keys), strict=True), pdf["at"], *(pdf[v] for v in values), strict=True):
+                if key != last:
+                    last, state = key, start()
+                state, found = step(state, *row)
+                out.append(found)
+            yield pd.DataFrame({"event_id": pdf["event_id"], **{k: pdf[k] for k in keys}, result: out})
+
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "at", "event_id")
+    types = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return ordered.mapInPandas(run, f"event_id long, {types}, {result} {kind}")
+
+
+def folded(events: DataFrame, key: str, *more: Column) -> DataFrame:
+    """What folds read: event_id, key as text (null: empty), at, day and more."""
+    return events.select(F.col("event_id").cast("long"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias(key), F.coalesce(micros("ts"), F.lit(0)).alias("at"), F.coalesce(F.to_date("ts").cast("string"), F.lit("")).alias("day"), *more)
+
+
 def ttl_cache(events: DataFrame, key: str, ttl_seconds: int) -> DataFrame:
     """events (event_id, ts, key) with `hit`: a key is in the cache for `ttl_seconds` from the request that put it there.
 
-    A hit doesn't renew an entry. Each key and day is an ordered fold of its own.
+    A hit doesn't renew an entry, and an entry ends with its day. A null key is the empty one.
+    """
+
+    def step(since: int | None, at: int) -> tuple[int, bool]:
+        hit = since is not None and at - since <= ttl_seconds * 1_000_000
+        return since if hit else at, hit
+
+    return ordered_fold(folded(events, key), [key, "day"], [], step, lambda: None, "hit", "boolean").drop("day")
+
+
+def lru_cache(events: DataFrame, key: str, capacity: int, ttl_seconds: int, shards: int = 64) -> DataFrame:
+    """event_id and hit of events (event_id, ts, key) before a cache of `shards` servers, `capacity` entries each.
+
+    A key belongs to the server that its hash names. A full server drops the entry that was used least recently; a hit
+    makes an entry the latest but doesn't renew its time to live. Servers begin each day empty.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, since, hits = pdf.sort_values(["at", "event_id"]), None, []
-        for at in pdf["at"]:
-            hits.append(since is not None and at - since <= ttl_seconds * 1_000_000)
-            since = since if hits[-1] else at
-        return pd.DataFrame({"event_id": pdf["event_id"], key: pdf[key], "hit": hits})
+    def step(entries: OrderedDict, at: int, name: str) -> tuple[OrderedDict, bool]:
+        hit = name in entries and at - entries[name] <= ttl_seconds * 1_000_000
+        if not hit:
+            entries[name] = at
+        entries.move_to_end(name)
+        if len(entries) > capacity:
+            entries.popitem(last=False)
+        return entries, hit
 
-    # An entry ends with its day, which bounds what one fold holds.
-    seen = events.select(F.col("event_id").cast("long"), F.col(key).cast("string").alias(key), micros("ts").alias("at"), F.to_date("ts").alias("day"))
-    return seen.groupBy(key, "day").applyInPandas(fold, f"event_id long, {key} string, hit boolean")
+    rows = folded(events, key).withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards)))
+    return ordered_fold(rows, ["shard", "day"], [key], step, OrderedDict, "hit", "boolean").select("event_id", "hit")
 
 
 def circuit_breaker(calls: DataFrame, key: str, most_failures: int = 5, reset_seconds: int = 60) -> DataFrame:
     """event_id, key and state (closed, open, half_open) in which each of calls (event_id, ts, key, ok) finds its service.
 
     `most_failures` failures in a row open the circuit; calls then are rejected and don't count until `reset_seconds`
-    later one is let through, which closes or opens it. Each service and day is an ordered fold of its own.
+    later one is let through, which closes or opens it. Circuits begin each day closed.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, failures, opened, states = pdf.sort_values(["at", "event_id"]), 0, None, []
-        for at, ok in zip(pdf["at"], pdf["ok"], strict=True):
-            waiting = opened is not None and at - opened < reset_seconds * 1_000_000
-            states.append("open" if waiting else "closed" if opened is None else "half_open")
-            if waiting:
-                continue
-            failures = 0 if ok else failures + 1
-            opened = None if ok else at if opened is not None or failures >= most_failures else None
-        return pd.DataFrame({"event_id": pdf["event_id"], key: pdf[key], "state": states})
-
-    seen = calls.select(F.col("event_id").cast("long"), F.col(key).cast("string").alias(key), micros("ts").alias("at"), F.to_date("ts").alias("day"), F.coalesce("ok", F.lit(False)).alias("ok"))
-    return seen.groupBy(key, "day").applyInPandas(fold, f"event_id long, {key} string, state string")
+    def step(state: tuple, at: int, ok: bool) -> tuple[tuple, str]:
+        failures, opened = state
+        if opened is not None and at - opened < reset_seconds * 1_000_000:
+            return state, "open"
+        failures = 0 if ok else failures + 1
+        again = not ok and (opened is not None or failures >= most_failures)
+        return (failures, at if again else None), "closed" if opened is None else "half_open"
+
+    rows = folded(calls, key, F.coalesce("ok", F.lit(False)).alias("ok"))
+    return ordered_fold(rows, [key, "day"], ["ok"], step, lambda: (0, None), "state", "string").drop("day")
+
+
+def token_stream(requests: DataFrame) -> DataFrame:
+    """request_id, seq, chunk_type and content of what is sent for requests (request_id, tokens, failed).
+
+    Metadata, the tokens, then usage and status, or error and status, and the end mark. Null tokens are none.
+    """
+    piece = lambda kind, content: F.struct(F.lit(kind).alias("chunk_type"), content.alias("content"))
+    tokens = F.coalesce("tokens", F.array().cast("array<string>"))
+    usage = piece("usage", F.size(tokens).cast("string"))
+    failed = F.coalesce("failed", F.lit(False))
+    middle = F.when(failed, F.array(piece("error", F.lit("error")), piece("status", F.lit("error")))).otherwise(F.array(usage, piece("status", F.lit("completed"))))
+    whole = F.concat(F.array(piece("metadata", F.lit(""))), F.transform(tokens, lambda t: piece("token", t)), middle, F.array(piece("done", F.lit("[DONE]"))))
+    return requests.select("request_id", F.posexplode(whole).alias("seq", "c")).select("request_id", "seq", "c.chunk_type", "c.content")
 
 
 def active_requests(events: DataFrame, key: str, seconds: int) -> DataFrame:

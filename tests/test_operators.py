@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from marlwork.operators import calculator, chunking, governance, metrics, training
+from marlwork.operators import answers, calculator, chunking, governance, metrics, training
 from marlwork.sources import files
 from marlwork.streaming import serving
 
@@ -85,8 +85,14 @@ def test_refusal_metrics(spark):
 def test_near_duplicates_keep_the_first(spark):
     base = "the quick brown fox jumps over the lazy dog"
     rows = [(1, base), (2, base + "s"), (3, base + "s and more"), (4, "something else")]
-    kept = training.keep_first_similar(spark.createDataFrame(rows, "i long, t string").withColumn("g", F.lit("x")), "g", "i", "t")
-    assert sorted(r.i for r in kept.collect()) == [1, 3, 4] or sorted(r.i for r in kept.collect()) == [1, 4]
+    rng = random.Random(3)
+    rows += [(i, "".join(rng.choice("ab") for _ in range(rng.choice([9, 10, 11])))) for i in range(5, 60)]
+    df = spark.createDataFrame(rows, "i long, t string").withColumn("g", F.lit("x"))
+    pairs = {(r.a, r.b) for r in training.similar_pairs(df, "g", "i", "t").collect()}
+    stay = []
+    for i, _ in rows:
+        stay += [] if any((a, i) in pairs for a in stay) else [i]
+    assert sorted(r.i for r in training.keep_first_similar(df, "g", "i", "t").collect()) == stay
 
 
 def test_sources(spark, tmp_path):
@@ -116,6 +122,27 @@ def test_ttl_cache(spark):
     assert [r.hit for r in serving.ttl_cache(events, "k", 3).orderBy("event_id").collect()] == [False, True, True, False, True]
 
 
+def test_lru_cache_matches_a_loop(spark):
+    rng = random.Random(5)
+    rows = [(i, f"2024-01-01 00:{i // 30:02d}:{i % 30 * 2:02d}", rng.choice("abcdefgh")) for i in range(300)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, k string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    cache, want = [], []
+    for i, _, k in rows:
+        at = i // 30 * 60 + i % 30 * 2
+        old = next((x for x in cache if x[0] == k), None)
+        want.append(old is not None and at - old[1] <= 30)
+        cache = [x for x in cache if x[0] != k] + [old if want[-1] else (k, at)]
+        cache = cache[-3:]
+    assert [r.hit for r in serving.lru_cache(events, "k", 3, 30, 1).orderBy("event_id").collect()] == want
+
+
+def test_output_report(spark):
+    known = F.array(F.lit("EA-60F"))
+    row = spark.range(1).select(answers.output_report(F.lit("Section EA-999 provides guidance."), known).alias("r")).first().r
+    assert row.decision == "escalated" and "invalid_citations" in row.flags
+    assert spark.range(1).select(answers.repaired(F.lit("none"), F.array().cast("array<struct<section_id:string,text:string>>")).alias("r")).first().r is None
+
+
 def test_stream_equals_batch(spark, tmp_path):
     path = "/root/testdata/sf0.001/events.parquet"
     batch = spark.read.parquet(path)
