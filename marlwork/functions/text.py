@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` evaluated once a row, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def stripped(text: Column) -> Column:
     """`text` without white space (Unicode's) at its ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marlwork.functions.text import holds_any
+from marlwork.functions.text import holds_any, once
 from marlwork.operators import governance
 
 #: Patterns of invented facts and of advice that isn't due, in lower-case text. Fixed values.
@@ -39,8 +39,13 @@ def output_report(text: Column, known: Column) -> Column:
         "pii_leak": F.size(governance.pii_kinds(text)) > 0,
     }
     flags = F.array_compact(F.array(*(F.when(x, F.lit(name)) for name, x in found.items())))
-    decision = F.when(cited | number, F.lit("escalated")).when(F.size(flags) > 0, F.lit("refused")).otherwise(F.lit("allowed"))
-    return F.struct(flags.alias("flags"), decision.alias("decision"), F.when(F.size(flags) > 0, F.lit(0.8)).otherwise(F.lit(1.0)).alias("confidence"))
+
+    def judged(x: Column) -> Column:
+        escalates = F.arrays_overlap(x, F.array(F.lit("invalid_citations"), F.lit("numeric_out_of_bounds")))
+        decision = F.when(escalates, F.lit("escalated")).when(F.size(x) > 0, F.lit("refused")).otherwise(F.lit("allowed"))
+        return F.struct(x.alias("flags"), decision.alias("decision"), F.when(F.size(x) > 0, F.lit(0.8)).otherwise(F.lit(1.0)).alias("confidence"))
+
+    return once(flags, judged)
 
 
 def query_flags(query: Column, n_chunks: Column, mode: str = "mask") -> Column:

@@ -75,3 +75,18 @@ def reward(response: Column) -> Column:
         + add((F.size(words) > 10) & (F.size(F.array_distinct(words)) / F.size(words) < 0.6), -0.5),
         6,
     )
+
+
+def normalised_rewards(rows: DataFrame, reward: str) -> DataFrame:
+    """rows with `normal`: the reward less its mean, by its deviation; 0 everywhere for a single row."""
+    total = rows.agg(F.avg(reward).alias("mean"), F.stddev_pop(reward).alias("deviation"))  # one row
+    return rows.crossJoin(F.broadcast(total)).withColumn("normal", (F.col(reward) - F.col("mean")) / (F.col("deviation") + 1e-8)).drop("mean", "deviation")
+
+
+def histogram(rows: DataFrame, by: str, value: str, bounds: list[float]) -> DataFrame:
+    """by, bound (null: none) and n: how many values are at most the bound, as cumulative buckets."""
+    counts = [F.sum(F.when(F.col(value) <= b, 1).otherwise(0)).alias(f"b{i}") for i, b in enumerate(bounds)]
+    wide = rows.groupBy(by).agg(*counts, F.count("*").alias("every"))
+    buckets = [F.struct(F.lit(float(b)).alias("bound"), F.col(f"b{i}").alias("n")) for i, b in enumerate(bounds)]
+    last = F.struct(F.lit(None).cast("double").alias("bound"), F.col("every").alias("n"))
+    return wide.select(by, F.explode(F.array(*buckets, last)).alias("x")).select(by, "x.bound", "x.n")

@@ -92,6 +92,18 @@ def boosted(hits: DataFrame, priority: Column, k: int, boost: float = 2.0) -> Da
     return raised.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def enough_context(hits: DataFrame, least: float = 0.3, few: int = 6, fallback: int = 8) -> DataFrame:
+    """hits (query_id, rank, score) that serve as context.
+
+    All of a query with fewer than `few` hits; else those of a score of `least`, but the first `fallback` if fewer than
+    `few` are so good.
+    """
+    good = F.col("score") >= least
+    counts = hits.groupBy("query_id").agg(F.count("*").alias("n"), F.sum(F.when(good, 1).otherwise(0)).alias("n_good"))
+    stays = F.when(F.col("n") < few, True).when(F.col("n_good") < few, F.col("rank") <= fallback).otherwise(good)
+    return hits.join(counts, "query_id").where(stays).select(*hits.columns)
+
+
 def normalised(query: Column) -> Column:
     return reduce(lambda q, r: F.regexp_replace(q, r[0], r[1]), REWRITES, F.lower(query))
 

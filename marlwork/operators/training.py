@@ -75,6 +75,14 @@ def keep_first_similar(rows: DataFrame, by: str, key: str, text: str, least: flo
     return rows.join(gone, rows[key] == gone["gone"], "left_anti")
 
 
+def told_apart(rows: DataFrame, key: str, instruction: str, section: str) -> DataFrame:
+    """rows with instructions that repeat, in any case, marked by their section; the row of the smallest key stays as it is."""
+    same = F.lower(F.trim(instruction))
+    first = rows.groupBy(same.alias("same")).agg(F.min(key).alias("first"))
+    marked = F.when(F.col(key) == F.col("first"), F.col(instruction)).otherwise(F.concat(F.col(instruction), F.lit(" ["), F.col(section), F.lit("]")))
+    return rows.join(first, same == F.col("same")).withColumn(instruction, marked).select(*rows.columns)
+
+
 def preference_pairs(rows: DataFrame) -> DataFrame:
     """pair_id, prompt, chosen and rejected of rows (pair_id, section, text); the flaw goes round by pair_id."""
     quote = F.concat(F.substring("text", 1, 300), F.when(F.length("text") > 300, F.lit("...")).otherwise(F.lit("")))

@@ -234,6 +234,12 @@ def all_sql() -> dict[str, str]:
         "answer_repair": repairing(),
         "sft_questions": asking(),
         "token_stream": streaming(),
+        "context_filter": f"""WITH {BM25}, hi AS (SELECT query_id, rank, doc_id, score / 100 AS s, count(*) OVER (PARTITION BY query_id) AS n, count(*) FILTER (score / 100 >= 0.3) OVER (PARTITION BY query_id) AS good FROM bm WHERE rank <= 12 AND score > 0)
+SELECT query_id, rank, doc_id FROM hi WHERE CASE WHEN n < 6 THEN true WHEN good < 6 THEN rank <= 8 ELSE s >= 0.3 END""",
+        "unique_instructions": f"""WITH qs AS ({asking()}), ra AS (SELECT doc_id, question, source, row_number() OVER (PARTITION BY lower(trim(question)) ORDER BY doc_id) AS n FROM qs JOIN documents USING (doc_id))
+SELECT doc_id, question || CASE WHEN n > 1 THEN ' [' || source || ']' ELSE '' END AS question FROM ra""",
+        "reward_normalised": f"WITH {rewarding()} SELECT conv_id, turn, round((reward - avg(reward) OVER ()) / (stddev_pop(reward) OVER () + 1e-8), 6) AS normal FROM rd",
+        "duration_histogram": "SELECT event_type, bound::DOUBLE AS bound, count(*) FILTER (bound IS NULL OR value <= bound) AS n FROM events, (SELECT unnest([1, 5, 10, 50, 100, NULL]) AS bound) GROUP BY ALL",
         "bm25_index_stats": f"WITH {TERMS} SELECT term, df, round(idf, 6) AS idf FROM idf",
         "bm25_topk": f"WITH {BM25} SELECT query_id, rank, doc_id, score FROM bm WHERE rank <= 10 AND score > 0",
         "dense_topk": f"WITH {dense('(SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0)', 10)} SELECT query_id, rank, doc_id, score FROM nn",

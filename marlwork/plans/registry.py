@@ -404,6 +404,28 @@ def cache_replay_lru(spark, d):
     return serving.lru_cache(table(spark, d, "events"), "user_id", 20, 3600, 4)
 
 
+@query
+def context_filter(spark, d):
+    found = search.bm25(table(spark, d, "documents"), search_queries(spark, d), 12)
+    return search.enough_context(found.withColumn("score", F.col("score") / 100)).select("query_id", "rank", "doc_id")
+
+
+@query
+def unique_instructions(spark, d):
+    rows = sft_questions(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return training.told_apart(rows, "doc_id", "question", "source").select("doc_id", "question")
+
+
+@query
+def reward_normalised(spark, d):
+    return metrics.normalised_rewards(rewards(spark, d), "reward").select("conv_id", "turn", F.round("normal", 6).alias("normal"))
+
+
+@query
+def duration_histogram(spark, d):
+    return metrics.histogram(table(spark, d, "events"), "event_type", "value", [1, 5, 10, 50, 100])
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
