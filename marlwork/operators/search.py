@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlwork.functions.text import tokens, word_f1
+from marlwork.functions.text import once, tokens, word_f1
 
 #: Replacements of query terms, applied one after the other. Fixed values.
 REWRITES = [
@@ -16,15 +16,64 @@ REWRITES = [
     (r"\bconstructive dismissal\b", "constructive dismissal termination"),
     (r"\bresign without notice\b", "resignation without notice termination"),
     (r"\bsack\b|\bfire\b|\bterminate\b|\bdismiss\b", "termination notice dismissal"),
+    (r"\bpoor performance\b|\bnon[- ]?perform(ing|ance)\b", "performance termination notice"),
+    (r"\bpregnan(t|cy)\b|\bcuti bersalin\b", "pregnancy maternity confinement"),
     (r"\bmaternity leave\b", "maternity confinement benefit"),
+    (r"\bpaternity leave\b|\bcuti bapa\b", "paternity benefit"),
     (r"\bannual leave\b|\bcuti tahunan\b", "annual leave vacation"),
     (r"\bsick leave\b|\bcuti sakit\b", "sick leave medical absence"),
+    (r"\bworking hours\b|\bjam kerja\b", "hours of work normal hours"),
     (r"\bovertime\b|\bkerja lebih masa\b", "overtime payment rate of pay"),
+    (r"\brest day(s)?\b|\bhari rehat\b", "rest day weekly rest"),
+    (r"\bpublic holiday(s)?\b|\bcuti umum\b", "public holiday gazetted holiday"),
+    (r"\bbonus(es)?\b", "bonus additional payment incentive"),
     (r"\bsalary\b|\bwage(s)?\b|\bgaji\b", "wages payment of wages"),
+    (r"\bdeduct(ion)?\b|\bpotongan\b", "deduction from wages authorized deduction"),
+    (r"\badvance(s)? salary\b|\bsalary advance\b|\badvance of wages\b|\bpendahuluan gaji\b", "advance of wages payment rules"),
+    (r"\bprobation(ary)?\b|\btrial period\b|\btempoh percubaan\b", "probationary period trial employment contract"),
+    (r"\bretirement age\b|\bminimum retirement\b", "minimum retirement age compulsory retirement mandatory"),
     (r"\bnotice period\b|\bnotis berhenti\b", "period of notice termination notice"),
 ]
 #: Queries out of scope. Fixed values.
-OUT_OF_SCOPE = [r"\bvisa\b|\bimmigration\b|\bpassport\b", r"\bcriminal\b|\bdivorce\b|\bfamily court\b", r"\bcommission\b|\bincentive scheme\b"]
+OUT_OF_SCOPE = [
+    r"\bcontractual bonus\b",
+    r"\bperformance bonus\b",
+    r"\bincentive scheme\b",
+    r"\bcommission\b",
+    r"\bcriminal\b|\bdivorce\b|\bfamily court\b",
+    r"\bvisa\b|\bimmigration\b|\bpassport\b",
+]
+#: Sections that belong to a topic of a rewritten query. Fixed values.
+TOPICS = {
+    "maternity": ["EA-37", "EA-38", "EA-40", "EA-42", "EA-44"],
+    "pregnancy": ["EA-40", "EA-42", "EA-44"],
+    "pregnant": ["EA-40", "EA-42", "EA-44"],
+    "paternity": ["EA-60FA"],
+    "paternity leave": ["EA-60FA"],
+    "overtime": ["EA-60A", "EA-62"],
+    "public holiday": ["EA-60D", "EA-60I"],
+    "annual leave": ["EA-60E"],
+    "sick leave": ["EA-60F"],
+    "termination": ["EA-12", "EA-13", "EA-14"],
+    "dismiss": ["EA-12", "EA-13", "EA-14"],
+    "sack": ["EA-12", "EA-13", "EA-14"],
+    "notice": ["EA-12", "EA-14"],
+    "offer letter": ["EA-10", "EA-11"],
+    "advance": ["EA-22"],
+    "advance salary": ["EA-22"],
+    "advance of wages": ["EA-22"],
+    "wages": ["EA-25", "EA-25A", "EA-27"],
+    "working hours": ["EA-60", "EA-60A"],
+    "rest day": ["EA-60A", "EA-61"],
+    "probation": ["EA-11"],
+    "probationary": ["EA-11"],
+    "trial period": ["EA-11"],
+    "bonus": ["EA-25A"],
+    "additional payment": ["EA-25A"],
+    "retirement": ["EA-11"],
+    "retirement age": ["EA-11"],
+    "minimum retirement": ["EA-11"],
+}
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -114,9 +163,33 @@ def out_of_scope(query: Column) -> Column:
 
 def expanded(query: Column) -> Column:
     """Up to six variants of a query, without repeats; the query alone if it is out of scope."""
-    n = normalised(query)
-    head = F.array_join(F.slice(F.split(n, " ", -1), 1, 3), " ")
-    every = F.array(query, n, F.concat(F.lit("Employment Act Malaysia "), n), F.concat(n, F.lit(" section "), head), F.concat(F.lit("statutory "), n), F.concat(F.lit("legal requirements "), n), F.concat(n, F.lit(" provisions law")))
-    low = F.transform(every, lambda x: F.lower(x))
-    first = F.filter(every, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
-    return F.when(out_of_scope(query), F.array(query)).otherwise(F.slice(first, 1, 6))
+
+    def variants(n: Column) -> Column:
+        head = F.array_join(F.slice(F.split(n, " ", -1), 1, 3), " ")
+        return F.array(query, n, F.concat(F.lit("Employment Act Malaysia "), n), F.concat(n, F.lit(" section "), head), F.concat(F.lit("statutory "), n), F.concat(F.lit("legal requirements "), n), F.concat(n, F.lit(" provisions law")))
+
+    def first(every: Column) -> Column:
+        low = F.transform(every, lambda x: F.lower(x))
+        return F.filter(every, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+
+    some = once(once(normalised(query), variants), first)
+    return F.when(out_of_scope(query), F.array(query)).otherwise(F.slice(some, 1, 6))
+
+
+def priority_sections(query: Column) -> Column:
+    """Sections of the topics that the rewritten query names, each once, in the order of TOPICS."""
+
+    def of(n: Column) -> Column:
+        own = (F.when(F.contains(n, F.lit(topic)), F.array(*map(F.lit, sections))) for topic, sections in TOPICS.items())
+        return F.array_distinct(F.flatten(F.array_compact(F.array(*own))))
+
+    return once(normalised(query), of)
+
+
+def failure_category(query: Column, retrieved: Column) -> Column:
+    """Why a query failed: out of scope, no topic known, sections found but ranked low, or not found."""
+
+    def of(wanted: Column) -> Column:
+        return F.when(F.size(wanted) == 0, F.lit("COVERAGE_MISS")).when(F.arrays_overlap(wanted, retrieved), F.lit("RANKING_MISS")).otherwise(F.lit("VOCAB_MISS"))
+
+    return F.when(out_of_scope(query), F.lit("OUT_OF_SCOPE")).otherwise(once(priority_sections(query), of))

@@ -222,6 +222,19 @@ c AS (SELECT request_id, unnest(range(len(o)))::INT AS seq, unnest(o) AS e FROM
 SELECT request_id, seq, e.t AS chunk_type, e.c AS content FROM c"""
 
 
+def failing() -> str:
+    n = "lower(t)"
+    for pattern, new in search.REWRITES:
+        n = f"regexp_replace({n}, {q(pattern)}, {q(new)}, 'g')"
+    begins = listing(("Pregnant and sick leave? ", "Can they fire me? ", "My visa? ", "Where? ", "Is salary advance due? "))
+    own = ", ".join(f"CASE WHEN contains(n, {q(topic)}) THEN {listing(sections)} END" for topic, sections in search.TOPICS.items())
+    return f"""WITH a AS (SELECT conv_id, turn, {begins}[conv_id % 5 + 1] || text AS t, ['EA-' || (turn % 3 + 12), 'EA-44'] AS found FROM conversations),
+b AS (SELECT *, {n} AS n FROM a), c AS (SELECT *, flatten(list_filter([{own}], lambda x: x IS NOT NULL)) AS every FROM b),
+e AS (SELECT *, list_filter(every, lambda x, i: list_position(every, x) = i) AS wanted FROM c)
+SELECT conv_id, turn, CASE WHEN regexp_matches(lower(t), {q("|".join(search.OUT_OF_SCOPE))}) THEN 'OUT_OF_SCOPE' WHEN len(wanted) = 0 THEN 'COVERAGE_MISS' WHEN list_has_any(wanted, found) THEN 'RANKING_MISS' ELSE 'VOCAB_MISS' END AS category,
+  array_to_string(wanted, ',') AS sections FROM e"""
+
+
 def all_sql() -> dict[str, str]:
     lines = f"li AS (SELECT source AS doc, doc_id AS page, unnest(string_split(text, chr(10))) AS t FROM documents), no AS (SELECT doc, regexp_replace({strip('lower(t)')}, '\\s+', ' ', 'g') AS norm FROM li), pg AS (SELECT doc, count(DISTINCT page) AS pages FROM li GROUP BY doc)"
     cleaned = f"array_to_string(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: {strip('x')}), lambda x: x <> '' AND NOT regexp_matches(x, '^\\d+$') AND length(x) >= 10), lambda x: regexp_replace(x, '\\s+', ' ', 'g')), chr(10))"
@@ -234,7 +247,8 @@ def all_sql() -> dict[str, str]:
         "answer_repair": repairing(),
         "sft_questions": asking(),
         "token_stream": streaming(),
-        "context_filter": f"""WITH {BM25}, hi AS (SELECT query_id, rank, doc_id, score / 100 AS s, count(*) OVER (PARTITION BY query_id) AS n, count(*) FILTER (score / 100 >= 0.3) OVER (PARTITION BY query_id) AS good FROM bm WHERE rank <= 12 AND score > 0)
+        "failure_category": failing(),
+        "context_filter": f"""WITH {BM25}, hi AS (SELECT query_id, rank, doc_id, score / 60 AS s, count(*) OVER (PARTITION BY query_id) AS n, count(*) FILTER (score / 60 >= 0.3) OVER (PARTITION BY query_id) AS good FROM bm WHERE rank <= 12 AND score > 0)
 SELECT query_id, rank, doc_id FROM hi WHERE CASE WHEN n < 6 THEN true WHEN good < 6 THEN rank <= 8 ELSE s >= 0.3 END""",
         "unique_instructions": f"""WITH qs AS ({asking()}), ra AS (SELECT doc_id, question, source, row_number() OVER (PARTITION BY lower(trim(question)) ORDER BY doc_id) AS n FROM qs JOIN documents USING (doc_id))
 SELECT doc_id, question || CASE WHEN n > 1 THEN ' [' || source || ']' ELSE '' END AS question FROM ra""",

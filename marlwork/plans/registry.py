@@ -407,7 +407,7 @@ def cache_replay_lru(spark, d):
 @query
 def context_filter(spark, d):
     found = search.bm25(table(spark, d, "documents"), search_queries(spark, d), 12)
-    return search.enough_context(found.withColumn("score", F.col("score") / 100)).select("query_id", "rank", "doc_id")
+    return search.enough_context(found.withColumn("score", F.col("score") / 60)).select("query_id", "rank", "doc_id")
 
 
 @query
@@ -426,6 +426,15 @@ def duration_histogram(spark, d):
     return metrics.histogram(table(spark, d, "events"), "event_type", "value", [1, 5, 10, 50, 100])
 
 
+@query
+def failure_category(spark, d):
+    begins = ("Pregnant and sick leave? ", "Can they fire me? ", "My visa? ", "Where? ", "Is salary advance due? ")
+    text = F.concat(F.element_at(F.array(*map(F.lit, begins)), (F.col("conv_id") % 5 + 1).cast("int")), "text")
+    found = F.array(F.concat(F.lit("EA-"), (F.col("turn") % 3 + 12).cast("string")), F.lit("EA-44"))
+    rows = table(spark, d, "conversations")
+    return rows.select("conv_id", "turn", search.failure_category(text, found).alias("category"), F.array_join(search.priority_sections(text), ",").alias("sections"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
