@@ -36,7 +36,7 @@ def words_in_repeats(hashes: Column, width: int = 8) -> Column:
 
 
 def window_hashes(words: Column, width: int = 8) -> Column:
-    """Hashes of the windows of `width` words; of all words together in shorter texts."""
+    """Hashes of the windows of `width` words; one of all words in shorter texts."""
     windows = F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), lambda i: F.xxhash64(F.slice(words, i, width)))
     return F.when(F.size(words) <= width, F.array(F.xxhash64(words))).otherwise(windows)
 
@@ -44,7 +44,7 @@ def window_hashes(words: Column, width: int = 8) -> Column:
 def measures(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, name and lines (hash, words) of each row.
 
-    name is the smallest hash of the text's windows of words: copies, near ones too, mostly share it, other texts hardly do.
+    name is the hash of all normalised lines in their order: only copies share it, up to case and white space.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     plain = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string").alias("host"), F.col("text").cast("string"))
@@ -52,10 +52,7 @@ def measures(docs: DataFrame) -> DataFrame:
     full_lines = F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, WHITE, "") != "")
     by_words = let(
         white_words(text),
-        lambda w: let(
-            window_hashes(w),
-            lambda h: F.struct(F.size(w).cast("long").alias("n_words"), words_in_repeats(h).cast("long").alias("n_repeat_words"), F.array_min(h).alias("name")),
-        ),
+        lambda w: let(window_hashes(w), lambda h: F.struct(F.size(w).cast("long").alias("n_words"), words_in_repeats(h).cast("long").alias("n_repeat_words"))),
     )
     normal = lambda x: F.regexp_replace(F.lower(x), "[\\x20\\x09-\\x0D]+", " ")
     line = lambda x: F.struct(F.xxhash64(F.trim(normal(x))).alias("h"), F.size(white_words(x)).alias("n"))
@@ -71,14 +68,14 @@ def measures(docs: DataFrame) -> DataFrame:
         F.length(bare).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         by_lines.alias("l"),
-    ).select("doc_id", "text_hash", "host", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "w.name", "l.lines")
+    ).select("doc_id", "text_hash", "host", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", F.xxhash64("l.lines.h").alias("name"), "l.lines")
 
 
 def judge(docs: DataFrame, limit: int = 20, share: float = 0.05, left: float = 0.2) -> DataFrame:
     """One row per row of docs (doc_id, text, source): doc_id, the measures, base_failed, kept, removed_words and text_hash.
 
     A line of a host is removed if more than `limit` distinct documents of the host, and more than `share` of its
-    documents, hold it. A document and its copies, near ones too, count as one: what is counted is their names. kept is false if the base rule fails or if less than `left` of the words remain.
+    documents, hold it. A document and its copies count as one: what is counted is their names. kept is false if the base rule fails or if less than `left` of the words remain.
     Null is an empty text, which fails; a null source is a host of its own. Repeated rows stay repeated, null ids stay
     null, other columns are ignored, an empty table gives an empty result.
     """

@@ -113,6 +113,13 @@ def test_quality_removes_common_lines(spark):
     assert all(kept[200 + i] for i in range(60)), "copies of one text count as one document"
 
 
+def test_quality_counts_documents_that_share_a_frame(spark):
+    frame = "".join(" ".join(f"{x}{j}" for j in range(20)) + "\n" for x in "abcdefghij")
+    rows = [(i, frame + " ".join(f"w{i}x{j}" for j in range(5)), "s") for i in range(500)]
+    judged = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {(r.removed_words, r.kept) for r in judged} == {(200, False)}, "pages of hardly more than a frame are rejected"
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
