@@ -71,11 +71,11 @@ def measures(docs: DataFrame) -> DataFrame:
     ).select("doc_id", "text_hash", "host", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", F.xxhash64("l.lines.h").alias("name"), "l.lines")
 
 
-def judge(docs: DataFrame, limit: int = 20, share: float = 0.05, left: float = 0.2) -> DataFrame:
+def judge(docs: DataFrame, limit: int = 20, share: float = 0.05, left: float = 0.2, enough: int = 200) -> DataFrame:
     """One row per row of docs (doc_id, text, source): doc_id, the measures, base_failed, kept, removed_words and text_hash.
 
-    A line of a host is removed if more than `limit` distinct documents of the host, and more than `share` of its
-    documents, hold it. A document and its copies count as one: what is counted is their names. kept is false if the base rule fails or if less than `left` of the words remain.
+    A line of a host is removed if more than `limit` distinct documents of the host, and more than `share` of them or
+    more than `enough`, hold it. A document and its copies count as one: what is counted is their names. kept is false if the base rule fails or if less than `left` of the words remain.
     Null is an empty text, which fails; a null source is a host of its own. Repeated rows stay repeated, null ids stay
     null, other columns are ignored, an empty table gives an empty result.
     """
@@ -83,8 +83,8 @@ def judge(docs: DataFrame, limit: int = 20, share: float = 0.05, left: float = 0
     lines = docs.select("uid", "host", "name", F.explode("lines").alias("line"))
     named = lines.select("host", F.col("line.h").alias("h"), "name").distinct()
     counts = named.groupBy("host", "h").agg(F.count("*").alias("holders")).where(F.col("holders") > limit)
-    sizes = docs.groupBy("host").agg(F.count("*").alias("size"))
-    common = counts.join(sizes, "host").where(F.col("holders") > share * F.col("size")).select(F.col("host").alias("c_host"), F.col("h").alias("c_h"))
+    sizes = docs.select("host", "name").distinct().groupBy("host").agg(F.count("*").alias("size"))
+    common = counts.join(sizes, "host").where(F.col("holders") > F.least(share * F.col("size"), F.lit(float(enough)))).select(F.col("host").alias("c_host"), F.col("h").alias("c_h"))
     held = lines.join(common, (F.col("host") == F.col("c_host")) & (F.col("line.h") == F.col("c_h")))
     removed = held.groupBy("uid").agg(F.sum("line.n").alias("removed_words"))
     out = docs.drop("lines", "host", "name").join(removed, "uid", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))

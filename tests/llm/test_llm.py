@@ -120,6 +120,18 @@ def test_quality_counts_documents_that_share_a_frame(spark):
     assert {(r.removed_words, r.kept) for r in judged} == {(200, False)}, "pages of hardly more than a frame are rejected"
 
 
+def test_quality_limit_ignores_copies_and_host_size(spark):
+    line = lambda x, n: " ".join(f"{x}y{j}" for j in range(n))
+    own = lambda host, i: (line("frame", 100) + "\n" if i % 5 == 0 else "") + line(f"{host}{i}", 20)
+    rows = [(i, own("copied", i), "copied") for i in range(200)] + [(1000 + i, line("copy", 40), "copied") for i in range(800)]
+    big = lambda i: (line("frame", 100) + "\n" if i < 250 else "") + line(f"big{i}", 20)
+    rows += [(10000 + i, big(i), "big") for i in range(6000)]
+    judged = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()
+    gone = {r.doc_id for r in judged if r.removed_words == 100}
+    assert gone == {i for i in range(200) if i % 5 == 0} | {10000 + i for i in range(250)}
+    assert {r.doc_id for r in judged if not r.kept} == gone
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
