@@ -48,6 +48,24 @@ def first_group(text: Column, patterns: list[str], flags: str = "") -> Column:
     return F.coalesce(*tried)
 
 
+def matches(text: Column, pattern: str) -> Column:
+    """(start, end, match) of the leftmost non-overlapping matches of a pattern that matches no empty string; places from 0, in characters."""
+
+    def placed(gaps: Column, found: Column) -> Column:
+        def step(state: Column, i: Column) -> Column:
+            match = F.get(found, i)
+            start = state["at"] + F.length(F.get(gaps, i))
+            end = start + F.length(match)
+            return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), match.alias("match")))).alias("out"))
+
+        zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step, lambda s: s["out"])
+
+    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
+    some = lambda found: F.when(F.size(found) == 0, none).otherwise(once(F.split(text, pattern, -1), lambda gaps: placed(gaps, found)))
+    return once(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), some)
+
+
 def word_f1(a: Column, b: Column) -> Column:
     """F1 of two texts' sets of lower-case words; 1 if both are empty, 0 if one is."""
     x, y = F.array_distinct(tokens(a)), F.array_distinct(tokens(b))

@@ -30,7 +30,7 @@ def output_report(text: Column, known: Column) -> Column:
     """flags, decision, confidence of an answer. Unknown citations and numbers out of bounds escalate, other flags refuse."""
     low = F.lower(text)
     cited = F.size(F.array_except(governance.citations(text), known)) > 0
-    number = ~F.coalesce(governance.numeric_claim(text)["ok"], F.lit(True))
+    number = F.coalesce(F.exists(governance.numeric_claims(text), lambda c: ~F.coalesce(c["ok"], F.lit(True))), F.lit(False))
     found = {
         "invalid_citations": cited,
         "numeric_out_of_bounds": number,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marlwork.functions.text import first_group, hits, holds_any
+from marlwork.functions.text import first_group, hits, holds_any, matches, once
 
 #: Keywords by policy, in the order of precedence; they also count inside words. Fixed values.
 POLICIES = {
@@ -49,6 +49,17 @@ CATEGORY_WORDS = [
     ("weekly_hours", ["week", "weekly"]),
     ("severance_multiplier", ["severance", "retrenchment"]),
 ]
+#: A number with a unit, and the longer forms of claims, all in lower-case text. Fixed values.
+NUMBER = r"(\d+(?:\.\d+)?)\s+(day|week|month|year|hour)s?"
+CLAIMS = [
+    r"(\d+)\s+(day)s?\s+(?:of\s+)?(?:annual\s+leave|sick\s+leave|maternity\s+leave|leave)",
+    r"(\d+)\s+(week)s?\s+(?:of\s+)?notice",
+    r"(\d+)\s+(hour)s?\s+per\s+(?:day|week)",
+    r"(\d+)\s+(year)s?\s+(?:of\s+)?service",
+    NUMBER,
+]
+#: Characters on each side of a number that tell its category. Fixed value.
+AROUND = 50
 #: Days in a unit. Fixed values.
 DAYS = {"day": 1, "week": 7, "month": 30, "year": 365}
 #: Phrases that call for the large model. Fixed values.
@@ -151,10 +162,25 @@ def within_bounds(name: Column, number: Column, unit: Column) -> Column:
 
 def numeric_claim(text: Column) -> Column:
     """Number, unit, category and verdict of the first number with a unit in a text; number, unit and verdict are null without one."""
-    low = F.lower(text)
-    rule = r"(\d+(?:\.\d+)?)\s+(day|week|month|year|hour)s?"
-    number, unit = F.regexp_extract(low, rule, 1).try_cast("double"), F.nullif(F.regexp_extract(low, rule, 2), F.lit(""))
-    return F.struct(number.alias("number"), unit.alias("unit"), category(low).alias("category"), within_bounds(category(low), number, unit).alias("ok"))
+    none = F.struct(F.lit(None).cast("double").alias("number"), F.lit(None).cast("string").alias("unit"), category(F.lower(text)).alias("category"), F.lit(None).cast("boolean").alias("ok"))
+    return F.coalesce(F.get(numeric_claims(text, [NUMBER]), F.lit(0)), none)
+
+
+def numeric_claims(text: Column, rules: list[str] = CLAIMS) -> Column:
+    """Number, unit, category and verdict of every match of the rules in a text, rule by rule; a number may match several.
+
+    The category comes from the match and the AROUND characters on each side of it.
+    """
+
+    def judged(low: Column, m: Column, rule: str) -> Column:
+        start = F.greatest(m["start"] - AROUND, F.lit(0))
+        around = F.substring(low, start + 1, m["end"] + AROUND - start)
+        number = F.regexp_extract(m["match"], rule, 1).try_cast("double")
+        claim = F.struct(number.alias("number"), F.regexp_extract(m["match"], rule, 2).alias("unit"), once(around, category).alias("category"))
+        return once(claim, lambda c: F.struct(c["number"], c["unit"], c["category"], within_bounds(c["category"], c["number"], c["unit"]).alias("ok")))
+
+    of = lambda low, rule: F.transform(matches(low, rule), lambda m: judged(low, m, rule))
+    return once(F.lower(text), lambda low: F.concat(*(of(low, rule) for rule in rules)))
 
 
 def json_object(text: Column) -> Column:

@@ -70,6 +70,20 @@ def test_governance(spark):
     assert spark.range(1).select(claim.alias("c")).first().c.ok is False
 
 
+def test_every_numeric_claim_is_judged_by_its_own_context(spark):
+    gap = " and much else that tells nothing about what comes or came" * 2
+    text = f"É: you get 12 days of annual leave{gap}, 400 days of sick leave{gap}, 90 days of sick leave{gap}, 3 months."
+    want = [(12.0, "annual_leave", True), (400.0, "sick_leave", False), (90.0, "sick_leave", True), (3.0, "general", None)]
+    none = F.array().cast("array<string>")
+    read = lambda t: spark.createDataFrame([(t,)], "t string").select(governance.numeric_claims(F.col("t"), [governance.NUMBER]).alias("c"), answers.output_report(F.col("t"), none).alias("r"), governance.numeric_claim(F.col("t")).alias("f")).first()
+    row = read(text)
+    assert [(c.number, c.category, c.ok) for c in row.c] == want and (row.f.number, row.f.ok) == (12.0, True)
+    assert row.r.flags == ["numeric_out_of_bounds"] and read(text.replace("400", "40")).r.flags == []
+    first = read(f"90 days of sick leave{gap}, see annual leave").f
+    assert (first.category, first.ok) == ("sick_leave", True)
+    assert read("nothing").c == [] and read("nothing").f.number is None and read(None).r.flags == []
+
+
 def test_severance(spark):
     row = spark.createDataFrame([(3000.0, 3.0, "Retrenchment", 10, True)], "wage double, years double, reason string, leave_days int, notice boolean")
     got = calculator.severance(row).first()
