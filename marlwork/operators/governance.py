@@ -188,11 +188,20 @@ def json_object(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
 
 
-def confidence(scores: Column, any_section: Column) -> Column:
-    """Of an answer, from the scores of its chunks, best first."""
+#: What an answer's confidence is multiplied by for each of its flags. Fixed values.
+PENALTIES = {"insufficient_context": 0.6, "complex_legal": 0.7}
+
+
+def confidence(scores: Column, any_section: Column, escalates: Column | None = None, flags: Column | None = None) -> Column:
+    """Of an answer, from the scores of its chunks, best first; less if it escalates or has flags of PENALTIES (no escalation, no flags if left out)."""
     good = F.least(F.size(F.filter(scores, lambda x: x > 0.5)) / 5, F.lit(0.2))
     value = F.get(scores, F.lit(0)) + good + F.when(any_section, F.lit(0.1)).otherwise(F.lit(0.0))
-    return F.when(F.size(scores) == 0, F.lit(0.1)).otherwise(F.greatest(F.lit(0.1), F.least(value, F.lit(0.95))))
+    value = F.least(value, F.lit(0.95))
+    if escalates is not None:
+        value = value * F.when(escalates, F.lit(0.8)).otherwise(F.lit(1.0))
+    for flag, factor in PENALTIES.items() if flags is not None else ():
+        value = value * F.when(F.array_contains(flags, flag), F.lit(factor)).otherwise(F.lit(1.0))
+    return F.when(F.size(scores) == 0, F.lit(0.1)).otherwise(F.greatest(F.lit(0.1), value))
 
 
 def routing_signals(query: Column, top_score: Column, n_sections: Column, flags: Column) -> Column:

@@ -14,9 +14,9 @@ def drawn(key: Column, seed: int = 42) -> Column:
 
 
 def stratified(rows: DataFrame, by: str, key: str, target: int, seed: int = 42) -> DataFrame:
-    """About `target` rows, as many of each stratum as of any other; the larger strata share the rest.
+    """`target` rows, as many of each stratum as of any other; the larger strata share the rest.
 
-    Strata with fewer rows than their quota give all they have.
+    Strata with fewer rows than their quota give whole copies of all they have, and a sample for what remains.
     """
     sizes = rows.groupBy(by).agg(F.count("*").alias("size"))
     # One row per stratum from here on; the ordering of strata is over this small table.
@@ -24,17 +24,24 @@ def stratified(rows: DataFrame, by: str, key: str, target: int, seed: int = 42)
     totals = sizes.agg(F.count("*").alias("strata"))
     base = F.greatest(F.lit(1), F.floor(F.lit(target) / F.col("strata")))
     quotas = sizes.withColumn("place", F.row_number().over(order)).crossJoin(F.broadcast(totals))
-    quotas = quotas.select(by, (base + F.when(F.col("place") <= target - base * F.col("strata"), 1).otherwise(0)).alias("quota"))
+    quota = base + F.when(F.col("place") <= target - base * F.col("strata"), 1).otherwise(0)
+    quotas = quotas.where(F.col("place") <= target).select(by, quota.alias("quota"), F.col("size").alias("stratum_size"))
     place = F.row_number().over(Window.partitionBy(by).orderBy(drawn(F.col(key), seed), key))
-    return rows.withColumn("place", place).join(quotas, by).where(F.col("place") <= F.col("quota")).drop("place", "quota")
+    copies = F.floor(F.col("quota") / F.col("stratum_size")) + (F.col("place") <= F.col("quota") % F.col("stratum_size")).cast("int")
+    placed = rows.withColumn("place", place).join(quotas, by).withColumn("copies", copies).where("copies > 0")
+    return placed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("place", "quota", "stratum_size", "copies", "copy")
 
 
-def isolated_split(rows: DataFrame, by: str, share: float = 0.15, seed: int = 42) -> DataFrame:
-    """rows with `split`: whole groups of `by` go to eval, `share` of them and one at least."""
-    groups = rows.select(by).distinct()
+def isolated_split(rows: DataFrame, by: str, share: float = 0.15, seed: int = 42, least: int = 30) -> DataFrame:
+    """rows with `split`: whole groups of `by` go to eval, `share` of them and one at least; then the largest others until eval has `least` rows."""
+    groups = rows.groupBy(by).agg(F.count("*").alias("size"))
     order = Window.orderBy(drawn(F.col(by), seed), by)
     ranked = groups.withColumn("place", F.row_number().over(order)).crossJoin(F.broadcast(groups.agg(F.count("*").alias("n"))))
-    side = F.when(F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("n") * share)), F.lit("eval")).otherwise(F.lit("train"))
+    ranked = ranked.withColumn("drawn", F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("n") * share)))
+    # Rows that eval has before a group moves: those of the drawn groups, and of the larger others.
+    earlier = Window.orderBy(F.desc("drawn"), F.desc("size"), "place").rowsBetween(Window.unboundedPreceding, -1)
+    moves = F.coalesce(F.sum("size").over(earlier), F.lit(0)) < least
+    side = F.when(F.col("drawn") | moves, F.lit("eval")).otherwise(F.lit("train"))
     return rows.join(ranked.select(by, side.alias("split")), by)
 
 

@@ -109,6 +109,35 @@ def test_near_duplicates_keep_the_first(spark):
     assert sorted(r.i for r in training.keep_first_similar(df, "g", "i", "t").collect()) == stay
 
 
+def test_stratified_fills_small_strata_with_copies(spark):
+    rows = spark.createDataFrame([(i, "large") for i in range(50)] + [(100 + i, "small") for i in range(3)] + [(200, "one")], "i long, s string")
+    got = [r.i for r in training.stratified(rows, "s", "i", 31).collect()]
+    copies = [got.count(i) for i in range(201)]
+    assert (sum(copies[:50]), max(copies[:50])) == (11, 1) and sorted(copies[100:103]) == [3, 3, 4] and copies[200] == 10
+    assert training.stratified(rows, "s", "i", 2).count() == 2
+    assert training.stratified(rows, "s", "i", 31).columns == ["s", "i"]
+
+
+def test_split_moves_the_largest_groups_to_a_short_eval(spark):
+    sizes = {f"g{i}": i + 1 for i in range(10)}
+    rows = spark.createDataFrame([(g, j) for g, n in sizes.items() for j in range(n)], "g string, j int")
+    side = lambda least: {r.g: r.split for r in training.isolated_split(rows, "g", least=least).select("g", "split").distinct().collect()}
+    drawn, got = ({g for g, x in side(n).items() if x == "eval"} for n in (0, 30))
+    want = set(drawn)
+    for g in sorted(set(sizes) - drawn, key=sizes.get, reverse=True):
+        if sum(map(sizes.get, want)) < 30:
+            want.add(g)
+    assert len(drawn) == 1 and got == want and sum(map(sizes.get, got)) >= 30
+
+
+def test_confidence_falls_with_flags(spark):
+    scores, section = F.array(F.lit(0.8), F.lit(0.2)), F.lit(True)
+    of = lambda escalates, *flags: governance.confidence(scores, section, F.lit(escalates), F.array(*map(F.lit, flags)).cast("array<string>"))
+    cases = (of(False), of(True), of(False, "insufficient_context"), of(True, "complex_legal"), of(True, "insufficient_context", "complex_legal"), governance.confidence(scores, section))
+    got = spark.range(1).select(*(F.round(x, 6).alias(f"c{i}") for i, x in enumerate(cases))).first()
+    assert tuple(got) == (0.95, 0.76, 0.57, 0.532, 0.3192, 0.95)
+
+
 def test_sources(spark, tmp_path):
     lines = tmp_path / "x.jsonl"
     lines.write_text('{"id": "a"}\nbad\n{"id": "b"}\n')
