@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from marlwork.llm import chat, licenses, secrets
+from marlwork.llm import chat, licenses, quality, secrets
+
+WS = "[\\x20\\x09-\\x0D]+"
+WHITE_LIST = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
 
@@ -41,6 +44,28 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN a USING (uid)"""
 
 
+def quality_sql(limit: int = 20, share: float = 0.05, left: float = 0.2, enough: int = 200) -> str:
+    split = lambda x: f"list_filter(string_split_regex({x}, '{WS}'), lambda y: y <> '')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, coalesce('=' || source, '') AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, {split("t")} AS w, list_filter(string_split(t, chr(10)), lambda x: translate(x, {WHITE_LIST}, '') <> '') AS ls FROM d),
+g AS (SELECT uid, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT uid, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) > 8)),
+r AS (SELECT uid, i FROM g QUALIFY count(*) OVER (PARTITION BY uid, g) > 1),
+c AS (SELECT uid, sum(n)::BIGINT AS n FROM (SELECT uid, least(8, coalesce(lead(i) OVER (PARTITION BY uid ORDER BY i) - i, 8)) AS n FROM r) GROUP BY uid),
+a AS (SELECT uid, host, list_transform(ls, lambda x: {{'h': md5(trim(regexp_replace(lower(x), '{WS}', ' ', 'g'), ' ')), 'n': len({split("x")})}}) AS ls FROM w),
+o AS (SELECT uid, host, ls, md5(array_to_string(list_transform(ls, lambda x: x.h), ',')) AS name FROM a),
+h AS (SELECT uid, host, name, l.h AS h, l.n AS n FROM (SELECT uid, host, name, unnest(ls) AS l FROM o)),
+k AS (SELECT host, h, count(DISTINCT name) AS holders FROM h GROUP BY host, h),
+z AS (SELECT host, count(DISTINCT name) AS size FROM o GROUP BY host),
+x AS (SELECT host, h FROM k JOIN z USING (host) WHERE holders > {limit} AND holders > least({share}::DOUBLE * size, {enough})),
+m AS (SELECT uid, sum(n)::BIGINT AS removed FROM h JOIN x USING (host, h) GROUP BY uid),
+f AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(translate(t, {WHITE_LIST}, ''))::BIGINT AS word_chars,
+  (length(t) - length(translate(t, {quoted(quality.SYMBOLS)}, '')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+  coalesce(c.n, 0) AS n_repeat_words, coalesce(m.removed, 0) AS removed_words FROM w LEFT JOIN c USING (uid) LEFT JOIN m USING (uid)),
+b AS (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_words - removed_words >= {left} * n_words AS kept FROM b"""
+
+
 def licenses_sql(k: int = 4, shift: int = 3, least: float = 0.75) -> str:
     rows = ", ".join(f"({i}, {quoted(label)}, string_split({quoted(text)}, ' '))" for i, (label, text) in enumerate(licenses.TEMPLATES))
     phrases = ", ".join(f"(string_split({quoted(p)}, ' '), {quoted(label)})" for p, label in licenses.PHRASES.items())

@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from marlwork.llm import ann, bpe, chat, html, langid, licenses, packing, quality, secrets, simhash
+from marlwork.llm import ann, bpe, chat, html, langid, licenses, oracle, packing, quality, secrets, simhash
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, uid string, fp string"
 KEY = "Ab1" * 12
@@ -132,6 +132,43 @@ def test_quality_limit_ignores_copies_and_host_size(spark):
     assert {r.doc_id for r in judged if not r.kept} == gone
 
 
+def test_quality_verdict(spark):
+    rng = random.Random(9)
+    frame = [" ".join(f"{x}{j}" for j in range(14)) for x in ("first", "second", "third")]
+    rows = []
+    for i in range(400):
+        own = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(12)) for _ in range(rng.choice([0, 1, 1, 2, 9]))]
+        lines = [x for x in frame if rng.random() < (0.9 if i < 150 else 0.05)] + own
+        rows += [(i, "\n".join(lines), "small" if i < 150 else "large" if i % 7 else None)] * rng.choice([1, 1, 1, 5])
+    rows += [(500 + i, "\n".join([*frame, f"page {i}"]).upper(), "small") for i in range(60)]
+    normal = lambda t: [" ".join(x.lower().split()) for x in t.split("\n") if x.strip()]
+    classes, holders = collections.defaultdict(set), collections.defaultdict(set)
+    for _, t, host in rows:
+        classes[host].add(tuple(normal(t)))
+        for x in normal(t):
+            holders[host, x].add(tuple(normal(t)))
+    want = collections.Counter()
+    for i, t, host in rows:
+        cut = sum(len(x.split()) for x in normal(t) if len(holders[host, x]) > max(20, min(0.05 * len(classes[host]), 200)))
+        words = t.split()
+        grams = collections.Counter(tuple(words[j : j + 8]) for j in range(len(words) - 7))
+        assert max(grams.values(), default=1) == 1, "no repeats, so that the base rule hides nothing"
+        want[i, cut, len(words) >= 20 and len(words) - cut >= 0.2 * len(words)] += 1
+    judged = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3))
+    assert by_row(judged.select("doc_id", "removed_words", "kept")) == want
+    assert not any(kept for i, _, kept in want if i >= 500)
+
+
+def test_quality_matches_its_sql(spark):
+    import duckdb
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    got = quality.judge(spark.read.parquet(f"{folder}/documents.parquet"), limit=2, share=0.2).drop("removed_words", "text_hash")
+    assert by_row(got) == collections.Counter(con.execute(oracle.quality_sql(limit=2, share=0.2)).fetchall())
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
