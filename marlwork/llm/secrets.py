@@ -19,7 +19,8 @@ HEX = "[0-9a-f]+"
 #: Weak candidates of this library.
 LOGIN = """((?i)username|user_id|login|client_id|account_id)["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9_.@-]+)"""
 KEY = "[A-Za-z0-9+/]+"
-ENDPOINT = "[a-z][a-z0-9+.-]*://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+"
+#: A scheme has at most 31 characters, so that a long run of letters is read once.
+ENDPOINT = "[a-z][a-z0-9+.-]{0,30}://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+"
 #: Order of kinds, and the part of a credential that each kind is: identifier, secret, endpoint.
 KINDS = {"assign": "s", "access": "i", "hex": "s", "login": "i", "key": "s", "endpoint": "p"}
 WEAK = ("login", "key", "endpoint")
@@ -28,23 +29,33 @@ LONG_RUN = "(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{20}"
 SPAN = "array<struct<start:int,end:int>>"
 
 
+def prefix_sums(numbers: Column, block: int = 256) -> Column:
+    """The sums of an int array's items up to and with each item; blocks keep the copies that a fold makes short."""
+
+    def sums(start: Column, part: Column) -> Column:
+        zero = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, zero, lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"] + x)).alias("out")), lambda s: s["out"])
+
+    total = lambda part: F.aggregate(part, F.lit(0), lambda s, x: s + x)
+    whole = lambda parts: let(sums(F.lit(0), F.transform(parts, total)), lambda ends: F.flatten(F.transform(parts, lambda x, i: sums(F.coalesce(F.get(ends, i - 1), F.lit(0)), x))))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / block).cast("int")), lambda i: F.slice(numbers, i * block + 1, F.lit(block)))
+    return F.when(F.size(numbers) <= block, sums(F.lit(0), numbers)).otherwise(let(parts, whole))
+
+
 def found(text: Column, pattern: str, group: int = 0, least: int = 0, also: tuple[str, ...] = ()) -> Column:
     """(start, end) code points of the leftmost non-overlapping matches whose group has `least` characters and matches `also`."""
     rule = F.lit(pattern)
 
+    def good(part: Column) -> Column:
+        ok = F.length(part) >= least
+        for x in also:
+            ok = ok & part.rlike(x)
+        return ok
+
     def places(gaps: Column, matches: Column, parts: Column) -> Column:
-        def step(state: Column, i: Column) -> Column:
-            start = state["at"] + F.length(F.get(gaps, i))
-            end = start + F.length(F.get(matches, i))
-            part = F.get(parts, i)
-            ok = F.length(part) >= least
-            for x in also:
-                ok = ok & part.rlike(x)
-            one = F.array(F.struct(start.cast("int").alias("start"), end.cast("int").alias("end")))
-            return F.struct(end.cast("int").alias("at"), F.when(ok, F.concat(state["out"], one)).otherwise(state["out"]).alias("out"))
-
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), zero, step, lambda s: s["out"])
+        steps = F.transform(matches, lambda m, i: F.length(F.get(gaps, i)) + F.coalesce(F.length(F.get(matches, i - 1)), F.lit(0)))
+        spans = lambda starts: F.transform(starts, lambda s, i: F.struct(s.alias("start"), (s + F.length(F.get(matches, i))).cast("int").alias("end"), good(F.get(parts, i)).alias("ok")))
+        return F.transform(F.filter(let(let(steps, lambda x: prefix_sums(x)), spans), lambda s: s["ok"]), lambda s: F.struct(s["start"], s["end"]))
 
     def of(matches: Column) -> Column:
         parts = F.regexp_extract_all(text, rule, F.lit(group)) if group else matches
@@ -138,17 +149,28 @@ def digest(scanned: DataFrame) -> DataFrame:
     return scanned.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
-def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """`text` with `mark` in place of each span; spans that overlap count as one."""
+def redacted(text: Column, spans: Column, mark: str = "[SECRET]", block: int = 4096) -> Column:
+    """`text` with `mark` in place of each span; spans that overlap count as one.
 
-    def step(state: Column, s: Column) -> Column:
-        inside = s["start"] < state["at"]
-        kept = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        longer = F.greatest(s["end"], state["at"])
-        return F.struct(longer.alias("at"), F.when(inside, state["out"]).otherwise(F.concat(state["out"], kept, F.lit(mark))).alias("out"))
+    The text is rewritten in blocks of `block` characters, so that long texts with many spans aren't copied for each.
+    """
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate(F.array_sort(spans), zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    def rewritten(part: Column, lo: Column) -> Column:
+        def step(state: Column, s: Column) -> Column:
+            inside = s["start"] < state["at"]
+            kept = F.substring(part, state["at"] - lo + 1, s["start"] - state["at"])
+            longer = F.greatest(s["end"], state["at"])
+            return F.struct(longer.alias("at"), F.when(inside, state["out"]).otherwise(F.concat(state["out"], kept, F.lit(mark))).alias("out"))
+
+        # Where the spans that began in earlier blocks end.
+        earlier = F.coalesce(F.array_max(F.transform(F.filter(spans, lambda s: s["start"] < lo), lambda s: s["end"])), F.lit(0))
+        own = F.array_sort(F.filter(spans, lambda s: (s["start"] >= lo) & (s["start"] < lo + block)))
+        zero = F.struct(F.greatest(earlier, lo).alias("at"), F.lit("").alias("out"))
+        rest = lambda s: F.when(s["at"] >= lo + block, s["out"]).otherwise(F.concat(s["out"], F.substring(part, s["at"] - lo + 1, F.lit(block))))
+        return F.aggregate(own, zero, step, rest)
+
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+    whole = F.array_join(F.transform(parts, lambda part, i: rewritten(part, i * block)), "")
     return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
