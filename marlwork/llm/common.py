@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -23,11 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """`df` computed once and kept in the shared checkpoint folder, so that lost executors cost no recomputation.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests) a local one is made.
+    The folder is the session's spark.checkpoint.dir. Where that is unset, a session on this machine alone (tests) gets
+    a local one; on a cluster that is an error, as its machines share no local folder.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if where is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(where or tempfile.mkdtemp(prefix="marlwork-checkpoint-"))
     return df.checkpoint(eager=True)
 

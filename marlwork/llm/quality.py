@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlwork.llm.common import WHITE, durable, let, text_hash, white_words
+from marlwork.llm.common import WHITE, durable, let, small, text_hash, white_words
 
 #: Characters that count as symbols. Fixed value of the contract.
 SYMBOLS = "#*$%&|<>"
@@ -85,6 +85,8 @@ def judge(docs: DataFrame, limit: int = 20, share: float = 0.05, left: float = 0
     counts = named.groupBy("host", "h").agg(F.count("*").alias("holders")).where(F.col("holders") > limit)
     sizes = docs.select("host", "name").distinct().groupBy("host").agg(F.count("*").alias("size"))
     common = counts.join(sizes, "host").where(F.col("holders") > F.least(share * F.col("size"), F.lit(float(enough)))).select(F.col("host").alias("c_host"), F.col("h").alias("c_h"))
+    # Common lines are hot keys, so they go to the lines while they are few, as they mostly are.
+    common = small(common)
     held = lines.join(common, (F.col("host") == F.col("c_host")) & (F.col("line.h") == F.col("c_h")))
     removed = held.groupBy("uid").agg(F.sum("line.n").alias("removed_words"))
     out = docs.drop("lines", "host", "name").join(removed, "uid", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
