@@ -13,11 +13,13 @@ from collections.abc import Iterator
 from functools import cache
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlwork.llm.common import texts_of
+
 #: Distinct pieces and token pairs that a Python worker remembers; beyond that it forgets all and begins anew.
 REMEMBERED = 300_000
 
@@ -164,9 +166,9 @@ class Pieces(dict):
 class Codec:
     """Text to packed ids and back."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.split = regex.compile(unicode_white(pattern)).findall
-        self.pieces = Pieces(Vocabulary.from_tiktoken(path))
+        self.pieces = Pieces(vocabulary)
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
@@ -178,7 +180,7 @@ class Codec:
 @cache
 def codec(path: str, pattern: str) -> Codec:
     """One codec a Python worker."""
-    return Codec(path, pattern)
+    return Codec(Vocabulary.from_tiktoken(path), pattern)
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -188,15 +190,16 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     empty texts have no ids. Repeated rows stay repeated, a null doc_id stays null, other columns are ignored.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for pdf in batches:
-            for lo in range(0, len(pdf), 256):
-                part = pdf.iloc[lo : lo + 256]
-                ids = [own.encode(x or "") for x in part["text"]]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "ids": ids, "decoded": [own.decode(x) for x in ids]})
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, ids binary, decoded binary")
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                ids = [own.encode(x or "") for x in texts_of(part)]
+                columns = [part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
 def encoding_digests(encoded: DataFrame) -> DataFrame:

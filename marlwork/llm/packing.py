@@ -11,7 +11,7 @@ import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlwork.llm.bpe import unicode_white
+from marlwork.llm.bpe import Codec, Vocabulary
 from marlwork.llm.common import durable, texts_of
 
 
@@ -31,32 +31,42 @@ def byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-@cache
-def encoding(path: str, pattern: str) -> tiktoken.Encoding:
-    """The encoding of a byte-level tokenizer file whose ids follow its merges; one a Python worker.
+class Encoder:
+    """The ids that a byte-level tokenizer file gives a text, its added tokens included, where ids follow the merges.
 
-    It gives the ids that the file's own library gives (without special tokens, whose strings are ordinary text here).
+    An added token that stands in a text becomes its id, as the file's own library has it.
     """
-    with open(path, encoding="utf-8") as file:
-        vocabulary = json.load(file)
-    special = {x["content"] for x in vocabulary["added_tokens"]}
-    raw = byte_of_character()
-    ranks = {bytes(raw[c] for c in token): i for token, i in vocabulary["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    def __init__(self, path: str, pattern: str):
+        with open(path, encoding="utf-8") as file:
+            vocabulary = json.load(file)
+        self.special = {x["content"]: x["id"] for x in vocabulary["added_tokens"]}
+        raw = byte_of_character()
+        self.ranks = {bytes(raw[c] for c in token): i for token, i in vocabulary["model"]["vocab"].items() if token not in self.special}
+        self.pattern = pattern
+        self.own = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens=self.special)
+
+    def packed_ids(self, text: str) -> bytes:
+        """A text's ids as little-endian unsigned 32-bit integers."""
+        try:
+            return self.own.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+        except ValueError:  # its splitter gives up on runs of about a million spaces; split here and encode piece by piece
+            return b"".join(self.special[x].to_bytes(4, "little") if x in self.special else self.by_pieces.encode(x) for x in self.cut(text))
+
+    def cut(self, text: str) -> list[str]:
+        """The text cut at its added tokens."""
+        longest_first = sorted(map(regex.escape, self.special), key=len, reverse=True)
+        return regex.split(f"({'|'.join(longest_first)})", text) if longest_first else [text]
 
-def packed_ids(text: str, own: tiktoken.Encoding, pattern: str) -> bytes:
-    """A text's ids as little-endian unsigned 32-bit integers."""
-    try:
-        return own.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
-    except ValueError:  # its splitter gives up on runs of about a million spaces; split here and encode piece by piece
-        ids = [i for piece in splitter(pattern)(text) for i in own._encode_single_piece(piece)]
-        return np.array(ids, "<u4").tobytes()
+    @cached_property
+    def by_pieces(self) -> Codec:
+        return Codec(Vocabulary(self.ranks), self.pattern)
 
 
 @cache
-def splitter(pattern: str):
-    return regex.compile(unicode_white(pattern)).findall
+def encoder(path: str, pattern: str) -> Encoder:
+    """One encoder a Python worker."""
+    return Encoder(path, pattern)
 
 
 def shortest_pack_first(histogram: dict[int, int], most: int) -> list[tuple[int, dict[int, int]]]:
@@ -99,11 +109,11 @@ def tokenized_pieces(docs: DataFrame, path: str, pattern: str, most: int, end_id
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end = encoding(path, pattern), end_id.to_bytes(4, "little")
+        own, end = encoder(path, pattern), end_id.to_bytes(4, "little")
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
-                ids = packed_ids(text or "", own, pattern) + end
+                ids = own.packed_ids(text or "") + end
                 n = len(ids) // 4
                 rows += [(doc_id, at, min(most, n - at), zlib.crc32(ids[4 * at : 4 * (at + most)]), n) for at in range(0, n, most)]
             columns = zip(*rows, strict=True) if rows else [()] * len(names)

@@ -90,6 +90,21 @@ def test_secrets(docs):
     assert secrets.redact(docs).columns == docs.columns
 
 
+def test_secrets_in_very_long_texts(spark):
+    text = "http://x.org/a " + "acgt" * 60_000 + " " + " ".join(f"login: bob{i} http://h.example/{i} {KEY} é" for i in range(3000))
+    docs = spark.createDataFrame([(1, text), (2, text[-700:])], "doc_id long, text string")
+    spans = {r.doc_id: [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",")] for r in secrets.digest(secrets.scan(docs)).collect()}
+    assert len(spans[1]) == 9000
+    for r in secrets.redact(docs).collect():
+        own = text if r.doc_id == 1 else text[-700:]
+        want, at = "", 0
+        for start, end in sorted(spans[r.doc_id]):
+            if start >= at:
+                want += own[at:start] + "[SECRET]"
+            at = max(at, end)
+        assert r.text == want + own[at:]
+
+
 def test_quality(docs):
     want = collections.Counter()
     for r in docs.collect():
@@ -190,6 +205,28 @@ def test_packing(docs):
         assert at <= 1024
 
 
+def test_packing_ids_are_those_of_the_file(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, own = Tokenizer.from_file(path), packing.Encoder(path, public_tokenizers.PATTERN)
+    for text in ["<|endoftext|> x", "a<|endoftext|><|endoftext|>b  <|endoftext|>", "<|endoftext|", "\u2002 x\x1c", "  \n<|endoftext|>\n "]:
+        assert memoryview(own.packed_ids(text)).cast("I").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        pieces = b"".join(own.special[x].to_bytes(4, "little") if x in own.special else own.by_pieces.encode(x) for x in own.cut(text))
+        assert pieces == own.packed_ids(text)
+    big = 1152921504606846977
+    rows = packing.pack(spark.createDataFrame([(big, "a <|endoftext|> b"), (None, "c")], "doc_id long, text string"), path, public_tokenizers.PATTERN).collect()
+    ids = [*tokenizer.encode("a <|endoftext|> b", add_special_tokens=False).ids, 0]
+    assert {(r.doc_id, r.ids_crc32) for r in rows if r.doc_id} == {(big, zlib.crc32(np.array(ids, "<u4").tobytes()))}
+
+
+def test_packing_leaves_little_padding(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).collect()
+    tokens, sequences = sum(r.length for r in rows), len({r.sequence_id for r in rows})
+    assert tokens >= 0.995 * 1024 * (sequences - 1)
+
+
 def test_pack_histogram():
     histogram = {1024: 3, 700: 50, 324: 20, 300: 41, 7: 100, 1: 5}
     packs = packing.shortest_pack_first(histogram, 1024)
@@ -213,11 +250,17 @@ def test_bpe(docs):
         packed = np.array(ids, "<u4").tobytes()
         want[r.doc_id, len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()] += 1
     assert by_row(bpe.encoding_digests(bpe.encode_decode(docs, path, public_tokenizers.PATTERN))) == want
-    own = bpe.Codec(path, public_tokenizers.PATTERN)
+    own = bpe.codec(path, public_tokenizers.PATTERN)
     for text in ["\x1c\x1d x", "  \n\n  x", "   y\u0085z", "x" * 3000, " " * 5000, "👩‍👩‍👧 ١٢٣ don't I'LL"]:
         assert memoryview(own.encode(text)).cast("I").tolist() == library.encode_ordinary(text)
 
 
+def test_bpe_keeps_long_ids_beside_nulls(spark):
+    big = 1152921504606846977
+    rows = bpe.encode_decode(spark.createDataFrame([(big, "a"), (None, "b")], "doc_id long, text string").coalesce(1), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert {r.doc_id for r in rows.collect()} == {big, None}
+
+
 def test_bpe_append_and_edit():
     vocabulary = bpe.Vocabulary.from_tiktoken(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     rng = random.Random(1)
