@@ -44,6 +44,12 @@ def estimates(codes: np.ndarray, scalars: np.ndarray, queries: np.ndarray, width
 QUERY_STEP, PAIR_STEP = 128, 1 << 15
 
 
+def directions(vectors: np.ndarray) -> np.ndarray:
+    """The vectors at length 1. Each is divided by its largest component first, so that no square over- or underflows."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
 def cosines(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Inner products of the unit rows a[i] and b[j]."""
     out = np.empty(len(i))
@@ -55,11 +61,10 @@ def cosines(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.nd
 
 def nearest(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, scalars: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, width: float) -> Iterator[pd.DataFrame]:
     """Each query's k nearest in one block: estimates first, then the exact cosines of those whose bound allows it."""
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    unit = directions(vectors)
     turn = rotation(queries.shape[1]).T
     for lo in range(0, len(queries), QUERY_STEP):
-        own_ids, some = query_ids[lo : lo + QUERY_STEP], queries[lo : lo + QUERY_STEP]
-        some = some / np.linalg.norm(some, axis=1, keepdims=True)
+        own_ids, some = query_ids[lo : lo + QUERY_STEP], directions(queries[lo : lo + QUERY_STEP])
         estimate, error = estimates(codes, scalars, some @ turn, width)
         estimate[ids[None, :] == own_ids[:, None]] = -np.inf
         # The k best estimates, reranked, give a score that the k nearest reach at least.
@@ -76,42 +81,45 @@ def nearest(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, scalars: np
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding (doubles) of the rows that take part: not null, not zero, all components finite."""
+    """vec_id and embedding of the rows that take part: not null, not zero, all components finite. Floats stay floats."""
     v = F.col("embedding")
     finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    kept = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+    single = dict(vectors.dtypes)["embedding"] == "array<float>"
+    kept = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>" if single else "array<double>"))
     return kept.where(F.col("vec_id").isNotNull() & v.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0))
 
 
-def search(vectors: DataFrame, is_query, k: int = 5, width: float = 3.0, block: int = 2048, query_block: int = 1024, shards: int | None = None) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 5, width: float = 3.0, block: int = 1024, query_block: int = 1024, shards: int | None = None, most_query_bytes: int = 32 << 20) -> DataFrame:
     """The k nearest rows of each query: query_id, rank (from 1), vec_id, score (the exact cosine).
 
     Every row of `vectors` (vec_id, embedding) is indexed and compared with every query block; a block of `block` codes
-    meets a block of at most `query_block` queries in one step, so that no step holds more than these. Ties go to the
-    smaller vec_id. Rows whose vector is null, zero or holds null or non-finite components, or whose vec_id is null,
-    take no part, and vectors are compared with those of as many dimensions only. Of repeated rows of one vec_id each
-    is a candidate and a query of its own id never finds that id. Other columns are ignored; empty tables give an empty
-    result.
+    meets a block of at most `query_block` queries in one step, so that no step holds more than these. Query blocks of
+    `most_query_bytes` in all are broadcast and the index stays where it is; more of them go to `shards` shards of the
+    index. Ties go to the smaller vec_id. Rows whose vector is null, zero or holds null or non-finite components, or
+    whose vec_id is null, take no part, and vectors are compared with those of as many dimensions only. Of repeated rows
+    of one vec_id each is a candidate and a query of its own id never finds that id. Other columns are ignored; empty
+    tables give an empty result.
     """
+    kept = usable(vectors)
+    kind = np.float32 if dict(kept.dtypes)["embedding"] == "array<float>" else np.float64
+
+    def stacked(pdf: pd.DataFrame, step: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(dimensions, ids, vectors) of blocks of `step` rows."""
+        for dim, part in pdf.groupby(pdf["embedding"].map(len)):
+            for lo in range(0, len(part), step):
+                some = part.iloc[lo : lo + step]
+                yield dim, some["vec_id"].to_numpy(np.int64), np.stack(some["embedding"].to_list()).astype(kind)
 
     def indexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sizes = pdf["embedding"].map(len)
-            for dim, part in pdf.groupby(sizes):
-                for lo in range(0, len(part), block):
-                    some = part.iloc[lo : lo + block]
-                    v = np.stack(some["embedding"].to_list()).astype(np.float64)
-                    codes, scalars = encode(v / np.linalg.norm(v, axis=1, keepdims=True), rotation(dim))
-                    ids = some["vec_id"].to_numpy(np.int64)
-                    yield pd.DataFrame({"dim": [dim], "ids": [ids.tobytes()], "vectors": [v.tobytes()], "codes": [codes.tobytes()], "scalars": [scalars.tobytes()]})
+            for dim, ids, v in stacked(pdf, block):
+                codes, scalars = encode(directions(v.astype(np.float64)), rotation(dim))
+                yield pd.DataFrame({"dim": [dim], "ids": [ids.tobytes()], "vectors": [v.tobytes()], "codes": [codes.tobytes()], "scalars": [scalars.tobytes()]})
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for dim, part in pdf.groupby(pdf["embedding"].map(len)):
-                for lo in range(0, len(part), query_block):
-                    some = part.iloc[lo : lo + query_block]
-                    v = np.stack(some["embedding"].to_list()).astype(np.float64)
-                    yield pd.DataFrame({"dim": [dim], "query_ids": [some["vec_id"].to_numpy(np.int64).tobytes()], "queries": [v.tobytes()]})
+            for dim, ids, v in stacked(pdf, query_block):
+                yield pd.DataFrame({"dim": [dim], "query_ids": [ids.tobytes()], "queries": [v.tobytes()]})
 
     def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -119,17 +127,23 @@ def search(vectors: DataFrame, is_query, k: int = 5, width: float = 3.0, block:
                 ids, scalars = np.frombuffer(r.ids, np.int64), np.frombuffer(r.scalars)
                 codes = np.frombuffer(r.codes, np.uint8).reshape(len(ids), -1)
                 query_ids = np.frombuffer(r.query_ids, np.int64)
-                v, q = np.frombuffer(r.vectors).reshape(len(ids), -1), np.frombuffer(r.queries).reshape(len(query_ids), -1)
+                v, q = (np.frombuffer(x, kind).reshape(n, -1).astype(np.float64) for x, n in ((r.vectors, len(ids)), (r.queries, len(query_ids))))
                 yield from nearest(ids, v, codes, scalars, query_ids, q, k, width)
 
-    shards = shards or 2 * vectors.sparkSession.sparkContext.defaultParallelism
-    kept = usable(vectors)
+    context = vectors.sparkSession.sparkContext
     index = kept.mapInPandas(indexed, "dim int, ids binary, vectors binary, codes binary, scalars binary")
-    index = index.withColumn("shard", F.pmod(F.xxhash64("ids"), F.lit(shards)).cast("int"))
-    # Query rows come together first, so that blocks are full; each block then goes to every shard of the index.
+    # Query rows come together first, so that blocks are full.
     queries = kept.where(is_query(F.col("vec_id"))).repartition(F.pmod(F.xxhash64("vec_id"), F.lit(4)))
     queries = durable(queries.mapInPandas(packed, "dim int, query_ids binary, queries binary"))
-    queries = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = index.join(queries, ["dim", "shard"]).drop("shard", "dim").mapInPandas(met, "query_id long, vec_id long, score double")
+    size = queries.agg(F.coalesce(F.sum(F.octet_length("queries") + F.octet_length("query_ids")), F.lit(0)).alias("n")).first()["n"]
+    if size <= most_query_bytes:
+        # Blocks of codes are dealt out evenly where the table has fewer splits than there are cores.
+        index = index.repartition(3 * context.defaultParallelism) if kept.rdd.getNumPartitions() < context.defaultParallelism else index
+        pairs = index.join(F.broadcast(queries), "dim")
+    else:
+        shards = shards or 2 * context.defaultParallelism
+        index = index.withColumn("shard", F.pmod(F.xxhash64("ids"), F.lit(shards)).cast("int"))
+        pairs = index.join(queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))), ["dim", "shard"]).drop("shard")
+    found = pairs.drop("dim").mapInPandas(met, "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -341,6 +341,24 @@ def test_ann(spark):
         assert [x[1] for x in sorted(found)] == ids[best].tolist() and np.allclose([x[2] for x in sorted(found)], score[best], atol=1e-14)
 
 
+def test_ann_extreme_lengths_and_query_shards(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(300, 16))
+    scale = np.ones(300)
+    scale[[0, 7]], scale[[50, 8, 100]] = 1e200, 1e-200
+    rows = [(i, (x * s).tolist()) for i, (x, s) in enumerate(zip(v, scale, strict=True))]
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    for bound in (0, 1 << 20):
+        got = collections.defaultdict(list)
+        for r in ann.search(df, lambda x: x % 50 == 0, block=64, query_block=2, most_query_bytes=bound).orderBy("rank").collect():
+            got[r.query_id].append((r.vec_id, r.score))
+        for q in range(0, 300, 50):
+            score = unit @ unit[q]
+            best = [i for i in np.argsort(-score, kind="stable") if i != q][:5]
+            assert [x for x, _ in got[q]] == best and np.allclose([x for _, x in got[q]], score[best], atol=1e-12)
+
+
 def test_ann_recall(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = df.collect()
