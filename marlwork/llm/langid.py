@@ -2,9 +2,9 @@
 
 Each language has a context tree: how often each byte follows each context of up to `ORDER` bytes. A byte unseen after
 a context costs an escape and is looked up after the next shorter one, down to a uniform byte. The statistics are
-frozen after training, so a byte's code length depends on its context alone; the trees of all languages are unfolded
-into one table with a row per context and a code length per byte and language, and a text's code length under each
-language is a sum of table rows.
+frozen after training, so a byte's code length depends on its context alone; the code lengths of all grams that some
+language has seen are worked out once, a row per gram and a column per language, and a text's code length under each
+language is a sum of such rows. Grams that none has seen are looked up by their shorter contexts.
 """
 
 from __future__ import annotations
@@ -17,114 +17,117 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlwork.llm.common import texts_of
+from marlwork.llm.common import durable, small, texts_of
 
-#: Bytes of context.
+#: Bytes of context: three letters of Latin script, one or two of most others.
 ORDER = 3
-#: Different bytes with statistics of their own; rarer ones count as never seen.
-SYMBOLS = 128
-#: Bytes scored at once.
+#: Bytes counted or scored at once.
 STEP = 1 << 18
 #: What stands before a text.
 LEAD = b" " * ORDER
 
 
+def grams_of(text: str) -> Iterator[np.ndarray]:
+    """The last ORDER bytes and the next one, as one integer, of every byte of a text, in pieces."""
+    raw = LEAD + text.encode("utf-8", "replace")
+    for lo in range(0, len(raw) - ORDER, STEP):
+        b = np.frombuffer(raw[lo : lo + STEP + ORDER], np.uint8).astype(np.uint32)
+        yield b[:-3] << np.uint32(24) | b[1:-2] << np.uint32(16) | b[2:-1] << np.uint32(8) | b[3:]
+
+
 def gram_counts(sample: DataFrame) -> DataFrame:
-    """lang, gram (the last ORDER bytes and the next one, as one integer) and n, over whole texts."""
+    """lang, gram and n, over whole texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def counted(lang: str, found: list[np.ndarray]) -> pd.DataFrame:
+            gram, n = np.unique(np.concatenate(found), return_counts=True)
+            return pd.DataFrame({"lang": lang, "gram": gram.astype(np.int64), "n": n.astype(np.int64)})
+
         for pdf in batches:
             for lang, texts in pdf.groupby("lang")["text"]:
-                for lo in range(0, len(texts), 200):
-                    found = []
-                    for text in texts.iloc[lo : lo + 200]:
-                        b = np.frombuffer(LEAD + text.encode("utf-8", "replace"), np.uint8).astype(np.uint32)
-                        found.append(b[:-3] << np.uint32(24) | b[1:-2] << np.uint32(16) | b[2:-1] << np.uint32(8) | b[3:])
-                    gram, n = np.unique(np.concatenate(found), return_counts=True)
-                    yield pd.DataFrame({"lang": lang, "gram": gram.astype(np.int64), "n": n.astype(np.int64)})
+                found, size = [], 0
+                for piece in (x for text in texts for x in grams_of(text)):
+                    found.append(piece)
+                    size += len(piece)
+                    if size >= 4 * STEP:
+                        yield counted(lang, found)
+                        found, size = [], 0
+                if found:
+                    yield counted(lang, found)
 
     return sample.mapInPandas(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 class Model:
-    """Code lengths of bytes after contexts, for each language."""
+    """Code lengths of bytes after contexts, for each of some languages."""
 
-    def __init__(self, langs: list[str], grams: dict[str, tuple[np.ndarray, np.ndarray]], least: int = 4, most_contexts: int = 16_000):
-        """grams: by language, grams and counts. A context needs `least` occurrences; at most `most_contexts` of an order stay."""
+    def __init__(self, langs: list[str], grams: dict[str, tuple[np.ndarray, np.ndarray]]):
+        """grams: by language, distinct grams and their counts; all of them are kept."""
         self.langs = langs
-        every = np.concatenate([grams[x][0] for x in langs]) & 255
-        weight = np.concatenate([grams[x][1] for x in langs])
-        common = np.argsort(-np.bincount(every, weight, 256), kind="stable")[: SYMBOLS - 1]
-        self.symbol = np.zeros(256, np.int32)
-        self.symbol[np.sort(common)] = np.arange(1, len(common) + 1)
-        counted = {}
-        for lang in langs:
-            gram, n = grams[lang]
-            s = [self.symbol[(gram >> shift) & 255].astype(np.int64) for shift in (24, 16, 8, 0)]
-            known = s[3] > 0
-            counted[lang] = [x[known] for x in s], n[known]
-        # Contexts by order: symbols as base-128 digits, with those of the order as the last digits.
-        contexts = [np.zeros(1, np.int64)]
-        for order in range(1, ORDER + 1):
-            keys, n = [], []
-            for s, own in counted.values():
-                digits, ok = self._digits(s, order)
-                keys.append(digits[ok])
-                n.append(own[ok])
-            key, at = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(at, np.concatenate(n), len(key))
-            kept = np.argsort(-total, kind="stable")[:most_contexts]
-            contexts.append(np.sort(key[kept[total[kept] >= least]]))
-        first = np.cumsum([0] + [len(c) for c in contexts])
-        self.cost = np.zeros((first[-1], SYMBOLS, len(langs)), np.float32)
-        for k, lang in enumerate(langs):
-            s, n = counted[lang]
-            shorter = np.full((1, SYMBOLS), 1 / 256)
-            for order, own in enumerate(contexts):
-                digits, ok = self._digits(s, order)
-                at = np.minimum(np.searchsorted(own, digits), max(0, len(own) - 1))
-                ok = ok & (own[at] == digits) if len(own) else np.zeros(len(digits), bool)
-                c = np.bincount(at[ok] * SYMBOLS + s[3][ok], n[ok], len(own) * SYMBOLS).reshape(len(own), SYMBOLS)
-                if order:
-                    up = np.minimum(np.searchsorted(contexts[order - 1], own % SYMBOLS ** (order - 1)), len(contexts[order - 1]) - 1)
-                    shorter = shorter[up]
-                total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-                escape = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
-                p = np.where(c > 0, c / np.maximum(total + kinds, 1), escape * shorter)
-                self.cost[first[order] : first[order + 1], :, k] = -np.log2(p)
-                shorter = p
-        # The longest kept context of any three symbols.
-        self.state = np.zeros(SYMBOLS**ORDER, np.int32)
-        grid = self.state.reshape([SYMBOLS] * ORDER)
-        for order in range(1, ORDER + 1):
-            own = contexts[order]
-            where = tuple((own // SYMBOLS**i) % SYMBOLS for i in reversed(range(order)))
-            grid[(slice(None),) * (ORDER - order) + where] = first[order] + np.arange(len(own))
-        self.cost = self.cost.reshape(-1, len(langs))
-
-    @staticmethod
-    def _digits(s: list[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray]:
-        digits, ok = np.zeros(len(s[3]), np.int64), np.ones(len(s[3]), bool)
-        for x in s[ORDER - order : ORDER]:
-            digits, ok = digits * SYMBOLS + x, ok & (x > 0)
-        return digits, ok
+        #: By order: grams in ascending order with their code lengths, contexts in ascending order with what an escape costs.
+        self.grams, self.costs, self.contexts, self.escapes = [], [], [], []
+        for order in range(ORDER + 1 if langs else 0):
+            mask = (1 << 8 * (order + 1)) - 1
+            own = [np.unique(grams[x][0] & mask, return_inverse=True) for x in langs]
+            keys = np.unique(np.concatenate([np.arange(256), *(k for k, _ in own)]) if order == 0 else np.concatenate([k for k, _ in own]))
+            contexts, at = np.unique(keys >> 8, return_inverse=True)
+            cost, escape = np.empty((len(keys), len(langs)), np.float32), np.empty((len(contexts), len(langs)), np.float32)
+            shorter = None if order == 0 else self.costs[order - 1][np.searchsorted(self.grams[order - 1], keys & (mask >> 8))]
+            for k, lang in enumerate(langs):
+                found, place = own[k]
+                c = np.zeros(len(keys))
+                c[np.searchsorted(keys, found)] = np.bincount(place, grams[lang][1], len(found))
+                total, kinds = np.bincount(at, c, len(contexts)), np.bincount(at, c > 0, len(contexts))
+                escape[:, k] = np.where(total > 0, -np.log2(np.maximum(kinds, 1) / np.maximum(total + kinds, 1)), 0)
+                rest = escape[at, k] + (8 if shorter is None else shorter[:, k])
+                cost[:, k] = np.where(c > 0, -np.log2(np.maximum(c, 1) / np.maximum(total + kinds, 1)[at]), rest)
+            self.grams.append(keys.astype(np.uint32))
+            self.contexts.append(contexts.astype(np.uint32))
+            self.costs.append(cost)
+            self.escapes.append(escape)
 
     def code_lengths(self, text: str) -> np.ndarray:
         """Bits of the whole text under each language."""
-        raw, bits = LEAD + text.encode("utf-8", "replace"), np.zeros(len(self.langs))
-        for lo in range(0, len(raw) - ORDER, STEP):
-            s = self.symbol[np.frombuffer(raw[lo : lo + STEP + ORDER], np.uint8)]
-            state = self.state[(s[:-3] * SYMBOLS + s[1:-2]) * SYMBOLS + s[2:-1]]
-            bits += self.cost[state * SYMBOLS + s[3:]].sum(axis=0, dtype=np.float64)
+        bits = np.zeros(len(self.langs))
+        for gram in grams_of(text):
+            for order in range(ORDER, -1, -1):
+                gram = gram & np.uint32((1 << 8 * (order + 1)) - 1)
+                at = np.minimum(np.searchsorted(self.grams[order], gram), len(self.grams[order]) - 1)
+                known = self.grams[order][at] == gram
+                bits += self.costs[order][at[known]].sum(axis=0, dtype=np.float64)
+                gram = gram[~known]
+                if not len(gram):
+                    break
+                context = gram >> np.uint32(8)
+                at = np.minimum(np.searchsorted(self.contexts[order], context), len(self.contexts[order]) - 1)
+                bits += self.escapes[order][at[self.contexts[order][at] == context]].sum(axis=0, dtype=np.float64)
         return bits
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language with the shortest code, and its posterior under equal priors; `und` without a letter."""
+    def judged(self, text: str | None) -> tuple[str, float, float]:
+        """The language with the shortest code, its bits, and the sum of all languages' probabilities by its own; `und` without a letter."""
         if not text or not self.langs or not any(map(str.isalpha, text)):
-            return "und", 0.0
+            return "und", 0.0, 0.0
         bits = self.code_lengths(text)
         k = int(bits.argmin())
-        return self.langs[k], float(1 / np.exp2(np.maximum(bits[k] - bits, -1000)).sum())
+        return self.langs[k], float(bits[k]), float(np.exp2(np.maximum(bits[k] - bits, -1000)).sum())
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        """The language with the shortest code, and its posterior under equal priors; `und` and 0 without a letter."""
+        lang, _, spread = self.judged(text)
+        return lang, 1 / spread if spread else 0.0
+
+
+def models(grams: dict[str, tuple[np.ndarray, np.ndarray]], most_bytes: int = 64 << 20) -> list[Model]:
+    """Models that have all languages between them, in order, each of at most about `most_bytes` (or one language)."""
+    groups, bound = [[]], 0
+    for lang in sorted(grams):
+        rows = bound + 2 * len(grams[lang][0])  # grams of all orders and contexts are fewer than twice those of the longest
+        if groups[-1] and rows * (4 + 4 * (len(groups[-1]) + 1)) > most_bytes:
+            groups.append([])
+            rows = 2 * len(grams[lang][0])
+        groups[-1].append(lang)
+        bound = rows
+    return [Model(group, grams) for group in groups]
 
 
 def held_out(doc_id) -> F.Column:
@@ -132,56 +135,59 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, docs_per_lang: int = 1500) -> Model:
-    """A model of the languages in docs (doc_id, text, lang), from whole texts that are not held out.
+def train(docs: DataFrame, docs_per_lang: int = 1500, most_bytes: int = 64 << 20) -> list[Model]:
+    """Models of the languages in docs (doc_id, text, lang), from whole texts that are not held out.
 
     Bounded: of each language, about `docs_per_lang` documents are read, chosen by a hash of the id. Rows without text,
-    lang or id don't take part.
+    lang or id don't take part. There is one model unless the languages' statistics exceed `most_bytes`.
     """
-    spark = docs.sparkSession
     usable = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     usable = usable.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    found = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not found:
-        return _empty()
-    shares = spark.createDataFrame([(x, min(1.0, docs_per_lang / n)) for x, n in found.items()], "lang string, share double")
+    shares = small(usable.groupBy("lang").agg(F.least(F.lit(1.0), docs_per_lang / F.count("*")).alias("share")))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 20)) < F.col("share") * (1 << 20)
-    sample = usable.join(F.broadcast(shares), "lang").where(drawn).select("lang", "text")
-    counts = gram_counts(sample).toArrow()
-    lang, gram, n = (counts.column(x).to_numpy() for x in ("lang", "gram", "n"))
-    langs = sorted(set(lang.tolist()))
-    if not langs:
-        return _empty()
-    return Model(langs, {x: (gram[lang == x], n[lang == x].astype(np.float64)) for x in langs})
+    counts = gram_counts(usable.join(shares, "lang").where(drawn).select("lang", "text")).toArrow()
+    lang = counts.column("lang").combine_chunks().dictionary_encode()
+    code, gram, n = lang.indices.to_numpy(), counts.column("gram").to_numpy(), counts.column("n").to_numpy().astype(np.float64)
+    return models({x: (gram[code == k], n[code == k]) for k, x in enumerate(lang.dictionary.to_pylist())}, most_bytes)
 
 
-def _empty() -> Model:
-    model = Model.__new__(Model)
-    model.langs = []
-    return model
-
-
-def identify(docs: DataFrame, model: Model) -> DataFrame:
+def identify(docs: DataFrame, trained: list[Model]) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, held_out, lang_pred and score (0 to 1).
 
     lang_pred is `und` and score 0 where the text is null or has no letter, or where nothing could be learned. Ties go
-    to the language that sorts first. Repeated rows stay repeated; other columns are ignored.
+    to the language that sorts first. Repeated rows stay repeated; other columns are ignored. Several models each read
+    the texts in a pass of their own, so that a task holds one of them.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the numbers of contexts and languages
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lang, score = zip(*found, strict=True) if (found := [shared.value.predict(x) for x in texts_of(batch)]) else ((), ())
-            columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score"])
-
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out(F.col("doc_id")).alias("held_out"))
-    return plain.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
-
 
-def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs whose language is known to the model; rows of `und` go. All columns stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    def judged(rows: DataFrame, model: Model, key: str) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(model)  # of a bounded size, see models()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [shared.value.judged(x) for x in texts_of(batch)]
+                lang, bits, spread = zip(*found, strict=True) if found else ((), (), ())
+                columns = [batch.column(key), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(bits, pa.float64()), pa.array(spread, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, [key, "held_out", "lang_pred", "bits", "spread"])
+
+        return rows.mapInArrow(run, f"{key} long, held_out boolean, lang_pred string, bits double, spread double")
+
+    score = F.when(F.col("spread") > 0, 1 / F.col("spread")).otherwise(F.lit(0.0)).alias("score")
+    if len(trained) == 1:
+        return judged(plain, trained[0], "doc_id").select("doc_id", "held_out", "lang_pred", score)
+    rows = durable(plain.withColumn("uid", F.monotonically_increasing_id()))
+    found = judged(rows, trained[0], "uid")
+    for model in trained[1:]:
+        found = found.unionByName(judged(rows, model, "uid"))
+    best = found.groupBy("uid").agg(F.min(F.struct("bits", "lang_pred")).alias("best"), F.collect_list(F.struct("bits", "spread")).alias("each"))
+    spread = F.aggregate("each", F.lit(0.0), lambda s, x: s + x["spread"] * F.pow(F.lit(2.0), F.col("best.bits") - x["bits"]))
+    best = best.select("uid", F.col("best.lang_pred").alias("lang_pred"), spread.alias("spread"))
+    return rows.select("uid", "doc_id", "held_out").join(best, "uid").select("doc_id", "held_out", "lang_pred", score)
+
+
+def keep_identified(docs: DataFrame, trained: list[Model]) -> DataFrame:
+    """The rows of docs whose language is known to the models; rows of `und` go. All columns stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(trained[0])  # texts that one model calls `und` all do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

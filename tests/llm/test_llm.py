@@ -383,15 +383,54 @@ def test_language(spark, docs):
     assert {r.lang_pred for r in langid.identify(docs, langid.train(docs.limit(0))).collect()} == {"und"}
 
 
-def test_language_code_lengths_are_probabilities():
-    """After any context, the code lengths of all bytes sum to a probability of one at most, and a short PPM by hand agrees."""
-    text = b"   abab"
-    gram = np.array([int.from_bytes(text[i : i + 4], "big") for i in range(4)])
-    model = langid.Model(["x"], {"x": (gram, np.ones(4))}, least=1)
-    p = np.exp2(-model.cost[:, 0].reshape(-1, langid.SYMBOLS)[:, 1:])
-    assert (p.sum(1) <= 1 + 1e-6).all()
-    # 'a' at the start: the context of three spaces was seen once, before an 'a': 1 of (1 count + 1 kind).
-    assert np.isclose(model.code_lengths("a")[0], 1.0)
+def ppm_bits(texts, text):
+    """A text's bits by the definition: escapes from the longest context down to a uniform byte."""
+    seen = collections.defaultdict(collections.Counter)
+    for t in texts:
+        raw = langid.LEAD + t.encode()
+        for i in range(langid.ORDER, len(raw)):
+            for order in range(langid.ORDER + 1):
+                seen[raw[i - order : i]][raw[i]] += 1
+    raw, bits = langid.LEAD + text.encode(), 0.0
+    for i in range(langid.ORDER, len(raw)):
+        for order in range(langid.ORDER, -2, -1):
+            if order < 0:
+                bits += 8
+                break
+            counts = seen.get(raw[i - order : i])
+            if not counts:
+                continue
+            whole = sum(counts.values()) + len(counts)
+            if counts[raw[i]]:
+                bits -= np.log2(counts[raw[i]] / whole)
+                break
+            bits -= np.log2(len(+counts) / whole)
+    return bits
+
+
+def test_language_predicts_by_ppm_code_lengths(spark):
+    rng = random.Random(8)
+    words = {"a": ["the", "and", "of", "wh"], "b": ["der", "und", "über", "the"], "c": ["日本", "語", "の", "x"], "d": ["zzz"]}
+    make = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    rows = [(i, make(lang, rng.randint(1, 12)), lang) for i, lang in enumerate("abcd" * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, many = langid.train(df), langid.train(df, most_bytes=1)
+    assert [m.langs for m in one] == [list("abcd")] and [m.langs for m in many] == [["a"], ["b"], ["c"], ["d"]]
+    learned = collections.defaultdict(list)
+    for i, t, lang in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            learned[lang].append(t)
+    tests = [make(lang, 5) for lang in "abcd"] + ["the über 日本!", "q", "12", "", None, "語" * 90_000]
+    for text in tests[:6]:
+        assert np.allclose(one[0].code_lengths(text), [ppm_bits(learned[x], text) for x in "abcd"], rtol=1e-5)
+    asked = spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string").repartition(2)
+    found = {r.doc_id: r for r in langid.identify(asked, one).collect()}
+    for r in langid.identify(asked, many).collect():
+        assert r.lang_pred == found[r.doc_id].lang_pred and np.isclose(r.score, found[r.doc_id].score)
+    for i, text in enumerate(tests[:6]):
+        bits = np.array([ppm_bits(learned[x], text) for x in "abcd"])
+        assert found[i].lang_pred == "abcd"[bits.argmin()] and np.isclose(found[i].score, 1 / np.exp2(bits.min() - bits).sum(), rtol=1e-3)
+    assert [found[i].lang_pred for i in (6, 7, 8, 9)] == ["und", "und", "und", "c"]
 
 
 def test_chat(spark):
