@@ -69,6 +69,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 def licenses_sql(k: int = 4, shift: int = 3, least: float = 0.75) -> str:
     rows = ", ".join(f"({i}, {quoted(label)}, string_split({quoted(text)}, ' '))" for i, (label, text) in enumerate(licenses.TEMPLATES))
     phrases = ", ".join(f"(string_split({quoted(p)}, ' '), {quoted(label)})" for p, label in licenses.PHRASES.items())
+    coded = lambda x: f"array_to_string(list_transform({x}, lambda y: chr((33 + coalesce(list_position(tw, y), 0))::INT)), '')"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS uid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
 i AS (SELECT uid, w, unnest(range(1, len(w) + 1)) AS i FROM d WHERE len(w) > 0),
@@ -83,7 +84,8 @@ f AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY uid, templ
 sp AS (SELECT *, sum(far) OVER (PARTITION BY uid, template ORDER BY diagonal) AS span FROM f),
 c AS (SELECT uid, template, label, size, span, min(pos) AS st, max(pos) + {k} AS en, list(DISTINCT tpos) AS ts FROM v JOIN sp USING (uid, template, diagonal) GROUP BY uid, template, label, size, span),
 e AS (SELECT *, len(list_distinct(flatten(list_transform(ts, lambda t: range(t, t + {k}))))) / size AS cover FROM c),
-n AS (SELECT uid, label, cover FROM e WHERE cover >= {least} AND en - st <= ceil(size * {2 - least})),
+q AS (SELECT e.uid, e.label, cover, d.w[st + 1:en] AS own, tp.w AS tw FROM e JOIN d USING (uid) JOIN tp USING (template) WHERE cover >= {least} AND en - st <= ceil(size * {2 - least})),
+n AS (SELECT uid, label, cover FROM q WHERE 1 - levenshtein({coded("own")}, {coded("tw")}) / greatest(len(own), len(tw)) >= {least}),
 ba AS (SELECT uid, count(*) AS n_base, min(st) AS first_word, max(st) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY uid),
 al AS (SELECT uid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT uid, label FROM b UNION ALL SELECT uid, label FROM n) GROUP BY uid),
 be AS (SELECT uid, max(cover) AS best FROM n GROUP BY uid)

@@ -290,6 +290,30 @@ def test_licenses(docs):
     assert labels[15] == ("bsd", 1.0) and labels[0] == ("", 0.0) and labels[14][0] == "cc-by,gpl,mit"
 
 
+def test_licenses_compare_the_words_of_spans(spark):
+    words = licenses.TEMPLATES[9][1].split()
+    text = lambda xs: " ".join(xs).title() + "."
+    other = [f"o{i}" for i in range(40)]
+    inserted = [*other, *words[:9], "very", "new", *words[9:], *other]
+    swapped = [*words[10:], *words[:10]]
+    notices = spark.createDataFrame([("own", text(other[:12])), ("short", "a b")], "label string, text string")
+    docs = spark.createDataFrame([(1, text(inserted)), (1, text(inserted)), (None, text(inserted)), (2, text(swapped)), (3, text(words[:8])), (4, None)], "doc_id long, text string")
+    found = [(r.doc_id, [(x.label, x.start, x.end) for x in r.found]) for r in licenses.scan(docs).collect()]
+    want = ("bsd", 40, 40 + len(words) + 2)
+    assert sorted(found, key=str) == sorted([(1, [want]), (1, [want]), (None, [want]), (2, []), (3, []), (4, [])], key=str)
+    own = {r.doc_id: sorted((x.label, x.start, x.end) for x in r.found) for r in licenses.scan(docs.where("doc_id = 1"), notices=notices).collect()}
+    assert own == {1: [("own", 0, 12), ("own", 40 + len(words) + 2, 52 + len(words) + 2)]}
+
+
+def test_licenses_match_their_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    got = licenses.digest(licenses.scan(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")))
+    assert by_row(got) == collections.Counter(con.execute(oracle.licenses_sql()).fetchall())
+
+
 def test_html_model_and_pages(spark):
     model = html.trained()
     wrong = 0
