@@ -1,20 +1,22 @@
 """Main text of web pages by a linear-chain conditional random field over DOM leaf blocks.
 
 A page becomes the sequence of its leaf blocks (runs of text between the borders of block elements). Features of a
-block are its ancestors' tags and class words and shapes of its text; a model of two labels, trained on labelled pages
-that are generated here, is decoded by Viterbi, and the blocks labelled as main text are joined.
+block are its ancestors' tags and class words, shapes of its text, and whether the page marks its article elsewhere; a
+model of two labels, trained on labelled pages that are generated here, is decoded by Viterbi, and the blocks labelled
+as main text are joined. A page is read once from left to right, however broken its markup is.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
-from html.parser import HTMLParser
+from html import unescape
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +26,12 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html iframe label legend li main menu nav ol option p pre section select summary table tbody "
     "td tfoot th thead tr ul".split()
 )
-#: Elements whose content is no text of the page. Fixed values.
-UNSEEN = frozenset("head title script style noscript template svg math textarea select object canvas audio video iframe".split())
+#: Elements whose content is no text of the page; of these, those that a page may leave open are ignored without an end. Fixed values.
+UNSEEN = frozenset("title script style noscript template svg math textarea select object canvas audio video iframe".split())
+#: Elements whose content is no markup. Fixed values.
+RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
+#: Elements that the start of a block outside them ends, and the blocks that they may hold. Fixed values.
+LEFT_OPEN, INSIDE = frozenset(("svg", "math", "select")), frozenset(("option", "hr"))
 #: Elements without an end. Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What an opening tag ends, if it is the innermost open block. Fixed values.
@@ -45,15 +51,78 @@ STEMS = {
 STEM_OF = {word: kind for kind, words in STEMS.items() for word in words}
 
 
-class LeafBlocks(HTMLParser):
+#: Elements deeper than this count as text of the one that holds them, as in browsers.
+DEEPEST = 512
+#: What begins at a <: the name of a tag, or a comment, a declaration or an instruction.
+OPENER = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|!--|[!?/])")
+#: An attribute and its value, if it has one.
+ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|(?!["'])([^\s>]+)))?""")
+BETWEEN = re.compile(r"[\s/]*")
+
+
+class LeafBlocks:
     """Collects (ancestors, text, characters inside links) of each leaf block; ancestors are (tag, class kinds) pairs."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, frozenset]] = []
         self.blocks: list[tuple[tuple, str, int]] = []
         self.text: list[str] = []
         self.linked = self.unseen = 0
+        self.held: Counter[str] = Counter()  # how many elements of each tag are open
+
+    def read(self, html: str) -> None:
+        """All tags and texts of a page. A tag or comment that the page's end cuts is dropped."""
+        at, ends = 0, Counter(x.lower() for x in re.findall("</([a-zA-Z]+)", html))
+        while at < len(html):
+            start = html.find("<", at)
+            self.data(html[at:] if start < 0 else html[at:start])
+            if start < 0:
+                break
+            found = OPENER.match(html, start)
+            if not found:
+                if start + 1 < len(html):
+                    self.data("<")
+                at = start + 1
+                continue
+            if not found[2]:
+                comment = found[0] == "<!--"
+                closed = re.compile("--!?>").search(html, start + 2) if comment else re.compile(">").search(html, start)
+                if not closed:
+                    break
+                at = closed.end()
+                continue
+            tag, at, words = found[2].lower(), found.end(), []
+            while (at := BETWEEN.match(html, at).end()) < len(html) and html[at] != ">":
+                attribute = ATTRIBUTE.match(html, at)
+                name, value = attribute[1].lower(), attribute[2] or attribute[3] or attribute[4]
+                if value and name in ("class", "id", "role"):
+                    words.append(unescape(value).lower())
+                at = attribute.end()
+            if at >= len(html):
+                break
+            closes_itself, at = html[at - 1] == "/", at + 1
+            if found[1]:
+                ends[tag] -= 1
+                self.end(tag)
+                continue
+            if tag in UNSEEN and not ends[tag]:
+                if tag in ("script", "style"):
+                    break
+                continue
+            self.start(tag, " ".join(words))
+            if closes_itself and (tag in LEFT_OPEN or self.held["svg"] or self.held["math"]):
+                self.end(tag)
+            elif tag in RAW and ends[tag]:
+                closed = raw_end(tag).search(html, at)
+                at = closed.start() if closed else len(html)
+        self.end_block()
+
+    def data(self, text: str) -> None:
+        if text and not self.unseen:
+            text = unescape(text)
+            self.text.append(text)
+            if self.held["a"]:
+                self.linked += len(text)
 
     def end_block(self) -> None:
         if text := " ".join("".join(self.text).split()):
@@ -62,67 +131,81 @@ class LeafBlocks(HTMLParser):
 
     def cut(self, at: int) -> None:
         """Closes all elements from place `at` on."""
-        if any(tag in BLOCKS for tag, _ in self.open[at:]):
+        gone = [tag for tag, _ in self.open[at:]]
+        if any(tag in BLOCKS for tag in gone):
             self.end_block()
-        self.unseen -= sum(tag in UNSEEN for tag, _ in self.open[at:])
+        self.unseen -= sum(tag in UNSEEN for tag in gone)
+        self.held.subtract(gone)
         del self.open[at:]
 
-    def handle_starttag(self, tag, attrs):
+    def innermost(self, wanted) -> int:
+        """The place of the innermost open element that is among `wanted`; -1 without one."""
+        if not any(self.held[x] for x in wanted):
+            return -1
+        return next(i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] in wanted)
+
+    def start(self, tag: str, words: str) -> None:
         if tag == "br":
             self.text.append(" ")
         if tag in BLOCKS:
             self.end_block()
-            names = [x for x, _ in self.open]
-            if "p" in names and tag not in ("button", "label", "option", "select"):
-                at = len(names) - 1 - names[::-1].index("p")
-                if not any(x in BLOCKS for x in names[at + 1 :]):
-                    self.cut(at)
-            inner = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] in BLOCKS), -1)
-            if inner >= 0 and self.open[inner][0] in ENDS.get(tag, ()):
-                self.cut(inner)
-        if tag in VOID:
+            if tag not in INSIDE and (at := self.innermost(LEFT_OPEN)) >= 0:
+                self.cut(at)
+            if tag not in ("html", "head") and (at := self.innermost(("head",))) >= 0:
+                self.cut(at)
+            if tag not in ("button", "label", "option", "select") and (at := self.innermost(("p",))) >= 0 and not any(x in BLOCKS for x, _ in self.open[at + 1 :]):
+                self.cut(at)
+            if tag in ENDS:
+                inner = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] in BLOCKS), -1)
+                if inner >= 0 and self.open[inner][0] in ENDS[tag]:
+                    self.cut(inner)
+        if tag in VOID or len(self.open) >= DEEPEST:
             return
-        if tag == "body":
-            self.cut(next((i for i, (x, _) in enumerate(self.open) if x == "head"), len(self.open)))
-        words = " ".join(v.lower() for k, v in attrs if v and k in ("class", "id", "role"))
         kinds = frozenset(STEM_OF[w] for w in re.findall("[a-z]+", words) if w in STEM_OF) if words else frozenset()
         self.open.append((tag, kinds))
+        self.held[tag] += 1
         self.unseen += tag in UNSEEN
 
-    def handle_endtag(self, tag):
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                return self.cut(at)
-        if tag in BLOCKS:
+    def end(self, tag: str) -> None:
+        if (at := self.innermost((tag,))) >= 0:
+            self.cut(at)
+        elif tag in BLOCKS:
             self.end_block()
 
-    def handle_data(self, data):
-        if not self.unseen:
-            self.text.append(data)
-            if self.open and any(tag == "a" for tag, _ in self.open):
-                self.linked += len(data)
+
+@cache
+def raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>]|$)", re.I)
 
 
 def leaf_blocks(html: str | None) -> list[tuple[tuple, str, int]]:
-    """The leaf blocks of a page in page order; none for null and empty pages. A tag that the page's end cuts is dropped."""
-    parser = LeafBlocks()
-    parser.feed(re.sub(r"<(?:[a-zA-Z/!?][^>]*)?$", "", html or ""))
-    parser.close()
-    parser.end_block()
-    return parser.blocks
+    """The leaf blocks of a page in page order; none for null and empty pages."""
+    page = LeafBlocks()
+    page.read(html or "")
+    return page.blocks
+
+
+def page_features(blocks: list[tuple[tuple, str, int]]) -> list[list[str]]:
+    """Names of what holds for each block of a page."""
+    inside = [({tag for tag, _ in ancestors}, frozenset().union(*(kinds for _, kinds in ancestors))) for ancestors, _, _ in blocks]
+    has_article, has_main = any(tags & {"article", "main"} for tags, _ in inside), any("main" in kinds for _, kinds in inside)
+    return [features(block, tags, kinds, has_article, has_main) for block, (tags, kinds) in zip(blocks, inside, strict=True)]
 
 
-def features(block: tuple[tuple, str, int]) -> list[str]:
-    """Names of what holds for a block."""
+def features(block: tuple[tuple, str, int], tags: set[str], kinds: frozenset, has_article: bool, has_main: bool) -> list[str]:
     ancestors, text, linked = block
-    out = ["any", f"length {min(6, len(text).bit_length() // 2)}", f"linked {round(4 * linked / len(text))}", f"sentence {text[-1] in '.!?:;。'}"]
-    tags = {tag for tag, _ in ancestors}
+    length = f"length {min(6, len(text).bit_length() // 2)}"
+    out = ["any", length, f"linked {round(4 * linked / len(text))}", f"sentence {text[-1] in '.!?:;。'}"]
     out += [f"in {tag}" for tag in tags if tag in BLOCKS]
-    out += [f"kind {kind}" for kind in frozenset().union(*(kinds for _, kinds in ancestors))]
+    out += [f"kind {kind}" for kind in kinds]
     leaf = next((tag for tag, _ in reversed(ancestors) if tag in BLOCKS), "none")
     out.append(f"leaf {leaf}")
-    if not tags & {"article", "main"}:
-        out.append("no article")
+    if has_article:
+        out.append(f"article here {bool(tags & {'article', 'main'})}")
+    elif has_main:
+        out.append(f"main here {'main' in kinds}")
+    else:
+        out += [f"unmarked {length}", f"unmarked leaf {leaf}"]
     return out
 
 
@@ -191,8 +274,8 @@ class ChainCRF:
         return labels[::-1]
 
 
-def labelled_pages(count: int = 240, seed: int = 11) -> list[tuple[str, list[int]]]:
-    """Generated pages of many layouts, each with the labels of its leaf blocks."""
+def labelled_pages(count: int = 400, seed: int = 11) -> list[tuple[str, list[int]]]:
+    """Generated pages of many layouts, with and without a marked article, each with the labels of its leaf blocks."""
     rng = random.Random(seed)
 
     def words(lo: int, hi: int, end: str = ".") -> str:
@@ -251,7 +334,9 @@ def labelled_pages(count: int = 240, seed: int = 11) -> list[tuple[str, list[int
             else:
                 junk(main, True)
         name = rng.choice(STEMS["main"])
-        before, after = rng.choice([("<article>", "</article>")] * 4 + [("<main>", "</main>"), (f'<div class="{name}">', "</div>"), (f'<div id="{name}">', "</div>"), ("<main><article>", "</article></main>")])
+        marked = [("<article>", "</article>")] * 4 + [("<main>", "</main>"), (f'<div class="{name}">', "</div>"), (f'<div id="{name}">', "</div>"), ("<main><article>", "</article></main>")]
+        bare = [("", ""), ("<div>", "</div>"), ("<div><div>", "</div></div>"), (f'<div class="{words(1, 1, "").lower()}">', "</div>"), ("<table><tr><td>", "</td></tr></table>")]
+        before, after = rng.choice(marked if rng.random() < 0.65 else bare)
         put(before + "".join(h for h, _ in main) + after, *[x for _, own in main for x in own])
         for _ in range(rng.randint(0, 2)):
             junk(parts, False)
@@ -260,7 +345,11 @@ def labelled_pages(count: int = 240, seed: int = 11) -> list[tuple[str, list[int
             put('<section class="comments">' + "".join(f"<p>{words(3, 40)}</p>" for _ in range(n)) + "</section>", *[0] * n)
         if rng.random() < 0.85:
             put(f"<footer>&copy; {words(2, 14)}</footer>", 0)
-        pages.append(("<html><head><title>x</title></head><body>" + "".join(h for h, _ in parts) + "</body></html>", [x for _, own in parts for x in own]))
+        body = "".join(h for h, _ in parts)
+        if rng.random() < 0.2:
+            body = f'<div class="{rng.choice(["wrap", "page", "content"])}">{body}</div>'
+        head, tail = rng.choice([("<html><head><title>x</title></head><body>", "</body></html>")] * 3 + [("<html><head><title>x</title>", ""), ("", "")])
+        pages.append((head + body + tail, [x for _, own in parts for x in own]))
     return pages
 
 
@@ -271,13 +360,13 @@ def trained() -> ChainCRF:
     for html, labels in labelled_pages():
         blocks = leaf_blocks(html)
         if blocks and len(blocks) == len(labels):
-            pages.append(([features(b) for b in blocks], labels))
+            pages.append((page_features(blocks), labels))
     return ChainCRF().fit(pages)
 
 
 def main_text(html: str | None, model: ChainCRF) -> str:
     blocks = leaf_blocks(html)
-    labels = model.decode(model.scores([features(b) for b in blocks]))
+    labels = model.decode(model.scores(page_features(blocks)))
     return "\n".join(text for (_, text, _), label in zip(blocks, labels, strict=True) if label)
 
 
@@ -289,10 +378,12 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     shared = pages.sparkSession.sparkContext.broadcast(trained())  # some hundred weights
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            text = [main_text(x, shared.value) for x in pdf["html"]]
-            yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": text})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                text = [main_text(x, shared.value) for x in part.column("html").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(text, pa.string())], ["page_id", "url", "text"])
 
     plain = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return plain.mapInPandas(run, "page_id long, url string, text string")
+    return plain.mapInArrow(run, "page_id long, url string, text string")
