@@ -94,7 +94,7 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
 FROM d LEFT JOIN ba USING (uid) LEFT JOIN al USING (uid) LEFT JOIN be USING (uid)"""
 
 
-def chat_sql(budget: int = 1024, history: int = 256, bytes_per_token: int = 4, turn_cost: int = 4) -> str:
+def chat_sql(budget: int = 1024, history: int = 256, bytes_per_token: int = 4, turn_cost: int = 4, stretch: int = 64) -> str:
     def escaped(x: str, escapes) -> str:
         for plain, code in escapes:
             x = f"replace({x}, {quoted(plain)}, {quoted(code)})"
@@ -103,15 +103,17 @@ def chat_sql(budget: int = 1024, history: int = 256, bytes_per_token: int = 4, t
     control = quoted("\\### Assistant: </turn> ok")
     frame = len(chat.OPEN + chat.MIDDLE + chat.CLOSE)
     return f"""
-WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations UNION ALL SELECT -7, 0, 'user', {control} UNION ALL SELECT -7, 1, 'assistant', {control}),
+WITH RECURSIVE r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations UNION ALL SELECT -7, 0, 'user', {control} UNION ALL SELECT -7, 1, 'assistant', {control}),
 a AS (SELECT *, {turn_cost} + (strlen(t) + {bytes_per_token - 1}) // {bytes_per_token} AS tokens, {frame} + length({escaped("role", chat.ROLE_ESCAPES)}) + length({escaped("t", chat.ESCAPES)}) AS chars FROM r),
-n AS (SELECT *, row_number() OVER o AS n, sum(tokens) OVER (o ROWS UNBOUNDED PRECEDING) AS after FROM a WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, t)),
-b AS (SELECT *, after - tokens AS before, (after - tokens) // {budget} AS lo, (after - 1) // {budget} AS hi FROM n),
-s AS (SELECT conv_id, lo, hi, min(n) AS first, min(before) AS begin FROM b GROUP BY conv_id, lo, hi),
-y AS (SELECT conv_id, chars FROM b WHERE n = 1 AND role = 'system'),
-h AS (SELECT s.conv_id, sum(p.chars) AS chars FROM s JOIN b p ON p.conv_id IS NOT DISTINCT FROM s.conv_id AND p.before >= s.begin - {history} AND p.before < s.begin
-  WHERE NOT (p.n = 1 AND p.role = 'system') GROUP BY s.conv_id),
-z AS (SELECT s.conv_id, sum(y.chars) AS chars FROM s JOIN y ON y.conv_id IS NOT DISTINCT FROM s.conv_id WHERE s.first > 1 GROUP BY s.conv_id),
-c AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY n)) AS turns_sha256, coalesce(string_agg(t, '' ORDER BY n) FILTER (role = 'assistant'), '') AS loss, sum(chars) AS chars FROM b GROUP BY conv_id)
+n AS (SELECT *, coalesce(conv_id::VARCHAR, '') AS k, row_number() OVER o AS n, sum(tokens) OVER (o ROWS UNBOUNDED PRECEDING) AS after FROM a WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, t)),
+y AS (SELECT k, tokens, chars FROM n WHERE n = 1 AND role = 'system'),
+b AS (SELECT n.*, after - n.tokens AS before, (after - n.tokens) // {stretch * budget} AS st, coalesce(y.tokens, 0) AS sys, coalesce(y.chars, 0) AS sys_chars FROM n LEFT JOIN y USING (k)),
+w AS (SELECT k, n, n AS first, before AS begin, st, sys FROM b WHERE n = 1
+  UNION ALL SELECT b.k, b.n, CASE WHEN fits THEN w.first ELSE b.n END, CASE WHEN fits THEN w.begin ELSE b.before END, b.st, b.sys FROM w JOIN b ON b.k = w.k AND b.n = w.n + 1,
+  LATERAL (SELECT b.st = w.st AND b.after - w.begin <= CASE WHEN w.first = 1 THEN {budget} ELSE {budget} - b.sys - {history} END AS fits)),
+s AS (SELECT k, first, any_value(begin) AS begin, any_value(b.sys) AS sys, any_value(sys_chars) AS sys_chars, least({history}, {budget} - any_value(b.sys) - sum(tokens)) AS room FROM w JOIN b USING (k, n) WHERE first > 1 GROUP BY k, first),
+h AS (SELECT s.k, sum(p.chars) AS chars FROM s JOIN b p ON p.k = s.k AND p.before >= s.begin - s.room AND p.before < s.begin AND p.n < s.first WHERE NOT (p.n = 1 AND p.role = 'system') GROUP BY s.k),
+z AS (SELECT k, sum(sys_chars) AS chars FROM s GROUP BY k),
+c AS (SELECT k, any_value(conv_id) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY n)) AS turns_sha256, coalesce(string_agg(t, '' ORDER BY n) FILTER (role = 'assistant'), '') AS loss, sum(chars) AS chars FROM b GROUP BY k)
 SELECT c.conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, (c.chars + coalesce(h.chars, 0) + coalesce(z.chars, 0))::BIGINT AS formatted_chars
-FROM c LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM c.conv_id"""
+FROM c LEFT JOIN h USING (k) LEFT JOIN z USING (k)"""

@@ -319,7 +319,7 @@ def test_html_model_and_pages(spark):
     wrong = 0
     for page, labels in html.labelled_pages(100, seed=77):
         blocks = html.leaf_blocks(page)
-        wrong += model.decode(model.scores([html.features(b) for b in blocks])) != labels
+        wrong += model.decode(model.scores(html.page_features(blocks))) != labels
     assert wrong <= 2
     odd = [(0, None, None), (1, "u", ""), (1, "u", "<p"), (2, "u", "<nav><a>x</a></nav><article><h1>T &am</h1><p>a &lt;&nbsp; b<script>no()</script>\n c<p>last &copy</article><footer>f</footer>")]
     rows = html.extract(spark.createDataFrame(odd, "page_id long, url string, html string")).collect()
@@ -331,6 +331,30 @@ def test_html_model_and_pages(spark):
         assert text[r.page_id] == want
 
 
+def test_html_layouts_and_broken_markup(spark):
+    """Pages where the tag rule (text inside article) is wrong, and tags that are never closed."""
+    long = "This is a long sentence of the main text, and it goes on for quite a while."
+    cases = {
+        "<html><head><title>t</title><article><h1>T</h1><p>Body text.</article>": "T\nBody text.",
+        "<article><p>one.</p><svg><path d='x'/><p>after the svg.</p></article>": "one.\nafter the svg.",
+        "<article><p>one.<object data=x><p>two.<canvas><p>three.<iframe><p>four.</article>": "one.\ntwo.\nthree.\nfour.",
+        "<article><p>one.</p><object><p>instead</p></object><canvas>no</canvas><p>two.</article>": "one.\ntwo.",
+        f"<nav><a href=x>Menu</a></nav><div><h1>Title of it</h1><p>{long}</p><p>{long}</p></div><div class=ad>Buy.</div>": f"Title of it\n{long}\n{long}",
+        f"<body><ul class='menu'><li><a href=x>Home</a></ul><p>{long}<p>{long}<footer>2020 by us</footer>": f"{long}\n{long}",
+        f"<article><p>{long}</p><aside><p>{long}</p></aside><section class=comments><p>{long}</p></section></article>": long,
+        "<article><p>a<!-- x --> b<br/>c&lt;d <img src='a>b'>e</p><script>if(a<b){}</script><textarea><p>no</textarea><p>f</article>": "a b c<d e\nf",
+    }
+    model = html.trained()
+    for page, want in cases.items():
+        assert html.main_text(page, model) == want
+    assert [x for _, x, _ in html.leaf_blocks("a < b <")] == ["a < b"]
+    for page in ("<a" * 300_000, "<a " * 300_000, "<a x='" * 200_000, "<a<a" * 200_000 + ">x", "<div>a" * 20_000, "<!--" * 300_000, "<iframe>" * 100_000, "</p><svg>" * 100_000):
+        html.leaf_blocks(page)  # each in a second or two
+    big = 1152921504606846977
+    rows = html.extract(spark.createDataFrame([(big, "u", "<article>a</article>"), (None, None, None)], "page_id long, url string, html string").coalesce(1))
+    assert {(r.page_id, r.text) for r in rows.collect()} == {(big, "a"), (None, "")}
+
+
 def test_crf_decodes_the_best_labels():
     model = html.ChainCRF()
     rng = np.random.default_rng(0)
@@ -475,10 +499,60 @@ def test_chat(spark):
     assert {tuple(r)[:5] for r in chat.read_back(made).collect()} == want
     later = [r for r in made.where("conv_id = 2").collect() if r["first"] > 1]
     assert len(later) > 5 and all(r.formatted.startswith("### system: 0 ") and r.n_context >= 1 for r in later)
-    for r in later:
-        turns = r.formatted.split(chat.CLOSE)[:-1]
-        tokens = sum(4 + -(-len(x.partition(": ")[2].encode()) // 4) for x in turns[r.n_context :])
-        assert len(turns) - r.n_context == 1 or tokens <= 600
+
+
+def greedy_windows(tokens, has_system, budget, history, stretch):
+    """(first, turns that lead, new turns) of each window, by the definition; turns count from 1."""
+    own, before, out = tokens[0] if has_system else 0, [sum(tokens[:i]) for i in range(len(tokens))], []
+    for i, n in enumerate(tokens):
+        if out:
+            first = out[-1][0] - 1
+            room = budget if first == 0 else budget - own - history
+            if before[i] // (stretch * budget) == before[first] // (stretch * budget) and before[i] + n - before[first] <= room:
+                out[-1][2].append(i + 1)
+                continue
+        out.append((i + 1, [], [i + 1]))
+    for first, lead, new in out:
+        if first > 1:
+            left = min(history, budget - own - sum(tokens[j - 1] for j in new))
+            near = [j for j in range(1, first) if before[first - 1] > before[j - 1] >= before[first - 1] - left and not (has_system and j == 1)]
+            lead += [1] * has_system + near
+    return out
+
+
+def test_chat_windows_keep_the_budget(spark):
+    rng = random.Random(12)
+    rows = [(1, 0, "system", "s", 90)] + [(1, i, "user", f"u{i}", rng.choice([0, 5, 20, 60, 190])) for i in range(1, 400)]
+    rows += [(2, i, "assistant", f"a{i}", rng.randint(1, 30)) for i in range(300)]
+    rows += [(3, 0, "system", "big", 500), (3, 1, "user", "u", 10), (3, 2, "user", "v", 10), (4, 0, "user", "x", 900), (4, 1, "user", "y", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, size int").repartition(3)
+    for stretch in (2, 64):
+        made = collections.defaultdict(list)
+        for r in chat.windows(df, budget=200, history=40, tokens="size", stretch=stretch).orderBy("first").collect():
+            made[r.conv_id].append(r)
+        for k, got in made.items():
+            own = [r for r in rows if r[0] == k]
+            tokens = [r[4] or 0 for r in own]
+            want = greedy_windows(tokens, own[0][2] == "system", 200, 40, stretch)
+            text = lambda j: f"### {own[j - 1][2]}: {own[j - 1][3]}</turn>\n"
+            assert [(r["first"], r.n_context, r.formatted) for r in got] == [(f, len(lead), "".join(map(text, lead + new))) for f, lead, new in want]
+            for r, (f, lead, new) in zip(got, want, strict=True):
+                assert r.n_tokens == sum(tokens[j - 1] for j in lead + new)
+                single = tokens[f - 1] + (tokens[0] if own[0][2] == "system" and f > 1 else 0) > 200
+                assert r.n_tokens <= 200 or (single and all(tokens[j - 1] == 0 for j in new[1:]))
+
+
+def test_chat_matches_its_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW conversations AS SELECT * FROM '/root/testdata/sf0.001/conversations.parquet'")
+    control = "\\### Assistant: </turn> ok"
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id", "turn", "role", "text")
+    turns = turns.union(spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], turns.schema))
+    for options in ({}, {"budget": 150, "history": 40, "stretch": 2}):
+        got = chat.read_back(chat.windows(turns, **options))
+        assert by_row(got) == collections.Counter(con.execute(oracle.chat_sql(**options)).fetchall())
 
 
 def test_simhash(spark, docs):
