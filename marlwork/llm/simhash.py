@@ -118,11 +118,12 @@ def fingerprints(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
-def links(prints: DataFrame, most: int = 2, range_size: int = 1024, most_ranges: int = 4096) -> DataFrame:
+def links(prints: DataFrame, most: int = 2, range_size: int = 1024, most_ranges: int = 65_536) -> DataFrame:
     """Star edges (v, u) that connect the distinct fingerprints `prints` (fp) whose distance is at most `most`.
 
     A range of the Gray order holds about `range_size` fingerprints until there are `most_ranges` ranges, the bound on
-    what is broadcast (24 bytes each); beyond that ranges grow.
+    what is broadcast (24 bytes each); beyond that ranges grow: with ten billion fingerprints a range has 150,000
+    members and some tens of times as many visitors, about 100 MB in its task.
     """
     spark = prints.sparkSession
     count = prints.count()
@@ -132,7 +133,7 @@ def links(prints: DataFrame, most: int = 2, range_size: int = 1024, most_ranges:
     for shift in (1, 2, 4, 8, 16, 32):
         rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, shift))
     by_rank = prints.select("fp", rank.bitwiseXOR(F.lit(-(1 << 63))).alias("rank"))  # as a signed long it sorts alike
-    cuts = [] if n == 1 else by_rank.agg(F.percentile_approx("rank", [i / n for i in range(1, n)], 10_000)).first()[0]
+    cuts = [] if n == 1 else by_rank.agg(F.percentile_approx("rank", [i / n for i in range(1, n)], max(10_000, 4 * n))).first()[0]
     cuts = np.unique(np.array(cuts or [], np.int64))
 
     def home_of(pdf: pd.DataFrame) -> np.ndarray:
@@ -190,21 +191,25 @@ def components(edges: DataFrame) -> DataFrame:
     return now
 
 
-def near_duplicates(docs: DataFrame, most: int = 2, words_in_shingle: int = 3, range_size: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, most: int = 2, words_in_shingle: int = 3, range_size: int = 1024, hot: int = 1000) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, fingerprint (16 hex digits) and component_id.
 
     Rows are linked where their fingerprints differ in `most` bits or fewer; component_id is the smallest doc_id that
     is reachable. Null and empty texts have fingerprint zero and are linked like any other; shorter texts than a
     shingle count as one shingle. Repeated rows stay repeated. A null doc_id never is a component_id unless the
-    component has no other; other columns of `docs` are ignored. An empty table gives an empty result.
+    component has no other; other columns of `docs` are ignored. An empty table gives an empty result. Fingerprints of
+    more than `hot` rows, as of null texts and of large groups of copies, meet their rows where these are.
     """
     prints = durable(fingerprints(docs, words_in_shingle))
-    distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows")))
     roots = components(links(distinct.select("fp"), most, range_size))
-    rooted = distinct.join(roots.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("u", "fp").alias("root"))
+    rooted = distinct.join(roots.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "first_id", "rows", F.coalesce("u", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = durable(rooted.join(named, "root").select("fp", "component_id"))
-    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = durable(rooted.join(named, "root").select("fp", "component_id", "rows"))
+    large = small(classes.where(F.col("rows") > hot))
+    rest = prints.join(large, "fp", "left_anti").join(classes.where(F.col("rows") <= hot), "fp")
+    out = prints.join(large, "fp").unionByName(rest)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, most: int = 2, words_in_shingle: int = 3) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from marlwork.llm import ann, bpe, chat, html, langid, licenses, oracle, packing, quality, secrets, simhash
+from marlwork.llm import ann, bpe, chat, common, html, langid, licenses, oracle, packing, quality, secrets, simhash
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, uid string, fp string"
 KEY = "Ab1" * 12
@@ -561,8 +561,9 @@ def test_simhash(spark, docs):
     base = [rng.choice(words) for _ in range(400)]
     near = [(1000 + i, " ".join([*base[:j], "changed", *base[j + 1 :]])) for i, j in enumerate(range(0, 400, 8))]
     table = docs.select("doc_id", "text").union(spark.createDataFrame(near, "doc_id long, text string"))
-    rows = simhash.near_duplicates(table, range_size=8).collect()
+    rows = simhash.near_duplicates(table, range_size=8, hot=1).collect()
     assert len(rows) == table.count()
+    assert by_row(simhash.near_duplicates(table)) == collections.Counter(map(tuple, rows))
     prints = np.array([int(r.fingerprint, 16) for r in rows], np.uint64)
     for r, text in ((r, t) for r in rows for t in [dict(table.collect())[r.doc_id]]):
         assert int(r.fingerprint, 16) == simhash.fingerprint(text)
@@ -583,6 +584,22 @@ def test_simhash(spark, docs):
     assert kept.where("doc_id is not null").count() == len(set(best.values()))
 
 
+def test_stages_with_null_ids_and_repeated_rows(spark):
+    long = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, long), (None, long), (1, long), (1, long), (1, "token: abcdefgh " + long), (2, long), (None, f"secret = abc123 {long} x"), (3, None), (3, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "u") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, uid string").repartition(3)
+    kept = simhash.keep_first(docs)
+    count = lambda df: collections.Counter((r.doc_id, r.text) for r in df.collect())
+    got = count(kept)
+    assert kept.columns == docs.columns and {k: n for k, n in got.items() if k[0] is None} == {k: n for k, n in collections.Counter(rows).items() if k[0] is None}
+    assert sorted(i for i, _ in got.elements() if i is not None) == [1, 3]
+    texts = count(secrets.redact(docs))
+    assert sum(texts.values()) == len(rows) and texts[None, f"[SECRET] {long} x"] == 1 and texts[1, f"[SECRET] {long}"] == 1 and texts[1, long] == 2
+    judged = quality.judge(docs)
+    left = count(common.without(docs, judged.where("doc_id is null or doc_id = 3")))
+    assert left == collections.Counter({(i, t): n for (i, t), n in collections.Counter(rows).items() if i in (1, 2)})
+
+
 def test_simhash_fingerprint_by_definition():
     import xxhash
 
