@@ -21,18 +21,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """`df` computed once and kept in the shared checkpoint folder, so that lost executors cost no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir, which becomes its checkpoint folder.
 
-    The folder is the session's spark.checkpoint.dir. Where that is unset, a session on this machine alone (tests) gets
-    a local one; on a cluster that is an error, as its machines share no local folder.
+    Where that is unset, a session on this machine alone (tests) gets a local one; on a cluster that is an error, as its
+    machines share no local folder.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        where = spark.conf.get("spark.checkpoint.dir", None)
         if where is None and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(where or tempfile.mkdtemp(prefix="marlwork-checkpoint-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """`df` computed once and kept in the shared folder, so that lost executors cost no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
