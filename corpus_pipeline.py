@@ -6,7 +6,6 @@ written as Parquet and read again as the next stage's docs. All but the last ret
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlwork.llm import langid, packing, quality, secrets, simhash
-from marlwork.llm.common import table, without
+from marlwork.llm.common import shared_folder, table, without
 
 #: A classifier and a hierarchical index can't be expressed in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
@@ -50,8 +49,7 @@ STAGES = [("language", language), ("quality", quality_rules), ("near_duplicates"
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of all stages over the table documents; what lies between them is written to the shared folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="marlwork-")
-    docs, here = table(spark, sf_dir, "documents"), f"{shared}/pipeline-{uuid.uuid4().hex}"
+    docs, here = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{here}/{name}")
         docs = spark.read.parquet(f"{here}/{name}")

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """`df` computed once, with its lineage cut; in spark.checkpoint.dir, or a local folder only where that is unset."""
+    """`df` computed once, with its lineage cut, in spark.checkpoint.dir.
+
+    Where that is unset, a session on this machine alone gets a local folder; on a cluster that is an error.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if where is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(where or tempfile.mkdtemp(prefix="marlwork-checkpoint-"))
     return df.checkpoint(eager=True)
