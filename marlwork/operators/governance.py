@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marlwork.functions.text import first_group, hits, holds_any, matches, once
+from marlwork.functions.text import first_group, hits, holds_any, matches, once, stripped
 
 #: Keywords by policy, in the order of precedence; they also count inside words. Fixed values.
 POLICIES = {
@@ -136,10 +136,11 @@ def split_citations(text: Column, known: Column) -> tuple[Column, Column]:
 
 def canonical(section: Column, year: str = "2022") -> Column:
     """A section id as EA-year-number; null if it is of neither form."""
-    full = F.upper(F.regexp_extract(section, r"(?i)\b(EA-\d{4}-\d+[A-Z]*(?:\(\d+\))?)\b", 1))
-    old = r"(?i)^EA-(\d+)([A-Z]*)(?:\((\d+)\))?$"
-    number, letters, part = (F.regexp_extract(section, old, i) for i in (1, 2, 3))
-    made = F.concat(F.lit(f"EA-{year}-"), number, F.upper(letters), F.when(part != "", F.concat(F.lit("("), part, F.lit(")"))).otherwise(F.lit("")))
+    whole = F.upper(stripped(section))
+    full = F.regexp_extract(whole, r"^(EA-\d{4}-\d+[A-Z]*(?:\(\d+\))?)\b", 1)
+    old = r"^EA-(\d+)([A-Z]*)(?:\((\d+)\))?$"
+    number, letters, part = (F.regexp_extract(whole, old, i) for i in (1, 2, 3))
+    made = F.concat(F.lit(f"EA-{year}-"), number, letters, F.when(part != "", F.concat(F.lit("("), part, F.lit(")"))).otherwise(F.lit("")))
     return F.when(full != "", full).when(number != "", made)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marlwork.functions.text import hits, tokens, word_f1
 from marlwork.operators import answers, calculator, chunking, governance, metrics, questions, search, training
-from marlwork.plans import oracle
+from marlwork.plans import oracle, training_oracle, training_queries
 from marlwork.streaming import serving
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -436,8 +436,8 @@ def failure_category(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_queries)
+    return _queries | training_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.all_sql()
+    return oracle.all_sql() | training_oracle.all_sql()
