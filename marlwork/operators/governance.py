@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlwork.functions.text import first_group, hits, holds_any, matches, once, stripped
@@ -14,6 +14,28 @@ POLICIES = {
     "out_of_scope": ["criminal law", "family law", "property law", "contract law", "immigration law", "tax law", "company registration", "business license", "visa", "passport"],
     "financial_advice": ["invest", "investment advice", "stock market", "trading", "financial planning", "insurance policy", "loan advice"],
 }
+#: What a refusal says, by policy. Fixed values.
+POLICY_TEMPLATES = {
+    "legal_advice": "I understand you're asking about legal advice, but I can only provide \ngeneral information about Malaysia's Employment Act provisions. \nFor specific legal advice, please consult with a qualified legal professional.\n",
+    "guarantees": "I understand you're asking about guarantees, but I can only provide \ngeneral information about Malaysia's Employment Act provisions. \nOutcomes depend on specific circumstances and current law.\n",
+    "out_of_scope": "I understand you're asking about {topic}, but I can only provide \ninformation about Malaysia's Employment Act provisions. \nFor other legal matters, please consult with relevant authorities.\n",
+    "financial_advice": "I can only provide information about employment compensation under \nMalaysia's Employment Act. For financial advice, please consult \nwith qualified financial advisors.\n",
+}
+#: What a refusal says where its policy has no template, and where personal data is refused. Fixed values.
+DEFAULT_TEMPLATE = "I can only provide general information about Malaysia's Employment Act provisions. For specific legal matters, please consult with qualified professionals."
+PII_REFUSAL = "I notice your message contains personal information. For your privacy and security, \nplease avoid sharing personal details like phone numbers, email addresses, or ID numbers. \nI can help with general Employment Act questions without needing personal information.\n"
+#: The older, shorter lists: policies with their templates, kinds of personal data, its refusal. Fixed values.
+LEGACY_POLICIES = {
+    "legal_advice": ["give me legal advice", "give legal advice", "provide legal advice", "legal counsel", "sue", "lawsuit", "court case", "litigation", "attorney", "lawyer recommendation", "legal representation", "hire a lawyer", "should i hire", "fight my case"],
+    "guarantees": ["guarantee", "promise", "ensure", "definitely will", "absolutely"],
+    "out_of_scope": ["criminal law", "family law", "property law", "visa", "passport", "company registration"],
+}
+LEGACY_TEMPLATES = {
+    "legal_advice": "I understand you're asking about legal advice, but I can only provide general information about Malaysia's Employment Act provisions.",
+    "guarantees": "I understand you're asking about guarantees, but I can only provide general information about Malaysia's Employment Act provisions.",
+    "out_of_scope": "I understand you're asking about this matter, but I can only provide general information about Malaysia's Employment Act provisions.",
+}
+LEGACY_REFUSAL = "I notice your message contains personal information. For your privacy and security, please avoid sharing personal details. I can help with general Employment Act questions."
 #: Personal data: name, pattern, what replaces it, in order. Fixed values.
 PII = [
     ("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", "[EMAIL_REDACTED]"),
@@ -33,9 +55,12 @@ BOUNDS = [
     ("sick_leave", 14, 365, "day"),
     ("maternity_leave", 60, 98, "day"),
     ("notice_period", 1, 16, "week"),
-    ("service_years", 0, 60, "year"),
+    ("notice_days", 7, 112, "day"),
     ("daily_hours", 1, 12, "hour"),
     ("weekly_hours", 1, 72, "hour"),
+    ("overtime_rate", 1, 3, "multiplier"),
+    ("service_years", 0, 60, "year"),
+    ("severance_multiplier", 10, 30, "day"),
 ]
 #: Words around a number that tell its category, in the order of precedence. Fixed values.
 CATEGORY_WORDS = [
@@ -67,46 +92,98 @@ COMPLEX = ["interpretation", "cross-reference", "exception", "provision", "notwi
 SAFETY_FLAGS = ["legal_advice", "guarantees", "inappropriate_advice", "escalation_required"]
 
 
-def policy_rules(text: Column) -> Column:
+def policy_rules(text: Column, policies: dict[str, list[str]] = POLICIES) -> Column:
     """policy_category_keyword for each keyword that the text holds."""
     low = F.lower(text)
 
     def named(name: str, words: list[str]) -> Column:
         return F.transform(hits(low, words), lambda x: F.concat(F.lit(f"policy_{name}_"), F.replace(x, F.lit(" "), F.lit("_"))))
 
-    return F.concat(*(named(name, words) for name, words in POLICIES.items()))
+    return F.concat(*(named(name, words) for name, words in policies.items()))
 
 
-def policy_category(text: Column) -> Column:
+def policy_category(text: Column, policies: dict[str, list[str]] = POLICIES) -> Column:
     """The first policy with a hit; null without one."""
     low = F.lower(text)
-    return F.coalesce(*(F.when(holds_any(low, words), F.lit(name)) for name, words in POLICIES.items()))
+    return F.coalesce(*(F.when(holds_any(low, words), F.lit(name)) for name, words in policies.items()))
+
+
+def policy_message(category: Column, templates: dict[str, str] = POLICY_TEMPLATES) -> Column:
+    """What the refusal of a policy says; null without a policy."""
+    return F.coalesce(*(F.when(category == k, F.lit(v)) for k, v in templates.items()), F.when(category.isNotNull(), F.lit(DEFAULT_TEMPLATE)))
+
+
+def pii_free(text: Column) -> Column:
+    """Whether a text can hold no personal data: each kind needs a digit or an @."""
+    return ~text.rlike("[0-9@]")
 
 
-def pii_kinds(text: Column) -> Column:
-    return F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(name)) for name, p, _ in PII)))
+def pii_kinds(text: Column, pii: list[tuple[str, str, str]] = PII) -> Column:
+    """The kinds of personal data in a text."""
+    none = F.array().cast("array<string>")
+    return F.when(pii_free(text), none).otherwise(F.array_compact(F.array(*(F.when(guarded(text, name) & text.rlike(p), F.lit(name)) for name, p, _ in pii))))
 
 
-def pii_masked(text: Column) -> Column:
-    """`text` with personal data replaced, one kind after the other."""
-    for _, pattern, mark in PII:
-        text = F.regexp_replace(text, pattern, mark)
-    return text
+def guarded(text: Column, name: str) -> Column:
+    """Whether a kind is worth looking for: addresses need an @."""
+    return F.contains(text, F.lit("@")) if name == "email" else F.lit(True)
 
 
-def input_report(text: Column, mode: str = "mask") -> Column:
-    """flags, decision, confidence and processed text of an input: a policy hit refuses it, personal data is masked or refused."""
-    policy, personal = policy_category(text), F.size(pii_kinds(text)) > 0
+def pii_masked(text: Column, pii: list[tuple[str, str, str]] = PII) -> Column:
+    """`text` with personal data replaced, one kind after the other; texts that can hold none stay as they are."""
+    out = text
+    for name, pattern, mark in pii:
+        replaced = F.regexp_replace(out, pattern, mark)
+        out = F.when(guarded(out, name), replaced).otherwise(out) if name == "email" else replaced
+    return F.when(pii_free(text), text).otherwise(out)
+
+
+def input_report(text: Column, mode: str = "mask", policies=POLICIES, templates=POLICY_TEMPLATES, pii=PII, pii_refusal: str = PII_REFUSAL) -> Column:
+    """flags, rules, decision, confidence and processed text of an input.
+
+    A policy hit refuses it with the template of its first policy; personal data is masked, or refused (mode refuse).
+    """
+    how = "refused" if mode == "refuse" else "masked"
+    policy, kinds = policy_category(text, policies), pii_kinds(text, pii)
+    kinds = F.slice(kinds, 1, 1) if mode == "refuse" else kinds  # refusal stops at the first kind
+    personal = F.size(kinds) > 0
     refused = policy.isNotNull() | (personal if mode == "refuse" else F.lit(False))
     flags = F.array_compact(F.array(F.when(policy.isNotNull(), F.lit("policy_violation")), F.when(personal, F.lit("pii_refusal" if mode == "refuse" else "pii_masked"))))
+    left = F.when(personal, F.lit(pii_refusal)).otherwise(text) if mode == "refuse" else pii_masked(text, pii)
     return F.struct(
         flags.alias("flags"),
+        F.concat(policy_rules(text, policies), F.transform(kinds, lambda k: F.concat(F.lit("pii_"), k, F.lit(f"_{how}")))).alias("rules"),
         F.when(refused, F.lit("refused")).otherwise(F.lit("allowed")).alias("decision"),
         F.when(refused, F.lit(0.9)).otherwise(F.lit(1.0)).alias("confidence"),
-        F.when(refused, F.lit("")).otherwise(pii_masked(text)).alias("processed"),
+        F.coalesce(policy_message(policy, templates), left).alias("processed"),
+    )
+
+
+def legacy_input(text: Column, mode: str = "mask") -> Column:
+    """passed, processed, confidence and rules of an input by the older lists: policies first, then personal data."""
+    policy, kinds = policy_category(text, LEGACY_POLICIES), pii_kinds(text, PII[:3])
+    kinds = F.slice(kinds, 1, 1) if mode == "refuse" else kinds
+    names = F.transform(kinds, lambda k: F.when(k == "phone_malaysia", F.lit("phone_my")).otherwise(k))
+    rules = F.transform(names, lambda k: F.concat(F.lit("pii_"), k, F.lit("_refused" if mode == "refuse" else "_masked")))
+    personal = F.size(kinds) > 0
+    stopped = personal if mode == "refuse" else F.lit(False)
+    return F.struct(
+        (policy.isNull() & ~stopped).alias("passed"),
+        F.coalesce(policy_message(policy, LEGACY_TEMPLATES), F.when(stopped, F.lit(LEGACY_REFUSAL)).otherwise(pii_masked(text, PII[:3]))).alias("processed"),
+        F.when(policy.isNotNull(), F.lit(0.9)).when(stopped, F.lit(0.95)).when(personal, F.lit(0.9)).otherwise(F.lit(1.0)).alias("confidence"),
+        F.when(policy.isNotNull(), policy_rules(text, LEGACY_POLICIES)).otherwise(rules).alias("rules"),
     )
 
 
+def guardrail_stats(reports: DataFrame) -> DataFrame:
+    """One row about reports (policy, personal and refused as flags): counts and rates; personal data counts where no policy refused."""
+    count = lambda ok: F.coalesce(F.sum(F.when(ok, 1).otherwise(0)), F.lit(0))
+    own = F.col("personal") & ~F.col("policy")
+    out = reports.agg(F.count("*").alias("total_processed"), count(F.col("policy")).alias("policy_violations"), count(own).alias("pii_detections"), count(F.col("refused")).alias("refusals"), count(own & ~F.col("refused")).alias("maskings"))
+    rate = lambda x: F.coalesce(F.try_divide(F.col(x), F.col("total_processed")), F.lit(0.0))
+    return out.select("*", rate("refusals").alias("refusal_rate"), rate("pii_detections").alias("pii_detection_rate"))
+
+
 def answer_problems(body: Column) -> Column:
     """What is wrong with an answer's JSON text: its object, answer, citations, confidence or escalation."""
     found = F.from_json(json_object(body), "answer string, citations array<struct<section_id:string,snippet:string>>, confidence string, should_escalate boolean")

@@ -89,10 +89,11 @@ SELECT conv_id, turn, {category} AS category, array_to_string(list_filter([{rule
 
 def guarding() -> str:
     hit = " OR ".join(any_of("lower(q)", ws) for ws in governance.POLICIES.values())
+    said = "CASE " + " ".join(f"WHEN {any_of('lower(q)', ws)} THEN {q(governance.POLICY_TEMPLATES[name])}" for name, ws in governance.POLICIES.items()) + " END"
     personal = " OR ".join(f"regexp_matches(q, {q(p)})" for _, p, _ in governance.PII)
     return f"""WITH a AS (SELECT conv_id, turn, text || CASE WHEN conv_id % 4 = 0 THEN ' mail a.b@example.com' ELSE '' END AS q FROM conversations), b AS (SELECT *, {hit} AS p, {personal} AS i FROM a)
 SELECT conv_id, turn, concat_ws(',', CASE WHEN p THEN 'policy_violation' END, CASE WHEN i THEN 'pii_masked' END) AS flags, CASE WHEN p THEN 'refused' ELSE 'allowed' END AS decision, CASE WHEN p THEN 0.9 ELSE 1.0 END::DOUBLE AS confidence,
-  md5(CASE WHEN p THEN '' ELSE {masked('q')} END) AS processed FROM b"""
+  md5(CASE WHEN p THEN {said} ELSE {masked('q')} END) AS processed FROM b"""
 
 
 def citing() -> str:
@@ -180,9 +181,10 @@ def personal(x: str) -> str:
 def reporting() -> str:
     ends = listing(("Take 12 days of annual leave.", "Take 90 days of annual leave.", "You should sue them.", "Expect triple compensation.", "Write to a.b@example.com."))
     return f"""WITH a AS (SELECT o_orderkey, o_orderkey % 30 AS n, 'Section ' || o_orderkey % 30 || ' says so. ' || {ends}[o_orderkey % 5 + 1] AS t FROM orders),
-b AS (SELECT o_orderkey, n > 24 AS c, contains(t, '90 days') AS m, regexp_matches(lower(t), {q('|'.join(answers.HALLUCINATIONS))}) AS h, regexp_matches(lower(t), {q('|'.join(answers.ADVICE))}) AS v, {personal('t')} AS p FROM a)
-SELECT o_orderkey, concat_ws(',', CASE WHEN c THEN 'invalid_citations' END, CASE WHEN m THEN 'numeric_out_of_bounds' END, CASE WHEN h THEN 'hallucination' END, CASE WHEN v THEN 'inappropriate_advice' END, CASE WHEN p THEN 'pii_leak' END) AS flags,
-  CASE WHEN c OR m THEN 'escalated' WHEN h OR v OR p THEN 'refused' ELSE 'allowed' END AS decision, CASE WHEN c OR m OR h OR v OR p THEN 0.8 ELSE 1.0 END::DOUBLE AS confidence FROM b"""
+b AS (SELECT o_orderkey, n, t, n > 24 AS c, contains(t, '90 days') AS m, regexp_matches(lower(t), {q('|'.join(answers.HALLUCINATIONS))}) AS h, regexp_matches(lower(t), {q('|'.join(answers.ADVICE))}) AS v, {personal('t')} AS p FROM a)
+SELECT o_orderkey, concat_ws(',', CASE WHEN c THEN 'invalid_citations' END, CASE WHEN m THEN 'numeric_out_of_bounds' END, CASE WHEN h THEN 'hallucination_pattern' END, CASE WHEN v THEN 'inappropriate_advice' END, CASE WHEN p THEN 'output_pii_detected' END) AS flags,
+  CASE WHEN c OR m THEN 'escalated' WHEN h OR v OR p THEN 'refused' ELSE 'allowed' END AS decision, CASE WHEN c OR m OR h OR v OR p THEN 0.8 ELSE 1.0 END::DOUBLE AS confidence, concat_ws(',', CASE WHEN c THEN 'invalid_citations' END, CASE WHEN m THEN 'numeric_bounds' END) AS reasons,
+  concat_ws(',', CASE WHEN c THEN 'citation_invalid_EA-' || n END, CASE WHEN m THEN 'numeric_invalid_annual_leave,numeric_invalid_annual_leave' END, CASE WHEN h THEN 'hallucination_triple compensation' END, CASE WHEN v THEN 'inappropriate_you should sue' END, CASE WHEN p THEN 'output_pii_email' END) AS rules, md5(CASE WHEN c OR m OR h OR v OR p THEN {q(answers.FILTERED)} ELSE t END) AS processed FROM b"""
 
 
 def flagging() -> str:

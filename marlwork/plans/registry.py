@@ -364,7 +364,8 @@ def output_report(spark, d):
     text = F.concat(F.lit("Section "), (key % 30).cast("string"), F.lit(" says so. "), F.element_at(F.array(*map(F.lit, ends)), (key % 5 + 1).cast("int")))
     known = F.array(*(F.lit(f"EA-{n}") for n in range(25)))
     rows = table(spark, d, "orders").select("o_orderkey", answers.output_report(text, known).alias("r"))
-    return rows.select("o_orderkey", F.array_join("r.flags", ",").alias("flags"), "r.decision", "r.confidence")
+    line = lambda x, name: F.array_join(x, ",").alias(name)
+    return rows.select("o_orderkey", line("r.flags", "flags"), "r.decision", "r.confidence", line("r.escalation_reasons", "reasons"), line("r.rules", "rules"), F.md5("r.processed").alias("processed"))
 
 
 @query
