@@ -71,3 +71,8 @@ def word_f1(a: Column, b: Column) -> Column:
     x, y = F.array_distinct(tokens(a)), F.array_distinct(tokens(b))
     common = F.size(F.array_intersect(x, y))
     return F.when((F.size(x) == 0) & (F.size(y) == 0), F.lit(1.0)).when(common == 0, F.lit(0.0)).otherwise(2.0 * common / (F.size(x) + F.size(y)))
+
+
+def unique_ratio(text: Column) -> Column:
+    """The share of a text's lower-case words that are distinct; 0 for a text without words."""
+    return once(tokens(text), lambda w: F.when(F.size(w) > 0, F.size(F.array_distinct(w)) / F.greatest(F.size(w), F.lit(1))).otherwise(F.lit(0.0)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlwork.functions.text import first_group, last_index, stripped
+from marlwork.functions.text import first_group, last_index, once, stripped
 
 #: Patterns of section ids, tried in this order, in either case. Fixed values.
 SECTION_PATTERNS = [
@@ -42,26 +42,39 @@ def chunk_bounds(docs: DataFrame, size: int = 1000, overlap: int = 300, least: i
     that lies in its second half, else behind its last blank line, else behind its last line feed, else at its full
     size. A last window shorter than `least` is appended to the chunk before it, from that chunk's end on: its tail.
     Chunks of fewer than `least` stripped characters are left out; shorter documents are one chunk, empty ones none.
+    A document is cut in its row, without a shuffle.
     """
     step = size - overlap
-    text, length = F.col("text"), F.length("text")
-    steps = F.greatest(F.lit(0), F.ceil((length - size) / step)).cast("int")
-    windows = docs.where(F.length("text") > 0).select("doc_id", "text", F.explode(F.sequence(F.lit(0), steps * step, F.lit(step))).alias("start_pos"))
-    window = F.substring(text, F.col("start_pos") + 1, F.lit(size))
-    dot, blank, line = (last_index(window, x) for x in (".", "\n\n", "\n"))
-    inner = F.when(dot > size // 2, dot + 1).when(blank > 0, blank + 2).when(line > 0, line + 1).otherwise(F.lit(size))
-    is_last = F.col("start_pos") + size >= length
-    cut = windows.withColumn("end_pos", F.when(is_last, length).otherwise(F.col("start_pos") + inner))
-    short = length < least
-    cut = cut.withColumn("body", stripped(F.substring(text, F.col("start_pos") + 1, F.col("end_pos") - F.col("start_pos"))))
-    cut = cut.withColumn("tiny", is_last & (length - F.col("start_pos") < least) & (F.col("start_pos") > 0))
-    kept = cut.where(F.col("tiny") | short | (F.length("body") >= least))
-    by_doc = Window.partitionBy("doc_id").orderBy("start_pos")
-    kept = kept.withColumn("next_tiny", F.coalesce(F.lead("tiny").over(by_doc), F.lit(False))).withColumn("chunk_index", F.row_number().over(by_doc) - 1)
-    tail = F.when(F.col("next_tiny"), F.substring(text, F.col("end_pos") + 1, length)).otherwise(F.lit(""))
-    # Without a chunk before it a tiny window stands by itself, and needs its length as any other.
-    alone = ~F.col("tiny") | ((F.col("chunk_index") == 0) & (F.length("body") >= least))
-    return kept.where(alone).select("doc_id", "chunk_index", "start_pos", F.when(F.col("next_tiny"), length).otherwise(F.col("end_pos")).alias("end_pos"), "body", tail.alias("tail"))
+    more = -(-overlap // step)  # blocks of `step` characters that a window reaches into behind its own
+    n, blocks = F.col("n"), F.col("blocks")
+    cut = docs.where(F.length("text") > 0).select("doc_id", F.length("text").alias("n"), F.regexp_extract_all("text", F.lit(f"(?s).{{1,{step}}}"), F.lit(0)).alias("blocks"))
+    last = F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int")
+
+    def window(i: Column, text: Column) -> Column:
+        dot, blank, line = (last_index(text, x) for x in (".", "\n\n", "\n"))
+        inner = F.when(dot > size // 2, dot + 1).when(blank > 0, blank + 2).when(line > 0, line + 1).otherwise(F.lit(size))
+        end = F.when(i == last, n).otherwise(i * step + inner)
+        body = lambda e: stripped(F.substring(text, F.lit(1), e - i * step))
+        tiny = (i == last) & (n - i * step < least) & (i > 0)
+        return once(end, lambda e: F.struct((i * step).alias("start_pos"), e.alias("end_pos"), body(e).alias("body"), tiny.alias("tiny")))
+
+    part = lambda i: F.substring(F.array_join(F.slice(blocks, i + 1, F.lit(1 + more)), ""), 1, size)
+    every = F.transform(F.sequence(F.lit(0), last), lambda i: once(part(i), lambda text: window(i, text)))
+    kept = F.filter(every, lambda w: w["tiny"] | (n < least) | (F.length(w["body"]) >= least))
+
+    def numbered(windows: Column) -> Column:
+        def placed(w: Column, i: Column) -> Column:
+            joined = F.coalesce(F.get(windows, i + 1)["tiny"], F.lit(False))
+            rest = F.array_join(F.slice(blocks, (w["start_pos"] / step).cast("int") + 1, F.size(blocks)), "")
+            tail = F.when(joined, F.substring(rest, w["end_pos"] - w["start_pos"] + 1, n)).otherwise(F.lit(""))
+            # Without a chunk before it a tiny window stands by itself, and needs its length as any other.
+            alone = ~w["tiny"] | ((i == 0) & (F.length(w["body"]) >= least))
+            end = F.when(joined, n).otherwise(w["end_pos"])
+            return F.struct(i.alias("chunk_index"), w["start_pos"].alias("start_pos"), end.alias("end_pos"), w["body"].alias("body"), tail.alias("tail"), alone.alias("alone"))
+
+        return F.filter(F.transform(windows, placed), lambda w: w["alone"])
+
+    return cut.select("doc_id", F.explode(once(kept, numbered)).alias("w")).select("doc_id", "w.chunk_index", "w.start_pos", "w.end_pos", "w.body", "w.tail")
 
 
 def chunk(docs: DataFrame, size: int = 1000, overlap: int = 300, least: int = 100, label: str = "Employment Act Section") -> DataFrame:
@@ -119,6 +132,14 @@ def clean_lines(text: Column) -> Column:
     return F.array_join(F.transform(good, lambda x: F.regexp_replace(x, r"(?U)\s+", " ")), "\n")
 
 
+def corpus_report(docs: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """One row: how many documents, chunks and vectors there are, and the first chunk's id, section and length."""
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    first = chunks.agg(F.min_by(F.struct("chunk_id", "section_id", "length"), F.struct("doc_id", "chunk_index")).alias("x"))
+    out = count(docs, "n_docs").crossJoin(count(chunks, "n_chunks")).crossJoin(count(vectors, "n_vectors")).crossJoin(first)  # one row each
+    return out.select("n_docs", "n_chunks", "n_vectors", F.col("x.chunk_id").alias("first_chunk"), F.col("x.section_id").alias("first_section"), F.col("x.length").alias("first_length"))
+
+
 def chunk_stats(chunks: DataFrame) -> DataFrame:
     return chunks.agg(
         F.countDistinct("doc_id").alias("n_docs"),

@@ -77,6 +77,14 @@ def reward(response: Column) -> Column:
     )
 
 
+def reward_rates(rows: DataFrame, reward: str) -> DataFrame:
+    """One row: n, mean, sample deviation, how many rewards are above, at and below 0, and their shares."""
+    r = F.col(reward)
+    count = lambda ok: F.coalesce(F.sum(F.when(ok, 1).otherwise(0)), F.lit(0))
+    out = rows.agg(F.count(r).alias("n"), F.round(F.avg(r), 6).alias("mean"), F.round(F.stddev_samp(r), 6).alias("deviation"), count(r > 0).alias("positive"), count(r == 0).alias("neutral"), count(r < 0).alias("negative"))
+    return out.select("*", *(F.round(F.coalesce(F.try_divide(F.col(x), F.col("n")), F.lit(0.0)), 6).alias(f"{x}_rate") for x in ("positive", "neutral", "negative")))
+
+
 def normalised_rewards(rows: DataFrame, reward: str) -> DataFrame:
     """rows with `normal`: the reward less its mean, by its deviation; 0 everywhere for a single row."""
     total = rows.agg(F.avg(reward).alias("mean"), F.stddev_pop(reward).alias("deviation"))  # one row

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlwork.functions.text import once, tokens, word_f1
+from marlwork.sources.durable import few, kept
 
 #: Replacements of query terms, applied one after the other. Fixed values.
 REWRITES = [
@@ -76,62 +82,149 @@ TOPICS = {
 }
 
 
+@dataclass(frozen=True)
+class Index:
+    """postings (term, doc_id, dl, tf), terms (term, df, idf) and the mean length of a document."""
+
+    postings: DataFrame
+    terms: DataFrame
+    average: float
+
+
 def postings(docs: DataFrame) -> DataFrame:
-    """term, doc_id, tf."""
-    return docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    """term, doc_id, dl, tf and opens: 1 in one row of each document. A document without words has a row without a term."""
+    words = docs.select("doc_id", tokens(F.col("text")).alias("w")).select("doc_id", F.greatest(F.size("w"), F.lit(0)).alias("dl"), F.posexplode_outer("w").alias("pos", "term"))
+    return words.groupBy("term", "doc_id", "dl").agg(F.count("term").alias("tf"), F.max((F.coalesce("pos", F.lit(0)) == 0).cast("int")).alias("opens"))
+
+
+def index(docs: DataFrame, epsilon: float = 0.25) -> Index:
+    """The index of docs (doc_id, text), which are cut into words once; terms in most documents get `epsilon` times the mean idf."""
+    return indexed(kept(postings(docs)), epsilon)
+
+
+def indexed(rows: DataFrame, epsilon: float = 0.25) -> Index:
+    """The index of stored postings."""
+    total = rows.agg(F.sum("opens").alias("n"), F.sum("tf").alias("words")).first()
+    n = total["n"] or 0
+    df = rows.where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
+    raw = kept(df.withColumn("raw", F.ln(n - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)))
+    mean = raw.agg(F.avg("raw").alias("mean")).first()["mean"] or 0.0
+    terms = raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(epsilon * mean)).otherwise(F.col("raw")).alias("idf"))
+    return Index(rows.where("term is not null").select("term", "doc_id", "dl", "tf"), terms, (total["words"] or 0) / n if n else 0.0)
+
+
+def write_index(docs: DataFrame, path: str, buckets: int = 64) -> None:
+    """Stores the postings of docs, in `buckets` folders by the hash of the term."""
+    bucket = F.pmod(F.xxhash64(F.coalesce("term", F.lit(""))), F.lit(buckets)).cast("int")
+    postings(docs).withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+
+
+def read_index(spark: SparkSession, path: str, epsilon: float = 0.25) -> Index:
+    """The stored index. Vectors stored at its side are read_vectors()'; a search goes without where there are none."""
+    return indexed(spark.read.parquet(f"{path}/postings").drop("bucket"), epsilon)
 
 
-def term_stats(docs: DataFrame, epsilon: float = 0.25) -> DataFrame:
-    """term, df and idf; terms in most documents get `epsilon` times the mean idf."""
-    df = docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(docs.agg(F.count("*").alias("n")))).select("term", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))  # one row
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+def write_vectors(vectors: DataFrame, path: str) -> None:
+    vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame | None:
+    """The vectors stored beside an index; None, for a search by words alone, where they can't be read."""
+    try:
+        return spark.read.parquet(f"{path}/vectors")
+    except AnalysisException:
+        return None
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """found() in the index of docs (doc_id, text)."""
+    return found(index(docs), queries, k, k1, b)
+
+
+def found(own: Index, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """query_id, rank, doc_id, score of the k best documents of each query (query_id, query) that score above 0.
 
-    A word counts as often as the query has it; ties go to the smaller doc_id. Only postings of query words are formed.
+    A word counts as often as the query has it. Scores that agree to ten digits are ties, as sums come in any order;
+    these go to the smaller doc_id. The queries' words meet the postings where these are, unless there are very many.
     """
     wanted = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    lengths = docs.select("doc_id", F.size(tokens(F.col("text"))).alias("dl"))
-    average = lengths.agg(F.avg("dl").alias("avgdl"))
-    words = wanted.select("term").distinct()
-    found = docs.select("doc_id", tokens(F.col("text")).alias("words")).select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    tf = found.join(words, "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    scored = tf.join(term_stats(docs), "term").join(wanted, "term").crossJoin(F.broadcast(average))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    total = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return top(total, "doc_id", k).where("score > 0").select("query_id", "rank", "doc_id", "score")
+    weighed = few(wanted.join(own.terms, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")))
+    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / own.average)) if own.average else F.lit(0.0)
+    total = own.postings.join(weighed, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    return top(total, "doc_id", k).where("score > 0").select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 def top(scored: DataFrame, key: str, k: int) -> DataFrame:
-    """The k rows of each query_id with the highest score; ties go to the smaller key."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    """The k rows of each query_id with the highest score, to ten digits; ties go to the smaller key."""
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 10)), key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def normalised_vector(v: Column) -> Column:
+    """A vector at length 1; null if it is zero or null."""
+    size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.when(size > 0, once(size, lambda n: F.transform(v, lambda x: x.cast("double") / n)))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, rank, doc_id, score (cosine) of the k nearest vectors (doc_id, v) of each query (query_id, q): a stated query set against all rows."""
-    length = lambda x: F.sqrt(dot(x, x))
-    left = vectors.select("doc_id", "v", length(F.col("v")).alias("n"))
-    right = queries.select("query_id", "q", length(F.col("q")).alias("m"))
-    scored = left.join(right, (F.col("n") > 0) & (F.col("m") > 0)).select("query_id", "doc_id", F.round(dot(F.col("v"), F.col("q")) / (F.col("n") * F.col("m")), 6).alias("score"))
-    return top(scored, "doc_id", k).select("query_id", "rank", "doc_id", "score")
+def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 2048) -> DataFrame:
+    """query_id, rank, doc_id, score (cosine) of the k nearest vectors (doc_id, v) of each query (query_id, q).
 
+    A stated query set against all rows: blocks of `block` vectors meet blocks of as many queries, and each pair of
+    blocks keeps k rows of a query. Null and zero vectors take no part; vectors meet queries of their own size.
+    """
 
-def hybrid(sparse: DataFrame, near: DataFrame, docs: DataFrame, queries: DataFrame, cap: int = 40, k: int = 8) -> DataFrame:
-    """query_id, rank, doc_id, score: both candidate lists united, capped by their best rank, reranked by word overlap."""
-    both = sparse.select("query_id", "doc_id", "rank").union(near.select("query_id", "doc_id", "rank")).groupBy("query_id", "doc_id").agg(F.min("rank").alias("best"))
+    def packed(key: str, value: str) -> Callable:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for dim, part in pdf.groupby(pdf[value].map(len)):
+                    for lo in range(0, len(part), block):
+                        some = part.iloc[lo : lo + block]
+                        yield pd.DataFrame({"dim": [dim], f"{value}_ids": [some[key].to_numpy(np.int64).tobytes()], value: [np.stack(some[value].to_list()).astype(np.float64).tobytes()]})
+
+        return run
+
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                ids, asked = np.frombuffer(r.v_ids, np.int64), np.frombuffer(r.q_ids, np.int64)
+                scores = np.frombuffer(r.q).reshape(len(asked), -1) @ np.frombuffer(r.v).reshape(len(ids), -1).T
+                for lo in range(0, len(asked), 128):
+                    some = np.round(scores[lo : lo + 128], 10)
+                    # The k-th best score of each query; all that reach it go on, so that ties are settled by id.
+                    least = np.partition(some, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]
+                    q, c = np.nonzero(some >= least[:, None])
+                    yield pd.DataFrame({"query_id": asked[lo + q], "doc_id": ids[c], "score": scores[lo : lo + 128][q, c]})
+
+    unit = lambda df, key, value: df.select(F.col(key).cast("long").alias(key), normalised_vector(F.col(value)).alias(value)).where(F.col(value).isNotNull() & F.col(key).isNotNull())
+    left = unit(vectors, "doc_id", "v").mapInPandas(packed("doc_id", "v"), "dim int, v_ids binary, v binary")
+    right = few(unit(queries, "query_id", "q").repartition(4).mapInPandas(packed("query_id", "q"), "dim int, q_ids binary, q binary"), 16)
+    scored = left.join(right, "dim").drop("dim").mapInPandas(met, "query_id long, doc_id long, score double")
+    return top(scored, "doc_id", k).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+def hybrid(sparse: DataFrame, near: DataFrame | None, docs: DataFrame, queries: DataFrame, cap: int = 40, k: int = 8, rerank: Callable[[Column, Column], Column] = word_f1) -> DataFrame:
+    """query_id, rank, doc_id, score: both candidate lists united, capped by their best rank, reranked.
+
+    `rerank` scores query and text; a model takes its place as a pandas UDF of the two. Without `near` the words decide alone.
+    """
+    lists = sparse.select("query_id", "doc_id", "rank")
+    lists = lists if near is None else lists.union(near.select("query_id", "doc_id", "rank"))
+    both = lists.groupBy("query_id", "doc_id").agg(F.min("rank").alias("best"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("best", "doc_id"))
-    capped = both.withColumn("place", place).where(F.col("place") <= cap)
-    scored = capped.join(docs.select("doc_id", "text"), "doc_id").join(queries.select("query_id", "query"), "query_id")
-    return top(scored.select("query_id", "doc_id", F.round(word_f1(F.col("query"), F.col("text")), 6).alias("score")), "doc_id", k).select("query_id", "rank", "doc_id", "score")
+    capped = few(both.withColumn("place", place).where(F.col("place") <= cap))
+    scored = docs.select("doc_id", "text").join(capped, "doc_id").join(queries.select("query_id", "query"), "query_id")
+    ranked = top(scored.select("query_id", "doc_id", rerank(F.col("query"), F.col("text")).alias("score")), "doc_id", k)
+    return ranked.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+def in_scope(queries: DataFrame) -> DataFrame:
+    """queries (query_id, query) without those out of scope, which have no hits."""
+    return queries.where(~out_of_scope(F.col("query")))
+
+
+def lookup(docs: DataFrame, wanted: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of docs that `wanted` names by key."""
+    return docs.join(few(wanted.select(key).distinct()), key, "left_semi")
 
 
 def boosted(hits: DataFrame, priority: Column, k: int, boost: float = 2.0) -> DataFrame:

@@ -65,10 +65,10 @@ def model_key(*parts: Column) -> Column:
 
 
 def severance_summary(severance: Column, notice: Column, leave: Column, total: Column, formula: Column) -> Column:
-    """The summary of a calculation in lines."""
+    """The summary of a calculation in lines; null where there is no total."""
     amount = lambda name, x: F.concat(F.lit(f"{name}: RM "), F.format_number(x, 2))
     lines = [F.lit("SEVERANCE CALCULATION SUMMARY"), F.lit("=" * 35), amount("Severance Pay", severance), amount("Notice Pay", notice), amount("Annual Leave Pay", leave), amount("TOTAL COMPENSATION", total), F.lit(""), F.concat(F.lit("Formula Used: "), formula)]
-    return F.array_join(F.array(*lines), "\n")
+    return F.when(total.isNotNull(), F.array_join(F.array(*lines), "\n"))
 
 
 def calculator_reason(reason: Column) -> Column:

@@ -30,23 +30,24 @@ def f1(a: str, b: str) -> str:
     return f"CASE WHEN len({x}) = 0 AND len({y}) = 0 THEN 1.0 WHEN len(list_intersect({x}, {y})) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect({x}, {y})) / (len({x}) + len({y})) END"
 
 
-QUERIES = f"sq AS (SELECT item_id AS query_id, array_to_string({words('text')}[1:8], ' ') AS query FROM benchmark)"
-TERMS = f"""tk AS (SELECT doc_id, source, {words('text')} AS w FROM documents),
-st AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(w)) AS term FROM tk) GROUP BY term),
-rw AS (SELECT term, df, ln((SELECT count(*) FROM tk) - df + 0.5) - ln(df + 0.5) AS raw FROM st),
+QUERIES = "sq AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
+TERMS = f"""tk AS MATERIALIZED (SELECT doc_id, source, {words('text')} AS w FROM documents),
+st AS MATERIALIZED (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(w)) AS term FROM tk) GROUP BY term),
+rw AS MATERIALIZED (SELECT term, df, ln((SELECT count(*) FROM tk) - df + 0.5) - ln(df + 0.5) AS raw FROM st),
 idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM rw) ELSE raw END AS idf FROM rw)"""
 BM25 = f"""{TERMS}, {QUERIES},
 qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({words('query')}) AS term FROM sq) GROUP BY ALL),
 tf AS (SELECT doc_id, any_value(dl) AS dl, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM tk) WHERE term IN (SELECT term FROM qt) GROUP BY doc_id, term),
-sc AS (SELECT query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(len(w)) FROM tk)))), 6) AS score FROM tf JOIN idf USING (term) JOIN qt USING (term) GROUP BY query_id, doc_id),
-bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc)"""
+av AS MATERIALIZED (SELECT avg(len(w)) AS a FROM tk),
+sd AS (SELECT query_id, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))) AS raw FROM tf JOIN idf USING (term) JOIN qt USING (term), av GROUP BY query_id, doc_id),
+bm AS (SELECT query_id, doc_id, round(raw, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 10) DESC, doc_id) AS rank FROM sd)"""
 
 
 def dense(right: str, k: int) -> str:
     """A CTE nn of the k nearest vectors of the queries of `right` (query_id, q)."""
     dot = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
-    return f"""nn AS (SELECT * FROM (SELECT query_id, vec_id AS doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM
-  (SELECT query_id, vec_id, round({dot('embedding', 'q')} / (sqrt({dot('embedding', 'embedding')}) * sqrt({dot('q', 'q')})), 6) AS score FROM embeddings, {right})) WHERE rank <= {k})"""
+    return f"""nn AS (SELECT * FROM (SELECT query_id, vec_id AS doc_id, round(raw, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 10) DESC, vec_id) AS rank FROM
+  (SELECT query_id, vec_id, {dot('embedding', 'q')} / (sqrt({dot('embedding', 'embedding')}) * sqrt({dot('q', 'q')})) AS raw FROM embeddings, {right})) WHERE rank <= {k})"""
 
 
 def expansion() -> str:
@@ -250,7 +251,7 @@ def all_sql() -> dict[str, str]:
         "sft_questions": asking(),
         "token_stream": streaming(),
         "failure_category": failing(),
-        "context_filter": f"""WITH {BM25}, hi AS (SELECT query_id, rank, doc_id, score / 60 AS s, count(*) OVER (PARTITION BY query_id) AS n, count(*) FILTER (score / 60 >= 0.3) OVER (PARTITION BY query_id) AS good FROM bm WHERE rank <= 12 AND score > 0)
+        "context_filter": f"""WITH {BM25}, hi AS (SELECT query_id, rank, doc_id, score / 600 AS s, count(*) OVER (PARTITION BY query_id) AS n, count(*) FILTER (score / 600 >= 0.3) OVER (PARTITION BY query_id) AS good FROM bm WHERE rank <= 12 AND score > 0)
 SELECT query_id, rank, doc_id FROM hi WHERE CASE WHEN n < 6 THEN true WHEN good < 6 THEN rank <= 8 ELSE s >= 0.3 END""",
         "unique_instructions": f"""WITH qs AS ({asking()}), ra AS (SELECT doc_id, question, source, row_number() OVER (PARTITION BY lower(trim(question)) ORDER BY doc_id) AS n FROM qs JOIN documents USING (doc_id))
 SELECT doc_id, question || CASE WHEN n > 1 THEN ' [' || source || ']' ELSE '' END AS question FROM ra""",
@@ -262,8 +263,8 @@ SELECT doc_id, question || CASE WHEN n > 1 THEN ' [' || source || ']' ELSE '' EN
         "hybrid_topk": f"""WITH {BM25}, {dense('(SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id IN (SELECT query_id FROM sq))', 20)},
 un AS (SELECT query_id, doc_id, min(rank) AS best FROM (SELECT query_id, doc_id, rank FROM bm WHERE rank <= 30 AND score > 0 UNION ALL SELECT query_id, doc_id, rank FROM nn) GROUP BY ALL),
 cp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best, doc_id) AS place FROM un),
-rr AS (SELECT query_id, doc_id, round({f1('query', 'text')}, 6) AS score FROM cp JOIN documents USING (doc_id) JOIN sq USING (query_id) WHERE place <= 40),
-rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM rr) SELECT query_id, rank, doc_id, score FROM rk WHERE rank <= 8""",
+rr AS (SELECT query_id, doc_id, {f1('query', 'text')} AS raw FROM cp JOIN documents USING (doc_id) JOIN sq USING (query_id) WHERE place <= 40),
+rk AS (SELECT query_id, doc_id, round(raw, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 10) DESC, doc_id) AS rank FROM rr) SELECT query_id, rank, doc_id, score FROM rk WHERE rank <= 8""",
         "boosted_topk": f"""WITH {BM25}, bb AS (SELECT query_id, doc_id, rank, round(score + CASE WHEN source IN ('src1', 'src2') THEN 2.0 ELSE 0.0 END, 6) AS score FROM bm JOIN documents USING (doc_id) WHERE rank <= 20 AND score > 0),
 bk AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS rank FROM bb) SELECT query_id, rank, doc_id, score FROM bk WHERE rank <= 8""",
         "query_expand": expansion(),
@@ -312,7 +313,7 @@ SELECT doc_id, source FROM r JOIN u USING (source) WHERE k <= quota""",
         "dataset_validation": f"WITH {PREF} SELECT count(*) AS n, count(*) FILTER (NOT contains(chosen, 'According to')) AS uncited, count(*) FILTER (chosen = rejected) AS same, count(DISTINCT prompt) AS prompts, count(*) FILTER (length(chosen) < 40) AS short FROM pp",
         "severance": severance(),
         "model_routing": routing(),
-        "answer_confidence": f"""WITH {BM25}, ls AS (SELECT query_id, list(score / 100 ORDER BY rank) AS s FROM bm WHERE rank <= 10 AND score > 0 GROUP BY query_id)
+        "answer_confidence": f"""WITH {BM25}, ls AS (SELECT query_id, list(score / 1000 ORDER BY rank) AS s FROM bm WHERE rank <= 10 AND score > 0 GROUP BY query_id)
 SELECT query_id, round(greatest(0.1, least(s[1] + least(len(list_filter(s, lambda x: x > 0.5)) / 5, 0.2) + CASE WHEN query_id % 2 = 0 THEN 0.1 ELSE 0.0 END, 0.95)), 6) AS confidence FROM ls""",
         "json_extract": "SELECT event_id, md5(nullif(regexp_extract('Answer: ' || props || ' done.', '(?s)\\{.*\\}', 0), '')) AS body FROM events",
         "rate_limit": "SELECT event_id, row_number() OVER (PARTITION BY event_type, date_trunc('minute', ts) ORDER BY ts, event_id) <= 1 AS allowed FROM events",
@@ -320,5 +321,4 @@ SELECT query_id, round(greatest(0.1, least(s[1] + least(len(list_filter(s, lambd
         "active_requests": "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS active FROM events",
         "latest_events": "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 20",
         "changed_events": "SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE event_type IS DISTINCT FROM b",
-        "cache_keys": "SELECT conv_id, turn, 'query:' || sha256('{\"query\": \"' || replace(trim(lower(text), ' '), chr(10), '\\n') || '\"}')[1:16] AS key, sha256('model:' || text)[1:16] AS embedding_key FROM conversations",
     }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marlwork.functions.text import hits, tokens, word_f1
 from marlwork.operators import answers, calculator, chunking, governance, metrics, questions, search, training
-from marlwork.plans import oracle, training_oracle, training_queries
+from marlwork.plans import oracle, service_oracle, service_queries, training_oracle, training_queries
 from marlwork.streaming import serving
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,13 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def search_queries(spark: SparkSession, d: str) -> DataFrame:
-    """query_id and the first eight words of each benchmark item."""
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(tokens(F.col("text")), 1, 8), " ").alias("query"))
+    """query_id and text of each benchmark item."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 @query
 def bm25_index_stats(spark, d):
-    return search.term_stats(table(spark, d, "documents")).select("term", "df", F.round("idf", 6).alias("idf"))
+    return search.index(table(spark, d, "documents")).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query
@@ -307,7 +307,7 @@ def model_routing(spark, d):
 
 @query
 def answer_confidence(spark, d):
-    rows = bm25_topk(spark, d).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "score"))), lambda x: x["score"] / 100).alias("scores"))
+    rows = bm25_topk(spark, d).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "score"))), lambda x: x["score"] / 1000).alias("scores"))
     return rows.select("query_id", F.round(governance.confidence(F.col("scores"), F.col("query_id") % 2 == 0), 6).alias("confidence"))
 
 
@@ -345,16 +345,7 @@ def latest_events(spark, d):
 
 @query
 def changed_events(spark, d):
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = table(spark, d, "events").withColumn("before", F.lag("event_type").over(order))
-    return rows.where(~F.col("event_type").eqNullSafe(F.col("before"))).select("event_id", "user_id", "event_type")
-
-
-@query
-def cache_keys(spark, d):
-    low = F.replace(F.trim(F.lower("text")), F.lit("\n"), F.lit("\\n"))
-    body = F.concat(F.lit('{"query": "'), low, F.lit('"}'))
-    return table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("query:"), F.substring(F.sha2(body, 256), 1, 16)).alias("key"), F.substring(F.sha2(F.concat_ws(":", F.lit("model"), "text"), 256), 1, 16).alias("embedding_key"))
+    return serving.changed(table(spark, d, "events"), "user_id", ("ts", "event_id"), "event_type").select("event_id", "user_id", "event_type")
 
 
 @query
@@ -402,13 +393,13 @@ def token_stream(spark, d):
 
 @query
 def cache_replay_lru(spark, d):
-    return serving.lru_cache(table(spark, d, "events"), "user_id", 20, 3600, 4)
+    return serving.lru_cache(table(spark, d, "events"), "user_id", 20, 3600)
 
 
 @query
 def context_filter(spark, d):
     found = search.bm25(table(spark, d, "documents"), search_queries(spark, d), 12)
-    return search.enough_context(found.withColumn("score", F.col("score") / 60)).select("query_id", "rank", "doc_id")
+    return search.enough_context(found.withColumn("score", F.col("score") / 600)).select("query_id", "rank", "doc_id")
 
 
 @query
@@ -437,8 +428,8 @@ def failure_category(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    return _queries | training_queries.QUERIES
+    return _queries | training_queries.QUERIES | service_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.all_sql() | training_oracle.all_sql()
+    return oracle.all_sql() | training_oracle.all_sql() | service_oracle.all_sql()

@@ -6,6 +6,7 @@ import re
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -20,3 +21,9 @@ def kept(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(where or tempfile.mkdtemp(prefix="marlwork-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def few(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """`df` kept, and marked for broadcast if it has at most `most` rows; a plain join side otherwise."""
+    df = kept(df)
+    return F.broadcast(df) if df.count() <= most else df

@@ -54,28 +54,47 @@ def ordered_fold(rows: DataFrame, keys: list[str], values: list[str], step: Call
 
 
 def folded(events: DataFrame, key: str, *more: Column) -> DataFrame:
-    """What folds read: event_id, key as text (null: empty), at, day and more."""
-    return events.select(F.col("event_id").cast("long"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias(key), F.coalesce(micros("ts"), F.lit(0)).alias("at"), F.coalesce(F.to_date("ts").cast("string"), F.lit("")).alias("day"), *more)
+    """What folds read: event_id, key as text (null: empty), at and more."""
+    return events.select(F.col("event_id").cast("long"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias(key), F.coalesce(micros("ts"), F.lit(0)).alias("at"), *more)
 
 
 def ttl_cache(events: DataFrame, key: str, ttl_seconds: int) -> DataFrame:
     """events (event_id, ts, key) with `hit`: a key is in the cache for `ttl_seconds` from the request that put it there.
 
-    A hit doesn't renew an entry, and an entry ends with its day. A null key is the empty one.
+    A hit doesn't renew an entry. A null key is the empty one.
     """
 
     def step(since: int | None, at: int) -> tuple[int, bool]:
         hit = since is not None and at - since <= ttl_seconds * 1_000_000
         return since if hit else at, hit
 
-    return ordered_fold(folded(events, key), [key, "day"], [], step, lambda: None, "hit", "boolean").drop("day")
+    return ordered_fold(folded(events, key), [key], [], step, lambda: None, "hit", "boolean")
 
 
-def lru_cache(events: DataFrame, key: str, capacity: int, ttl_seconds: int, shards: int = 64) -> DataFrame:
+def tiered_cache(events: DataFrame, key: str, ttl_seconds: int, first_ttl_seconds: int) -> DataFrame:
+    """events (event_id, ts, key) with `tier`: the tier that answers (1 or 2), 0 for none.
+
+    A miss puts the key into both tiers for `ttl_seconds`; what only the second has goes back to the first for
+    `first_ttl_seconds`, which is the first tier's default. Hits of the first tier renew nothing.
+    """
+
+    def step(ends: tuple[int, int], at: int) -> tuple[tuple[int, int], int]:
+        first, second = ends
+        if at <= first:
+            return ends, 1
+        if at <= second:
+            return (at + first_ttl_seconds * 1_000_000, second), 2
+        return (at + ttl_seconds * 1_000_000,) * 2, 0
+
+    return ordered_fold(folded(events, key), [key], [], step, lambda: (-1 << 62, -1 << 62), "tier", "int")
+
+
+def lru_cache(events: DataFrame, key: str, capacity: int, ttl_seconds: int, shards: int = 1) -> DataFrame:
     """event_id and hit of events (event_id, ts, key) before a cache of `shards` servers, `capacity` entries each.
 
-    A key belongs to the server that its hash names. A full server drops the entry that was used least recently; a hit
-    makes an entry the latest but doesn't renew its time to live. Servers begin each day empty.
+    A key belongs to the server that its hash names; one server's requests are one ordered run, so more servers spread
+    the work. A full server drops the entry that was used least recently; a hit makes an entry the latest but doesn't
+    renew its time to live.
     """
 
     def step(entries: OrderedDict, at: int, name: str) -> tuple[OrderedDict, bool]:
@@ -88,14 +107,14 @@ def lru_cache(events: DataFrame, key: str, capacity: int, ttl_seconds: int, shar
         return entries, hit
 
     rows = folded(events, key).withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards)))
-    return ordered_fold(rows, ["shard", "day"], [key], step, OrderedDict, "hit", "boolean").select("event_id", "hit")
+    return ordered_fold(rows, ["shard"], [key], step, OrderedDict, "hit", "boolean").select("event_id", "hit")
 
 
 def circuit_breaker(calls: DataFrame, key: str, most_failures: int = 5, reset_seconds: int = 60) -> DataFrame:
     """event_id, key and state (closed, open, half_open) in which each of calls (event_id, ts, key, ok) finds its service.
 
     `most_failures` failures in a row open the circuit; calls then are rejected and don't count until `reset_seconds`
-    later one is let through, which closes or opens it. Circuits begin each day closed.
+    later one is let through, which closes or opens it.
     """
 
     def step(state: tuple, at: int, ok: bool) -> tuple[tuple, str]:
@@ -107,7 +126,14 @@ def circuit_breaker(calls: DataFrame, key: str, most_failures: int = 5, reset_se
         return (failures, at if again else None), "closed" if opened is None else "half_open"
 
     rows = folded(calls, key, F.coalesce("ok", F.lit(False)).alias("ok"))
-    return ordered_fold(rows, [key, "day"], ["ok"], step, lambda: (0, None), "state", "string").drop("day")
+    return ordered_fold(rows, [key], ["ok"], step, lambda: (0, None), "state", "string")
+
+
+def changed(rows: DataFrame, by: str, order: tuple[str, ...], value: str) -> DataFrame:
+    """rows without those whose value is that of the row before, as a log leaves repeated lines out."""
+    before = F.lag(value).over(Window.partitionBy(by).orderBy(*order))
+    first = F.row_number().over(Window.partitionBy(by).orderBy(*order)) == 1
+    return rows.withColumn("marlwork_kept", first | ~F.col(value).eqNullSafe(before)).where("marlwork_kept").drop("marlwork_kept")
 
 
 def token_stream(requests: DataFrame) -> DataFrame:
