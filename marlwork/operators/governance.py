@@ -282,19 +282,43 @@ def confidence(scores: Column, any_section: Column, escalates: Column | None = N
     return F.when(F.size(scores) == 0, F.lit(0.1)).otherwise(F.greatest(F.lit(0.1), value))
 
 
-def routing_signals(query: Column, top_score: Column, n_sections: Column, flags: Column) -> Column:
-    """Why a query goes to the large model; empty if it doesn't."""
+#: Signals of routing and what a model has to reach, large and small. Fixed values.
+LEAST_SCORE, MANY_SECTIONS, THRESHOLDS = 0.25, 3, (0.8, 0.7)
+
+
+def routing(query: Column, scores: Column, sections: Column, flags: Column, asked: Column) -> Column:
+    """tier, threshold, signals and reasoning of a query with the scores and sections of its hits.
+
+    `asked` tells whether the user asks for a review; null or empty sections don't count, nor do repeated ones.
+    """
     low = F.lower(query)
-    safety = F.array(*(F.lit(x) for x in SAFETY_FLAGS))
-    return F.array_compact(
-        F.array(
-            F.when(holds_any(low, ESCALATION), F.lit("escalation_keywords")),
-            F.when(F.coalesce(top_score, F.lit(0.0)) < 0.25, F.lit("low_retrieval_confidence")),
-            F.when(n_sections >= 3, F.lit("multi_section_synthesis")),
-            F.when(F.arrays_overlap(flags, safety), F.lit("safety_policy_hits")),
-            F.when(holds_any(low, COMPLEX), F.lit("complex_legal_language")),
+    best = F.coalesce(F.array_max(scores), F.lit(0.0))
+    n = F.size(F.array_distinct(F.filter(sections, lambda s: F.coalesce(s, F.lit("")) != "")))
+    safety = F.filter(flags, lambda x: x.isin(SAFETY_FLAGS))
+    words, legal = hits(low, ESCALATION), hits(low, COMPLEX)
+    said = lambda before, xs: F.concat(F.lit(before), F.array_join(xs, ", "))
+    rules = [
+        (F.coalesce(asked, F.lit(False)), "explicit_user_request", F.lit("User explicitly requested review/escalation")),
+        (F.size(words) > 0, "escalation_keywords", said("Query contains escalation keywords: ", words)),
+        (best < LEAST_SCORE, "low_retrieval_confidence", F.concat(F.lit("Low retrieval confidence: top_score="), F.format_string("%.3f", best), F.lit(f" < {LEAST_SCORE}"))),
+        (n >= MANY_SECTIONS, "multi_section_synthesis", F.concat(F.lit("Multi-section synthesis required: "), n.cast("string"), F.lit(f" sections >= {MANY_SECTIONS}"))),
+        (F.size(safety) > 0, "safety_policy_hits", said("Safety/policy flags triggered: ", safety)),
+        (F.size(legal) > 0, "complex_legal_language", said("Complex legal language detected: ", legal)),
+    ]
+    signals = F.array_compact(F.array(*(F.when(ok, F.lit(name)) for ok, name, _ in rules)))
+    reasons = F.array_compact(F.array(*(F.when(ok, why) for ok, _, why in rules)))
+
+    def decided(x: Column) -> Column:
+        large = F.size(x) > 0
+        first = F.when(large, F.lit("ESCALATED to large model")).otherwise(F.lit("Using default small model"))
+        return F.struct(
+            F.when(large, F.lit("large")).otherwise(F.lit("small")).alias("tier"),
+            F.when(large, F.lit(THRESHOLDS[0])).otherwise(F.lit(THRESHOLDS[1])).alias("threshold"),
+            x.alias("signals"),
+            F.concat(F.array(first), reasons).alias("reasoning"),
         )
-    )
+
+    return once(signals, decided)
 
 
 def first_citation(text: Column) -> Column:

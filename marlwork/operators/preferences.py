@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlwork.functions.text import stripped, tokens
@@ -261,3 +263,20 @@ def fixed_subset(rows: DataFrame, wanted: DataFrame, key: str = "pair_id", most:
     missing = ids.join(rows.select(key), key, "left_anti")
     counts = ids.agg(F.count("*").alias("expected")).crossJoin(found.agg(F.count("*").alias("found"))).crossJoin(missing.agg(F.count("*").alias("missing")))
     return found.orderBy(key).limit(most), counts.withColumn("integrity_ok", F.col("missing") == 0)
+
+
+def dpo_rows(made: DataFrame, system: str, template: Callable[[Column], Column] | None = None) -> DataFrame:
+    """prompt, chosen and rejected of made: the prompt as `template` writes its messages (role, content), the answers as they are."""
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    plain = lambda ms: F.concat(F.array_join(F.transform(ms, lambda m: F.concat(F.lit("<|"), m["role"], F.lit("|>\n"), m["content"], F.lit("\n"))), ""), F.lit("<|assistant|>\n"))
+    messages = F.array(message("system", F.lit(system)), message("user", F.col("prompt")))
+    return made.select("pair_id", (template or plain)(messages).alias("prompt"), "chosen", "rejected")
+
+
+def cycled_prompts(spark: SparkSession, prompts: list[str], n: int) -> DataFrame:
+    """id and prompt of `n` prompts: those given in turn, from the second round on in one of four variations."""
+    id_, size = F.col("id"), len(prompts)
+    base = F.get(citations.literal(prompts), (id_ % size).cast("int"))
+    low = F.lower(base)
+    varied = F.array(F.concat(F.lit("According to Malaysian law, "), low), F.concat(F.lit("Under the Employment Act, "), low), F.concat(F.lit("What does the Employment Act say about: "), F.replace(low, F.lit("?"), F.lit(""))), base)
+    return spark.range(n).select("id", F.when(id_ < size, base).otherwise(F.get(varied, (id_ % 4).cast("int"))).alias("prompt"))

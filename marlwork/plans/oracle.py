@@ -166,9 +166,13 @@ SELECT c_custkey, CASE WHEN error IS NULL THEN floor(s * 100 + 0.5::DOUBLE) / 10
 
 
 def routing() -> str:
-    return f"""WITH a AS (SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN {any_of('lower(text)', governance.ESCALATION)} THEN 'escalation_keywords' END, CASE WHEN conv_id % 10 / 10.0 < 0.25 THEN 'low_retrieval_confidence' END,
-  CASE WHEN conv_id % 5 >= 3 THEN 'multi_section_synthesis' END, CASE WHEN conv_id % 7 = 0 THEN 'safety_policy_hits' END, CASE WHEN {any_of('lower(text)', governance.COMPLEX)} THEN 'complex_legal_language' END], lambda x: x IS NOT NULL), ',') AS signals
-FROM conversations WHERE role = 'user') SELECT *, CASE WHEN signals = '' THEN 'small' ELSE 'large' END AS tier FROM a"""
+    some = lambda parts: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN contains(lower(t), {q(p)}) THEN {q(p)} END" for p in parts) + "], lambda z: z IS NOT NULL), ', ')"
+    return f"""WITH a AS (SELECT conv_id, turn, CASE WHEN conv_id % 6 = 0 THEN 'A complex review with an exception? ' ELSE '' END || text AS t, conv_id AS k FROM conversations WHERE role = 'user'),
+b AS (SELECT *, {some(governance.ESCALATION)} AS w, {some(governance.COMPLEX)} AS l, greatest(k % 10 / 10, 0.1) AS s FROM a),
+c AS (SELECT *, concat_ws(',', CASE WHEN k % 9 = 0 THEN 'explicit_user_request' END, CASE WHEN w <> '' THEN 'escalation_keywords' END, CASE WHEN s < 0.25 THEN 'low_retrieval_confidence' END, CASE WHEN k % 5 >= 2 THEN 'multi_section_synthesis' END, CASE WHEN k % 7 = 0 THEN 'safety_policy_hits' END, CASE WHEN l <> '' THEN 'complex_legal_language' END) AS signals,
+  concat_ws('|', CASE WHEN k % 9 = 0 THEN 'User explicitly requested review/escalation' END, CASE WHEN w <> '' THEN 'Query contains escalation keywords: ' || w END, CASE WHEN s < 0.25 THEN 'Low retrieval confidence: top_score=' || format('{{:.3f}}', s::DOUBLE) || ' < 0.25' END, CASE WHEN k % 5 >= 2 THEN 'Multi-section synthesis required: ' || (k % 5 + 1) || ' sections >= 3' END,
+  CASE WHEN k % 7 = 0 THEN 'Safety/policy flags triggered: guarantees' END, CASE WHEN l <> '' THEN 'Complex legal language detected: ' || l END) AS why FROM b)
+SELECT conv_id, turn, CASE WHEN signals = '' THEN 'small' ELSE 'large' END AS tier, CASE WHEN signals = '' THEN 0.7 ELSE 0.8 END::DOUBLE AS threshold, signals, CASE WHEN signals = '' THEN 'Using default small model' ELSE 'ESCALATED to large model|' || why END AS reasoning FROM c"""
 
 
 def listing(values) -> str:

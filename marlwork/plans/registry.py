@@ -300,9 +300,10 @@ def severance(spark, d):
 def model_routing(spark, d):
     k = F.col("conv_id")
     flags = F.when(k % 7 == 0, F.array(F.lit("guarantees"))).otherwise(F.array(F.lit("pii_masked")))
-    signals = governance.routing_signals(F.col("text"), (k % 10) / 10, k % 5, flags)
-    rows = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.array_join(signals, ",").alias("signals"))
-    return rows.withColumn("tier", F.when(F.col("signals") == "", F.lit("small")).otherwise(F.lit("large")))
+    sections = F.transform(F.sequence(F.lit(1), (k % 5 + 1).cast("int")), lambda i: F.concat(F.lit("EA-"), i.cast("string")))
+    text = F.concat(F.when(k % 6 == 0, F.lit("A complex review with an exception? ")).otherwise(F.lit("")), "text")
+    rows = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", governance.routing(text, F.array((k % 10) / 10, F.lit(0.1)), sections, flags, k % 9 == 0).alias("r"))
+    return rows.select("conv_id", "turn", "r.tier", "r.threshold", F.array_join("r.signals", ",").alias("signals"), F.array_join("r.reasoning", "|").alias("reasoning"))
 
 
 @query

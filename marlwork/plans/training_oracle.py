@@ -207,6 +207,9 @@ SELECT p_partkey AS pair_id, judged AS label_verified FROM b WHERE NOT judged OR
         "flawed_drafts": f"""WITH {ANSWERS}, a AS (SELECT p_partkey, 'EA-2022-' || p_partkey % 80 AS section, {draft} AS t FROM an), b AS (SELECT *, {different('section', 'p_partkey')} AS other FROM a)
 SELECT p_partkey, md5(CASE {kind} WHEN 0 THEN replace(t, section, other) WHEN 1 THEN replace(regexp_replace(t, {q('(?i)' + citations.CANONICAL)}, 'the relevant section', 'g'), '(Source: Employment Act Section', '(Source: the relevant section')
   ELSE t || ' Additionally, you are entitled to ' || {picked(listing(preferences.DRAFT_DETAILS), 'p_partkey', 'draft')} || ' in such cases.' END) AS flawed, md5(t[1:instr(t, '. ')] || ' (EA-2022-99)' || t[instr(t, '. ') + 1:]) AS cited FROM b""",
+        "dpo_rows": f"WITH {ANSWERS} SELECT p_partkey AS pair_id, '<|system|>' || chr(10) || 'Answer by the Act.' || chr(10) || '<|user|>' || chr(10) || good || chr(10) || '<|assistant|>' || chr(10) AS prompt, response AS chosen, bad AS rejected FROM an",
+        "cycled_prompts": """WITH a AS (SELECT unnest(range(40)) AS id), b AS (SELECT id, ['Can I work on holidays?', 'What is my notice period?', 'Who decides?'][id % 3 + 1] AS p FROM a)
+SELECT id, CASE WHEN id < 3 OR id % 4 = 3 THEN p WHEN id % 4 = 0 THEN 'According to Malaysian law, ' || lower(p) WHEN id % 4 = 1 THEN 'Under the Employment Act, ' || lower(p) ELSE 'What does the Employment Act say about: ' || replace(lower(p), '?', '') END AS prompt FROM b""",
         "example_checks": f"WITH {CHECKED} SELECT doc_id, array_to_string(errors, ',') AS errors, array_to_string(warnings, ',') AS warnings, array_to_string(issues, ',') AS schema_issues, len(present)::INT AS n_present FROM s3",
         "example_validation": f"""WITH {CHECKED}, t AS (SELECT count(*) AS total_examples, count(*) FILTER (len(missing) = 0) AS valid_examples, count(*) FILTER (len(issues) = 0) AS schema_valid_examples,
   count(*) FILTER (len(list_filter(cites, lambda z: NOT list_contains({KNOWN}, coalesce({canon('z')}, z)))) = 0) AS citation_valid_examples, count(*) FILTER (len(present) > 0) AS citation_present_in_output, round(100.0 * count(*) FILTER (len(present) > 0) / count(*), 6) AS citation_presence_rate,

@@ -134,6 +134,17 @@ def flawed_drafts(spark, d):
     return rows.select("p_partkey", F.md5(preferences.flawed(F.col("draft"), F.col("section"), k, VALID)).alias("flawed"), F.md5(preferences.with_citation(F.col("draft"), F.lit("EA-2022-99"))).alias("cited"))
 
 
+@query
+def dpo_rows(spark, d):
+    rows = answers(spark, d).select(F.col("p_partkey").alias("pair_id"), F.col("good").alias("prompt"), F.col("response").alias("chosen"), F.col("bad").alias("rejected"))
+    return preferences.dpo_rows(rows, "Answer by the Act.")
+
+
+@query
+def cycled_prompts(spark, d):
+    return preferences.cycled_prompts(spark, ["Can I work on holidays?", "What is my notice period?", "Who decides?"], 40)
+
+
 def sft_rows(spark, d) -> DataFrame:
     """doc_id, instruction, input, output, citations, has_numeric_claims and split of examples with all kinds of faults."""
     k = F.col("doc_id")

@@ -1,11 +1,13 @@
 """Operators on small fixtures with known results."""
 
+import hashlib
+import json
 import random
 
 from pyspark.sql import functions as F
 
-from marlwork.operators import answers, calculator, chunking, governance, metrics, training
-from marlwork.sources import files
+from marlwork.operators import answers, calculator, chunking, citations, datasets, governance, metrics, preferences, search, service, training
+from marlwork.sources import files, settings
 from marlwork.streaming import serving
 
 
@@ -194,3 +196,124 @@ def test_stream_equals_batch(spark, tmp_path):
     query.awaitTermination(120)
     key = lambda r: (r.minute, r.event_type, r.n, round(r.total, 4))
     assert sorted(map(key, spark.table("minutes").collect())) == sorted(map(key, serving.minute_counts(batch, "event_type").collect()))
+
+
+def test_circuits_and_caches_run_over_midnight(spark):
+    rows = [(0, "2024-01-01 23:59:50", "k"), (1, "2024-01-02 00:00:10", "k"), (2, "2024-01-02 02:00:00", "k")]
+    events = spark.createDataFrame(rows, "event_id long, ts string, k string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    assert [r.hit for r in serving.ttl_cache(events, "k", 3600).orderBy("event_id").collect()] == [False, True, False]
+    assert [r.hit for r in serving.lru_cache(events, "k", 3, 3600).orderBy("event_id").collect()] == [False, True, False]
+    assert [r.tier for r in serving.tiered_cache(events, "k", 7200, 5).orderBy("event_id").collect()] == [0, 1, 0]
+    calls = spark.createDataFrame([(i, f"2024-01-01 23:59:5{i}", "s") for i in range(5)] + [(5, "2024-01-02 00:00:01", "s")], "event_id long, ts string, s string")
+    calls = calls.withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("ok", F.lit(False))
+    assert [r.state for r in serving.circuit_breaker(calls, "s").orderBy("event_id").collect()][-1] == "open"
+
+
+def test_cache_keys_are_those_of_json(spark):
+    texts = ["What is Leave?", ' "q" \\ \b\f\n\r\t/', "é € 😀 \x01\x7f", ""]
+    want = []
+    for t in texts:
+        body = json.dumps({"query": t.lower().strip(), "context_ids": sorted(["doc2", "doc1"]), "config_hash": "c", "guardrails_version": "v"}, sort_keys=True)
+        want.append("query:" + hashlib.sha256(body.encode()).hexdigest()[:16])
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    ids = lambda *xs: F.array(*map(F.lit, xs))
+    for context in (ids("doc2", "doc1"), ids("doc1", "doc2")):
+        assert [r.k for r in df.select("i", service.query_key(F.col("t"), context, F.lit("c"), F.lit("v")).alias("k")).orderBy("i").collect()] == want
+    numbers = [5000.0, 0.5, 12345678.0, 3.25]
+    rows = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", service.severance_key(F.col("x"), F.col("x"), F.lit("retrenchment"), F.lit(None).cast("int")).alias("k")).collect()
+    for r in rows:
+        body = json.dumps({"monthly_wage": r.x, "years_of_service": r.x, "termination_reason": "retrenchment", "annual_leave_days": None}, sort_keys=True)
+        assert r.k == "severance:" + hashlib.sha256(body.encode()).hexdigest()[:16]
+
+
+def test_canonical_sections(spark):
+    cases = {"EA-60E": "EA-2022-60E", " ea-60e(1) ": "EA-2022-60E(1)", "EA-2022-37": "EA-2022-37", "EA-2022-60E(1)": "EA-2022-60E", "see EA-60E": None, "": None}
+    rows = spark.createDataFrame([(x,) for x in cases], "s string").select("s", governance.canonical(F.col("s")).alias("c")).collect()
+    assert {r.s: r.c for r in rows} == cases
+    row = spark.range(1).select(citations.extracted(F.lit("EA-2022-60E, ea-2022-37 and EA-60E")).alias("e"), citations.families_of(F.lit("Annual leave or sick leave?")).alias("f")).first()
+    assert sorted(row.e) == ["EA-2022-37", "EA-2022-60E"] and row.f == ["60E", "60F", "60G"]
+    none = citations.section_universe(spark.createDataFrame([("unknown",), (None,)], "section_id string"))
+    assert {r.section for r in none.collect()} == set(citations.DEFAULT_SECTIONS)
+
+
+def test_stored_index_answers_as_the_corpus(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "the cat sat"), (2, "the dog sat on the dog"), (3, ""), (4, None), (5, "a bird")], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "dog cat cat"), (2, "zebra"), (3, "the sat")], "query_id long, query string")
+    search.write_index(docs, str(tmp_path / "index"), 4)
+    rows = lambda df: [tuple(r) for r in df.orderBy("query_id", "rank").collect()]
+    stored = search.read_index(spark, str(tmp_path / "index"))
+    assert rows(search.found(stored, queries)) == rows(search.bm25(docs, queries)) and rows(search.bm25(docs, queries))[0][:3] == (1, 1, 1)
+    assert search.index(docs).average == 11 / 5 and search.read_vectors(spark, str(tmp_path / "index")) is None
+    assert search.hybrid(search.bm25(docs, queries), None, docs, queries).count() == 4
+    assert search.bm25(docs.limit(0), queries).count() == 0
+
+
+def test_dense_search_matches_a_loop(spark):
+    rng = random.Random(4)
+    vectors = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(60)] + [[0.0] * 8, None]
+    vectors[7] = vectors[6]
+    df = spark.createDataFrame(list(enumerate(vectors)), "doc_id long, v array<double>").repartition(3)
+    asked = spark.createDataFrame([(i, vectors[i]) for i in (0, 6, 60, 61)], "query_id long, q array<double>")
+    got = {}
+    for r in search.dense(df, asked, 4, block=16).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.doc_id, r.score))
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    for i in (0, 6):
+        best = sorted(((-round(cosine(v, vectors[i]), 10), j) for j, v in enumerate(vectors[:60])))[:4]
+        assert got[i] == [(j, round(-s, 6)) for s, j in best]
+    assert set(got) == {0, 6}
+
+
+def test_guardrails_say_what_the_templates_say(spark):
+    text = spark.createDataFrame([("Should I hire a lawyer?",), ("My mail is test@example.com, call 012-3456789",), ("How long is sick leave?",)], "t string")
+    rows = text.select(governance.input_report(F.col("t")).alias("m"), governance.input_report(F.col("t"), "refuse").alias("r"), governance.legacy_input(F.col("t")).alias("l")).collect()
+    assert rows[0].m.processed == governance.POLICY_TEMPLATES["legal_advice"] and rows[0].m.rules == ["policy_legal_advice_hire_a_lawyer", "policy_legal_advice_should_i_hire"]
+    assert rows[1].m.processed == "My mail is [EMAIL_REDACTED], call [PHONE_REDACTED]" and rows[1].m.rules == ["pii_email_masked", "pii_phone_malaysia_masked"]
+    assert rows[1].r.processed == governance.PII_REFUSAL and rows[1].r.rules == ["pii_email_refused"] and rows[1].l.rules == ["pii_email_masked", "pii_phone_my_masked"]
+    assert rows[2].m.processed == "How long is sick leave?" and rows[2].r.decision == "allowed" and rows[2].l.passed
+    out = spark.range(1).select(answers.output_report(F.lit("Section EA-999 says 900 days of annual leave."), F.array(F.lit("EA-1"))).alias("r")).first().r
+    assert out.escalation_reasons == ["invalid_citations", "numeric_bounds"] and out.processed == answers.FILTERED and out.rules[0] == "citation_invalid_EA-999"
+
+
+def test_settings_replace_the_lists(spark, tmp_path):
+    path = tmp_path / "guardrails.json"
+    path.write_text(json.dumps({
+        "policy_classifier": {"categories": {"money": {"keywords": ["Lottery"], "refusal_template": "No."}, "off": {"enabled": False, "keywords": ["x"]}}},
+        "pii_scrubber": {"mode": "mask", "patterns": {"code": {"regex": "Z\\d+", "placeholder": "[Z]"}}},
+        "output_validation": {"numeric_validation": {"bounds": {"annual_leave": {"min": 1, "max": 2, "unit": "days"}}}},
+        "statutory_terms": [{"pattern": "a", "replacement": "b"}],
+    }))
+    found = settings.read_settings(settings.find_settings(str(path)))
+    policies, templates = settings.policies_of(found)
+    pii, mode, _ = settings.pii_of(found)
+    report = lambda t: spark.range(1).select(governance.input_report(F.lit(t), mode, policies, templates, pii).alias("r")).first().r
+    assert (report("a lottery").processed, report("x Z12").processed) == ("No.", "x [Z]")
+    assert settings.bounds_of(found) == [("annual_leave", 1, 2, "day")] and settings.rewrites_of(found) == ([("a", "b")], [])
+
+
+def test_sft_examples_are_distinct_and_cited(spark):
+    rows = [(i, f"EA-{20 + i % 7}", None, f"Employees shall have {i} days of leave in every year of service. More follows here.") for i in range(60)]
+    made = datasets.examples(spark.createDataFrame(rows, "chunk_id long, section_id string, title string, text string"), citations.literal([f"EA-2022-{n}" for n in range(20, 25)]), 20).collect()
+    assert 0 < len(made) <= 20 and len({r.instruction.lower() for r in made}) == len(made)
+    assert all(r.citations == [r.section] and r.section in {f"EA-2022-{n}" for n in range(20, 25)} for r in made)
+
+
+def test_pairs_are_topped_up_and_written(spark, tmp_path):
+    chunks = spark.createDataFrame([(i, "EA-60E" if i % 2 else "EA-90", f"text of chunk {i}") for i in range(12)], "chunk_id long, section_id string, text string")
+    valid = citations.literal(["EA-2022-60E", "EA-2022-37"])
+    made = preferences.topped_up(chunks, citations.literal(["EA-2022-37"]), 4)
+    assert made.count() == 6 and preferences.pairs(chunks, valid, 4).count() == 4
+    split = preferences.split_by_section(made)
+    preferences.write_pairs(split, str(tmp_path / "pairs"))
+    train, every = (spark.read.json(str(tmp_path / "pairs" / x)) for x in ("train", "all"))
+    assert every.count() == 6 and 0 < train.count() < 6
+    assert spark.read.option("header", True).csv(str(tmp_path / "pairs" / "labelling")).count() == 6
+
+
+def test_sources_keys_and_metadata(spark, tmp_path):
+    path = tmp_path / "k.jsonl"
+    path.write_text('{"text": "a", "section_id": null}\n{"text": "b"}\nbad\n{"section_id": "s", "text": "c"}\n')
+    schema = spark.createDataFrame([], "text string, section_id string").schema
+    assert {r.text for r in files.read_with_keys(spark, str(path), schema, ("text", "section_id")).collect()} == {"a", "c"}
+    row = files.stage_metadata(spark, "chunk", {"b": 1, "a": 2}, [str(path)], [str(path)]).first()
+    assert row.config_hash == files.config_hash({"a": 2, "b": 1}) and row.input_files[0].sha256 == hashlib.sha256(path.read_bytes()).hexdigest()
