@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlwork.sources.durable import kept
+from marlwork.sources.durable import few, kept
 
 
 def drawn(key: Column, seed: int = 42) -> Column:
@@ -49,26 +49,45 @@ def stable_id(instruction: Column, citation: Column, chunk_id: Column) -> Column
     return F.concat(F.lit("eval_"), F.substring(F.sha2(F.concat_ws("|", instruction, citation, chunk_id), 256), 1, 12))
 
 
+def first_of_text(rows: DataFrame, by: str, key: str, text: str) -> DataFrame:
+    """by, id and t: the smallest key of each distinct text (in lower case) of a group. Rows without a text go."""
+    return rows.where(F.col(text).isNotNull()).groupBy(by, F.lower(text).alias("t")).agg(F.min(key).alias("id"))
+
+
 def similar_pairs(rows: DataFrame, by: str, key: str, text: str, least: float = 0.8) -> DataFrame:
-    """by, a, b, similarity of rows of one group whose edit distance leaves more than `least` of the longer text.
+    """by, a, b, similarity of texts of one group whose edit distance leaves more than `least` of the longer text.
 
-    Lengths must differ by less than the distance allows, so rows meet only in neighbouring length classes.
+    Equal texts, in any case, count as one with their smallest key, as first_of_text() has them. An edit changes two pairs
+    of neighbouring letters at most, so similar texts share many of them, and a rare one: each text is found under the
+    rarest pairs of which one must be shared, and only texts that meet there are compared. `least` is above 0.5.
     """
-    low = rows.select(by, F.col(key).alias("id"), F.lower(text).alias("t"))
-    bucket = F.floor(F.log(F.greatest(F.length("t"), F.lit(1)).cast("double")) / F.log(F.lit(1 / least)))
-    left = low.withColumn("bucket", F.explode(F.array(bucket, bucket + 1, bucket - 1))).alias("l")
-    right = low.withColumn("bucket", bucket).alias("r")
-    near = left.join(right, [by, "bucket"]).where("l.id < r.id")
-    most = F.greatest(F.length("l.t"), F.length("r.t"))
-    near = near.withColumn("similarity", F.round(1 - F.levenshtein("l.t", "r.t") / most, 6)).where((most > 0) & (F.col("similarity") > least))
-    return near.select(by, F.col("l.id").alias("a"), F.col("r.id").alias("b"), "similarity")
+    if least <= 0.5:
+        raise ValueError("least must be above 0.5")
+    low = kept(first_of_text(rows, by, key, text))
+    n = F.length("t")
+    # The k-th occurrence of a pair of letters is a token of its own; texts of one letter have their text as token.
+    couples = F.when(n < 2, F.array("t")).otherwise(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(F.col("t"), i, F.lit(2))))
+    numbered = F.transform(F.array_sort(couples), lambda c, i: F.struct(c.alias("c"), (i - F.array_position(F.array_sort(couples), c)).alias("k")))
+    tokens = low.where(n > 0).select(by, "id", n.alias("n"), F.explode(numbered).alias("x"))
+    common = few(tokens.groupBy("x").agg(F.count("*").alias("df")))
+    need = F.greatest(F.lit(1), F.floor((2 * least - 1) * F.col("n") - 1 - 1e-9) + 1)
+    taken = F.greatest(F.lit(1), F.greatest(F.col("n") - 1, F.lit(1)) - need + 1).cast("int")
+    rare = tokens.join(common, "x").groupBy(by, "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("xs"))
+    rare = rare.select(by, "id", "n", F.explode(F.slice("xs", F.lit(1), taken)).alias("x")).select(by, "id", "n", "x.x")
+    left, right = (rare.select(by, "x", F.col("id").alias(a), F.col("n").alias(f"n_{a}")) for a in "ab")
+    met = left.join(right, [by, "x"]).where("a < b").where(F.least("n_a", "n_b") > least * F.greatest("n_a", "n_b") - 1e-9).select(by, "a", "b").distinct()
+    texts = lambda a: low.select(by, F.col("id").alias(a), F.col("t").alias(f"t_{a}"))
+    pairs = met.join(texts("a"), [by, "a"]).join(texts("b"), [by, "b"])
+    alike = F.round(1 - F.levenshtein("t_a", "t_b") / F.greatest(F.length("t_a"), F.length("t_b")), 6)
+    return pairs.withColumn("similarity", alike).where(F.col("similarity") > least).select(by, "a", "b", "similarity")
 
 
 def keep_first_similar(rows: DataFrame, by: str, key: str, text: str, least: float = 0.8) -> DataFrame:
-    """rows without those that are similar to an earlier row (in the order of `key`) that stays.
+    """rows without those that are similar to an earlier row (in the order of `key`) of their group that stays.
 
-    In rounds over all groups at once: a row without an earlier neighbour stays, and its later neighbours go. Each round
-    settles one row of every chain at least and is kept durably; no group is collected.
+    Of equal texts, in any case, the first alone can stay; rows without a text or with an empty one stay. In rounds over
+    all groups at once: a row without an earlier neighbour stays, and its later neighbours go. Each round settles one
+    row of every chain at least and is kept durably; no group is collected.
     """
     left = kept(similar_pairs(rows, by, key, text, least).select("a", "b").distinct())
     gone = left.select(F.col("b").alias("gone")).limit(0)
@@ -79,7 +98,10 @@ def keep_first_similar(rows: DataFrame, by: str, key: str, text: str, least: flo
         # Pairs of rows that are settled say nothing more: every neighbour of a row that stays goes.
         left = left.join(goes, left["a"] == goes["gone"], "left_anti")
         left = kept(left.join(goes, left["b"] == goes["gone"], "left_anti"))
-    return rows.join(gone, rows[key] == gone["gone"], "left_anti")
+    first = first_of_text(rows, by, key, text).where(F.length("t") > 0).select(F.col(by).alias("marlwork_by"), F.col("t").alias("marlwork_t"), F.col("id").alias("marlwork_first"))
+    own = rows.join(first, (rows[by] == F.col("marlwork_by")) & (F.lower(rows[text]) == F.col("marlwork_t")), "left")
+    own = own.where(F.col("marlwork_first").isNull() | (F.col("marlwork_first") == F.col(key))).select(*rows.columns)
+    return own.join(gone, own[key] == gone["gone"], "left_anti")
 
 
 def told_apart(rows: DataFrame, key: str, instruction: str, section: str) -> DataFrame:

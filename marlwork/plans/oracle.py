@@ -152,7 +152,7 @@ PREF = """pp AS (SELECT doc_id AS pair_id, 'What does ' || source || ' provide?'
 
 
 def similar() -> str:
-    return """WITH a AS (SELECT item_id AS id, lower(text) AS t FROM benchmark UNION ALL SELECT item_id + 1000000, lower(text || ' x') FROM benchmark),
+    return """WITH e AS (SELECT item_id AS id, lower(text) AS t FROM benchmark UNION ALL SELECT item_id + 1000000, lower(text || ' x') FROM benchmark), a AS (SELECT min(id) AS id, t FROM e GROUP BY t),
 b AS (SELECT l.id AS a, r.id AS b, round(1 - levenshtein(l.t, r.t) / greatest(length(l.t), length(r.t)), 6) AS similarity FROM a l JOIN a r ON l.id < r.id AND greatest(length(l.t), length(r.t)) > 0)
 SELECT * FROM b WHERE similarity > 0.8"""
 

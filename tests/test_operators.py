@@ -100,15 +100,33 @@ def test_refusal_metrics(spark):
 
 def test_near_duplicates_keep_the_first(spark):
     base = "the quick brown fox jumps over the lazy dog"
-    rows = [(1, base), (2, base + "s"), (3, base + "s and more"), (4, "something else")]
+    rows = [(1, base), (2, base + "s"), (3, base + "s and more"), (4, "something else"), (70, base.upper()), (71, ""), (72, None), (73, "a"), (74, "A"), (75, "ab"), (76, "")]
     rng = random.Random(3)
-    rows += [(i, "".join(rng.choice("ab") for _ in range(rng.choice([9, 10, 11])))) for i in range(5, 60)]
-    df = spark.createDataFrame(rows, "i long, t string").withColumn("g", F.lit("x"))
-    pairs = {(r.a, r.b) for r in training.similar_pairs(df, "g", "i", "t").collect()}
-    stay = []
-    for i, _ in rows:
-        stay += [] if any((a, i) in pairs for a in stay) else [i]
-    assert sorted(r.i for r in training.keep_first_similar(df, "g", "i", "t").collect()) == stay
+    rows += [(i, "".join(rng.choice("ab") for _ in range(rng.choice([2, 4, 5, 9, 10, 11, 30])))) for i in range(5, 60)]
+    rows += [(100 + i, "".join(c for c in base * 2 if rng.random() > 0.05)) for i in range(30)]
+    rows.sort()
+    df = spark.createDataFrame(rows, "i long, t string").withColumn("g", F.lit("x")).repartition(3)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    for least in (0.8, 0.6, 0.95):
+        alike = lambda a, b: round(1 - distance(a.lower(), b.lower()) / max(len(a), len(b)), 6) > least  # noqa: B023, E731
+        texts = {}
+        for i, t in rows:
+            if t:
+                texts.setdefault(t.lower(), i)
+        want = {tuple(sorted((i, j))) for a, i in texts.items() for b, j in texts.items() if i < j and alike(a, b)}
+        assert {(r.a, r.b) for r in training.similar_pairs(df, "g", "i", "t", least).collect()} == want
+        stay = []
+        for i, t in rows:
+            stay += [] if t and any(s and alike(s, t) for _, s in stay) else [(i, t)]
+        assert sorted(r.i for r in training.keep_first_similar(df, "g", "i", "t", least).collect()) == [i for i, _ in stay]
 
 
 def test_stratified_fills_small_strata_with_copies(spark):
