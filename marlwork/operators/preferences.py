@@ -11,6 +11,7 @@ from marlwork.functions.text import stripped, tokens
 from marlwork.operators import citations
 from marlwork.operators.governance import canonical
 from marlwork.operators.training import drawn
+from marlwork.sources.durable import few, kept
 
 #: Kinds of prompts and of flaws, in the order in which they go round. Fixed values.
 KINDS = ["entitlement", "procedure", "rights", "consequences"]
@@ -134,7 +135,7 @@ def pairs(chunks: DataFrame, valid: Column, target: int = 60, choice: int = 64,
     """
     spark = chunks.sparkSession
     named = citations.families(chunks).select("chunk_id", "section_id", "family", "text")
-    one = pool(named, "section_id", 1, seed)
+    one = kept(pool(named.select("chunk_id", "section_id"), "section_id", 1, seed))  # a row a section
     order = Window.orderBy(drawn(F.col("section_id"), seed), "section_id")
     first = one.withColumn("i", F.row_number().over(order) - 1).where(F.col("i") < target).select(F.col("i").cast("long").alias("pair_id"), "chunk_id")
     done = first.count()
@@ -145,7 +146,7 @@ def pairs(chunks: DataFrame, valid: Column, target: int = 60, choice: int = 64,
     asked = asked.withColumn("prompt", prompt(F.col("template_type"), F.col("pair_id"), prompts, fills))
     wanted = asked.where(F.col("pair_id") >= done)
     # Of the families that are asked for and exist, one is taken; then one of its chunks.
-    ready = pool(named.where("family is not null"), "family", choice, seed).select("family", "place", "held", "chunk_id")
+    ready = kept(pool(named.where("family is not null").select("chunk_id", "family"), "family", choice, seed))
     held = ready.select("family", "held").distinct()
     each = wanted.select("pair_id", F.explode(citations.families_of(F.col("prompt"))).alias("family")).join(held, "family")
     taken = each.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("family", "held"))).alias("xs"))
@@ -153,11 +154,11 @@ def pairs(chunks: DataFrame, valid: Column, target: int = 60, choice: int = 64,
     by_family = taken.join(ready.drop("held"), ["family", "place"]).select("pair_id", "chunk_id")
     left = wanted.join(by_family, "pair_id", "left_anti")
     by_words = nearest_chunk(left, named)
-    any_chunk = pool(named.withColumn("one", F.lit(1)), "one", choice, seed)
+    any_chunk = kept(named.select("chunk_id").orderBy(drawn(F.col("chunk_id"), seed), "chunk_id").limit(choice).withColumn("place", F.row_number().over(Window.orderBy(drawn(F.col("chunk_id"), seed), "chunk_id")) - 1))
     lost = left.join(by_words, "pair_id", "left_anti").select("pair_id").crossJoin(F.broadcast(any_chunk.agg(F.count("*").alias("n")))).where("n > 0")
     by_chance = lost.select("pair_id", numbered(F.col("pair_id"), "any", F.col("n")).alias("place")).join(any_chunk.select("place", "chunk_id"), "place").select("pair_id", "chunk_id")
-    placed = first.unionByName(by_family).unionByName(by_words).unionByName(by_chance)
-    rows = asked.join(placed, "pair_id").join(named.select("chunk_id", "section_id", "text"), "chunk_id")
+    placed = few(first.unionByName(by_family).unionByName(by_words).unionByName(by_chance).join(asked, "pair_id"))
+    rows = named.select("chunk_id", "section_id", "text").join(placed, "chunk_id")
     own = F.coalesce(canonical(F.col("section_id")), F.col("section_id"))
     flaw = F.get(citations.literal(FLAWS), (F.col("pair_id") % len(FLAWS)).cast("int"))
     rows = rows.withColumn("chosen", chosen(F.col("prompt"), own, F.col("text"))).withColumn("rejected", rejected(flaw, own, F.col("text"), F.col("pair_id"), valid))

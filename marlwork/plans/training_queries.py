@@ -11,7 +11,6 @@ from marlwork.functions.text import tokens
 from marlwork.operators import citations, datasets, evaluation, preferences, training
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-VALID = citations.literal(citations.DEFAULT_SECTIONS)
 #: Pairs and examples that the queries make.
 N_PAIRS, N_EXAMPLES = 300, 120
 
@@ -32,6 +31,14 @@ def chunks(spark, d) -> DataFrame:
     return table(spark, d, "documents").select(key.alias("chunk_id"), F.concat(F.lit("EA-"), (key % 61 + 12).cast("string"), suffix).alias("section_id"), "text")
 
 
+def valid() -> F.Column:
+    return citations.literal(citations.DEFAULT_SECTIONS)
+
+
+def known() -> F.Column:
+    return citations.literal([f"EA-2022-{n}" for n in range(20, 50)])
+
+
 def listed(values) -> F.Column:
     return F.array_join(F.array_sort(values), ",")
 
@@ -66,13 +73,13 @@ def answers(spark, d) -> DataFrame:
 
 @query
 def citation_grounding(spark, d):
-    rows = answers(spark, d).select("p_partkey", citations.grounding(F.col("response"), F.col("section"), VALID).alias("g"), citations.groundedness(F.col("response"), F.array("section"), VALID)["legal_anchoring"].alias("anchored"))
+    rows = answers(spark, d).select("p_partkey", citations.grounding(F.col("response"), F.col("section"), valid()).alias("g"), citations.groundedness(F.col("response"), F.array("section"), valid())["legal_anchoring"].alias("anchored"))
     return rows.select("p_partkey", listed("g.predicted_section_ids").alias("predicted"), "g.correctly_grounded", "g.valid_sections_mentioned", F.round("g.grounding_score", 6).alias("iou"), "g.citation_em", "anchored")
 
 
 @query
 def enhanced_win_rate(spark, d):
-    like = lambda x: citations.enhanced_similarity(F.col("response"), F.col(x), F.array("section"), VALID)
+    like = lambda x: citations.enhanced_similarity(F.col("response"), F.col(x), F.array("section"), valid())
     rows = answers(spark, d).select((F.col("p_partkey") % 10).alias("kind"), like("good").alias("a"), like("bad").alias("b"))
     return rows.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg((F.col("a") > F.col("b")).cast("int")), 6).alias("win_rate"), F.round(F.avg("a"), 6).alias("mean"))
 
@@ -80,13 +87,13 @@ def enhanced_win_rate(spark, d):
 @query
 def different_section(spark, d):
     k = F.col("p_partkey")
-    own = F.get(VALID, (k % len(citations.DEFAULT_SECTIONS)).cast("int"))
+    own = F.get(valid(), (k % len(citations.DEFAULT_SECTIONS)).cast("int"))
     rows = table(spark, d, "part").select("p_partkey", own.alias("section"))
-    return rows.select("p_partkey", "section", citations.different_section(VALID, F.col("section"), k).alias("other"), F.size(citations.of_family(VALID, citations.family(F.col("section")))).alias("n_family"))
+    return rows.select("p_partkey", "section", citations.different_section(valid(), F.col("section"), k).alias("other"), F.size(citations.of_family(valid(), citations.family(F.col("section")))).alias("n_family"))
 
 
 def made_pairs(spark, d) -> DataFrame:
-    return preferences.pairs(chunks(spark, d), VALID, N_PAIRS)
+    return preferences.pairs(chunks(spark, d), valid(), N_PAIRS)
 
 
 @query
@@ -131,7 +138,7 @@ def labelling_rows(spark, d):
 def flawed_drafts(spark, d):
     k, own = F.col("p_partkey"), F.concat(F.lit("EA-2022-"), (F.col("p_partkey") % 80).cast("string"))
     rows = answers(spark, d).select("p_partkey", F.concat("response", F.lit(". (Source: Employment Act Section "), own, F.lit(")\nEnd.")).alias("draft"), own.alias("section"))
-    return rows.select("p_partkey", F.md5(preferences.flawed(F.col("draft"), F.col("section"), k, VALID)).alias("flawed"), F.md5(preferences.with_citation(F.col("draft"), F.lit("EA-2022-99"))).alias("cited"))
+    return rows.select("p_partkey", F.md5(preferences.flawed(F.col("draft"), F.col("section"), k, valid())).alias("flawed"), F.md5(preferences.with_citation(F.col("draft"), F.lit("EA-2022-99"))).alias("cited"))
 
 
 @query
@@ -155,12 +162,9 @@ def sft_rows(spark, d) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", asked.alias("instruction"), F.lit("").alias("input"), said.alias("output"), cited.alias("citations"), (k % 3 == 0).alias("has_numeric_claims"), F.when(k % 6 == 0, F.lit("eval")).otherwise(F.lit("train")).alias("split"))
 
 
-KNOWN = citations.literal([f"EA-2022-{n}" for n in range(20, 50)])
-
-
 @query
 def example_checks(spark, d):
-    rows = datasets.checked(sft_rows(spark, d), KNOWN)
+    rows = datasets.checked(sft_rows(spark, d), known())
     line = lambda x: F.array_join(x, ",").alias(x)
     return rows.select("doc_id", line("errors"), line("warnings"), line("schema_issues"), F.size("present").alias("n_present"))
 
@@ -168,7 +172,7 @@ def example_checks(spark, d):
 @query
 def example_validation(spark, d):
     rounded = ("citation_presence_rate", "individual_citation_presence_rate", "avg_instruction_length", "avg_output_length")
-    return datasets.validation(sft_rows(spark, d), KNOWN).select(*(F.round(c, 6).alias(c) if c in rounded else c for c in datasets.validation(sft_rows(spark, d), KNOWN).columns))
+    return datasets.validation(sft_rows(spark, d), known()).select(*(F.round(c, 6).alias(c) if c in rounded else c for c in datasets.validation(sft_rows(spark, d), known()).columns))
 
 
 @query
@@ -183,7 +187,7 @@ def set_rules(spark, d):
 
 @query
 def example_statistics(spark, d):
-    rows = datasets.statistics(sft_rows(spark, d), KNOWN)
+    rows = datasets.statistics(sft_rows(spark, d), known())
     return rows.select(*(F.round(c, 6).alias(c) if t == "double" else c for c, t in rows.dtypes))
 
 
@@ -263,13 +267,13 @@ def training_report(spark, d):
 
 @query
 def judged_rewards(spark, d):
-    rows = judged(spark, d).select("conv_id", "turn", evaluation.judged_reward(F.col("text"), F.when(F.col("conv_id") % 2 == 0, "EA-2022-60E"), VALID).alias("r"))
+    rows = judged(spark, d).select("conv_id", "turn", evaluation.judged_reward(F.col("text"), F.when(F.col("conv_id") % 2 == 0, "EA-2022-60E"), valid()).alias("r"))
     return rows.select("conv_id", "turn", "r.citations", "r.grounding", "r.gold_section", "r.hallucination", "r.policy_violation", "r.total")
 
 
 @query
 def em_probe(spark, d):
-    rows = evaluation.em_probe(judged(spark, d).select((F.col("conv_id") % 8).alias("step"), F.col("text").alias("response")), VALID)
+    rows = evaluation.em_probe(judged(spark, d).select((F.col("conv_id") % 8).alias("step"), F.col("text").alias("response")), valid())
     return rows.select("step", F.round("avg_em", 6).alias("avg_em"), "num_prompts")
 
 
