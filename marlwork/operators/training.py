@@ -110,18 +110,3 @@ def told_apart(rows: DataFrame, key: str, instruction: str, section: str) -> Dat
     first = rows.groupBy(same.alias("same")).agg(F.min(key).alias("first"))
     marked = F.when(F.col(key) == F.col("first"), F.col(instruction)).otherwise(F.concat(F.col(instruction), F.lit(" ["), F.col(section), F.lit("]")))
     return rows.join(first, same == F.col("same")).withColumn(instruction, marked).select(*rows.columns)
-
-
-def preference_pairs(rows: DataFrame) -> DataFrame:
-    """pair_id, prompt, chosen and rejected of rows (pair_id, section, text); the flaw goes round by pair_id."""
-    quote = F.concat(F.substring("text", 1, 300), F.when(F.length("text") > 300, F.lit("...")).otherwise(F.lit("")))
-    chosen = F.concat(F.lit("According to "), F.col("section"), F.lit(": "), quote)
-    kind = F.pmod(F.col("pair_id"), F.lit(4))
-    rejected = (
-        F.when(kind == 0, F.substring("text", 1, 300))
-        .when(kind == 1, F.concat(F.lit("According to EA-999: "), F.substring("text", 1, 200)))
-        .when(kind == 2, F.concat(F.substring("text", 1, 150), F.lit(" with triple compensation.")))
-        .otherwise(F.lit("It depends on the circumstances."))
-    )
-    return rows.select("pair_id", F.concat(F.lit("What does "), F.col("section"), F.lit(" provide?")).alias("prompt"), chosen.alias("chosen"), rejected.alias("rejected"))
-

@@ -147,8 +147,6 @@ def rewarding() -> str:
 PAIRS = "pr AS (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM conversations)"
 SPLIT = """gr AS (SELECT source, row_number() OVER (ORDER BY md5(source || '|42'), source) AS place, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents)),
 sp AS (SELECT doc_id, md5(text) AS h, CASE WHEN place <= greatest(1, floor(n * 0.15)) THEN 'eval' ELSE 'train' END AS split FROM documents JOIN gr USING (source))"""
-PREF = """pp AS (SELECT doc_id AS pair_id, 'What does ' || source || ' provide?' AS prompt, 'According to ' || source || ': ' || text[1:300] || CASE WHEN length(text) > 300 THEN '...' ELSE '' END AS chosen,
-  CASE doc_id % 4 WHEN 0 THEN text[1:300] WHEN 1 THEN 'According to EA-999: ' || text[1:200] WHEN 2 THEN text[1:150] || ' with triple compensation.' ELSE 'It depends on the circumstances.' END AS rejected FROM documents)"""
 
 
 def similar() -> str:
@@ -313,8 +311,6 @@ SELECT doc_id, source FROM r JOIN u USING (source) WHERE k <= quota""",
         "stable_eval_subset": "SELECT doc_id, 'eval_' || sha256(concat_ws('|', doc_id::VARCHAR, source, lang))[1:12] AS stable_id FROM documents ORDER BY stable_id LIMIT 30",
         "leakage_check": f"WITH {SPLIT} SELECT count(*) AS shared_texts FROM (SELECT h FROM sp WHERE split = 'train' INTERSECT SELECT h FROM sp WHERE split = 'eval')",
         "near_dup_pairs": similar(),
-        "pref_pairs": f"WITH {PREF} SELECT * FROM pp",
-        "dataset_validation": f"WITH {PREF} SELECT count(*) AS n, count(*) FILTER (NOT contains(chosen, 'According to')) AS uncited, count(*) FILTER (chosen = rejected) AS same, count(DISTINCT prompt) AS prompts, count(*) FILTER (length(chosen) < 40) AS short FROM pp",
         "severance": severance(),
         "model_routing": routing(),
         "answer_confidence": f"""WITH {BM25}, ls AS (SELECT query_id, list(score / 1000 ORDER BY rank) AS s FROM bm WHERE rank <= 10 AND score > 0 GROUP BY query_id)

@@ -276,18 +276,6 @@ def near_dup_kept(spark, d):
     return training.keep_first_similar(rows, "section", "item_id", "text").select("item_id")
 
 
-@query
-def pref_pairs(spark, d):
-    return training.preference_pairs(table(spark, d, "documents").select(F.col("doc_id").alias("pair_id"), F.col("source").alias("section"), "text"))
-
-
-@query
-def dataset_validation(spark, d):
-    made = pref_pairs(spark, d)
-    count = lambda ok: F.sum(F.when(ok, 1).otherwise(0))
-    return made.agg(F.count("*").alias("n"), count(~F.contains("chosen", F.lit("According to"))).alias("uncited"), count(F.col("chosen") == F.col("rejected")).alias("same"), F.countDistinct("prompt").alias("prompts"), count(F.length("chosen") < 40).alias("short"))
-
-
 @query
 def severance(spark, d):
     key = F.col("c_custkey")

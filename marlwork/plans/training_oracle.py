@@ -109,6 +109,11 @@ pp AS (SELECT *, {choosing('prompt', 'section', 'text')} AS chosen, {rejecting('
 pq AS (SELECT *, list_has_any(list_filter({extracted('chosen')}, lambda z: list_contains({VALID}, z)), {canons('[section]')}) AS chosen_ok, list_has_any(list_filter({extracted('rejected')}, lambda z: list_contains({VALID}, z)), {canons('[section]')}) AS rejected_ok FROM pp)"""
 
 
+def every_pair() -> str:
+    return f"""{CH}, nm AS (SELECT *, coalesce({canon('section_id')}, section_id) AS section, {listing(preferences.KINDS)}[chunk_id % 4 + 1] AS kind FROM ch), ns AS (SELECT *, {prompting('kind', 'chunk_id')} AS prompt FROM nm),
+ep AS (SELECT chunk_id AS pair_id, prompt, {choosing('prompt', 'section', 'text')} AS chosen, {rejecting('chunk_id % 4', 'section', 'text', 'chunk_id')} AS rejected FROM ns)"""
+
+
 SFT = """sf AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'Short?' WHEN 1 THEN '' WHEN 2 THEN 'Tell me about your country' ELSE 'What does ' || source || ' say in matter ' || doc_id % 97 || '?' END AS instruction,
   CASE WHEN doc_id % 2 = 0 THEN 'EA-2022-' ELSE 'EA-' END || (doc_id % 40 + 20) AS section, text, doc_id % 3 = 0 AS numeric_claims, CASE WHEN doc_id % 6 = 0 THEN 'eval' ELSE 'train' END AS split FROM documents),
 sg AS (SELECT *, CASE doc_id % 5 WHEN 0 THEN 'None.' WHEN 1 THEN text ELSE 'According to ' || section || ': ' || text[1:200] END AS output, CASE WHEN doc_id % 11 = 0 THEN []::VARCHAR[] WHEN doc_id % 13 = 0 THEN [section, 'Act 5'] ELSE [section] END AS cites FROM sf)"""
@@ -197,6 +202,8 @@ def all_sql() -> dict[str, str]:
         "citation_grounding": f"WITH {ANSWERS}, {METRICS} SELECT p_partkey, {joined('found')} AS predicted, em > 0 AS correctly_grounded, len(vp) > 0 AS valid_sections_mentioned, round(iou, 6) AS iou, em AS citation_em, {any_of('lower(response)', citations.LEGAL_TERMS)}::INT::DOUBLE AS anchored FROM me",
         "enhanced_win_rate": f"WITH {ANSWERS}, {METRICS}, sm AS (SELECT p_partkey % 10 AS kind, {similarity('good')} AS a, {similarity('bad')} AS b FROM me) SELECT kind, count(*) AS n, round(avg((a > b)::INT), 6) AS win_rate, round(avg(a), 6) AS mean FROM sm GROUP BY kind",
         "different_section": f"WITH a AS (SELECT p_partkey, {own} AS section FROM part) SELECT p_partkey, section, {different('section', 'p_partkey')} AS other, len(list_filter({VALID}, lambda z: {family('z')} = {family('section')}))::INT AS n_family FROM a",
+        "pref_pairs": f"WITH {every_pair()} SELECT * FROM ep",
+        "dataset_validation": f"WITH {every_pair()} SELECT count(*) AS n, count(*) FILTER (len({extracted('chosen')}) = 0) AS uncited, count(*) FILTER (chosen = rejected) AS same, count(DISTINCT prompt) AS prompts, count(*) FILTER (length(rejected) < 200) AS short FROM ep",
         "preference_set": f"WITH {pairing()} SELECT pair_id, template_type, prompt, section_id AS source_section, chunk_id, md5(chosen) AS chosen, md5(rejected) AS rejected, chosen_ok, rejected_ok FROM pq",
         "preference_gate": f"WITH {pairing()} SELECT count(*) AS n, count(*) FILTER (chosen_ok) AS grounded, round(avg(chosen_ok::INT), 6) AS ratio, avg(chosen_ok::INT) >= 0.6::DOUBLE AS enough FROM pq",
         "labelling_rows": f"WITH {pairing()} SELECT pair_id, {preview('chosen')} AS chosen_preview, {preview('rejected')} AS rejected_preview, len({extracted('chosen')})::INT AS chosen_valid_citations, len({extracted('rejected')})::INT AS rejected_valid_citations FROM pq",

@@ -96,6 +96,23 @@ def made_pairs(spark, d) -> DataFrame:
     return preferences.pairs(chunks(spark, d), valid(), N_PAIRS)
 
 
+@query
+def pref_pairs(spark, d):
+    """A pair for every document; kinds of prompts and of flaws go round."""
+    k = F.col("chunk_id")
+    kind, flaw = F.get(citations.literal(preferences.KINDS), (k % 4).cast("int")), F.get(citations.literal(preferences.FLAWS), (k % 4).cast("int"))
+    rows = citations.families(chunks(spark, d)).withColumn("prompt", preferences.prompt(kind, k))
+    chosen, rejected = preferences.chosen(F.col("prompt"), F.col("section"), F.col("text")), preferences.rejected(flaw, F.col("section"), F.col("text"), k, valid())
+    return rows.select(k.alias("pair_id"), "prompt", chosen.alias("chosen"), rejected.alias("rejected"))
+
+
+@query
+def dataset_validation(spark, d):
+    count = lambda ok: F.sum(F.when(ok, 1).otherwise(0))
+    uncited = F.size(citations.extracted(F.col("chosen"))) == 0
+    return pref_pairs(spark, d).agg(F.count("*").alias("n"), count(uncited).alias("uncited"), count(F.col("chosen") == F.col("rejected")).alias("same"), F.countDistinct("prompt").alias("prompts"), count(F.length("rejected") < 200).alias("short"))
+
+
 @query
 def preference_set(spark, d):
     rows = made_pairs(spark, d)

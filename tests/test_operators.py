@@ -328,6 +328,17 @@ def test_pairs_are_topped_up_and_written(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "pairs" / "labelling")).count() == 6
 
 
+def test_examples_are_written_with_reports(spark, tmp_path):
+    rows = [(i, f"What does rule {i} say?", "", f"According to EA-2022-{20 + i} it says {i}.", [f"EA-2022-{20 + i}"], i % 2 == 0, "eval" if i % 4 == 0 else "train", f"eval_{i:03d}") for i in range(12)]
+    df = spark.createDataFrame(rows, "id int, instruction string, input string, output string, citations array<string>, has_numeric_claims boolean, split string, stable_id string")
+    datasets.write_examples(df, citations.literal(["EA-2022-20"]), str(tmp_path), subset=2)
+    read = lambda name: spark.read.json(str(tmp_path / name))
+    assert (read("train").count(), read("eval").count(), sorted(r.stable_id for r in read("eval_subset").collect())) == (9, 3, ["eval_000", "eval_004"])
+    assert read("reports/split").first().is_valid and read("reports/statistics").first().total_examples == 12 and read("reports/schema").first().valid_examples == 12
+    labels = spark.range(1).select(datasets.masked_labels(F.array(F.lit(5), F.lit(6)), F.array(F.lit(7)), 5).alias("x")).first().x
+    assert (labels.input_ids, labels.labels, labels.attention_mask) == ([5, 6, 7, 0, 0], [-100, -100, 7, 0, 0], [1] * 5)
+
+
 def test_sources_keys_and_metadata(spark, tmp_path):
     path = tmp_path / "k.jsonl"
     path.write_text('{"text": "a", "section_id": null}\n{"text": "b"}\nbad\n{"section_id": "s", "text": "c"}\n')
