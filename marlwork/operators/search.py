@@ -166,11 +166,12 @@ def normalised_vector(v: Column) -> Column:
     return F.when(size > 0, once(size, lambda n: F.transform(v, lambda x: x.cast("double") / n)))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 2048) -> DataFrame:
+def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 2048, most_blocks: int = 16) -> DataFrame:
     """query_id, rank, doc_id, score (cosine) of the k nearest vectors (doc_id, v) of each query (query_id, q).
 
     A stated query set against all rows: blocks of `block` vectors meet blocks of as many queries, and each pair of
-    blocks keeps k rows of a query. Null and zero vectors take no part; vectors meet queries of their own size.
+    blocks keeps k rows of a query. Up to `most_blocks` blocks of queries are broadcast, more go to shards of the
+    vectors. Null and zero vectors take no part; vectors meet queries of their own size.
     """
 
     def packed(key: str, value: str) -> Callable:
@@ -197,8 +198,14 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 2048
 
     unit = lambda df, key, value: df.select(F.col(key).cast("long").alias(key), normalised_vector(F.col(value)).alias(value)).where(F.col(value).isNotNull() & F.col(key).isNotNull())
     left = unit(vectors, "doc_id", "v").mapInPandas(packed("doc_id", "v"), "dim int, v_ids binary, v binary")
-    right = few(unit(queries, "query_id", "q").repartition(4).mapInPandas(packed("query_id", "q"), "dim int, q_ids binary, q binary"), 16)
-    scored = left.join(right, "dim").drop("dim").mapInPandas(met, "query_id long, doc_id long, score double")
+    right = kept(unit(queries, "query_id", "q").repartition(4).mapInPandas(packed("query_id", "q"), "dim int, q_ids binary, q binary"))
+    if right.count() <= most_blocks:
+        pairs = left.join(F.broadcast(right), "dim")
+    else:
+        shards = 2 * vectors.sparkSession.sparkContext.defaultParallelism
+        left = left.withColumn("shard", F.pmod(F.xxhash64("v_ids"), F.lit(shards)).cast("int"))
+        pairs = left.join(right.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))), ["dim", "shard"]).drop("shard")
+    scored = pairs.drop("dim").mapInPandas(met, "query_id long, doc_id long, score double")
     return top(scored, "doc_id", k).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 

@@ -272,8 +272,9 @@ def test_dense_search_matches_a_loop(spark):
     vectors[7] = vectors[6]
     df = spark.createDataFrame(list(enumerate(vectors)), "doc_id long, v array<double>").repartition(3)
     asked = spark.createDataFrame([(i, vectors[i]) for i in (0, 6, 60, 61)], "query_id long, q array<double>")
-    got = {}
-    for r in search.dense(df, asked, 4, block=16).orderBy("query_id", "rank").collect():
+    got, rows = {}, search.dense(df, asked, 4, block=16).orderBy("query_id", "rank").collect()
+    assert search.dense(df, asked, 4, block=16, most_blocks=0).orderBy("query_id", "rank").collect() == rows
+    for r in rows:
         got.setdefault(r.query_id, []).append((r.doc_id, r.score))
     cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
     for i in (0, 6):
