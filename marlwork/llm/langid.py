@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlwork.llm.common import durable, small, texts_of
+from marlwork.llm.common import durable, small, text_hash, texts_of, without
 
 #: Bytes of context: three letters of Latin script, one or two of most others.
 ORDER = 3
@@ -186,11 +186,16 @@ def identify(docs: DataFrame, trained: list[Model]) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, trained: list[Model]) -> DataFrame:
-    """The rows of docs whose language is known to the models; rows of `und` go. All columns stay."""
+    """The rows of docs whose language is known to the models; rows of `und` go. All columns stay.
+
+    Only ids and texts pass by Python, and only the rows that go come back.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(trained[0])  # texts that one model calls `und` all do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([shared.value.predict(x)[0] != "und" for x in texts_of(batch)], pa.bool_()))
+            gone = pa.array([shared.value.predict(x)[0] == "und" for x in texts_of(batch)], pa.bool_())
+            yield batch.select(["doc_id", "text_hash"]).filter(gone)
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.select(F.col("doc_id").cast("long"), text_hash().alias("text_hash"), F.col("text").cast("string"))
+    return without(docs, plain.mapInArrow(run, "doc_id long, text_hash long"))
