@@ -13,7 +13,6 @@ from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache, cached_property
 
-import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
