@@ -117,3 +117,40 @@ z AS (SELECT k, sum(sys_chars) AS chars FROM s GROUP BY k),
 c AS (SELECT k, any_value(conv_id) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY n)) AS turns_sha256, coalesce(string_agg(t, '' ORDER BY n) FILTER (role = 'assistant'), '') AS loss, sum(chars) AS chars FROM b GROUP BY k)
 SELECT c.conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, (c.chars + coalesce(h.chars, 0) + coalesce(z.chars, 0))::BIGINT AS formatted_chars
 FROM c LEFT JOIN h USING (k) LEFT JOIN z USING (k)"""
+
+
+def lm_sql(strength: float = 20.0) -> str:
+    """The model of order 2: a word's probability after another, or after the beginning, and by itself."""
+    steps = "flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    # crc32, byte by byte: a byte is mixed in, and each -1 is one of the eight shifts that follow it.
+    crc = f"xor(list_reduce(list_concat([4294967295::BIGINT], {steps}), lambda c, o: CASE WHEN o >= 0 THEN xor(c, o) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295)"
+    words = f"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WS}'), lambda x: x <> '')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, coalesce({crc} % 7 = 2, false) AS held_out, doc_id IS NOT NULL AS known, list_transform({words}, lambda x: 'w' || x) || ['e'] AS w FROM documents),
+t AS MATERIALIZED (SELECT uid, known AND NOT held_out AS learn, unnest(w) AS x, unnest(['b'] || w[:-2]) AS h FROM d),
+u AS MATERIALIZED (SELECT x, count(*) AS c FROM t WHERE learn GROUP BY x),
+n AS MATERIALIZED (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM u),
+s AS (SELECT x, c FROM u UNION ALL SELECT 'b', count(*) FROM d WHERE known AND NOT held_out),
+b AS (SELECT h, x, count(*) AS c FROM t WHERE learn GROUP BY h, x),
+p AS (SELECT uid, coalesce(u.c, 0) AS c, coalesce(s.c, 0) AS ch, coalesce(b.c, 0) AS cb, (coalesce(u.c, 0) + 1)::DOUBLE / (n + v + 1) AS q FROM n, t LEFT JOIN u ON u.x = t.x LEFT JOIN s ON s.x = t.h LEFT JOIN b ON b.h = t.h AND b.x = t.x),
+a AS (SELECT uid, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, sum(log10(q)) AS base_score, sum(log10(CASE WHEN ch > 0 THEN (cb + {strength}::DOUBLE * q) / (ch + {strength}::DOUBLE) ELSE q END)) AS score FROM p GROUP BY uid)
+SELECT doc_id, held_out, n_tokens, n_known, n AS train_tokens, round(base_score, 6) AS base_score, round(score, 6) AS score FROM d JOIN a USING (uid), n"""
+
+
+def phrases_sql(least: int = 10, share: int = 50, top: int = 2000) -> str:
+    """Phrases of two and three words."""
+    return f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d),
+w AS MATERIALIZED (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 4) r(k) WHERE len(w) >= k)),
+f AS MATERIALIZED (SELECT lang, k, g, count(*) AS f FROM g GROUP BY lang, k, g HAVING count(*) >= {least}),
+c AS (SELECT lang, k, g, f AS a, string_split(g, ' ') AS s, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+e AS (SELECT c.lang, c.g, c.k, a, cut, l.f AS l, r.f AS r, (1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS score FROM c
+  JOIN f l ON l.lang = c.lang AND l.k = cut AND l.g = array_to_string(s[:cut], ' ') JOIN f r ON r.lang = c.lang AND r.k = c.k - cut AND r.g = array_to_string(s[cut + 1:], ' ')),
+b AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+o AS (SELECT lang, f, unnest([array_to_string(string_split(g, ' ')[:2], ' '), array_to_string(string_split(g, ' ')[2:], ' ')]) AS g FROM f WHERE k = 3),
+x AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.lang = b.lang AND o.g = b.g AND 100 * o.f >= {share} * b.a)),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM x)
+SELECT lang, rank, g AS phrase, a, l, r, n, score::BIGINT AS score FROM k JOIN n USING (lang) WHERE rank <= {top}"""

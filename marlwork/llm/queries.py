@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlwork.llm import ann, bpe, chat, html, langid, licenses, oracle, packing, quality, secrets, simhash
+from marlwork.llm import ann, bpe, chat, html, langid, licenses, lm, oracle, packing, phrases, quality, runs, secrets, simhash
 from marlwork.llm.common import table
 
 
@@ -58,12 +58,25 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(table(spark, sf_dir, "documents"), lm.learned(F.col("doc_id")))
+    return scored.withColumns({"held_out": lm.held_out(F.col("doc_id")), **{x: F.round(x, 6) for x in ("base_score", "score")}})
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.scan(table(spark, sf_dir, "documents"), rewrite=runs.looped))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_secret_scan, op2_quality_rules, op3_packing, op4_bpe, op5_license_scan, op6_html_extract, op7_ann, op8_language, op9_chat_format, op10_simhash, pipeline)
+    own = (op1_secret_scan, op2_quality_rules, op3_packing, op4_bpe, op5_license_scan, op6_html_extract, op7_ann, op8_language, op9_chat_format, op10_simhash, op11_lm_score, op12_phrases, op13_runs, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -73,5 +86,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_quality_rules": oracle.quality_sql(),
         "op5_license_scan": oracle.licenses_sql(),
         "op9_chat_format": oracle.chat_sql(),
+        "op11_lm_score": oracle.lm_sql(),
+        "op12_phrases": oracle.phrases_sql(),
     }
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
