@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marlwork.functions.text import hits, tokens, word_f1
 from marlwork.operators import answers, calculator, chunking, governance, metrics, questions, search, training
 from marlwork.plans import oracle, service_oracle, service_queries, training_oracle, training_queries
-from marlwork.streaming import serving
+from marlwork.streaming import reuse, serving
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -382,7 +382,7 @@ def token_stream(spark, d):
 
 @query
 def cache_replay_lru(spark, d):
-    return serving.lru_cache(table(spark, d, "events"), "user_id", 20, 3600)
+    return reuse.lru_cache(table(spark, d, "events"), "user_id", 20, 3600)
 
 
 @query

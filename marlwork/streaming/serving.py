@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -89,27 +88,6 @@ def tiered_cache(events: DataFrame, key: str, ttl_seconds: int, first_ttl_second
     return ordered_fold(folded(events, key), [key], [], step, lambda: (-1 << 62, -1 << 62), "tier", "int")
 
 
-def lru_cache(events: DataFrame, key: str, capacity: int, ttl_seconds: int, shards: int = 1) -> DataFrame:
-    """event_id and hit of events (event_id, ts, key) before a cache of `shards` servers, `capacity` entries each.
-
-    A key belongs to the server that its hash names; one server's requests are one ordered run, so more servers spread
-    the work. A full server drops the entry that was used least recently; a hit makes an entry the latest but doesn't
-    renew its time to live.
-    """
-
-    def step(entries: OrderedDict, at: int, name: str) -> tuple[OrderedDict, bool]:
-        hit = name in entries and at - entries[name] <= ttl_seconds * 1_000_000
-        if not hit:
-            entries[name] = at
-        entries.move_to_end(name)
-        if len(entries) > capacity:
-            entries.popitem(last=False)
-        return entries, hit
-
-    rows = folded(events, key).withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards)))
-    return ordered_fold(rows, ["shard"], [key], step, OrderedDict, "hit", "boolean").select("event_id", "hit")
-
-
 def circuit_breaker(calls: DataFrame, key: str, most_failures: int = 5, reset_seconds: int = 60) -> DataFrame:
     """event_id, key and state (closed, open, half_open) in which each of calls (event_id, ts, key, ok) finds its service.
 

