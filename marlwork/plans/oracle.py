@@ -229,11 +229,11 @@ SELECT request_id, seq, e.t AS chunk_type, e.c AS content FROM c"""
 
 def lru(capacity: int, seconds: int) -> str:
     """Requests between two for one key whose own last one stands before both are the distinct keys between them."""
-    return f"""WITH RECURSIVE e AS (SELECT event_id, user_id AS k, epoch_us(ts) AS at, row_number() OVER (ORDER BY ts, event_id) AS i FROM events),
+    return f"""WITH RECURSIVE e AS (SELECT event_id, user_id AS k, epoch_us(ts) AS tm, row_number() OVER (ORDER BY ts, event_id) AS i FROM events),
 p AS MATERIALIZED (SELECT *, coalesce(lag(i) OVER o, 0) AS p, row_number() OVER o AS n FROM e WINDOW o AS (PARTITION BY k ORDER BY i)),
-d AS MATERIALIZED (SELECT a.event_id, a.k, a.at, a.n, a.p > 0 AND count(b.i) < {capacity} AS held FROM p a LEFT JOIN p b ON b.i > a.p AND b.i < a.i AND b.p < a.p AND a.p > 0 GROUP BY ALL),
-c AS (SELECT event_id, k, n, at AS since, false AS hit FROM d WHERE n = 1
-  UNION ALL SELECT d.event_id, d.k, d.n, CASE WHEN d.held AND d.at - c.since <= {seconds}000000 THEN c.since ELSE d.at END, d.held AND d.at - c.since <= {seconds}000000 FROM c JOIN d ON d.k = c.k AND d.n = c.n + 1)
+d AS MATERIALIZED (SELECT a.event_id, a.k, a.tm, a.n, a.p > 0 AND count(b.i) < {capacity} AS held FROM p a LEFT JOIN p b ON b.i > a.p AND b.i < a.i AND b.p < a.p AND a.p > 0 GROUP BY a.event_id, a.k, a.tm, a.n, a.p),
+c AS (SELECT event_id, k, n, tm AS since, false AS hit FROM d WHERE n = 1
+  UNION ALL SELECT d.event_id, d.k, d.n, CASE WHEN d.held AND d.tm - c.since <= {seconds}000000 THEN c.since ELSE d.tm END, d.held AND d.tm - c.since <= {seconds}000000 FROM c JOIN d ON d.k = c.k AND d.n = c.n + 1)
 SELECT event_id, hit FROM c"""
 
 
