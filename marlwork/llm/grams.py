@@ -9,7 +9,7 @@ more than a unit or a bucket. An n-gram is known by a 64-bit hash and, independe
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -98,7 +98,8 @@ def words_of(texts: list[bytes], kinds: np.ndarray) -> Words:
             np.cumsum(values[a] * weights, out=sums[1:])
             hashes.append(mixed((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64)))
         text = np.searchsorted(begins[lo : hi + 1] - at, start, "right") - 1 + lo
-        found.append((text, start + at, end + at, gap[start], np.stack(hashes)))
+        # 32 bits do for the places of a unit.
+        found.append((*(x.astype(np.int32) for x in (text, start + at, end + at, gap[start])), np.stack(hashes)))
         breaks, lo = int(gap[-1]) + 1, hi
     if not found:
         return Words(raw, *(np.zeros(0, np.int64) for _ in range(5)), np.zeros((2, 0), np.uint64))
@@ -122,19 +123,21 @@ class Level:
 def level(hashes: np.ndarray, valid: np.ndarray) -> Level:
     at = np.flatnonzero(valid)
     _, first, inverse = np.unique(hashes[0][at], return_index=True, return_inverse=True)
-    ids = np.full(hashes.shape[1], -1, np.int64)
+    ids = np.full(hashes.shape[1], -1, np.int32)
     ids[at] = inverse
     return Level(ids, at[first], hashes[:, at[first]])
 
 
-def levels(seeds: np.ndarray, words: np.ndarray, place: np.ndarray, most: int) -> list[Level]:
-    """The n-grams of 1 to `most` words. seeds and words: 2 x positions; place: how many words of its sequence stand before a word."""
-    found, hashes = [], seeds
+def levels(seeds: np.ndarray, words: np.ndarray, place: np.ndarray, most: int) -> Iterator[Level]:
+    """The n-grams of 1 to `most` words, one length after the other.
+
+    seeds and words: 2 x positions; place: how many words of its sequence stand before a word.
+    """
+    hashes = seeds
     for n in range(1, most + 1):
         before = hashes if n == 1 else np.concatenate([hashes[:, :1], hashes[:, :-1]], axis=1)
         hashes = chained(before, words)
-        found.append(level(hashes, place >= n - 1))
-    return found
+        yield level(hashes, place >= n - 1)
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -154,7 +157,7 @@ def buckets_of(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray
 REQUEST = "unit long, bucket long, size int, grams binary, counts binary"
 
 
-def requests(unit: int, named: list[tuple[int, np.ndarray, np.ndarray]], buckets: int) -> pa.Table:
+def requests(unit: int, named: Iterable[tuple[int, np.ndarray, np.ndarray]], buckets: int) -> pa.Table:
     """Rows of REQUEST: a unit's n-grams of each size with their hashes and counts, a row for each bucket."""
     rows = []
     for size, hashes, counts in named:
@@ -167,16 +170,20 @@ def requests(unit: int, named: list[tuple[int, np.ndarray, np.ndarray]], buckets
     return pa.table(dict(zip(("unit", "bucket", "size", "grams", "counts"), map(pa.array, columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())), strict=True)))
 
 
-def answered(named: list[tuple[int, np.ndarray]], answers: pa.Table, buckets: int) -> dict[int, np.ndarray]:
-    """By size, the answers to requests() in the order of the hashes."""
-    rows: dict[tuple[int, int], bytes] = {(s, b): c for s, b, c in zip(*(answers.column(x).to_pylist() for x in ("size", "bucket", "counts")), strict=True)}
-    found = {}
-    for size, hashes in named:
-        order, begins = buckets_of(hashes, buckets)
-        some = [unpacked(rows[size, int(b)]) for b in np.flatnonzero(np.diff(begins))]
-        found[size] = np.zeros(len(order), np.int64)
-        found[size][order] = np.concatenate(some) if some else np.zeros(0, np.int64)
-    return found
+class Answers:
+    """The answers to a unit's requests()."""
+
+    def __init__(self, rows: pa.Table, buckets: int):
+        self.buckets = buckets
+        self.rows: dict[tuple[int, int], bytes] = {(s, b): c for s, b, c in zip(*(rows.column(x).to_pylist() for x in ("size", "bucket", "counts")), strict=True)}
+
+    def of(self, size: int, hashes: np.ndarray) -> np.ndarray:
+        """Those for n-grams of one size, in the order of their hashes."""
+        order, begins = buckets_of(hashes, self.buckets)
+        found = np.zeros(len(order), np.int64)
+        some = [unpacked(self.rows[size, int(b)]) for b in np.flatnonzero(np.diff(begins))]
+        found[order] = np.concatenate(some) if some else 0
+        return found
 
 
 def pieces(text: Column, between: str, lead: int, most: int = 1 << 20, words: int = 1 << 16) -> Column:

@@ -15,6 +15,8 @@ The automaton grows with the corpus and is nowhere held whole: each unit of text
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -46,7 +48,7 @@ class Automaton:
         keys, weights, targets = [], [], []
         for n in range(2, order + 1):
             at, c = found[n - 1].first, counts[n - 1]
-            prefix, suffix, symbol = found[n - 2].ids[at - 1], found[n - 2].ids[at], found[0].ids[at]
+            prefix, suffix, symbol = (x.astype(np.int64) for x in (found[n - 2].ids[at - 1], found[n - 2].ids[at], found[0].ids[at]))
             probability.append((c + strength * probability[-1][suffix]) / (counts[n - 2][prefix] + strength))
             known = live[n - 1]
             own = np.arange(len(c)) + starts[n - 1] if n < order else starts[n - 2] + suffix
@@ -118,27 +120,27 @@ class Corpus:
         self.begins = np.concatenate([[0], np.cumsum(self.size)])
         total = int(self.begins[-1])
         self.piece = np.repeat(np.arange(rows.num_rows), self.size)
-        place = np.arange(total) - self.begins[self.piece]
-        symbols = np.zeros((2, total), np.uint64)
+        self.place = np.arange(total) - self.begins[self.piece]
+        self.order, self.words = order, np.zeros((2, total), np.uint64)
         at = np.arange(len(words.text)) - np.concatenate([[0], np.cumsum(n)])[words.text] + (self.begins[:-1] + self.first)[words.text]
-        symbols[:, at] = words.hashes
-        symbols[:, self.begins[:-1][self.first]] = BEGIN
-        symbols[:, self.begins[1:][self.last] - 1] = END
+        self.words[:, at] = words.hashes
+        self.words[:, self.begins[:-1][self.first]] = BEGIN
+        self.words[:, self.begins[1:][self.last] - 1] = END
         #: 1 at words and ends that belong to the piece, 0 at those that lead to it; what begins a text is no token.
         self.own = np.ones(total, bool)
         self.own[at] = words.start >= words.begins[words.text] + np.array([len(x) for x in lead], np.int64)[words.text] + 1
         self.token = self.own.copy()
         self.token[self.begins[:-1][self.first]] = False
-        self.levels = grams.levels(np.zeros_like(symbols), symbols, place, order)
 
-    def named(self) -> list[tuple[int, np.ndarray]]:
-        return [(n, x.hashes) for n, x in enumerate(self.levels, 1)]
+    def levels(self) -> Iterator[grams.Level]:
+        return grams.levels(np.zeros((2, 1), np.uint64), self.words, self.place, self.order)
 
-    def scored(self, counts: dict[int, np.ndarray], total: int, kinds: int, strength: float) -> tuple[np.ndarray, ...]:
+    def scored(self, answers: grams.Answers, total: int, kinds: int, strength: float) -> tuple[np.ndarray, ...]:
         """Of each piece: tokens, known tokens, the base score and the model's."""
-        order = len(self.levels)
-        automaton = Automaton(self.levels, [counts[n] for n in range(1, order + 1)], total, kinds, strength)
-        symbols = self.levels[0].ids
+        levels = list(self.levels())
+        counts = [answers.of(n, x.hashes) for n, x in enumerate(levels, 1)]
+        automaton = Automaton(levels, counts, total, kinds, strength)
+        symbols = levels[0].ids
         # Stretches start at every STRETCH-th token of a piece; what stands before sets the state.
         lead = np.bincount(self.piece[~self.token], minlength=len(self.size)) if len(self.piece) else np.zeros(len(self.size), np.int64)
         tokens = self.size - lead
@@ -147,9 +149,9 @@ class Corpus:
         k = np.arange(len(piece)) - np.concatenate([[0], np.cumsum(cuts)])[piece]
         lo = (self.begins[:-1] + lead)[piece] + k * STRETCH
         hi = np.minimum(lo + STRETCH, self.begins[1:][piece])
-        warm = np.minimum(order - 1, lo - self.begins[:-1][piece])
+        warm = np.minimum(self.order - 1, lo - self.begins[:-1][piece])
         score = np.bincount(piece, automaton.read(symbols, lo - warm, hi, warm), len(self.size))
-        known = counts[1][symbols[self.token]]
+        known = counts[0][symbols[self.token]]
         of = self.piece[self.token]
         base = np.bincount(of, np.log10(known + 1.0), len(self.size)) - tokens * np.log10(total + kinds + 1.0)
         return tokens, np.bincount(of, known > 0, len(self.size)).astype(np.int64), base, score
@@ -177,7 +179,7 @@ def totals(request: pa.Table) -> pa.Table:
     return pa.table({"unit": pa.array(units, pa.int64()), "bucket": pa.array(buckets, pa.int64()), "size": pa.array(sizes, pa.int32()), "counts": pa.array(counts, pa.binary()), "tokens": pa.array(tokens, pa.int64()), "kinds": pa.array(kinds, pa.int64())})
 
 
-def score(docs: DataFrame, learn: Column, order: int = 2, strength: float = 20.0, unit_bytes: int = 8 << 20, longest: int = 1 << 20) -> DataFrame:
+def score(docs: DataFrame, learn: Column, order: int = 2, strength: float = 20.0, unit_bytes: int = 6 << 20, longest: int = 1 << 20) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_tokens, n_known, train_tokens, base_score and score.
 
     The model has n-grams of up to `order` words, counted over all rows for which `learn` (an expression over docs; null:
@@ -195,12 +197,12 @@ def score(docs: DataFrame, learn: Column, order: int = 2, strength: float = 20.0
     def ask(unit: pa.Table) -> pa.Table:
         corpus = Corpus(unit, order)
         learned = np.array(unit.column("learn").to_pylist(), bool)[corpus.piece] & corpus.own
-        return grams.requests(unit.column("unit")[0].as_py(), [(n, x.hashes, x.counts(learned)) for n, x in enumerate(corpus.levels, 1)], sizes.buckets)
+        return grams.requests(unit.column("unit")[0].as_py(), ((n, x.hashes, x.counts(learned)) for n, x in enumerate(corpus.levels(), 1)), sizes.buckets)
 
     def give(unit: pa.Table, answers: pa.Table) -> pa.Table:
         corpus = Corpus(unit, order)
         total, kinds = (answers.column(x)[0].as_py() for x in ("all_tokens", "all_kinds"))
-        n, known, base, found = corpus.scored(grams.answered(corpus.named(), answers, sizes.buckets), total, kinds, strength)
+        n, known, base, found = corpus.scored(grams.Answers(answers, sizes.buckets), total, kinds, strength)
         return pa.table({"doc_id": unit.column("doc_id"), "text_hash": unit.column("text_hash"), "first": pa.array(corpus.first.astype(np.int64)), "tokens": pa.array(n), "known": pa.array(known), "train_tokens": pa.array([total] * unit.num_rows, pa.int64()), "base": pa.array(base), "model": pa.array(found)})
 
     answers = grams.met(rows, ask, totals, ANSWER)

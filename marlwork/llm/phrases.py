@@ -8,6 +8,7 @@ is ranked in its language.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,33 +33,35 @@ class Phrases:
         self.words = grams.words_of([a + b" " + b for a, b in zip(lead, own, strict=True)], KINDS)
         w = self.words
         self.own = w.start >= w.begins[w.text] + np.array([len(x) for x in lead], np.int64)[w.text] + 1 if len(w.text) else np.zeros(0, bool)
-        names = sorted(set(self.langs))
-        codes = np.array([np.frombuffer(hashlib.blake2b(x.encode(), digest_size=16).digest(), np.uint64) for x in names], np.uint64).reshape(-1, 2).T
-        self.seeds = codes[:, np.searchsorted(names, self.langs)[w.text]] if len(w.text) else np.zeros((2, 0), np.uint64)
-        fresh = np.ones(len(w.text), bool)
+        self.most, fresh = most, np.ones(len(w.text), bool)
         fresh[1:] = (w.gap[1:] != w.gap[:-1]) | (w.text[1:] != w.text[:-1])
         begins = np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0)) if len(fresh) else np.zeros(0, np.int64)
-        #: Level 0 has the languages: its counts are those of all words.
-        self.levels = [grams.level(self.seeds, np.ones(len(fresh), bool)), *grams.levels(self.seeds, w.hashes, np.arange(len(fresh)) - begins, most)]
+        self.place = (np.arange(len(fresh)) - begins).astype(np.int32)
 
-    def named(self) -> list[tuple[int, np.ndarray]]:
-        return [(n, x.hashes) for n, x in enumerate(self.levels)]
+    def levels(self) -> Iterator[grams.Level]:
+        """The n-grams of 0 words, which are the languages, to `most`."""
+        names = sorted(set(self.langs))
+        codes = np.array([np.frombuffer(hashlib.blake2b(x.encode(), digest_size=16).digest(), np.uint64) for x in names], np.uint64).reshape(-1, 2).T
+        seeds = codes[:, np.searchsorted(names, self.langs)[self.words.text]] if len(self.words.text) else np.zeros((2, 0), np.uint64)
+        yield grams.level(seeds, np.ones(len(self.place), bool))
+        yield from grams.levels(seeds, self.words.hashes, self.place, self.most)
 
-    def rows(self, counts: dict[int, np.ndarray]) -> pa.Table:
+    def rows(self, answers: grams.Answers) -> pa.Table:
         """Rows of FOUND: the n-grams whose count isn't 0."""
         w, lang, phrase, size, f = self.words, [], [], [], []
         folded = w.raw.translate(FOLD)
-        for n, level in enumerate(self.levels):
-            for g in np.flatnonzero(counts[n]):
+        for n, level in enumerate(self.levels()):
+            counts = answers.of(n, level.hashes)
+            for g in np.flatnonzero(counts):
                 last = level.first[g]
                 lang.append(self.langs[w.text[last]])
                 phrase.append(b" ".join(folded[w.start[last - n + 1] : w.end[last]].split()).decode("utf-8", "replace") if n else "")
                 size.append(n)
-                f.append(int(counts[n][g]))
+                f.append(int(counts[g]))
         return pa.table({"lang": pa.array(lang, pa.string()), "phrase": pa.array(phrase, pa.string()), "size": pa.array(size, pa.int32()), "f": pa.array(f, pa.int64())})
 
 
-def counted(docs: DataFrame, most: int = 3, least: int = 10, unit_bytes: int = 8 << 20, longest: int = 1 << 20) -> DataFrame:
+def counted(docs: DataFrame, most: int = 3, least: int = 10, unit_bytes: int = 4 << 20, longest: int = 1 << 20) -> DataFrame:
     """lang, phrase, size and f of every n-gram of 1 to `most` words that stands at least `least` times in its language.
 
     A row of size 0 and an empty phrase has the number of a language's words. docs has doc_id, text and lang.
@@ -71,7 +74,7 @@ def counted(docs: DataFrame, most: int = 3, least: int = 10, unit_bytes: int = 8
 
     def ask(unit: pa.Table) -> pa.Table:
         found = Phrases(unit, most)
-        return grams.requests(unit.column("unit")[0].as_py(), [(n, x.hashes, x.counts(found.own)) for n, x in enumerate(found.levels)], sizes.buckets)
+        return grams.requests(unit.column("unit")[0].as_py(), ((n, x.hashes, x.counts(found.own)) for n, x in enumerate(found.levels())), sizes.buckets)
 
     def answer(request: pa.Table) -> pa.Table:
         """The total of a frequent n-gram to one of the units that have it, 0 to the others."""
@@ -88,14 +91,13 @@ def counted(docs: DataFrame, most: int = 3, least: int = 10, unit_bytes: int = 8
         return pa.table({x: pa.array(y, kind) for (x, y), kind in zip(columns.items(), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)})
 
     def give(unit: pa.Table, answers: pa.Table) -> pa.Table:
-        found = Phrases(unit, most)
-        return found.rows(grams.answered(found.named(), answers, sizes.buckets))
+        return Phrases(unit, most).rows(grams.Answers(answers, sizes.buckets))
 
     answers = grams.met(rows, ask, answer, "unit long, bucket long, size int, counts binary")
     return rows.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(give, FOUND)
 
 
-def mine(docs: DataFrame, most: int = 3, least: int = 10, share: int = 50, top: int = 2000, unit_bytes: int = 8 << 20, longest: int = 1 << 20) -> DataFrame:
+def mine(docs: DataFrame, most: int = 3, least: int = 10, share: int = 50, top: int = 2000, unit_bytes: int = 4 << 20, longest: int = 1 << 20) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of the `top` phrases of 2 to `most` words of each language.
 
     A phrase that stands a times (`least` or more) is cut where floor(1000000 a a / (l r)) is lowest, l and r being how

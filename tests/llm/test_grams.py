@@ -69,7 +69,7 @@ def test_every_state_sums_to_one():
     rng = np.random.default_rng(3)
     symbols = np.append(rng.integers(0, 9, 400), 9).astype(np.uint64)  # 9 ends the text and is followed by nothing
     hashes = np.stack([symbols, symbols + np.uint64(50)])
-    found = grams.levels(np.zeros_like(hashes), hashes, np.arange(401), 3)
+    found = list(grams.levels(np.zeros_like(hashes), hashes, np.arange(401), 3))
     counts = [x.counts(np.ones(401)) for x in found]
     automaton = lm.Automaton(found, counts, 401, 10, 2.0)
     for state in range(len(automaton.fail)):
