@@ -154,15 +154,19 @@ def schema_report(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def told_apart(rows: DataFrame, key: str) -> DataFrame:
-    """rows (instruction, title, section) whose instruction repeats an earlier one's, in any case, marked by title, else by section."""
+    """rows (instruction, title, section) whose instruction repeats an earlier one's, in any case, marked by title, else by section.
+
+    Rows without an instruction repeat none and stay as they are.
+    """
     same = F.lower(stripped(F.col("instruction")))
-    first = rows.groupBy(same.alias("marlwork_same")).agg(F.min(key).alias("marlwork_first"))
+    first = rows.where(same.isNotNull()).groupBy(same.alias("marlwork_same")).agg(F.min(key).alias("marlwork_first"))
     title = stripped(F.coalesce(F.col("title"), F.lit("")))
     by_title = F.concat(F.lit("(regarding "), title, F.lit(")"))
     fresh = (title != "") & ~F.contains(same, F.lower(by_title))
-    mark = F.when(fresh, by_title).otherwise(F.concat(F.lit("[Section "), F.col("section"), F.lit("]")))
-    marked = F.when(F.col(key) == F.col("marlwork_first"), F.col("instruction")).otherwise(F.concat_ws(" ", "instruction", mark))
-    return rows.join(first, same == F.col("marlwork_same")).withColumn("instruction", marked).select(*rows.columns)
+    mark = F.when(fresh, by_title).otherwise(F.concat_ws("", F.lit("[Section "), F.col("section"), F.lit("]")))
+    repeats = F.col("marlwork_first").isNotNull() & ~F.col(key).eqNullSafe(F.col("marlwork_first"))
+    marked = F.when(repeats, F.concat_ws(" ", "instruction", mark)).otherwise(F.col("instruction"))
+    return rows.join(first, same == F.col("marlwork_same"), "left").withColumn("instruction", marked).select(*rows.columns)
 
 
 def distinct_examples(rows: DataFrame, key: str) -> DataFrame:

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlwork.functions.text import stripped, tokens
 from marlwork.operators import citations
 from marlwork.operators.governance import canonical
-from marlwork.operators.training import drawn
+from marlwork.operators.training import at_places, drawn
 from marlwork.sources.durable import few, kept
+from marlwork.sources.ranges import in_order
 
 #: Kinds of prompts and of flaws, in the order in which they go round. Fixed values.
 KINDS = ["entitlement", "procedure", "rights", "consequences"]
@@ -114,28 +115,21 @@ def nearest_chunk(prompts: DataFrame, chunks: DataFrame, first: int = 50) -> Dat
     return scored.groupBy("pair_id").agg(F.min_by("chunk_id", F.struct(-F.col("score"), F.col("chunk_id"))).alias("chunk_id"))
 
 
-def pool(rows: DataFrame, by: str, most: int, seed: int = 42) -> DataFrame:
-    """rows with `place` (from 0): the `most` of each `by` that a stable random order puts first, and their number `held`."""
-    order = Window.partitionBy(by).orderBy(drawn(F.col("chunk_id"), seed), "chunk_id")
-    placed = rows.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < most)
-    return placed.withColumn("held", F.count("*").over(Window.partitionBy(by)))
-
-
 def numbered(key: Column, what: str, below: Column) -> Column:
     """A number below `below` by the md5 of key and purpose."""
     return (F.conv(F.substring(F.md5(F.concat_ws("|", key.cast("string"), F.lit(what))), 1, 8), 16, 10).cast("long") % below).cast("int")
 
 
-def pairs(chunks: DataFrame, valid: Column, target: int = 60, choice: int = 64, seed: int = 42, prompts: dict | None = None, fills: dict | None = None) -> DataFrame:
+def pairs(chunks: DataFrame, valid: Column, target: int = 60, seed: int = 42, prompts: dict | None = None, fills: dict | None = None) -> DataFrame:
     """pair_id, prompt, chosen, rejected, source_section, template_type, chunk_id and both groundings of `target` pairs.
 
     chunks has chunk_id, section_id and text. First each section gives one pair, as long as there are sections, in a
     stable random order; the others ask for a chunk that suits their prompt: of a family that its keywords name, else
-    the most similar of the first chunks, else any. Random choices are among the `choice` first of each group.
+    the most similar of the first chunks, else any. A random choice is among all chunks of a family, or of the table.
     """
     spark = chunks.sparkSession
     named = citations.families(chunks).select("chunk_id", "section_id", "family", "text")
-    one = kept(pool(named.select("chunk_id", "section_id"), "section_id", 1, seed))  # a row a section
+    one = kept(named.groupBy("section_id").agg(F.min(F.struct(drawn(F.col("chunk_id"), seed).alias("r"), "chunk_id")).alias("x")).select("section_id", "x.chunk_id"))  # a row a section
     order = Window.orderBy(drawn(F.col("section_id"), seed), "section_id")
     first = one.withColumn("i", F.row_number().over(order) - 1).where(F.col("i") < target).select(F.col("i").cast("long").alias("pair_id"), "chunk_id")
     done = first.count()
@@ -145,18 +139,18 @@ def pairs(chunks: DataFrame, valid: Column, target: int = 60, choice: int = 64,
     asked = asked.withColumn("template_type", F.get(citations.literal(KINDS), (turn % len(KINDS)).cast("int")))
     asked = asked.withColumn("prompt", prompt(F.col("template_type"), F.col("pair_id"), prompts, fills))
     wanted = asked.where(F.col("pair_id") >= done)
-    # Of the families that are asked for and exist, one is taken; then one of its chunks.
-    ready = kept(pool(named.where("family is not null").select("chunk_id", "family"), "family", choice, seed))
-    held = ready.select("family", "held").distinct()
+    # Of the families that are asked for and exist, one is taken; then one of its chunks, by its place in a random order.
+    grouped = named.where("family is not null").select("chunk_id", "family")
+    held = few(grouped.groupBy("family").agg(F.count("*").alias("held")))
     each = wanted.select("pair_id", F.explode(citations.families_of(F.col("prompt"))).alias("family")).join(held, "family")
     taken = each.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("family", "held"))).alias("xs"))
     taken = taken.select("pair_id", F.get("xs", numbered(F.col("pair_id"), "family", F.size("xs"))).alias("x")).select("pair_id", "x.family", numbered(F.col("pair_id"), "chunk", F.col("x.held")).alias("place"))
-    by_family = taken.join(ready.drop("held"), ["family", "place"]).select("pair_id", "chunk_id")
+    by_family = kept(at_places(grouped, "family", "chunk_id", taken, seed).select("pair_id", "chunk_id"))
     left = wanted.join(by_family, "pair_id", "left_anti")
-    by_words = nearest_chunk(left, named)
-    any_chunk = kept(named.select("chunk_id").orderBy(drawn(F.col("chunk_id"), seed), "chunk_id").limit(choice).withColumn("place", F.row_number().over(Window.orderBy(drawn(F.col("chunk_id"), seed), "chunk_id")) - 1))
-    lost = left.join(by_words, "pair_id", "left_anti").select("pair_id").crossJoin(F.broadcast(any_chunk.agg(F.count("*").alias("n")))).where("n > 0")
-    by_chance = lost.select("pair_id", numbered(F.col("pair_id"), "any", F.col("n")).alias("place")).join(any_chunk.select("place", "chunk_id"), "place").select("pair_id", "chunk_id")
+    by_words = kept(nearest_chunk(left, named))
+    every = named.select("chunk_id", F.lit(0).alias("every"))
+    lost = left.join(by_words, "pair_id", "left_anti").select("pair_id").crossJoin(F.broadcast(every.agg(F.count("*").alias("n")))).where("n > 0")
+    by_chance = at_places(every, "every", "chunk_id", lost.select("pair_id", F.lit(0).alias("every"), numbered(F.col("pair_id"), "any", F.col("n")).alias("place")), seed).select("pair_id", "chunk_id")
     placed = few(first.unionByName(by_family).unionByName(by_words).unionByName(by_chance).join(asked, "pair_id"))
     rows = named.select("chunk_id", "section_id", "text").join(placed, "chunk_id")
     own = F.coalesce(canonical(F.col("section_id")), F.col("section_id"))
@@ -218,12 +212,12 @@ def with_feedback(made: DataFrame, feedback: DataFrame, strict: bool = False) ->
 
 
 def split_by_section(made: DataFrame, share: float = 0.8, seed: int = 42) -> DataFrame:
-    """made with `split`: the first `share` of the sections, in a stable random order, are train, the others eval."""
-    sections = made.select("source_section").distinct()
-    order = Window.orderBy(drawn(F.col("source_section"), seed), "source_section")  # a small table
+    """made with `split`: the first `share` of the sections, in a stable random order, are train, the others eval. Pairs without a section have one of their own."""
+    sections = made.select(F.col("source_section").alias("marlwork_section")).distinct()
+    order = Window.orderBy(drawn(F.col("marlwork_section"), seed), "marlwork_section")  # a small table
     ranked = sections.withColumn("place", F.row_number().over(order)).crossJoin(F.broadcast(sections.agg(F.count("*").alias("n"))))
-    side = ranked.select("source_section", F.when(F.col("place") <= F.floor(F.col("n") * share), F.lit("train")).otherwise(F.lit("eval")).alias("split"))
-    return made.join(side, "source_section").select(*made.columns, "split")
+    side = few(ranked.select("marlwork_section", F.when(F.col("place") <= F.floor(F.col("n") * share), F.lit("train")).otherwise(F.lit("eval")).alias("split")))
+    return made.join(side, made["source_section"].eqNullSafe(side["marlwork_section"])).select(*made.columns, "split")
 
 
 def split_summary(split: DataFrame) -> DataFrame:
@@ -259,8 +253,8 @@ def write_pairs(split: DataFrame, path: str) -> None:
 
 def fixed_subset(rows: DataFrame, wanted: DataFrame, key: str = "pair_id", most: int = 30) -> tuple[DataFrame, DataFrame]:
     """The rows whose key is in `wanted`, the first `most` of them by key, and one row of counts: expected, found, missing."""
-    ids = wanted.select(key).distinct()
-    found = rows.join(F.broadcast(ids), key, "left_semi")
+    ids = few(wanted.select(key).distinct())
+    found = rows.join(ids, key, "left_semi")
     missing = ids.join(rows.select(key), key, "left_anti")
     counts = ids.agg(F.count("*").alias("expected")).crossJoin(found.agg(F.count("*").alias("found"))).crossJoin(missing.agg(F.count("*").alias("missing")))
     return found.orderBy(key).limit(most), counts.withColumn("integrity_ok", F.col("missing") == 0)
@@ -274,10 +268,15 @@ def dpo_rows(made: DataFrame, system: str, template: Callable[[Column], Column]
     return made.select("pair_id", (template or plain)(messages).alias("prompt"), "chosen", "rejected")
 
 
-def cycled_prompts(spark: SparkSession, prompts: list[str], n: int) -> DataFrame:
-    """id and prompt of `n` prompts: those given in turn, from the second round on in one of four variations."""
-    id_, size = F.col("id"), len(prompts)
-    base = F.get(citations.literal(prompts), (id_ % size).cast("int"))
+def cycled_prompts(prompts: DataFrame, order: list[str], n: int) -> DataFrame:
+    """id and prompt of `n` prompts: those of prompts (prompt, and the columns of `order`) in turn, from the second round on in one of four variations.
+
+    Without prompts there are none; a null prompt is empty.
+    """
+    own = kept(in_order(prompts.select(F.coalesce("prompt", F.lit("")).alias("prompt"), *order), order))
+    size = own.count()
+    ids = prompts.sparkSession.range(n if size else 0).withColumn("place", F.col("id") % max(size, 1))
+    id_, base = F.col("id"), F.col("prompt")
     low = F.lower(base)
     varied = F.array(F.concat(F.lit("According to Malaysian law, "), low), F.concat(F.lit("Under the Employment Act, "), low), F.concat(F.lit("What does the Employment Act say about: "), F.replace(low, F.lit("?"), F.lit(""))), base)
-    return spark.range(n).select("id", F.when(id_ < size, base).otherwise(F.get(varied, (id_ % 4).cast("int"))).alias("prompt"))
+    return ids.join(own.select("place", "prompt"), "place").select("id", F.when(id_ < size, base).otherwise(F.get(varied, (id_ % 4).cast("int"))).alias("prompt"))

@@ -84,44 +84,147 @@ TOPICS = {
 
 @dataclass(frozen=True)
 class Index:
-    """postings (term, doc_id, dl, tf), terms (term, df, idf) and the mean length of a document."""
+    """What a search reads.
 
-    postings: DataFrame
+    blocks: bucket, term, part, docs (doc_id, dl and tf of up to some hundreds of documents of one part), and the
+    greatest tf and smallest dl among them, which bound what any of them adds to a score; terms: bucket, term, df, raw
+    and the same bounds over all blocks; documents: from (query_id, part, doc_id), for these documents, query_id, doc_id,
+    dl, term and tf of their words. n documents have `average` words; `mean` is that of raw over all terms.
+    """
+
+    blocks: DataFrame
     terms: DataFrame
+    documents: Callable[[DataFrame], DataFrame]
+    n: int
     average: float
+    mean: float
+    epsilon: float = 0.25
+    buckets: int = 1
+
+    @property
+    def weighed(self) -> DataFrame:
+        """terms with idf: terms in most documents get `epsilon` times the mean."""
+        return self.terms.withColumn("idf", F.when(F.col("raw") < 0, F.lit(self.epsilon * self.mean)).otherwise(F.col("raw")))
+
+
+#: Documents of a part; parts follow the number of documents, so that a block stays small however frequent its term is.
+PART = 1024
+
+
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def part_of(doc_id: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(parts)).cast("int")
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """docs over all cores where it comes in fewer pieces, as a small file does."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
+def rarity(df: Column, n: int) -> Column:
+    return F.ln(n - df + 0.5) - F.ln(df + 0.5)
+
 
+def term_counts(docs: DataFrame) -> DataFrame:
+    """term and df of docs (doc_id, text): in how many rows a word stands."""
+    words = spread(docs.select("text")).select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    return words.groupBy("term").agg(F.count("*").alias("df"))
 
-def postings(docs: DataFrame) -> DataFrame:
-    """term, doc_id, dl, tf and opens: 1 in one row of each document. A document without words has a row without a term."""
-    words = docs.select("doc_id", tokens(F.col("text")).alias("w")).select("doc_id", F.greatest(F.size("w"), F.lit(0)).alias("dl"), F.posexplode_outer("w").alias("pos", "term"))
-    return words.groupBy("term", "doc_id", "dl").agg(F.count("term").alias("tf"), F.max((F.coalesce("pos", F.lit(0)) == 0).cast("int")).alias("opens"))
+
+def corpus_size(docs: DataFrame) -> tuple[int, float]:
+    """How many rows docs (text) has, and how many words they have on average."""
+    total = spread(docs.select("text")).agg(F.count("*").alias("n"), F.sum(F.greatest(F.size(tokens(F.col("text"))), F.lit(0))).alias("words")).first()
+    return total["n"], (total["words"] or 0) / total["n"] if total["n"] else 0.0
+
+
+def term_weights(docs: DataFrame, epsilon: float = 0.25) -> DataFrame:
+    """term, df and idf of docs (doc_id, text): terms in most documents get `epsilon` times the mean. Counting words needs no postings."""
+    n = docs.count()
+    raw = term_counts(docs).withColumn("raw", rarity(F.col("df"), n))
+    mean = raw.agg(F.avg("raw").alias("mean"))
+    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+
+
+def postings(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """term, doc_id, dl and tf of docs (doc_id, text); of the terms of `wanted` alone if that is given."""
+    words = spread(docs.select("doc_id", "text")).select("doc_id", tokens(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    return (words if wanted is None else words.join(few(wanted), "term")).groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+
+
+def blocked(rows: DataFrame, n: int, buckets: int) -> DataFrame:
+    """blocks of postings: those of one term and part whose tf have the same power of two, so that a block's bound is close."""
+    own = rows.withColumn("part", part_of(F.col("doc_id"), -(-n // PART) or 1)).withColumn("level", F.floor(F.log2("tf")).cast("int"))
+    grouped = own.groupBy("term", "part", "level").agg(F.collect_list(F.struct("doc_id", "dl", "tf")).alias("docs"), F.max("tf").alias("tf"), F.min("dl").alias("dl"))
+    return grouped.select(bucket_of(F.col("term"), buckets).alias("bucket"), "term", "part", "docs", "tf", "dl")
+
+
+def bounded(blocks: DataFrame, n: int) -> DataFrame:
+    """terms of blocks."""
+    own = blocks.groupBy("bucket", "term").agg(F.sum(F.size("docs")).alias("df"), F.max("tf").alias("tf"), F.min("dl").alias("dl"))
+    return own.withColumn("raw", rarity(F.col("df"), n))
 
 
 def index(docs: DataFrame, epsilon: float = 0.25) -> Index:
-    """The index of docs (doc_id, text), which are cut into words once; terms in most documents get `epsilon` times the mean idf."""
-    return indexed(kept(postings(docs)), epsilon)
+    """The index of docs (doc_id, text), kept but not stored."""
+    n, average = corpus_size(docs)
+    blocks = kept(blocked(postings(docs), n, 1))
+    terms = kept(bounded(blocks, n))
+    plain = docs.select("doc_id", "text")
+
+    def documents(some: DataFrame) -> DataFrame:
+        found = plain.join(few(some), "doc_id").select("query_id", "doc_id", tokens(F.col("text")).alias("w"))
+        return found.select("query_id", "doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("query_id", "doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+
+    return Index(blocks, terms, documents, n, average, terms.agg(F.avg("raw").alias("mean")).first()["mean"] or 0.0, epsilon)
+
+
+#: Columns of what is stored, by folder.
+STORED = {
+    "blocks": "term string, part int, docs array<struct<doc_id:long,dl:int,tf:long>>, tf long, dl int, bucket int",
+    "terms": "term string, df long, tf long, dl int, raw double, bucket int",
+    "documents": "doc_id long, dl int, words array<struct<term:string,tf:long>>, shelf int",
+}
+
 
+def in_folders(rows: DataFrame, by: str, wanted: DataFrame) -> DataFrame:
+    """The rows of stored `rows` in those of its folders, by the column `by`, that `wanted` names: at most as many values as there are folders."""
+    return rows.where(F.col(by).isin([r[by] for r in wanted.select(by).distinct().collect()]))
 
-def indexed(rows: DataFrame, epsilon: float = 0.25) -> Index:
-    """The index of stored postings."""
-    total = rows.agg(F.sum("opens").alias("n"), F.sum("tf").alias("words")).first()
-    n = total["n"] or 0
-    df = rows.where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
-    raw = kept(df.withColumn("raw", F.ln(n - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)))
-    mean = raw.agg(F.avg("raw").alias("mean")).first()["mean"] or 0.0
-    terms = raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(epsilon * mean)).otherwise(F.col("raw")).alias("idf"))
-    return Index(rows.where("term is not null").select("term", "doc_id", "dl", "tf"), terms, (total["words"] or 0) / n if n else 0.0)
+
+def stored(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.schema(STORED[name]).parquet(f"{path}/{name}")
 
 
 def write_index(docs: DataFrame, path: str, buckets: int = 64) -> None:
-    """Stores the postings of docs, in `buckets` folders by the hash of the term."""
-    bucket = F.pmod(F.xxhash64(F.coalesce("term", F.lit(""))), F.lit(buckets)).cast("int")
-    postings(docs).withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    """Stores the index of docs: blocks and terms in `buckets` folders by the hash of the term, documents in as many by their part, and the corpus' figures."""
+    n, average = corpus_size(docs)
+    rows = kept(postings(docs))
+    write = lambda df, name, by: df.repartition(by).sortWithinPartitions(by, *(x for x in ("term", "doc_id") if x in df.columns)).write.mode("overwrite").partitionBy(by).parquet(f"{path}/{name}")
+    write(blocked(rows, n, buckets), "blocks", "bucket")
+    write(bounded(stored(docs.sparkSession, path, "blocks"), n), "terms", "bucket")
+    own = rows.groupBy("doc_id", "dl").agg(F.collect_list(F.struct("term", "tf")).alias("words"))
+    write(own.withColumn("shelf", part_of(F.col("doc_id"), buckets)), "documents", "shelf")
+    mean = stored(docs.sparkSession, path, "terms").agg(F.coalesce(F.avg("raw"), F.lit(0.0)).alias("mean"))
+    mean.select(F.lit(n).cast("long").alias("n"), F.lit(average).cast("double").alias("average"), "mean", F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/figures")
 
 
 def read_index(spark: SparkSession, path: str, epsilon: float = 0.25) -> Index:
-    """The stored index. Vectors stored at its side are read_vectors()'; a search goes without where there are none."""
-    return indexed(spark.read.parquet(f"{path}/postings").drop("bucket"), epsilon)
+    """The stored index; nothing is added up on reading, and a search reads the folders of its terms and documents alone.
+
+    Vectors stored at its side are read_vectors()'; a search goes without where there are none.
+    """
+    figures = spark.read.parquet(f"{path}/figures").first()
+    shelves = stored(spark, path, "documents")
+
+    def documents(some: DataFrame) -> DataFrame:
+        found = few(some.withColumn("shelf", part_of(F.col("doc_id"), figures["buckets"])))
+        return in_folders(shelves, "shelf", found).join(found, ["shelf", "doc_id"]).select("query_id", "doc_id", "dl", F.inline("words"))
+
+    return Index(stored(spark, path, "blocks"), stored(spark, path, "terms"), documents, figures["n"], figures["average"], figures["mean"], epsilon, figures["buckets"])
 
 
 def write_vectors(vectors: DataFrame, path: str) -> None:
@@ -136,22 +239,104 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def query_words(queries: DataFrame) -> DataFrame:
+    """query_id, term and qtf: a word counts as often as the query has it."""
+    return queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+
+
+def addition(average: float, k1: float, b: float) -> Callable[[Column, Column], Column]:
+    """What a word adds to the score of a document for each unit of its weight, by its tf and the document's dl."""
+    return lambda tf, dl: tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / average)) if average else F.lit(0.0)
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """found() in the index of docs (doc_id, text)."""
-    return found(index(docs), queries, k, k1, b)
+    """The k best of docs (doc_id, text) for each query, as found() has them, without an index: the words of the queries alone are counted in documents.
+
+    To ask more than once, store an index: write_index().
+    """
+    words = kept(query_words(queries))
+    terms = kept(term_weights(docs).join(few(words.select("term").distinct()), "term"))
+    weighed = few(words.join(terms, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")))
+    add = addition(corpus_size(docs)[1], k1, b)
+    rows = postings(docs, terms.select("term")).join(weighed, "term")
+    return best_of(rows.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * add(F.col("tf"), F.col("dl"))).alias("score")), k)
+
+
+def best_of(scored: DataFrame, k: int) -> DataFrame:
+    return top(scored, "doc_id", k).where("score > 0").select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+@dataclass(frozen=True)
+class Plan:
+    """The steps of found(): what a query's words weigh, its threshold (minus infinity: none), the blocks that are read, and scores.
+
+    scored has all documents of queries without a threshold, and those of others that can be among the k best.
+    """
+
+    weighed: DataFrame
+    thresholds: DataFrame
+    read: DataFrame
+    candidates: DataFrame
+    scored: DataFrame
+
+
+#: What a bound may lack by the order of its sums.
+SLACK = 1e-6
+
+
+def planned(own: Index, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, least_share: float = 0.5) -> Plan:
+    """Scores of all documents that can be among the k best of a query.
+
+    The documents that hold a query's rarest words are scored in full; the k-th best of them is a threshold that every
+    result reaches. Words whose bounds together stay below it can't make a result by themselves: documents are looked
+    for under the other words only, in blocks that can reach the threshold with all that other words could add. Those
+    that still can are scored in full from their own words. Where a threshold is less than `least_share` of what all
+    words of a query could add, as for texts of dozens of words, nearly every document could reach it: such queries read
+    all blocks of their words once. Scores are exact either way.
+    """
+    part = addition(own.average, k1, b)
+    least = lambda x: F.greatest(F.lit(0.0), x)  # noqa: E731  a word that lowers scores adds nothing to a bound
+    asked = few(query_words(queries).withColumn("bucket", bucket_of(F.col("term"), own.buckets)))
+    weighed = in_folders(own.weighed, "bucket", asked).join(asked, ["bucket", "term"]).withColumn("weight", F.col("qtf") * F.col("idf")).where("weight <> 0")
+    weighed = weighed.select("query_id", "bucket", "term", "weight", "df", least(F.col("weight") * part(F.col("tf"), F.col("dl"))).alias("bound"))
+    # One row per query and word from here on.
+    rare = Window.partitionBy("query_id").orderBy(F.desc("bound"), "term")
+    low = Window.partitionBy("query_id").orderBy("bound", F.desc("term"))
+    weighed = weighed.withColumn("before", F.coalesce(F.sum("df").over(rare.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    weighed = kept(weighed.withColumn("upto", F.sum("bound").over(low)).withColumn("total", F.sum("bound").over(Window.partitionBy("query_id"))))
+
+    def opened(rows: DataFrame) -> DataFrame:
+        """What blocks add to scores, by query and document."""
+        each = rows.select("query_id", "weight", F.explode("docs").alias("d"))
+        return each.groupBy("query_id", F.col("d.doc_id").alias("doc_id")).agg(F.sum(F.col("weight") * part(F.col("d.tf"), F.col("d.dl"))).alias("score"))
+
+    def in_full(rows: DataFrame) -> DataFrame:
+        words = own.documents(rows.select("query_id", "doc_id")).join(few(weighed.select("query_id", "term", "weight")), ["query_id", "term"])
+        return words.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * part(F.col("tf"), F.col("dl"))).alias("score"))
+
+    first = few(weighed.where(F.col("before") < 4 * k).select("query_id", "bucket", "term", "weight"))
+    leads = kept(top(opened(in_folders(own.blocks, "bucket", first).join(first, ["bucket", "term"])), "doc_id", 2 * k).select("query_id", "doc_id"))
+    best = top(in_full(leads), "doc_id", k).groupBy("query_id").agg(F.count("*").alias("n"), (F.min("score") - SLACK).alias("least"))
+    sure = (F.col("n") >= k) & (F.col("least") >= least_share * F.col("total"))
+    thresholds = weighed.groupBy("query_id").agg(F.max("total").alias("total")).join(best, "query_id", "left").select("query_id", F.when(sure, F.col("least")).otherwise(F.lit(float("-inf"))).alias("threshold"))
+    ruled = kept(weighed.join(thresholds, "query_id").withColumn("rest", F.max(F.when(F.col("upto") < F.col("threshold"), F.col("upto")).otherwise(F.lit(0.0))).over(Window.partitionBy("query_id"))))
+    needed = few(ruled.where("upto >= threshold").select("query_id", "bucket", "term", "weight", "bound", "total", "threshold"))
+    reach = least(F.col("weight") * part(F.col("tf"), F.col("dl"))) + F.col("total") - F.col("bound") >= F.col("threshold")
+    read = in_folders(own.blocks, "bucket", needed).join(needed, ["bucket", "term"]).where(reach)
+    limits = few(ruled.groupBy("query_id").agg(F.max("threshold").alias("threshold"), F.max("rest").alias("rest")))
+    partly = kept(opened(read).join(limits, "query_id").where(F.col("score") + F.col("rest") >= F.col("threshold")))
+    bare = F.col("threshold") == float("-inf")
+    candidates = partly.where(~bare).select("query_id", "doc_id")
+    return Plan(weighed, thresholds, read, candidates, partly.where(bare).select("query_id", "doc_id", "score").unionByName(in_full(candidates)))
 
 
 def found(own: Index, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """query_id, rank, doc_id, score of the k best documents of each query (query_id, query) that score above 0.
 
     A word counts as often as the query has it. Scores that agree to ten digits are ties, as sums come in any order;
-    these go to the smaller doc_id. The queries' words meet the postings where these are, unless there are very many.
+    these go to the smaller doc_id. See planned() for what is read.
     """
-    wanted = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    weighed = few(wanted.join(own.terms, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")))
-    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / own.average)) if own.average else F.lit(0.0)
-    total = own.postings.join(weighed, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
-    return top(total, "doc_id", k).where("score > 0").select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+    return best_of(planned(own, queries, k, k1, b).scored, k)
 
 
 def top(scored: DataFrame, key: str, k: int) -> DataFrame:
@@ -171,16 +356,18 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 2048
 
     A stated query set against all rows: blocks of `block` vectors meet blocks of as many queries, and each pair of
     blocks keeps k rows of a query. Up to `most_blocks` blocks of queries are broadcast, more go to shards of the
-    vectors. Null and zero vectors take no part; vectors meet queries of their own size.
+    vectors. Null and zero vectors take no part; vectors meet queries of their own size, and of their own `cell` where
+    both sides have that column.
     """
+    by = ["cell", "dim"] if "cell" in vectors.columns and "cell" in queries.columns else ["dim"]
 
     def packed(key: str, value: str) -> Callable:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                for dim, part in pdf.groupby(pdf[value].map(len)):
+                for group, part in pdf.assign(dim=pdf[value].map(len)).groupby(by):
                     for lo in range(0, len(part), block):
                         some = part.iloc[lo : lo + block]
-                        yield pd.DataFrame({"dim": [dim], f"{value}_ids": [some[key].to_numpy(np.int64).tobytes()], value: [np.stack(some[value].to_list()).astype(np.float64).tobytes()]})
+                        yield pd.DataFrame({**{x: [y] for x, y in zip(by, group, strict=True)}, f"{value}_ids": [some[key].to_numpy(np.int64).tobytes()], value: [np.stack(some[value].to_list()).astype(np.float64).tobytes()]})
 
         return run
 
@@ -196,16 +383,17 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 2048
                     q, c = np.nonzero(some >= least[:, None])
                     yield pd.DataFrame({"query_id": asked[lo + q], "doc_id": ids[c], "score": scores[lo : lo + 128][q, c]})
 
-    unit = lambda df, key, value: df.select(F.col(key).cast("long").alias(key), normalised_vector(F.col(value)).alias(value)).where(F.col(value).isNotNull() & F.col(key).isNotNull())
-    left = unit(vectors, "doc_id", "v").mapInPandas(packed("doc_id", "v"), "dim int, v_ids binary, v binary")
-    right = kept(unit(queries, "query_id", "q").repartition(4).mapInPandas(packed("query_id", "q"), "dim int, q_ids binary, q binary"))
+    types = "".join(f"{x} int, " for x in by)
+    unit = lambda df, key, value: df.select(*by[:-1], F.col(key).cast("long").alias(key), normalised_vector(F.col(value)).alias(value)).where(F.col(value).isNotNull() & F.col(key).isNotNull())
+    left = unit(vectors, "doc_id", "v").mapInPandas(packed("doc_id", "v"), f"{types}v_ids binary, v binary")
+    right = kept(unit(queries, "query_id", "q").repartition(*(by[:-1] or [4])).mapInPandas(packed("query_id", "q"), f"{types}q_ids binary, q binary"))
     if right.count() <= most_blocks:
-        pairs = left.join(F.broadcast(right), "dim")
+        pairs = left.join(F.broadcast(right), by)
     else:
         shards = 2 * vectors.sparkSession.sparkContext.defaultParallelism
         left = left.withColumn("shard", F.pmod(F.xxhash64("v_ids"), F.lit(shards)).cast("int"))
-        pairs = left.join(right.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))), ["dim", "shard"]).drop("shard")
-    scored = pairs.drop("dim").mapInPandas(met, "query_id long, doc_id long, score double")
+        pairs = left.join(right.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))), [*by, "shard"]).drop("shard")
+    scored = pairs.drop(*by).mapInPandas(met, "query_id long, doc_id long, score double")
     return top(scored, "doc_id", k).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 

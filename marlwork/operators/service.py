@@ -34,9 +34,27 @@ def json_text(text: Column) -> Column:
 
 
 def json_number(x: Column) -> Column:
-    """A double as JSON writes it: 5000.0, 0.5; whole numbers up to 10^16 without an exponent."""
-    whole = F.concat(x.cast("decimal(20,0)").cast("string"), F.lit(".0"))
-    return F.when((x == F.floor(x)) & (F.abs(x) < 1e16), whole).otherwise(x.cast("string"))
+    """A double as JSON writes it: 5000.0, 0.5, 20000000.5; from 1e16 up and below 1e-4 with an exponent of two digits or more, as 1e+16 and 1e-05."""
+    # Digits of the JVM, from 1e7 up and below 1e-3 with an exponent; it gives one digit too many at times.
+    text = F.abs(x).cast("string")
+    n = F.length(F.regexp_replace(F.regexp_replace(text, "E.*$", ""), r"^0?\.0*|\.", ""))
+    shorter = F.call_function("format_string", F.concat(F.lit("%."), F.greatest(n - 2, F.lit(0)).cast("string"), F.lit("E")), F.abs(x))
+    text = F.when(shorter.cast("double") == F.abs(x), F.when(F.abs(x).between(1e-3, 9999999.0), text).otherwise(shorter)).otherwise(text)
+    digits, power = F.regexp_replace(F.regexp_replace(text, "E.*$", ""), r"\.", ""), F.coalesce(F.nullif(F.regexp_extract(text, r"E([-+]?\d+)$", 1), F.lit("")).cast("int"), F.lit(0))
+
+    def written(p: Column) -> Column:
+        d, e = p["digits"], p["power"]
+        short = F.when(F.rtrim(d, F.lit("0")) == "", F.lit("0")).otherwise(F.rtrim(d, F.lit("0")))
+        large = F.concat(F.substring(F.rpad(d, 24, "0"), F.lit(1), e + 1), F.lit("."), F.coalesce(F.nullif(F.substring(short, e + 2, F.length(short)), F.lit("")), F.lit("0")))
+        tiny = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), short)
+        end = F.concat(F.when(e < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(e).cast("string"), 2, "0"))
+        end = F.when(F.abs(e) > 99, F.concat(F.when(e < 0, F.lit("e-")).otherwise(F.lit("e+")), F.abs(e).cast("string"))).otherwise(end)
+        far = F.concat(F.substring(short, 1, 1), F.when(F.length(short) > 1, F.concat(F.lit("."), F.substring(short, F.lit(2), F.length(short)))).otherwise(F.lit("")), end)
+        return F.when(~p["exponent"], p["text"]).when((e >= 0) & (e < 16), large).when((e < 0) & (e >= -4), tiny).otherwise(far)
+
+    parts = F.struct(text.alias("text"), digits.alias("digits"), power.alias("power"), F.contains(text, F.lit("E")).alias("exponent"))
+    sign = F.when(F.startswith(x.cast("string"), F.lit("-")), F.lit("-")).otherwise(F.lit(""))
+    return F.when(F.isnan(x), F.lit("NaN")).otherwise(F.concat(sign, once(parts, written)))
 
 
 def short_hash(text: Column) -> Column:

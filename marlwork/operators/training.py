@@ -13,36 +13,74 @@ def drawn(key: Column, seed: int = 42) -> Column:
     return F.md5(F.concat_ws("|", key.cast("string"), F.lit(str(seed))))
 
 
+def prefix(key: Column, seed: int) -> Column:
+    """The first 16 bits of drawn(), by which rows fall into bins that are in its order."""
+    return F.conv(F.substring(drawn(key, seed), 1, 4), 16, 10).cast("int")
+
+
+def binned(rows: DataFrame, by: str, key: str, seed: int) -> DataFrame:
+    """by, bin, bin_rows and upto: how many rows of each `by` fall into each bin of the stable random order, and into it and those before."""
+    counts = rows.groupBy(by, prefix(F.col(key), seed).alias("bin")).agg(F.count("*").alias("bin_rows"))
+    return counts.withColumn("upto", F.sum("bin_rows").over(Window.partitionBy(by).orderBy("bin")))  # 65,536 rows of one `by` at most
+
+
+def at_places(rows: DataFrame, by: str, key: str, wanted: DataFrame, seed: int = 42) -> DataFrame:
+    """wanted (by, place, ...) with the key of the row of its `by` that stands at `place` (from 0) in the stable random order.
+
+    The bin that a place falls into is told by counts; the rows of that bin alone are put in order, so that no task
+    holds a whole group. Rows and wishes without a `by` don't take part.
+    """
+    before = F.col("upto") - F.col("bin_rows")
+    found = wanted.join(binned(rows, by, key, seed), by).where((F.col("place") < F.col("upto")) & (F.col("place") >= before))
+    found = few(found.withColumn("inner", F.col("place") - before).drop("bin_rows", "upto"))
+    inside = rows.select(by, key, prefix(F.col(key), seed).alias("bin")).join(found.select(by, "bin").distinct(), [by, "bin"], "left_semi")
+    order = Window.partitionBy(by, "bin").orderBy(drawn(F.col(key), seed), key)
+    return found.join(inside.withColumn("inner", F.row_number().over(order) - 1), [by, "bin", "inner"]).select(*wanted.columns, key)
+
+
 def stratified(rows: DataFrame, by: str, key: str, target: int, seed: int = 42) -> DataFrame:
     """`target` rows, as many of each stratum as of any other; the larger strata share the rest.
 
-    Strata with fewer rows than their quota give whole copies of all they have, and a sample for what remains.
+    Strata with fewer rows than their quota give whole copies of all they have, and a sample for what remains. Rows
+    without a stratum are a stratum of their own. The rows of a sample are those before a place in the stable random
+    order: bins of that order are taken whole up to the one that the place falls into, of which alone rows are ordered.
     """
     sizes = rows.groupBy(by).agg(F.count("*").alias("size"))
     # One row per stratum from here on; the ordering of strata is over this small table.
     order = Window.orderBy(F.desc("size"), by)
     totals = sizes.agg(F.count("*").alias("strata"))
     base = F.greatest(F.lit(1), F.floor(F.lit(target) / F.col("strata")))
-    quotas = sizes.withColumn("place", F.row_number().over(order)).crossJoin(F.broadcast(totals))
-    quota = base + F.when(F.col("place") <= target - base * F.col("strata"), 1).otherwise(0)
-    quotas = quotas.where(F.col("place") <= target).select(by, quota.alias("quota"), F.col("size").alias("stratum_size"))
-    place = F.row_number().over(Window.partitionBy(by).orderBy(drawn(F.col(key), seed), key))
-    copies = F.floor(F.col("quota") / F.col("stratum_size")) + (F.col("place") <= F.col("quota") % F.col("stratum_size")).cast("int")
-    placed = rows.withColumn("place", place).join(quotas, by).withColumn("copies", copies).where("copies > 0")
-    return placed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("place", "quota", "stratum_size", "copies", "copy")
+    quotas = sizes.withColumn("stratum_place", F.row_number().over(order)).crossJoin(F.broadcast(totals))
+    quota = base + F.when(F.col("stratum_place") <= target - base * F.col("strata"), 1).otherwise(0)
+    quotas = quotas.where(F.col("stratum_place") <= target).select(F.col(by).alias("marlwork_by"), quota.alias("quota"), "size")
+    quotas = few(quotas.select("marlwork_by", F.floor(F.col("quota") / F.col("size")).alias("whole"), (F.col("quota") % F.col("size")).alias("rest")))
+    bins = binned(rows, by, key, seed).withColumnRenamed(by, "marlwork_own")
+    edge = bins.join(quotas, bins["marlwork_own"].eqNullSafe(quotas["marlwork_by"])).where((F.col("rest") <= F.col("upto")) & (F.col("rest") > F.col("upto") - F.col("bin_rows")))
+    edge = edge.select(F.col("marlwork_own").alias("marlwork_edge"), F.col("bin").alias("edge"), (F.col("rest") - F.col("upto") + F.col("bin_rows")).alias("take"))
+    limits = few(quotas.join(edge, quotas["marlwork_by"].eqNullSafe(edge["marlwork_edge"]), "left").select("marlwork_by", "whole", F.coalesce("edge", F.lit(-1)).alias("edge"), F.coalesce("take", F.lit(0)).alias("take")))
+    placed = rows.withColumn("bin", prefix(F.col(key), seed))
+    placed = placed.join(limits, placed[by].eqNullSafe(limits["marlwork_by"]))
+    sure = placed.where("bin <> edge").withColumn("copies", F.col("whole") + (F.col("bin") < F.col("edge")).cast("int"))
+    inner = F.row_number().over(Window.partitionBy(by, "bin").orderBy(drawn(F.col(key), seed), key))
+    split = placed.where("bin = edge").withColumn("copies", F.col("whole") + (inner <= F.col("take")).cast("int"))
+    some = sure.unionByName(split).where("copies > 0")
+    return some.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(by, *(x for x in rows.columns if x != by))
 
 
 def isolated_split(rows: DataFrame, by: str, share: float = 0.15, seed: int = 42, least: int = 30) -> DataFrame:
-    """rows with `split`: whole groups of `by` go to eval, `share` of them and one at least; then the largest others until eval has `least` rows."""
-    groups = rows.groupBy(by).agg(F.count("*").alias("size"))
-    order = Window.orderBy(drawn(F.col(by), seed), by)
+    """rows with `split`: whole groups of `by` go to eval, `share` of them and one at least; then the largest others until eval has `least` rows.
+
+    Rows without a group are a group of their own.
+    """
+    groups = rows.groupBy(F.col(by).alias("marlwork_by")).agg(F.count("*").alias("size"))
+    order = Window.orderBy(drawn(F.col("marlwork_by"), seed), "marlwork_by")
     ranked = groups.withColumn("place", F.row_number().over(order)).crossJoin(F.broadcast(groups.agg(F.count("*").alias("n"))))
     ranked = ranked.withColumn("drawn", F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("n") * share)))
     # Rows that eval has before a group moves: those of the drawn groups, and of the larger others.
     earlier = Window.orderBy(F.desc("drawn"), F.desc("size"), "place").rowsBetween(Window.unboundedPreceding, -1)
     moves = F.coalesce(F.sum("size").over(earlier), F.lit(0)) < least
-    side = F.when(F.col("drawn") | moves, F.lit("eval")).otherwise(F.lit("train"))
-    return rows.join(ranked.select(by, side.alias("split")), by)
+    side = few(ranked.select("marlwork_by", F.when(F.col("drawn") | moves, F.lit("eval")).otherwise(F.lit("train")).alias("split")))
+    return rows.join(side, rows[by].eqNullSafe(side["marlwork_by"])).select(*rows.columns, "split")
 
 
 def stable_id(instruction: Column, citation: Column, chunk_id: Column) -> Column:
@@ -105,8 +143,12 @@ def keep_first_similar(rows: DataFrame, by: str, key: str, text: str, least: flo
 
 
 def told_apart(rows: DataFrame, key: str, instruction: str, section: str) -> DataFrame:
-    """rows with instructions that repeat, in any case, marked by their section; the row of the smallest key stays as it is."""
+    """rows with instructions that repeat, in any case, marked by their section; the row of the smallest key stays as it is.
+
+    Rows without an instruction repeat none and stay as they are.
+    """
     same = F.lower(F.trim(instruction))
-    first = rows.groupBy(same.alias("same")).agg(F.min(key).alias("first"))
-    marked = F.when(F.col(key) == F.col("first"), F.col(instruction)).otherwise(F.concat(F.col(instruction), F.lit(" ["), F.col(section), F.lit("]")))
-    return rows.join(first, same == F.col("same")).withColumn(instruction, marked).select(*rows.columns)
+    first = rows.where(same.isNotNull()).groupBy(same.alias("marlwork_same")).agg(F.min(key).alias("marlwork_first"))
+    repeats = F.col("marlwork_first").isNotNull() & ~F.col(key).eqNullSafe(F.col("marlwork_first"))
+    marked = F.when(repeats, F.concat_ws("", instruction, F.lit(" ["), section, F.lit("]"))).otherwise(F.col(instruction))
+    return rows.join(first, same == F.col("marlwork_same"), "left").withColumn(instruction, marked).select(*rows.columns)

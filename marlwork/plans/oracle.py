@@ -145,8 +145,8 @@ def rewarding() -> str:
 
 
 PAIRS = "pr AS (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM conversations)"
-SPLIT = """gr AS (SELECT source, row_number() OVER (ORDER BY md5(source || '|42'), source) AS place, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents)),
-sp AS (SELECT doc_id, md5(text) AS h, CASE WHEN place <= greatest(1, floor(n * 0.15)) THEN 'eval' ELSE 'train' END AS split FROM documents JOIN gr USING (source))"""
+SPLIT = """gr AS (SELECT source, row_number() OVER (ORDER BY md5(concat_ws('|', source, '42')), source NULLS FIRST) AS place, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents)),
+sp AS (SELECT doc_id, md5(text) AS h, CASE WHEN place <= greatest(1, floor(n * 0.15)) THEN 'eval' ELSE 'train' END AS split FROM documents d JOIN gr ON d.source IS NOT DISTINCT FROM gr.source)"""
 
 
 def similar() -> str:
@@ -271,6 +271,8 @@ SELECT doc_id, question || CASE WHEN n > 1 THEN ' [' || source || ']' ELSE '' EN
         "duration_histogram": "SELECT event_type, bound::DOUBLE AS bound, count(*) FILTER (bound IS NULL OR value <= bound) AS n FROM events, (SELECT unnest([1, 5, 10, 50, 100, NULL]) AS bound) GROUP BY ALL",
         "bm25_index_stats": f"WITH {TERMS} SELECT term, df, round(idf, 6) AS idf FROM idf",
         "bm25_topk": f"WITH {BM25} SELECT query_id, rank, doc_id, score FROM bm WHERE rank <= 10 AND score > 0",
+        "bm25_stored": f"WITH {BM25} SELECT query_id, rank, doc_id, score FROM bm WHERE rank <= 10 AND score > 0",
+        "dense_cells": f"WITH {dense('(SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0)', 10)} SELECT query_id, rank, doc_id, score FROM nn",
         "dense_topk": f"WITH {dense('(SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0)', 10)} SELECT query_id, rank, doc_id, score FROM nn",
         "hybrid_topk": f"""WITH {BM25}, {dense('(SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id IN (SELECT query_id FROM sq))', 20)},
 un AS (SELECT query_id, doc_id, min(rank) AS best FROM (SELECT query_id, doc_id, rank FROM bm WHERE rank <= 30 AND score > 0 UNION ALL SELECT query_id, doc_id, rank FROM nn) GROUP BY ALL),
@@ -316,7 +318,7 @@ SELECT role, count(*) AS n, round(avg(CASE WHEN {f1('text', 'nx')} > {f1('text',
         "reward_summary": f"WITH {rewarding()} SELECT count(*) AS n, round(avg(reward), 6) AS mean, round(stddev_pop(reward), 6) AS deviation, count(*) FILTER (reward > 0) AS positive, count(*) FILTER (reward = 0) AS neutral, count(*) FILTER (reward < 0) AS negative FROM rd",
         "sft_stratified": """WITH z AS (SELECT source, count(*) AS n FROM documents GROUP BY source), o AS (SELECT source, row_number() OVER (ORDER BY n DESC, source) AS place, greatest(1, 100 // count(*) OVER ()) AS base, count(*) OVER () AS strata FROM z),
 u AS (SELECT source, base + CASE WHEN place <= 100 - base * strata THEN 1 ELSE 0 END AS quota FROM o), r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id || '|42'), doc_id) AS k FROM documents)
-SELECT doc_id, source FROM r JOIN u USING (source) WHERE k <= quota""",
+SELECT doc_id, r.source FROM r JOIN u ON r.source IS NOT DISTINCT FROM u.source WHERE k <= quota""",
         "sft_split": f"WITH {SPLIT} SELECT doc_id, split FROM sp",
         "stable_eval_subset": "SELECT doc_id, 'eval_' || sha256(concat_ws('|', doc_id::VARCHAR, source, lang))[1:12] AS stable_id FROM documents ORDER BY stable_id LIMIT 30",
         "leakage_check": f"WITH {SPLIT} SELECT count(*) AS shared_texts FROM (SELECT h FROM sp WHERE split = 'train' INTERSECT SELECT h FROM sp WHERE split = 'eval')",

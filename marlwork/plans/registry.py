@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlwork.functions.text import hits, tokens, word_f1
-from marlwork.operators import answers, calculator, chunking, governance, metrics, questions, search, training
+from marlwork.operators import answers, calculator, cells, chunking, governance, metrics, questions, search, training
 from marlwork.plans import oracle, service_oracle, service_queries, training_oracle, training_queries
+from marlwork.sources.durable import fresh_folder
 from marlwork.streaming import reuse, serving
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,7 +33,7 @@ def search_queries(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bm25_index_stats(spark, d):
-    return search.index(table(spark, d, "documents")).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return search.term_weights(table(spark, d, "documents")).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query
@@ -40,6 +41,23 @@ def bm25_topk(spark, d):
     return search.bm25(table(spark, d, "documents"), search_queries(spark, d))
 
 
+@query
+def bm25_stored(spark, d):
+    """As bm25_topk, from an index that is stored in the shared folder and read by term."""
+    where = fresh_folder(spark, "index")
+    search.write_index(table(spark, d, "documents"), where)
+    return search.found(search.read_index(spark, where), search_queries(spark, d))
+
+
+@query
+def dense_cells(spark, d):
+    """The nearest vectors of all cells, from an inverted file in the shared folder."""
+    where, rows = fresh_folder(spark, "cells"), table(spark, d, "embeddings")
+    n = cells.write_cells(rows.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), where, 20)
+    wanted = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return cells.search_cells(spark, where, wanted, probes=n)
+
+
 @query
 def dense_topk(spark, d):
     rows = table(spark, d, "embeddings")

@@ -82,7 +82,7 @@ def rejecting(flaw: str, section: str, text: str, key: str) -> str:
   WHEN 2 THEN {filled(preferences.INVENTED, picked(listing(preferences.DETAILS), key, 'detail'), quote(150))} || {filled(preferences.SOURCE, section)} ELSE {q(preferences.VAGUE)} END"""
 
 
-def pairing(target: int = N_PAIRS, choice: int = 64, first: int = 50) -> str:
+def pairing(target: int = N_PAIRS, first: int = 50) -> str:
     """CTEs up to pp: the pairs with their answers."""
     n = len(preferences.KINDS)
     keywords = ", ".join(f"CASE WHEN contains(lower(prompt), {q(k)}) THEN {listing(v)} END" for k, v in citations.KEYWORDS.items())
@@ -91,7 +91,7 @@ one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY section_id ORDE
 fi AS (SELECT * FROM (SELECT chunk_id, row_number() OVER (ORDER BY md5(section_id || '|42'), section_id) - 1 AS pair_id FROM one) WHERE pair_id < {target}),
 aa AS (SELECT pair_id, pair_id >= (SELECT count(*) FROM fi) AS more, {listing(preferences.KINDS)}[CASE WHEN pair_id < (SELECT count(*) FROM fi) THEN pair_id ELSE 2 * pair_id - (SELECT count(*) FROM fi) END % {n} + 1] AS template_type FROM (SELECT unnest(range({target})) AS pair_id)),
 ab AS (SELECT *, {prompting('template_type', 'pair_id')} AS prompt FROM aa),
-po AS (SELECT *, count(*) OVER (PARTITION BY family) AS held FROM (SELECT family, chunk_id, row_number() OVER (PARTITION BY family ORDER BY r, chunk_id) - 1 AS place FROM nf WHERE family IS NOT NULL) WHERE place < {choice}),
+po AS (SELECT *, count(*) OVER (PARTITION BY family) AS held FROM (SELECT family, chunk_id, row_number() OVER (PARTITION BY family ORDER BY r, chunk_id) - 1 AS place FROM nf WHERE family IS NOT NULL)),
 hf AS (SELECT DISTINCT family, held FROM po),
 ex AS (SELECT DISTINCT pair_id, unnest(flatten(list_filter([{keywords}], lambda z: z IS NOT NULL))) AS family FROM ab WHERE more),
 ta AS (SELECT pair_id, list(struct_pack(family := family, held := held) ORDER BY family) AS xs FROM ex JOIN hf USING (family) GROUP BY pair_id),
@@ -101,7 +101,7 @@ lf AS (SELECT pair_id, prompt FROM ab WHERE more AND pair_id NOT IN (SELECT pair
 fw AS (SELECT chunk_id, list_distinct({words('text')}) AS w FROM (SELECT * FROM nf ORDER BY chunk_id LIMIT {first})),
 sw AS (SELECT pair_id, chunk_id, len(list_intersect(list_distinct({words('prompt')}), w)) / len(list_distinct(list_concat({words('prompt')}, w))) AS score FROM lf, fw),
 bw AS (SELECT pair_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY score DESC, chunk_id) AS k FROM sw WHERE score > 0) WHERE k = 1),
-ac AS (SELECT chunk_id, row_number() OVER (ORDER BY r, chunk_id) - 1 AS place FROM nf), ad AS (SELECT * FROM ac WHERE place < {choice}),
+ad AS (SELECT chunk_id, row_number() OVER (ORDER BY r, chunk_id) - 1 AS place FROM nf),
 bc AS (SELECT pair_id, chunk_id FROM lf JOIN ad ON place = {number('pair_id', 'any')} % (SELECT count(*) FROM ad) WHERE pair_id NOT IN (SELECT pair_id FROM bw)),
 pl AS (SELECT pair_id, chunk_id FROM fi UNION ALL SELECT * FROM bf UNION ALL SELECT * FROM bw UNION ALL SELECT * FROM bc),
 pa AS (SELECT pair_id, template_type, prompt, section_id, section, chunk_id, text FROM ab JOIN pl USING (pair_id) JOIN nf USING (chunk_id)),
@@ -215,8 +215,9 @@ SELECT p_partkey AS pair_id, judged AS label_verified FROM b WHERE NOT judged OR
 SELECT p_partkey, md5(CASE {kind} WHEN 0 THEN replace(t, section, other) WHEN 1 THEN replace(regexp_replace(t, {q('(?i)' + citations.CANONICAL)}, 'the relevant section', 'g'), '(Source: Employment Act Section', '(Source: the relevant section')
   ELSE t || ' Additionally, you are entitled to ' || {picked(listing(preferences.DRAFT_DETAILS), 'p_partkey', 'draft')} || ' in such cases.' END) AS flawed, md5(t[1:instr(t, '. ')] || ' (EA-2022-99)' || t[instr(t, '. ') + 1:]) AS cited FROM b""",
         "dpo_rows": f"WITH {ANSWERS} SELECT p_partkey AS pair_id, '<|system|>' || chr(10) || 'Answer by the Act.' || chr(10) || '<|user|>' || chr(10) || good || chr(10) || '<|assistant|>' || chr(10) AS prompt, response AS chosen, bad AS rejected FROM an",
-        "cycled_prompts": """WITH a AS (SELECT unnest(range(40)) AS id), b AS (SELECT id, ['Can I work on holidays?', 'What is my notice period?', 'Who decides?'][id % 3 + 1] AS p FROM a)
-SELECT id, CASE WHEN id < 3 OR id % 4 = 3 THEN p WHEN id % 4 = 0 THEN 'According to Malaysian law, ' || lower(p) WHEN id % 4 = 1 THEN 'Under the Employment Act, ' || lower(p) ELSE 'What does the Employment Act say about: ' || replace(lower(p), '?', '') END AS prompt FROM b""",
+        "cycled_prompts": """WITH p AS (SELECT coalesce(text, '') AS p, row_number() OVER (ORDER BY conv_id, turn) - 1 AS place, count(*) OVER () AS size FROM conversations WHERE role = 'user'),
+a AS (SELECT unnest(range(1000)) AS id), b AS (SELECT id, p, size FROM a JOIN p ON place = id % size)
+SELECT id, CASE WHEN id < size OR id % 4 = 3 THEN p WHEN id % 4 = 0 THEN 'According to Malaysian law, ' || lower(p) WHEN id % 4 = 1 THEN 'Under the Employment Act, ' || lower(p) ELSE 'What does the Employment Act say about: ' || replace(lower(p), '?', '') END AS prompt FROM b""",
         "example_checks": f"WITH {CHECKED} SELECT doc_id, array_to_string(errors, ',') AS errors, array_to_string(warnings, ',') AS warnings, array_to_string(issues, ',') AS schema_issues, len(present)::INT AS n_present FROM s3",
         "example_validation": f"""WITH {CHECKED}, t AS (SELECT count(*) AS total_examples, count(*) FILTER (len(missing) = 0) AS valid_examples, count(*) FILTER (len(issues) = 0) AS schema_valid_examples,
   count(*) FILTER (len(list_filter(cites, lambda z: NOT list_contains({KNOWN}, coalesce({canon('z')}, z)))) = 0) AS citation_valid_examples, count(*) FILTER (len(present) > 0) AS citation_present_in_output, round(100.0 * count(*) FILTER (len(present) > 0) / count(*), 6) AS citation_presence_rate,

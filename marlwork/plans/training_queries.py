@@ -166,7 +166,8 @@ def dpo_rows(spark, d):
 
 @query
 def cycled_prompts(spark, d):
-    return preferences.cycled_prompts(spark, ["Can I work on holidays?", "What is my notice period?", "Who decides?"], 40)
+    asked = table(spark, d, "conversations").where("role = 'user'").select(F.col("text").alias("prompt"), "conv_id", "turn")
+    return preferences.cycled_prompts(asked, ["conv_id", "turn"], 1000)
 
 
 def sft_rows(spark, d) -> DataFrame:

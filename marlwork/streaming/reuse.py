@@ -9,14 +9,13 @@ small matrix. No task holds more than a range, and a key is one row a range.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlwork.sources.durable import few, kept
+from marlwork.sources.ranges import in_ranges
 
 
 def count_before(values: np.ndarray, upto: np.ndarray, below: np.ndarray) -> np.ndarray:
@@ -41,20 +40,6 @@ def count_before(values: np.ndarray, upto: np.ndarray, below: np.ndarray) -> np.
     return found
 
 
-def in_ranges(rows: DataFrame, order: list[str]) -> DataFrame:
-    """rows in ranges of `order`, kept: block (ascending with the order) and idx (from 0 in each block, in order)."""
-
-    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = 0
-        for pdf in batches:
-            yield pdf.assign(idx=np.arange(n, n + len(pdf)))
-            n += len(pdf)
-
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("block", F.spark_partition_id())
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema.fields) + ", idx long"
-    return kept(ranged.mapInPandas(numbered, schema))
-
-
 def _local(rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
     """What a range knows of each of its requests.
 

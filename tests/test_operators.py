@@ -138,6 +138,61 @@ def test_stratified_fills_small_strata_with_copies(spark):
     assert training.stratified(rows, "s", "i", 31).columns == ["s", "i"]
 
 
+def test_rows_without_a_key_stay(spark):
+    rows = spark.createDataFrame([(i, None if i % 3 == 0 else f"g{i % 3}") for i in range(40)] + [(40, None)], "i long, g string")
+    got = training.stratified(rows, "g", "i", 41).collect()
+    assert len(got) == 41
+    assert sorted({r.g is None for r in got}) == [False, True]
+    split = training.isolated_split(rows, "g", least=1)
+    assert split.count() == 41
+    assert split.where("g is null").select("split").distinct().count() == 1
+    told = spark.createDataFrame([(1, "A?", "s"), (2, "a? ", "t"), (3, None, "u"), (4, None, None), (5, "a?", None)], "i long, q string, s string")
+    assert [(r.i, r.q) for r in training.told_apart(told, "i", "q", "s").orderBy("i").collect()] == [(1, "A?"), (2, "a?  [t]"), (3, None), (4, None), (5, "a? []")]
+    titled = told.select("i", F.col("q").alias("instruction"), F.lit(None).cast("string").alias("title"), F.col("s").alias("section"))
+    assert [(r.i, r.instruction) for r in datasets.told_apart(titled, "i").orderBy("i").collect()] == [(1, "A?"), (2, "a?  [Section t]"), (3, None), (4, None), (5, "a? [Section ]")]
+    pairs = spark.createDataFrame([(i, None if i == 0 else f"s{i % 4}") for i in range(20)], "pair_id long, source_section string")
+    sides = preferences.split_by_section(pairs)
+    assert sides.count() == 20
+    assert sides.where("source_section is null and split is not null").count() == 1
+
+
+def test_samples_are_the_first_of_a_stable_random_order(spark):
+    rng = random.Random(5)
+    rows = [(i, "huge" if rng.random() < 0.8 else rng.choice("abc")) for i in range(3000)]
+    df = spark.createDataFrame(rows, "i long, g string").repartition(3)
+    order = lambda i: (hashlib.md5(f"{i}|42".encode()).hexdigest(), i)
+    placed = {g: sorted((i for i, x in rows if x == g), key=order) for g in ("huge", "a", "b", "c")}
+    for target in (4, 50, 1000, 2500):
+        got, sizes = {}, sorted(((-len(v), g) for g, v in placed.items()))
+        for r in training.stratified(df, "g", "i", target).collect():
+            got.setdefault(r.g, []).append(r.i)
+        for n, (size, g) in enumerate(sizes):
+            quota = target // 4 + (n < target % 4)
+            own = placed[g]
+            assert sorted(got.get(g, [])) == sorted(own * (quota // -size) + own[: quota % -size])
+    wanted = spark.createDataFrame([(n, g, rng.randrange(len(placed[g]))) for n in range(40) for g in placed], "n int, g string, place int")
+    for r in training.at_places(df, "g", "i", wanted).collect():
+        assert placed[r.g][r.place] == r.i
+    assert training.at_places(df, "g", "i", wanted).count() == 160
+    plan = training.stratified(df, "g", "i", 50)._jdf.queryExecution().executedPlan().toString()
+    assert all("bin" in line or "n#" in line or "size" in line for line in plan.split("\n") if "row_number()" in line and "Window [" in line)
+
+
+def test_numbers_as_json_writes_them(spark):
+    rng = random.Random(3)
+    numbers = [20000000.5, 12345678901.25, 1e-05, 1e16, 0.0, -0.0, 1.0, -2.5, 1e15, 123456789012345.6, 1e-4, 9.9e-5, 1.5e-7, 1e100, -1.25e300, 5e-324, 1e7, 12345678.0, 0.001, 0.0001234, 1e22, 1e-100, 9007199254740993.0, 1234567.875]
+    numbers += [rng.uniform(-1, 1) * 10.0 ** rng.randint(-12, 20) for _ in range(300)] + [float(rng.randrange(10**9)) / 100 for _ in range(100)]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "i int, x double").select("i", "x", service.json_number(F.col("x")).alias("s")).collect()
+    assert [(r.s, json.dumps(r.x)) for r in rows if r.s != json.dumps(r.x)] == []
+
+
+def test_cycled_prompts(spark):
+    asked = spark.createDataFrame([(2, "C?"), (1, None), (0, "A?")], "k long, prompt string").repartition(3)
+    got = [r.prompt for r in preferences.cycled_prompts(asked, ["k"], 7).orderBy("id").collect()]
+    assert got == ["A?", "", "C?", "A?", "According to Malaysian law, ", "Under the Employment Act, c?", "What does the Employment Act say about: a"]
+    assert preferences.cycled_prompts(asked.limit(0), ["k"], 7).count() == 0
+
+
 def test_split_moves_the_largest_groups_to_a_short_eval(spark):
     sizes = {f"g{i}": i + 1 for i in range(10)}
     rows = spark.createDataFrame([(g, j) for g, n in sizes.items() for j in range(n)], "g string, j int")
@@ -247,7 +302,7 @@ def test_stored_index_answers_as_the_corpus(spark, tmp_path):
     rows = lambda df: [tuple(r) for r in df.orderBy("query_id", "rank").collect()]
     stored = search.read_index(spark, str(tmp_path / "index"))
     assert rows(search.found(stored, queries)) == rows(search.bm25(docs, queries)) and rows(search.bm25(docs, queries))[0][:3] == (1, 1, 1)
-    assert search.index(docs).average == 11 / 5 and search.read_vectors(spark, str(tmp_path / "index")) is None
+    assert stored.average == search.index(docs).average == 11 / 5 and search.read_vectors(spark, str(tmp_path / "index")) is None
     assert search.hybrid(search.bm25(docs, queries), None, docs, queries).count() == 4
     assert search.bm25(docs.limit(0), queries).count() == 0
 
