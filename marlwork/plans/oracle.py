@@ -262,6 +262,13 @@ def all_sql() -> dict[str, str]:
         "answer_repair": repairing(),
         "sft_questions": asking(),
         "token_stream": streaming(),
+        "token_answers": f"""WITH ch AS ({streaming()}), k AS (SELECT * FROM ch WHERE NOT (request_id % 11 = 3 AND seq = 1)),
+g AS (SELECT request_id, coalesce(string_agg(content, ' ' ORDER BY seq) FILTER (chunk_type = 'token'), '') AS answer, (count(*) FILTER (chunk_type = 'token'))::INT AS n_tokens, max(content) FILTER (chunk_type = 'status') AS st, max(seq) = count(*) - 1 AND count(*) FILTER (chunk_type = 'done') > 0 AS complete FROM k GROUP BY request_id)
+SELECT request_id, answer, n_tokens, CASE WHEN complete THEN coalesce(st, 'error') ELSE 'error' END AS status, complete FROM g""",
+        "sliding_limit": """WITH RECURSIVE e AS (SELECT event_id, event_type AS k, epoch_us(ts) AS tm, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+c AS (SELECT event_id, k, n, true AS allowed, [tm] AS passed FROM e WHERE n = 1
+  UNION ALL SELECT event_id, k, n, len(f) < 2, CASE WHEN len(f) < 2 THEN f || [tm] ELSE f END FROM (SELECT e.event_id, e.k, e.n, e.tm, list_filter(c.passed, lambda x: e.tm - x < 600000000) AS f FROM c JOIN e ON e.k = c.k AND e.n = c.n + 1))
+SELECT event_id, allowed FROM c""",
         "failure_category": failing(),
         "context_filter": f"""WITH {BM25}, hi AS (SELECT query_id, rank, doc_id, score / 600 AS s, count(*) OVER (PARTITION BY query_id) AS n, count(*) FILTER (score / 600 >= 0.3) OVER (PARTITION BY query_id) AS good FROM bm WHERE rank <= 12 AND score > 0)
 SELECT query_id, rank, doc_id FROM hi WHERE CASE WHEN n < 6 THEN true WHEN good < 6 THEN rank <= 8 ELSE s >= 0.3 END""",
