@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,18 +36,30 @@ LEGACY_HALLUCINATIONS = ["section ea-999", "triple compensation", "365 days leav
 ESCALATES = {"invalid_citations": "invalid_citations", "numeric_out_of_bounds": "numeric_bounds"}
 
 
-def output_report(text: Column, known: Column) -> Column:
+@dataclass(frozen=True)
+class Checks:
+    """What answers are checked for: whether their citations are known, bounds of numbers, patterns of inventions and of advice."""
+
+    citations: bool = True
+    bounds: list[tuple[str, float, float, str]] = field(default_factory=lambda: governance.BOUNDS)
+    hallucinations: list[str] = field(default_factory=lambda: HALLUCINATIONS)
+    advice: list[str] = field(default_factory=lambda: ADVICE)
+
+
+def output_report(text: Column, known: Column, checks: Checks | None = None, pii: list[tuple[str, str, str]] | None = None) -> Column:
     """flags, decision, confidence, escalation reasons, rules and the text to send of an answer.
 
-    Unknown citations and numbers out of bounds escalate, other flags refuse; an answer with a flag is replaced.
+    Unknown citations and numbers out of bounds escalate, other flags refuse; an answer with a flag is replaced. The
+    library's own checks and patterns of personal data are used where none are given.
     """
+    checks = checks or Checks()
     low = F.lower(text)
     none = F.array().cast("array<string>")
-    unknown = F.array_except(governance.citations(text), known)
-    outside = F.transform(F.filter(governance.numeric_claims(text), lambda c: ~F.coalesce(c["ok"], F.lit(True))), lambda c: c["category"])
-    first = lambda patterns: F.coalesce(*(F.when(low.rlike(p), F.lit(p[:20])) for p in patterns))
+    unknown = F.array_except(governance.citations(text), known) if checks.citations else none
+    outside = F.transform(F.filter(governance.numeric_claims(text, bounds=checks.bounds), lambda c: ~F.coalesce(c["ok"], F.lit(True))), lambda c: c["category"])
+    first = lambda patterns: F.coalesce(*(F.when(low.rlike(p), F.lit(p[:20])) for p in patterns), F.lit(None).cast("string"))
     parts = F.struct(
-        F.coalesce(unknown, none).alias("unknown"), F.coalesce(outside, none).alias("outside"), first(HALLUCINATIONS).alias("invented"), first(ADVICE).alias("advice"), F.coalesce(governance.pii_kinds(text), none).alias("personal")
+        F.coalesce(unknown, none).alias("unknown"), F.coalesce(outside, none).alias("outside"), first(checks.hallucinations).alias("invented"), first(checks.advice).alias("advice"), F.coalesce(governance.pii_kinds(text, *([pii] if pii is not None else [])), none).alias("personal")
     )
 
     def judged(x: Column) -> Column:
@@ -85,11 +99,11 @@ def legacy_output(text: Column) -> Column:
     )
 
 
-def query_flags(query: Column, n_chunks: Column, mode: str = "mask") -> Column:
-    """flags and refusal (a key of REFUSALS, or null) of a query that found `n_chunks` chunks."""
-    report = governance.input_report(query, mode)
+def query_flags(query: Column, n_chunks: Column, mode: str = "mask", *lists) -> Column:
+    """flags and refusal (a key of REFUSALS, or null) of a query that found `n_chunks` chunks. `lists`: policies, templates and patterns, as input_report() takes them."""
+    report = governance.input_report(query, mode, *lists)
     more = (
-        F.when(F.size(governance.pii_kinds(query)) > 0, F.lit("pii_detected")),
+        F.when(F.size(governance.pii_kinds(query, *lists[2:3])) > 0, F.lit("pii_detected")),
         F.when(n_chunks == 0, F.lit("insufficient_context")).when(n_chunks < 2, F.lit("limited_context")),
         F.when(holds_any(F.lower(query), COMPLEX_CASE), F.lit("complex_legal")),
     )

@@ -226,10 +226,10 @@ def category(context: Column) -> Column:
     return F.coalesce(*(F.when(holds_any(context, words), F.lit(name)) for name, words in CATEGORY_WORDS), F.lit("general"))
 
 
-def within_bounds(name: Column, number: Column, unit: Column) -> Column:
+def within_bounds(name: Column, number: Column, unit: Column, bounds: list[tuple[str, float, float, str]] = BOUNDS) -> Column:
     """Whether a number is inside its category's bounds; null where there are none or the unit can't be converted."""
     out = F.lit(None).cast("boolean")
-    for wanted, least, most, own in BOUNDS:
+    for wanted, least, most, own in bounds:
         same = F.when(unit == own, number)
         if own in DAYS:
             per = F.coalesce(*(F.when(unit == u, F.lit(float(d))) for u, d in DAYS.items()))
@@ -238,13 +238,13 @@ def within_bounds(name: Column, number: Column, unit: Column) -> Column:
     return out
 
 
-def numeric_claim(text: Column) -> Column:
+def numeric_claim(text: Column, bounds: list[tuple[str, float, float, str]] = BOUNDS) -> Column:
     """Number, unit, category and verdict of the first number with a unit in a text; number, unit and verdict are null without one."""
     none = F.struct(F.lit(None).cast("double").alias("number"), F.lit(None).cast("string").alias("unit"), category(F.lower(text)).alias("category"), F.lit(None).cast("boolean").alias("ok"))
-    return F.coalesce(F.get(numeric_claims(text, [NUMBER]), F.lit(0)), none)
+    return F.coalesce(F.get(numeric_claims(text, [NUMBER], bounds), F.lit(0)), none)
 
 
-def numeric_claims(text: Column, rules: list[str] = CLAIMS) -> Column:
+def numeric_claims(text: Column, rules: list[str] = CLAIMS, bounds: list[tuple[str, float, float, str]] = BOUNDS) -> Column:
     """Number, unit, category and verdict of every match of the rules in a text, rule by rule; a number may match several.
 
     The category comes from the match and the AROUND characters on each side of it.
@@ -255,7 +255,7 @@ def numeric_claims(text: Column, rules: list[str] = CLAIMS) -> Column:
         around = F.substring(low, start + 1, m["end"] + AROUND - start)
         number = F.regexp_extract(m["match"], rule, 1).try_cast("double")
         claim = F.struct(number.alias("number"), F.regexp_extract(m["match"], rule, 2).alias("unit"), once(around, category).alias("category"))
-        return once(claim, lambda c: F.struct(c["number"], c["unit"], c["category"], within_bounds(c["category"], c["number"], c["unit"]).alias("ok")))
+        return once(claim, lambda c: F.struct(c["number"], c["unit"], c["category"], within_bounds(c["category"], c["number"], c["unit"], bounds).alias("ok")))
 
     of = lambda low, rule: F.transform(matches(low, rule), lambda m: judged(low, m, rule))
     return once(F.lower(text), lambda low: F.concat(*(of(low, rule) for rule in rules)))

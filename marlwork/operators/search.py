@@ -412,9 +412,9 @@ def hybrid(sparse: DataFrame, near: DataFrame | None, docs: DataFrame, queries:
     return ranked.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
-def in_scope(queries: DataFrame) -> DataFrame:
+def in_scope(queries: DataFrame, patterns: list[str] = OUT_OF_SCOPE) -> DataFrame:
     """queries (query_id, query) without those out of scope, which have no hits."""
-    return queries.where(~out_of_scope(F.col("query")))
+    return queries.where(~out_of_scope(F.col("query"), patterns))
 
 
 def lookup(docs: DataFrame, wanted: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -441,15 +441,15 @@ def enough_context(hits: DataFrame, least: float = 0.3, few: int = 6, fallback:
     return hits.join(counts, "query_id").where(stays).select(*hits.columns)
 
 
-def normalised(query: Column) -> Column:
-    return reduce(lambda q, r: F.regexp_replace(q, r[0], r[1]), REWRITES, F.lower(query))
+def normalised(query: Column, rewrites: list[tuple[str, str]] = REWRITES) -> Column:
+    return reduce(lambda q, r: F.regexp_replace(q, r[0], r[1]), rewrites, F.lower(query))
 
 
-def out_of_scope(query: Column) -> Column:
-    return F.lower(query).rlike("|".join(OUT_OF_SCOPE))
+def out_of_scope(query: Column, patterns: list[str] = OUT_OF_SCOPE) -> Column:
+    return F.lower(query).rlike("|".join(patterns)) if patterns else F.lit(False)
 
 
-def expanded(query: Column) -> Column:
+def expanded(query: Column, rewrites: list[tuple[str, str]] = REWRITES, patterns: list[str] = OUT_OF_SCOPE) -> Column:
     """Up to six variants of a query, without repeats; the query alone if it is out of scope."""
 
     def variants(n: Column) -> Column:
@@ -460,24 +460,24 @@ def expanded(query: Column) -> Column:
         low = F.transform(every, lambda x: F.lower(x))
         return F.filter(every, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
 
-    some = once(once(normalised(query), variants), first)
-    return F.when(out_of_scope(query), F.array(query)).otherwise(F.slice(some, 1, 6))
+    some = once(once(normalised(query, rewrites), variants), first)
+    return F.when(out_of_scope(query, patterns), F.array(query)).otherwise(F.slice(some, 1, 6))
 
 
-def priority_sections(query: Column) -> Column:
-    """Sections of the topics that the rewritten query names, each once, in the order of TOPICS."""
+def priority_sections(query: Column, rewrites: list[tuple[str, str]] = REWRITES, topics: dict[str, list[str]] = TOPICS) -> Column:
+    """Sections of the topics that the rewritten query names, each once, in the order of topics."""
 
     def of(n: Column) -> Column:
-        own = (F.when(F.contains(n, F.lit(topic)), F.array(*map(F.lit, sections))) for topic, sections in TOPICS.items())
+        own = (F.when(F.contains(n, F.lit(topic)), F.array(*map(F.lit, sections))) for topic, sections in topics.items())
         return F.array_distinct(F.flatten(F.array_compact(F.array(*own))))
 
-    return once(normalised(query), of)
+    return once(normalised(query, rewrites), of)
 
 
-def failure_category(query: Column, retrieved: Column) -> Column:
+def failure_category(query: Column, retrieved: Column, rewrites: list[tuple[str, str]] = REWRITES, patterns: list[str] = OUT_OF_SCOPE, topics: dict[str, list[str]] = TOPICS) -> Column:
     """Why a query failed: out of scope, no topic known, sections found but ranked low, or not found."""
 
     def of(wanted: Column) -> Column:
         return F.when(F.size(wanted) == 0, F.lit("COVERAGE_MISS")).when(F.arrays_overlap(wanted, retrieved), F.lit("RANKING_MISS")).otherwise(F.lit("VOCAB_MISS"))
 
-    return F.when(out_of_scope(query), F.lit("OUT_OF_SCOPE")).otherwise(once(priority_sections(query), of))
+    return F.when(out_of_scope(query, patterns), F.lit("OUT_OF_SCOPE")).otherwise(once(priority_sections(query, rewrites, topics), of))

@@ -46,6 +46,33 @@ def bounds_of(settings: dict) -> list[tuple[str, float, float, str]]:
     return [(k, v["min"], v["max"], v.get("unit", "").rstrip("s")) for k, v in own.items()]
 
 
+def checks_of(settings: dict) -> dict:
+    """What answers are checked for, as answers.Checks takes it; what is switched off checks nothing."""
+    own = settings.get("output_validation", {})
+    on = lambda name: own.get("enabled", True) and own.get(name, {}).get("enabled", True)
+    patterns = lambda name: [p.lower() for p in own.get(name, {}).get("patterns", [])] if on(name) else []
+    return {"citations": on("citation_validation"), "bounds": bounds_of(settings) if on("numeric_validation") else [], "hallucinations": patterns("hallucination_patterns"), "advice": patterns("inappropriate_advice")}
+
+
+#: Sizes of a search, by the variable that sets them. Fixed values.
+SIZES = {"BM25_TOPK": 30, "DENSE_TOPK": 20, "CE_MAX_PAIRS": 40, "FINAL_TOPK": 8, "MIN_CHUNKS": 6}
+#: Sizes for which an argument goes before the environment; for the others it is the other way round.
+ARGUMENT_FIRST = ("BM25_TOPK", "DENSE_TOPK", "CE_MAX_PAIRS")
+
+
+def sizes_of(arguments: dict[str, int] | None = None, environment: dict[str, str] | None = None) -> dict[str, int]:
+    """The sizes of a search from its arguments (0 or absent: none), the environment (this process', if none is given) and SIZES."""
+    env, own = os.environ if environment is None else environment, arguments or {}
+    first = lambda name: own.get(name) or int(env.get(name, SIZES[name]))
+    return {name: first(name) if name in ARGUMENT_FIRST else int(env.get(name) or own.get(name) or SIZES[name]) for name in SIZES}
+
+
+def rewrites_queries(argument: bool = True, environment: dict[str, str] | None = None) -> bool:
+    """Whether queries are rewritten: what USE_ADVANCED_REWRITE says, where it is set, whatever the argument."""
+    told = (os.environ if environment is None else environment).get("USE_ADVANCED_REWRITE")
+    return argument if told is None else told.lower() in ("1", "true", "yes")
+
+
 def rewrites_of(settings: dict) -> tuple[list[tuple[str, str]], list[str]]:
     """Substitutions of query terms in order, and patterns of queries that are out of scope."""
     terms = settings.get("statutory_terms", [])

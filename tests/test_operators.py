@@ -351,6 +351,56 @@ def test_settings_replace_the_lists(spark, tmp_path):
     assert settings.bounds_of(found) == [("annual_leave", 1, 2, "day")] and settings.rewrites_of(found) == ([("a", "b")], [])
 
 
+def test_settings_reach_answers_and_queries(spark, tmp_path):
+    path = tmp_path / "guardrails.json"
+    own = {
+        "output_validation": {
+            "citation_validation": {"enabled": False},
+            "numeric_validation": {"bounds": {"annual_leave": {"min": 1, "max": 20, "unit": "days"}}},
+            "hallucination_patterns": {"patterns": ["Moon Law"]},
+            "inappropriate_advice": {"enabled": False, "patterns": ["you should sue"]},
+        },
+        "statutory_terms": {"\\bfurlough\\b": "unpaid leave"},
+        "out_of_scope": ["\\blottery\\b"],
+    }
+    path.write_text(json.dumps(own))
+    found = settings.read_settings(str(path))
+    checks = answers.Checks(**settings.checks_of(found))
+    none = F.array().cast("array<string>")
+    flags = lambda text, *more: spark.range(1).select(answers.output_report(F.lit(text), none, *more).alias("r")).first().r.flags
+    cases = {"Take 30 days of annual leave.": ["numeric_out_of_bounds"], "By moon law, yes.": ["hallucination_pattern"], "You should sue.": [], "See Section EA-999.": [], "Expect triple compensation.": []}
+    assert {t: flags(t, checks) for t in cases} == cases
+    assert flags("Take 30 days of annual leave.") == []
+    assert flags("You should sue.") == ["inappropriate_advice"]
+    assert flags("By moon law, 900 days of annual leave.", answers.Checks(**settings.checks_of({"output_validation": {"enabled": False}}))) == []
+    assert flags("Code Z12", checks, [("code", "Z\\d+", "[Z]")]) == ["output_pii_detected"]
+    rewrites, scope = settings.rewrites_of(found)
+    row = spark.range(1).select(
+        search.normalised(F.lit("Furlough?"), rewrites).alias("n"),
+        search.out_of_scope(F.lit("My lottery"), scope).alias("o"),
+        search.out_of_scope(F.lit("My visa"), scope).alias("v"),
+        search.expanded(F.lit("My lottery"), rewrites, scope).alias("e"),
+        search.priority_sections(F.lit("furlough"), rewrites, {"unpaid": ["X-1"]}).alias("p"),
+        search.failure_category(F.lit("furlough"), F.array(F.lit("X-1")), rewrites, scope, {"unpaid": ["X-1"]}).alias("f"),
+        answers.query_flags(F.lit("a raffle"), F.lit(5), "mask", {"games": ["raffle"]}, {"games": "No."}).alias("q"),
+    ).first()
+    assert (row.n, row.o, row.v, row.e, row.p, row.f) == ("unpaid leave?", True, False, ["My lottery"], ["X-1"], "RANKING_MISS")
+    assert row.q.refusal == "policy_violation"
+
+
+def test_sizes_and_their_precedence():
+    default = {"BM25_TOPK": 30, "DENSE_TOPK": 20, "CE_MAX_PAIRS": 40, "FINAL_TOPK": 8, "MIN_CHUNKS": 6}
+    assert settings.sizes_of({}, {}) == default
+    environment = {name: "3" for name in default}
+    assert settings.sizes_of({}, environment) == dict.fromkeys(default, 3)
+    for name in default:
+        first = name in ("BM25_TOPK", "DENSE_TOPK", "CE_MAX_PAIRS")
+        assert settings.sizes_of({name: 5}, environment)[name] == (5 if first else 3)
+        assert settings.sizes_of({name: 5}, {})[name] == 5
+        assert settings.sizes_of({name: 0}, {})[name] == default[name]
+    assert [settings.rewrites_queries(a, e) for a in (True, False) for e in ({}, {"USE_ADVANCED_REWRITE": "Yes"}, {"USE_ADVANCED_REWRITE": "0"})] == [True, True, False, False, True, False]
+
+
 def test_sft_examples_are_distinct_and_cited(spark):
     rows = [(i, f"EA-{20 + i % 7}", None, f"Employees shall have {i} days of leave in every year of service. More follows here.") for i in range(60)]
     made = datasets.examples(spark.createDataFrame(rows, "chunk_id long, section_id string, title string, text string"), citations.literal([f"EA-2022-{n}" for n in range(20, 25)]), 20).collect()
