@@ -74,6 +74,15 @@ ch AS (SELECT doc_id, i::INT AS chunk_index, 'chunk_' || lpad(i::VARCHAR, 4, '0'
   'EA-' || {first_of('body', chunking.SECTION_PATTERNS, '(?i)')} AS section_id, length(body)::INT AS length, body FROM kp WHERE NOT tiny OR (i = 0 AND length(body) >= 100))"""
 
 
+def enriched() -> str:
+    """CTEs up to rt: chunks with their title and the text that names their section."""
+    title = f"regexp_replace(regexp_replace({strip(first_of('body[1:200]', chunking.TITLE_PATTERNS))}, '\\s*[-–]\\s*$', ''), '\\s*\\.$', '')"
+    return f"""{CHUNKS},
+ri AS (SELECT doc_id, i::INT AS chunk_index, 'EA-' || {first_of('body', chunking.SECTION_PATTERNS, '(?i)')} AS section_id, {title} AS section_title, body, CASE WHEN nt THEN t[e + 1:n] ELSE '' END AS tail FROM kp WHERE NOT tiny OR (i = 0 AND length(body) >= 100)),
+rt AS (SELECT doc_id, chunk_index, section_id, section_title, CASE WHEN length(body) < 100 OR section_id IS NULL THEN body WHEN coalesce(section_title, '') = '' THEN '[Employment Act Section ' || section_id || '] ' || body
+  WHEN NOT contains(lower(body[1:100]), lower(section_title)) THEN '[Employment Act Section ' || section_id || ': ' || section_title || '] ' || body ELSE body END || tail AS text FROM ri)"""
+
+
 def masked(x: str) -> str:
     for _, pattern, mark in governance.PII:
         x = f"regexp_replace({x}, {q(pattern)}, {q(mark)}, 'g')"
@@ -291,9 +300,16 @@ bk AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id
         "query_expand": expansion(),
         "chunk_documents": f"WITH {CHUNKS} SELECT * EXCLUDE (body) FROM ch",
         "chunk_stats": f"WITH {CHUNKS} SELECT count(DISTINCT doc_id) AS n_docs, count(*) AS n_chunks, round(100.0 * count(section_id) / count(*), 6) AS section_coverage, min(length) AS min_length, max(length) AS max_length, round(avg(length), 6) AS avg_length FROM ch",
-        "section_backfill": f"""WITH {CHUNKS},
-ar AS (SELECT doc_id, chunk_index, coalesce(section_id, 'EA-' || {first_of("concat_ws(' ', l2, l1, n1, n2, body)", chunking.SECTION_PATTERNS, '(?i)')}) AS found FROM
-  (SELECT *, lag(body, 2) OVER o AS l2, lag(body, 1) OVER o AS l1, lead(body, 1) OVER o AS n1, lead(body, 2) OVER o AS n2 FROM ch WINDOW o AS (PARTITION BY doc_id ORDER BY chunk_index))),
+        "chunk_text": f"WITH {enriched()} SELECT doc_id, chunk_index, section_title, length(text)::INT AS length, md5(text) AS text FROM rt",
+        "frames_removed": f"""WITH li AS (SELECT doc_id // 4 AS doc, doc_id AS page, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+no AS (SELECT *, 4 + 13 * (i % 8) AS y0, regexp_replace({strip('lower(t)')}, '\\s+', ' ', 'g') AS norm FROM li), pg AS (SELECT doc, count(DISTINCT page) AS pages FROM li GROUP BY doc),
+re AS (SELECT doc, norm FROM no JOIN pg USING (doc) WHERE length(norm) > 5 AND length(norm) < 100 AND pages > 1 GROUP BY doc, norm, pages HAVING count(*) >= greatest(2, pages // 3)),
+kp AS (SELECT doc, page, string_agg(t, chr(10) ORDER BY i, t) AS t FROM no WHERE y0 >= 8 AND y0 <= 92 AND length({strip('t')}) > 5 AND (doc, norm) NOT IN (SELECT doc, norm FROM re) GROUP BY doc, page)
+SELECT doc, md5(string_agg(t, chr(10) || chr(10) ORDER BY page, t)) AS text FROM kp WHERE {strip('t')} <> '' GROUP BY doc""",
+        "labelled_documents": "SELECT doc_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
+        "section_backfill": f"""WITH {enriched()},
+ar AS (SELECT doc_id, chunk_index, coalesce(section_id, 'EA-' || {first_of("concat_ws(' ', l2, l1, n1, n2, text)", chunking.SECTION_PATTERNS, '(?i)')}) AS found FROM
+  (SELECT *, lag(text, 2) OVER o AS l2, lag(text, 1) OVER o AS l1, lead(text, 1) OVER o AS n1, lead(text, 2) OVER o AS n2 FROM rt WINDOW o AS (PARTITION BY doc_id ORDER BY chunk_index))),
 sq2 AS (SELECT *, row_number() OVER o AS rn, max(CASE WHEN found IS NOT NULL THEN chunk_index END) OVER o AS src FROM ar WINDOW o AS (PARTITION BY doc_id ORDER BY chunk_index))
 SELECT a.doc_id, a.chunk_index, coalesce(a.found, b.found || repeat('-cont', a.rn - b.rn)) AS section_id FROM sq2 a LEFT JOIN sq2 b ON b.doc_id = a.doc_id AND b.chunk_index = a.src""",
         "repeated_blocks": f"WITH {lines} SELECT doc, norm, count(*) AS n FROM no JOIN pg USING (doc) WHERE length(norm) > 5 AND length(norm) < 100 AND pages > 1 GROUP BY doc, norm, pages HAVING count(*) >= greatest(2, pages // 3)",
@@ -330,6 +346,10 @@ SELECT doc_id, r.source FROM r JOIN u ON r.source IS NOT DISTINCT FROM u.source
         "stable_eval_subset": "SELECT doc_id, 'eval_' || sha256(concat_ws('|', doc_id::VARCHAR, source, lang))[1:12] AS stable_id FROM documents ORDER BY stable_id LIMIT 30",
         "leakage_check": f"WITH {SPLIT} SELECT count(*) AS shared_texts FROM (SELECT h FROM sp WHERE split = 'train' INTERSECT SELECT h FROM sp WHERE split = 'eval')",
         "near_dup_pairs": similar(),
+        "near_dup_kept": """WITH RECURSIVE e AS MATERIALIZED (SELECT item_id AS id, lower(text) AS t, row_number() OVER (ORDER BY item_id) AS n FROM benchmark),
+p AS MATERIALIZED (SELECT r.id, list(l.id) AS near FROM e l JOIN e r ON l.id < r.id AND l.t <> '' AND r.t <> '' AND (l.t = r.t OR round(1 - levenshtein(l.t, r.t) / greatest(length(l.t), length(r.t)), 6) > 0.8) GROUP BY r.id),
+s AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS stay UNION ALL SELECT e.n, CASE WHEN list_has_any(coalesce(p.near, []), s.stay) THEN s.stay ELSE s.stay || [e.id] END FROM s JOIN e ON e.n = s.n + 1 LEFT JOIN p ON p.id = e.id)
+SELECT unnest(stay) AS item_id FROM (SELECT stay FROM s ORDER BY n DESC LIMIT 1)""",
         "severance": severance(),
         "model_routing": routing(),
         "answer_confidence": f"""WITH {BM25}, ls AS (SELECT query_id, list(score / 1000 ORDER BY rank) AS s FROM bm WHERE rank <= 10 AND score > 0 GROUP BY query_id)

@@ -99,10 +99,28 @@ def chunk_stats(spark, d):
 
 @query
 def section_backfill(spark, d):
-    cut = chunking.chunk(table(spark, d, "documents")).withColumn("text", F.col("original_text"))
+    cut = chunking.chunk(table(spark, d, "documents"))
     return chunking.backfill_sections(cut.select("doc_id", "chunk_index", "text", "section_id")).select("doc_id", "chunk_index", "section_id")
 
 
+@query
+def chunk_text(spark, d):
+    return chunking.chunk(table(spark, d, "documents")).select("doc_id", "chunk_index", "section_title", "length", F.md5("text").alias("text"))
+
+
+@query
+def frames_removed(spark, d):
+    """Documents as the pages of others, four each, their lines as blocks down the page."""
+    lines = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 4).alias("doc"), F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n", -1)).alias("block_no", "text"))
+    placed = lines.select("doc", "page", F.lit(100.0).alias("height"), (4.0 + 13 * (F.col("block_no") % 8)).alias("y0"), "block_no", "text")
+    return chunking.without_repeated(placed).select("doc", F.md5("text").alias("text"))
+
+
+@query
+def labelled_documents(spark, d):
+    return search.lookup(table(spark, d, "documents"), table(spark, d, "labels").where("quality = 1")).select("doc_id", "n_chars")
+
+
 @query
 def repeated_blocks(spark, d):
     lines = table(spark, d, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.explode(F.split("text", "\n", -1)).alias("text"))
