@@ -185,17 +185,30 @@ def identify(docs: DataFrame, trained: list[Model]) -> DataFrame:
     return rows.select("uid", "doc_id", "held_out").join(best, "uid").select("doc_id", "held_out", "lang_pred", score)
 
 
-def keep_identified(docs: DataFrame, trained: list[Model]) -> DataFrame:
-    """The rows of docs whose language is known to the models; rows of `und` go. All columns stay.
+def keep_identified(docs: DataFrame, trained: list[Model], least: float = 0.999) -> DataFrame:
+    """The rows of docs (doc_id, text, lang) whose language is known to the models and isn't another than `lang` says. All columns stay.
 
-    Only ids and texts pass by Python, and only the rows that go come back.
+    Rows of `und` go, and those of which a model is sure (`least` or more of the probability) that they are in another
+    of its languages than the one they are labelled with. Rows without a label, or with one that no model has, go by the
+    text alone. A row without an id is judged by its text as any other; rows of one id and text share the verdict (they
+    go if any of their labels is wrong); an empty table stays empty. Only ids, labels and texts pass by Python, and only the rows that go come back.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(trained[0])  # texts that one model calls `und` all do
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gone = pa.array([shared.value.predict(x)[0] == "und" for x in texts_of(batch)], pa.bool_())
-            yield batch.select(["doc_id", "text_hash"]).filter(gone)
+    plain = docs.select(F.col("doc_id").cast("long"), text_hash().alias("text_hash"), F.col("text").cast("string"), F.col("lang").cast("string"))
+    if len(trained) == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(trained[0])  # of a bounded size, see models()
 
-    plain = docs.select(F.col("doc_id").cast("long"), text_hash().alias("text_hash"), F.col("text").cast("string"))
-    return without(docs, plain.mapInArrow(run, "doc_id long, text_hash long"))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = set(shared.value.langs)
+            for batch in batches:
+                gone = []
+                for text, lang in zip(texts_of(batch), batch.column("lang").to_pylist(), strict=True):
+                    found, score = shared.value.predict(text)
+                    gone.append(found == "und" or (lang in known and lang != found and score >= least))
+                yield batch.select(["doc_id", "text_hash"]).filter(pa.array(gone, pa.bool_()))
+
+        return without(docs, plain.mapInArrow(run, "doc_id long, text_hash long"))
+    known = [x for model in trained for x in model.langs]
+    rows = durable(plain.withColumn("uid", F.monotonically_increasing_id()))
+    found = identify(rows.select(F.col("uid").alias("doc_id"), "text"), trained).withColumnRenamed("doc_id", "uid")
+    wrong = F.col("lang").isin(known) & (F.col("lang") != F.col("lang_pred")) & (F.col("score") >= least)
+    return without(docs, rows.join(found, "uid").where((F.col("lang_pred") == "und") | F.coalesce(wrong, F.lit(False))))

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlwork.llm.common import durable, small, texts_of
+from marlwork.llm.grams import CHAIN, chained, mixed
 
 #: Seed of a shingle's XXH64. Fixed value.
 SEED = 42
@@ -212,13 +213,94 @@ def near_duplicates(docs: DataFrame, most: int = 2, words_in_shingle: int = 3, r
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, most: int = 2, words_in_shingle: int = 3) -> DataFrame:
+#: Words of seven bits of which any two differ in three or more: a Hamming code of sixteen words.
+TAGS = [w for w in range(128) if not (1 & w) ^ (2 & w and 2) ^ (4 & w and 3) ^ (8 & w and 4) ^ (16 & w and 5) ^ (32 & w and 6) ^ (64 & w and 7)]
+#: Bits of a fingerprint below its tag.
+BITS = 57
+#: Values of a sketch.
+SKETCH = 64
+_odd = np.random.default_rng(3).integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def several(text: str | None, copies: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """`copies` tagged fingerprints of the set of a text's words, and the least values of its shingles under SKETCH hashes.
+
+    A change of one word changes one word of the set, but `shingle` shingles: fingerprints of words stay closer than
+    those of shingles, and the shingles tell texts apart that have common words alone in common.
+    """
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    codes: dict[bytes, int] = {}
+    place = np.fromiter((codes.setdefault(w, len(codes)) for w in words), np.int64, len(words))
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in codes), np.uint64, len(codes))
+    prints = np.zeros(copies, np.uint64)
+    for k in range(copies):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), STEP):
+            own = mixed(hashes[at : at + STEP] + np.uint64(k) * np.uint64(CHAIN))
+            ones += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        bits = int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+        prints[k] = TAGS[k] << BITS | bits & (1 << BITS) - 1
+    sequence = hashes[place] if len(place) else np.zeros(1, np.uint64)
+    width = min(shingle, len(sequence))
+    sketch = np.full(SKETCH, FULL)
+    for at in range(0, len(sequence) - width + 1, STEP):
+        part = sequence[at : at + STEP + width - 1]
+        own = part[: len(part) - width + 1]
+        for j in range(1, width):
+            own = chained(own, part[j : len(part) - width + 1 + j])
+        sketch = np.minimum(sketch, [(own * odd).min() for odd in _odd])
+    return prints, (sketch >> np.uint64(32)).astype(np.uint32)
+
+
+def near_groups(docs: DataFrame, copies: int = 8, shingle: int = 5, range_size: int = 8192, least_ranges: int = 256, hot: int = 1000) -> DataFrame:
+    """doc_id, component_id (the smallest doc_id of the group) and likeness of the rows of docs (doc_id, text), which have ids.
+
+    Texts are linked where any of `copies` fingerprints differ in two bits or fewer. The tags keep fingerprints of
+    different kinds apart, so that one index holds all, in `least_ranges` ranges at least: fewer would be visited less,
+    and more often as the corpus grows. likeness is the share of shingles in common with the row that
+    gives the group its id, as their sketches tell.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [several(x, copies, shingle) for x in texts_of(batch)]
+            prints = pa.array([p.view(np.int64) for p, _ in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), prints, pa.array([k.tobytes() for _, k in found], pa.binary())], ["doc_id", "prints", "sketch"])
+
+    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    own = durable(plain.mapInArrow(run, "doc_id long, prints array<long>, sketch binary").withColumn("key", F.xxhash64("prints")))
+    classes = durable(own.groupBy("key").agg(F.first("prints").alias("prints"), F.min("doc_id").alias("first_id"), F.count("*").alias("rows")))
+    every = classes.select(F.col("prints")[0].alias("u"), F.explode("prints").alias("v"))
+    distinct = durable(every.select(F.col("v").alias("fp")).distinct())
+    edges = links(distinct, 2, max(1, min(range_size, distinct.count() // least_ranges)))
+    roots = components(edges.unionByName(every.where("u <> v").distinct()))
+    rooted = classes.join(roots, classes["prints"][0] == roots["v"], "left").select("key", "first_id", "rows", F.coalesce("u", F.col("prints")[0]).alias("root"))
+    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    classes = durable(rooted.join(named, "root").select("key", "component_id", "rows"))
+    large = small(classes.where(F.col("rows") > hot))
+    rest = own.join(large, "key", "left_anti").join(classes.where(F.col("rows") <= hot), "key")
+    placed = own.join(large, "key").unionByName(rest).select("doc_id", "sketch", "component_id")
+    firsts = classes.select("component_id").distinct()
+    chosen = small(own.join(firsts, own["doc_id"] == firsts["component_id"]).groupBy("component_id").agg(F.min("sketch").alias("chosen")).join(classes.groupBy("component_id").agg(F.sum("rows").alias("n")).where("n > 1"), "component_id"))
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            a, b = (np.frombuffer(b"".join(pdf[x]), np.uint32).reshape(-1, SKETCH) for x in ("sketch", "chosen"))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "component_id": pdf["component_id"], "likeness": (a == b).mean(axis=1)})
+
+    # Groups of one row have nothing to compare.
+    return placed.join(chosen, "component_id").select("doc_id", "component_id", "sketch", "chosen").mapInPandas(compared, "doc_id long, component_id long, likeness double")
+
+
+def keep_first(docs: DataFrame, copies: int = 8, shingle: int = 5, least: float = 0.5) -> DataFrame:
     """docs with one row of each group of near copies, that with the smallest doc_id. Rows without an id stay.
 
-    Of repeated rows with this id one stays. The columns are those of docs.
+    See near_groups(). A row that has less than `least` of its shingles in common with the one that would stay for it
+    stays too. Of repeated rows with this id one stays. Null and empty texts are copies of one another. The columns are
+    those of docs; an empty table stays empty.
     """
-    found = durable(near_duplicates(docs.where("doc_id is not null"), most, words_in_shingle))
-    gone = small(found.where("doc_id <> component_id").select(F.col("doc_id").alias("marlwork_gone")).distinct())
+    found = durable(near_groups(docs.where("doc_id is not null"), copies, shingle))
+    gone = small(found.where((F.col("doc_id") != F.col("component_id")) & (F.col("likeness") >= least)).select(F.col("doc_id").alias("marlwork_gone")).distinct())
     kept = docs.join(gone, docs["doc_id"] == gone["marlwork_gone"], "left_anti")
     repeated = small(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("marlwork_twice")))
     if repeated.isEmpty():
