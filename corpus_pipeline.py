@@ -20,7 +20,10 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without text or letters (`und`) go; the model learns from the documents that come in."""
+    """Documents without text or letters (`und`) go, and those that are surely in another language than they are labelled with.
+
+    The model learns from the documents that come in.
+    """
     return langid.keep_identified(docs, langid.train(docs))
 
 
@@ -30,7 +33,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id stays. Rows without an id stay."""
+    """Of each group of near copies, the document with the smallest id stays. Rows without an id stay.
+
+    Near copies share eight tenths of their five-word shingles or more; several fingerprints of each document find them.
+    """
     return simhash.keep_first(docs)
 
 
@@ -49,8 +55,17 @@ STAGES = [("language", language), ("quality", quality_rules), ("near_duplicates"
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of all stages over the table documents; what lies between them is written to the shared folder."""
-    docs, here = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, here, before = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{here}/{name}")
         docs = spark.read.parquet(f"{here}/{name}")
+        if before is not None:
+            remove(spark, before)  # nothing reads it any more; the last one is read when the result is
+        before = f"{here}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder wherever Spark can write."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
