@@ -270,11 +270,15 @@ def near_groups(docs: DataFrame, copies: int = 8, shingle: int = 5, range_size:
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     own = durable(plain.mapInArrow(run, "doc_id long, prints array<long>, sketch binary").withColumn("key", F.xxhash64("prints")))
     classes = durable(own.groupBy("key").agg(F.first("prints").alias("prints"), F.min("doc_id").alias("first_id"), F.count("*").alias("rows")))
-    every = classes.select(F.col("prints")[0].alias("u"), F.explode("prints").alias("v"))
-    distinct = durable(every.select(F.col("v").alias("fp")).distinct())
-    edges = links(distinct, 2, max(1, min(range_size, distinct.count() // least_ranges)))
-    roots = components(edges.unionByName(every.where("u <> v").distinct()))
-    rooted = classes.join(roots, classes["prints"][0] == roots["v"], "left").select("key", "first_id", "rows", F.coalesce("u", F.col("prints")[0]).alias("root"))
+    # Classes are joined where they share a fingerprint or have linked ones; those that don't are in no edge.
+    holders = classes.select("key", F.explode("prints").alias("fp"))
+    first = durable(holders.groupBy("fp").agg(F.min("key").alias("held"), F.count("*").alias("holders")))
+    edges = links(first.select("fp"), 2, max(1, min(range_size, first.count() // least_ranges)))
+    shared = holders.join(first.where("holders > 1"), "fp").select(F.col("key").alias("v"), F.col("held").alias("u"))
+    end = lambda x: first.select(F.col("fp").alias(x), F.col("held").alias(f"held_{x}"))
+    linked = edges.join(end("v"), "v").join(end("u"), "u").select(F.col("held_v").alias("v"), F.col("held_u").alias("u"))
+    roots = components(shared.unionByName(linked).where("v <> u").distinct())
+    rooted = classes.join(roots, classes["key"] == roots["v"], "left").select("key", "first_id", "rows", F.coalesce("u", "key").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = durable(rooted.join(named, "root").select("key", "component_id", "rows"))
     large = small(classes.where(F.col("rows") > hot))
