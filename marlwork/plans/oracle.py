@@ -317,6 +317,9 @@ SELECT a.doc_id, a.chunk_index, coalesce(a.found, b.found || repeat('-cont', a.r
         "pii_scrub": f"SELECT doc_id, array_to_string(list_filter([{kinds}], lambda x: x IS NOT NULL), ',') AS kinds, md5({masked('text')}) AS masked FROM documents",
         "pii_stats": f"SELECT kind, count(*) AS n FROM (SELECT unnest([{kinds}]) AS kind FROM documents) WHERE kind IS NOT NULL GROUP BY kind",
         "policy_classify": policies(),
+        "policy_by_table": policies(),
+        "keyword_documents": f"""WITH w AS (SELECT DISTINCT unnest({words('text')}) AS keyword FROM benchmark)
+SELECT keyword, count(*) AS documents FROM w JOIN documents ON contains(lower(text), keyword) WHERE length(keyword) >= 6 GROUP BY keyword""",
         "guardrail_report": guarding(),
         "answer_check": """SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'no_object,answer,citations,confidence,should_escalate' ELSE concat_ws(',', CASE WHEN p_partkey % 5 = 0 THEN 'answer' END,
   CASE WHEN p_partkey % 4 = 0 THEN 'citations' END, CASE WHEN p_partkey % 3 = 0 THEN 'confidence' END) END AS problems FROM part""",

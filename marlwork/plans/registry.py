@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlwork.functions.text import hits, tokens, word_f1
-from marlwork.operators import answers, calculator, cells, chunking, governance, metrics, questions, search, training
+from marlwork.operators import answers, calculator, cells, chunking, governance, keywords, metrics, questions, search, training
 from marlwork.plans import oracle, service_oracle, service_queries, training_oracle, training_queries
 from marlwork.sources.durable import fresh_folder
 from marlwork.streaming import reuse, serving
@@ -150,6 +150,21 @@ def policy_classify(spark, d):
     return rows.select("conv_id", "turn", governance.policy_category(F.col("q")).alias("category"), F.array_join(governance.policy_rules(F.col("q")), ",").alias("rules"))
 
 
+@query
+def policy_by_table(spark, d):
+    """As policy_classify, with the policies as a table that is joined."""
+    rows = table(spark, d, "conversations").withColumn("q", F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("Should I hire a lawyer, is it a guarantee? "), "text")).otherwise(F.col("text")))
+    found = keywords.classified(rows, ["conv_id", "turn"], "q", keywords.policy_table(spark))
+    return found.select("conv_id", "turn", "category", F.array_join("rules", ",").alias("rules"))
+
+
+@query
+def keyword_documents(spark, d):
+    """In how many documents each longer word of the benchmark stands, also inside words."""
+    words = table(spark, d, "benchmark").select(F.explode(tokens(F.col("text"))).alias("keyword")).where(F.length("keyword") >= 6)
+    return keywords.held(table(spark, d, "documents"), ["doc_id"], "text", words).groupBy("keyword").agg(F.count("*").alias("documents"))
+
+
 @query
 def guardrail_report(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", "turn", governance.input_report(F.concat("text", F.when(F.col("conv_id") % 4 == 0, F.lit(" mail a.b@example.com")).otherwise(F.lit("")))).alias("r"))

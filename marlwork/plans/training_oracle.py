@@ -199,6 +199,7 @@ def all_sql() -> dict[str, str]:
         "section_universe": f"WITH {CH} SELECT DISTINCT {canon('section_id')} AS section FROM ch",
         "section_families": f"WITH {CH}, nm AS (SELECT {canon('section_id')} AS section FROM ch) SELECT {family('section')} AS family, count(*) AS n_chunks, count(DISTINCT section) AS n_sections, string_agg(DISTINCT section, ',' ORDER BY section) AS sections FROM nm GROUP BY 1",
         "keyword_families": f"WITH a AS (SELECT conv_id, turn, {begins}[conv_id % 4 + 1] || text AS t FROM conversations WHERE role = 'user') SELECT conv_id, turn, {joined(f'list_distinct(flatten(list_filter([{keywords}], lambda z: z IS NOT NULL)))')} AS families FROM a",
+        "families_by_table": f"WITH a AS (SELECT conv_id, turn, {begins}[conv_id % 4 + 1] || text AS t FROM conversations WHERE role = 'user') SELECT conv_id, turn, {joined(f'list_distinct(flatten(list_filter([{keywords}], lambda z: z IS NOT NULL)))')} AS families FROM a",
         "citation_grounding": f"WITH {ANSWERS}, {METRICS} SELECT p_partkey, {joined('found')} AS predicted, em > 0 AS correctly_grounded, len(vp) > 0 AS valid_sections_mentioned, round(iou, 6) AS iou, em AS citation_em, {any_of('lower(response)', citations.LEGAL_TERMS)}::INT::DOUBLE AS anchored FROM me",
         "enhanced_win_rate": f"WITH {ANSWERS}, {METRICS}, sm AS (SELECT p_partkey % 10 AS kind, {similarity('good')} AS a, {similarity('bad')} AS b FROM me) SELECT kind, count(*) AS n, round(avg((a > b)::INT), 6) AS win_rate, round(avg(a), 6) AS mean FROM sm GROUP BY kind",
         "different_section": f"WITH a AS (SELECT p_partkey, {own} AS section FROM part) SELECT p_partkey, section, {different('section', 'p_partkey')} AS other, len(list_filter({VALID}, lambda z: {family('z')} = {family('section')}))::INT AS n_family FROM a",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlwork.functions.text import tokens
-from marlwork.operators import citations, datasets, evaluation, preferences, training
+from marlwork.operators import citations, datasets, evaluation, keywords, preferences, training
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Pairs and examples that the queries make.
@@ -62,6 +62,16 @@ def keyword_families(spark, d):
     return rows.select("conv_id", "turn", F.array_join(citations.families_of(asked), ",").alias("families"))
 
 
+@query
+def families_by_table(spark, d):
+    """As keyword_families, with the keywords as a table that is joined."""
+    rows = table(spark, d, "conversations").where("role = 'user'")
+    begins = citations.literal(["Overtime or rest day? ", "A complaint: ", "Notice! ", ""])
+    asked = rows.withColumn("q", F.concat(F.get(begins, (F.col("conv_id") % 4).cast("int")), "text"))
+    found = keywords.families_found(asked, ["conv_id", "turn"], "q", keywords.family_table(spark))
+    return found.select("conv_id", "turn", F.array_join("families", ",").alias("families"))
+
+
 def answers(spark, d) -> DataFrame:
     """p_partkey, a response that cites sections, its section and two targets."""
     k = F.col("p_partkey")
