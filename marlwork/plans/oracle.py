@@ -288,6 +288,7 @@ SELECT doc_id, question || CASE WHEN n > 1 THEN ' [' || source || ']' ELSE '' EN
         "bm25_index_stats": f"WITH {TERMS} SELECT term, df, round(idf, 6) AS idf FROM idf",
         "bm25_topk": f"WITH {BM25} SELECT query_id, rank, doc_id, score FROM bm WHERE rank <= 10 AND score > 0",
         "bm25_stored": f"WITH {BM25} SELECT query_id, rank, doc_id, score FROM bm WHERE rank <= 10 AND score > 0",
+        "bm25_updated": f"WITH {BM25} SELECT query_id, rank, doc_id, score FROM bm WHERE rank <= 10 AND score > 0",
         "dense_cells": f"WITH {dense('(SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0)', 10)} SELECT query_id, rank, doc_id, score FROM nn",
         "dense_topk": f"WITH {dense('(SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0)', 10)} SELECT query_id, rank, doc_id, score FROM nn",
         "hybrid_topk": f"""WITH {BM25}, {dense('(SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id IN (SELECT query_id FROM sq))', 20)},

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlwork.functions.text import hits, tokens, word_f1
-from marlwork.operators import answers, calculator, cells, chunking, governance, keywords, metrics, questions, search, training
+from marlwork.operators import answers, calculator, cells, chunking, governance, keywords, metrics, questions, search, segments, training
 from marlwork.plans import oracle, service_oracle, service_queries, training_oracle, training_queries
 from marlwork.sources.durable import fresh_folder
 from marlwork.streaming import reuse, serving
@@ -49,6 +49,19 @@ def bm25_stored(spark, d):
     return search.found(search.read_index(spark, where), search_queries(spark, d))
 
 
+@query
+def bm25_updated(spark, d):
+    """As bm25_topk, from an index of two files, of which one was written anew after it was indexed with other and fewer texts."""
+    docs, files, where = table(spark, d, "documents").select("doc_id", "text"), fresh_folder(spark, "files"), fresh_folder(spark, "index")
+    even, odd = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
+    even.write.parquet(f"{files}/even")
+    odd.where("doc_id % 5 > 0").withColumn("text", F.when(F.col("doc_id") % 3 > 0, F.col("text")).otherwise(F.concat(F.lit("once "), "text"))).write.parquet(f"{files}/odd")
+    segments.update(spark, files, where)
+    odd.write.mode("overwrite").parquet(f"{files}/odd")
+    segments.update(spark, files, where)
+    return search.found(segments.read(spark, where), search_queries(spark, d))
+
+
 @query
 def dense_cells(spark, d):
     """The nearest vectors of all cells, from an inverted file in the shared folder."""
