@@ -270,6 +270,7 @@ def all_sql() -> dict[str, str]:
         "query_flags": flagging(),
         "answer_repair": repairing(),
         "sft_questions": asking(),
+        "questions_by_table": f"SELECT doc_id, category, question FROM ({asking()})",
         "token_stream": streaming(),
         "token_answers": f"""WITH ch AS ({streaming()}), k AS (SELECT * FROM ch WHERE NOT (request_id % 11 = 3 AND seq = 1)),
 g AS (SELECT request_id, coalesce(string_agg(content, ' ' ORDER BY seq) FILTER (chunk_type = 'token'), '') AS answer, (count(*) FILTER (chunk_type = 'token'))::INT AS n_tokens, max(content) FILTER (chunk_type = 'status') AS st, max(seq) = count(*) - 1 AND count(*) FILTER (chunk_type = 'done') > 0 AS complete FROM k GROUP BY request_id)

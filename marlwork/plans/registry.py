@@ -437,6 +437,13 @@ def sft_questions(spark, d):
     return rows.withColumn("question", questions.question(F.col("category"), key))
 
 
+@query
+def questions_by_table(spark, d):
+    """The questions of sft_questions, with templates and words as tables that are joined."""
+    rows = table(spark, d, "documents").select("doc_id", questions.kind(F.col("text"), F.col("doc_id")).alias("category"))
+    return questions.asked(rows, "doc_id", "category", questions.template_table(spark), questions.word_table(spark))
+
+
 @query
 def token_stream(spark, d):
     rows = table(spark, d, "conversations").where("role = 'assistant'")
