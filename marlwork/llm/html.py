@@ -356,10 +356,17 @@ def labelled_pages(count: int = 400, seed: int = 11) -> list[tuple[str, list[int
 @cache
 def trained() -> ChainCRF:
     """The model of the labelled pages; their number is a bound on what training takes."""
+    return fitted(labelled_pages())
+
+
+def fitted(labelled: list[tuple[str, list[int]]]) -> ChainCRF:
+    """The model of labelled pages (html and a label for each leaf block); a page whose blocks and labels differ in number is an error."""
     pages = []
-    for html, labels in labelled_pages():
+    for place, (html, labels) in enumerate(labelled):
         blocks = leaf_blocks(html)
-        if blocks and len(blocks) == len(labels):
+        if len(blocks) != len(labels):
+            raise ValueError(f"labelled page {place} has {len(blocks)} blocks and {len(labels)} labels")
+        if blocks:
             pages.append((page_features(blocks), labels))
     return ChainCRF().fit(pages)
 

@@ -718,3 +718,9 @@ def test_pipeline(spark):
     for r in now.collect():
         assert (r.text == text[r.doc_id]) == (not spans[r.doc_id]) and len(r.text) == r.n_chars
     assert {r.doc_id for r in corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()} == ids[3]
+
+
+def test_labelled_pages_with_missing_labels_are_an_error():
+    pages = html.labelled_pages(3)
+    with pytest.raises(ValueError, match="labelled page 1 has"):
+        html.fitted([pages[0], (pages[1][0], pages[1][1][:-1]), pages[2]])
