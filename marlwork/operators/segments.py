@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlwork.functions.text import tokens
-from marlwork.operators.search import Index, blocked, bounded, bucket_of, in_folders, part_of, postings, rarity
+from marlwork.operators.search import Index, blocked, bounded, bucket_of, counted, in_folders, part_of, parts_of, rarity
 from marlwork.sources.durable import few, kept
 
 #: Columns of what is stored, by folder; the last ones are the folders' own.
@@ -82,9 +82,9 @@ def update(spark: SparkSession, folder: str, path: str, buckets: int = 64) -> in
         raise ValueError(f"document {twice['doc_id']} stands in the files more than once")
     dead = kept(removed.join(known, ["doc_id", "made"], "left_anti").select("doc_id", "made"))
     added = texts.join(few(known.where(F.col("made") == made).select("doc_id")), "doc_id", "left_semi")
-    lost = with_words(spark, path, dead).groupBy("term").agg((-F.count("*")).alias("df")) if version else None
+    lost = with_words(spark, path, dead).select(F.inline("words")).groupBy("term").agg((-F.count("*")).alias("df")) if version else None
     segments = [] if not version else of_version(spark, path, "figures", version).first()["segments"]
-    write_segment(kept(postings(added)), path, made, known.where(F.col("made") == made).count(), buckets, lost)
+    write_segment(spark, counted(added), path, made, known.where(F.col("made") == made).count(), buckets, lost)
     every = of_version(spark, path, "dead", version).unionByName(dead)
     publish(spark, path, made, [*segments, made], buckets, known, every, now.drop("path"))
     return made
@@ -97,38 +97,36 @@ def merge(spark: SparkSession, path: str) -> int:
         raise ValueError("there is no index to merge")
     made, figures = version + 1, of_version(spark, path, "figures", version).first()
     known = of_version(spark, path, "manifest", version)
-    live = with_words(spark, path, known.select("doc_id", "made")).select("term", "doc_id", "dl", "tf")
-    write_segment(kept(live), path, made, figures["n"], figures["buckets"])
+    write_segment(spark, with_words(spark, path, known.select("doc_id", "made")), path, made, figures["n"], figures["buckets"])
     known = kept(known.withColumn("made", F.lit(made)))
     publish(spark, path, made, [made], figures["buckets"], known, spark.createDataFrame([], "doc_id long, made int"), of_version(spark, path, "files", version))
     return made
 
 
 def with_words(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
-    """doc_id, dl, term and tf of rows (doc_id, made) from the segments that hold them."""
+    """doc_id, dl and words of rows (doc_id, made) from the segments that hold them."""
     own = few(rows.select("doc_id", F.col("made").alias("segment")))
-    return stored(spark, path, "documents").join(own, ["doc_id", "segment"]).select("doc_id", "dl", F.inline("words"))
+    return stored(spark, path, "documents").join(own, ["doc_id", "segment"]).select("doc_id", "dl", "words")
 
 
-def write_segment(rows: DataFrame, path: str, made: int, n: int, buckets: int, lost: DataFrame | None = None) -> None:
-    """Stores postings as a segment; the df of `lost` (term, df) are added to its terms."""
+def write_segment(spark: SparkSession, rows: DataFrame, path: str, made: int, n: int, buckets: int, lost: DataFrame | None = None) -> None:
+    """Stores rows (doc_id, dl, words) as a segment; the df of `lost` (term, df) are added to its terms."""
 
     def write(df: DataFrame, name: str, by: str) -> None:
         own = [x for x in ("term", "doc_id") if x in df.columns]
         df.repartition(by).sortWithinPartitions(by, *own).write.mode("overwrite").partitionBy(by).parquet(f"{path}/{name}/segment={made}")
 
-    blocks = kept(blocked(rows, n, buckets))
-    write(blocks, "blocks", "bucket")
-    terms = bounded(blocks, n).select("term", "df", "tf", "dl")
+    of_segment = lambda name: stored(spark, path, name).where(F.col("segment") == made).drop("segment")
+    write(rows.withColumn("shelf", part_of(F.col("doc_id"), buckets)), "documents", "shelf")
+    write(blocked(of_segment("documents"), n, buckets), "blocks", "bucket")
+    terms = bounded(of_segment("blocks"), n).select("term", "df", "tf", "dl")
     if lost is not None:
         both = terms.unionByName(lost.select("term", "df"), allowMissingColumns=True)
         terms = both.groupBy("term").agg(F.sum("df").alias("df"), F.max("tf").alias("tf"), F.min("dl").alias("dl"))
     write(terms.withColumn("bucket", bucket_of(F.col("term"), buckets)), "terms", "bucket")
-    own = rows.groupBy("doc_id", "dl").agg(F.collect_list(F.struct("term", "tf")).alias("words"))
-    write(own.withColumn("shelf", part_of(F.col("doc_id"), buckets)), "documents", "shelf")
 
 
-def counted(spark: SparkSession, path: str, segments: list[int], n: int) -> DataFrame:
+def summed(spark: SparkSession, path: str, segments: list[int], n: int) -> DataFrame:
     """terms over segments; their bounds may be those of dead rows, which makes them no smaller."""
     own = stored(spark, path, "terms").where(F.col("segment").isin(segments)).groupBy("bucket", "term")
     return own.agg(F.sum("df").alias("df"), F.max("tf").alias("tf"), F.min("dl").alias("dl")).where("df > 0").withColumn("raw", rarity(F.col("df"), n))
@@ -140,7 +138,7 @@ def publish(spark: SparkSession, path: str, made: int, segments: list[int], buck
         rows.write.mode("overwrite").parquet(f"{path}/{name}/version={made}")
     total = manifest.agg(F.count("*").alias("n"), F.sum("dl").alias("words")).first()
     average = (total["words"] or 0) / total["n"] if total["n"] else 0.0
-    mean = counted(spark, path, segments, total["n"]).agg(F.avg("raw")).first()[0] or 0.0
+    mean = summed(spark, path, segments, total["n"]).agg(F.avg("raw")).first()[0] or 0.0
     row = spark.createDataFrame([(total["n"], average, mean, buckets, segments)], "n long, average double, mean double, buckets int, segments array<int>")
     row.write.mode("overwrite").parquet(f"{path}/figures/version={made}")
 
@@ -156,9 +154,13 @@ def read(spark: SparkSession, path: str, epsilon: float = 0.25) -> Index:
     hurt = [r["segment"] for r in dead.select("segment").distinct().collect()]  # segments at most
     blocks = stored(spark, path, "blocks")
     whole = blocks.where(F.col("segment").isin([x for x in segments if x not in hurt])).drop("segment")
-    # Blocks of segments with dead rows are opened; their bounds still hold.
-    opened = blocks.where(F.col("segment").isin([x for x in segments if x in hurt])).select("*", F.explode("docs").alias("d")).withColumn("doc_id", F.col("d.doc_id"))
-    left = opened.join(dead, ["segment", "doc_id"], "left_anti").withColumn("docs", F.array("d")).select(*whole.columns)
+    # Blocks of segments with dead rows lose these, by part; their bounds still hold.
+    first = stored(spark, path, "manifest").where(F.col("version").isin(hurt) & (F.col("made") == F.col("version"))).groupBy("version").count().collect()
+    own_part = F.coalesce(*(F.when(F.col("segment") == r["version"], part_of(F.col("doc_id"), parts_of(r["count"]))) for r in first), F.lit(0))
+    gone = few(dead.withColumn("part", own_part).groupBy("segment", "part").agg(F.collect_set("doc_id").alias("gone")), 20_000)
+    hit = blocks.where(F.col("segment").isin(hurt)).join(gone, ["segment", "part"], "left")
+    live = F.when(F.col("gone").isNull(), F.col("docs")).otherwise(F.filter("docs", lambda x: ~F.array_contains("gone", x["doc_id"])))
+    left = hit.withColumn("docs", live).where(F.size("docs") > 0).select(*whole.columns)
     shelves = stored(spark, path, "documents").where(F.col("segment").isin(segments))
 
     def documents(some: DataFrame) -> DataFrame:
@@ -166,4 +168,4 @@ def read(spark: SparkSession, path: str, epsilon: float = 0.25) -> Index:
         live = in_folders(shelves, "shelf", found).join(found, ["shelf", "doc_id"]).join(dead, ["segment", "doc_id"], "left_anti")
         return live.select("query_id", "doc_id", "dl", F.inline("words"))
 
-    return Index(whole.unionByName(left), counted(spark, path, segments, figures["n"]), documents, figures["n"], figures["average"], figures["mean"], epsilon, buckets)
+    return Index(whole.unionByName(left), summed(spark, path, segments, figures["n"]), documents, figures["n"], figures["average"], figures["mean"], epsilon, buckets)
