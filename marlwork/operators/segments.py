@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlwork.functions.text import tokens
-from marlwork.operators.search import Index, blocked, bounded, bucket_of, counted, in_folders, part_of, parts_of, rarity
+from marlwork.operators.search import Index, blocked, bounded, bucket_of, counted, in_folders, part_of, parts_of, rarity, write_blocks, write_documents, write_terms
 from marlwork.sources.durable import few, kept
 
 #: Columns of what is stored, by folder; the last ones are the folders' own.
@@ -112,18 +112,15 @@ def with_words(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
 def write_segment(spark: SparkSession, rows: DataFrame, path: str, made: int, n: int, buckets: int, lost: DataFrame | None = None) -> None:
     """Stores rows (doc_id, dl, words) as a segment; the df of `lost` (term, df) are added to its terms."""
 
-    def write(df: DataFrame, name: str, by: str) -> None:
-        own = [x for x in ("term", "doc_id") if x in df.columns]
-        df.repartition(by).sortWithinPartitions(by, *own).write.mode("overwrite").partitionBy(by).parquet(f"{path}/{name}/segment={made}")
-
+    where = lambda name: f"{path}/{name}/segment={made}"
     of_segment = lambda name: stored(spark, path, name).where(F.col("segment") == made).drop("segment")
-    write(rows.withColumn("shelf", part_of(F.col("doc_id"), buckets)), "documents", "shelf")
-    write(blocked(of_segment("documents"), n, buckets), "blocks", "bucket")
+    write_documents(rows, n, buckets, where("documents"))
+    write_blocks(blocked(of_segment("documents"), n, buckets), where("blocks"))
     terms = bounded(of_segment("blocks"), n).select("term", "df", "tf", "dl")
     if lost is not None:
         both = terms.unionByName(lost.select("term", "df"), allowMissingColumns=True)
         terms = both.groupBy("term").agg(F.sum("df").alias("df"), F.max("tf").alias("tf"), F.min("dl").alias("dl"))
-    write(terms.withColumn("bucket", bucket_of(F.col("term"), buckets)), "terms", "bucket")
+    write_terms(terms.withColumn("bucket", bucket_of(F.col("term"), buckets)), where("terms"))
 
 
 def summed(spark: SparkSession, path: str, segments: list[int], n: int) -> DataFrame:
