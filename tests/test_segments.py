@@ -71,3 +71,16 @@ def test_ids_that_stand_twice_and_an_empty_folder(spark, tmp_path):
     segments.update(spark, str(tmp_path / "none"), str(tmp_path / "j"))
     asked = spark.createDataFrame([(1, "a")], "query_id long, query string")
     assert search.found(segments.read(spark, str(tmp_path / "j")), asked).collect() == []
+
+
+def test_dead_rows_leave_blocks_whole(spark, tmp_path):
+    write(spark, [(i, f"a w{i % 7}") for i in range(50)], tmp_path / "in/0")
+    path = str(tmp_path / "index")
+    segments.update(spark, str(tmp_path / "in"), path, 4)
+    write(spark, [(i, f"a w{i % 7}" if i % 5 else "b") for i in range(45)], tmp_path / "in/0")
+    segments.update(spark, str(tmp_path / "in"), path)
+    blocks = segments.read(spark, path).blocks
+    assert "Generate" not in blocks._jdf.queryExecution().executedPlan().toString()  # no row for each posting
+    held = sorted(d.doc_id for r in blocks.where("term = 'a'").collect() for d in r.docs)
+    assert held == [i for i in range(45) if i % 5]
+    assert blocks.where("term = 'a'").count() <= 4  # one a shelf
