@@ -12,8 +12,18 @@ from pyspark.sql import functions as F
 from marlwork.sources.durable import few, kept
 
 
-def in_ranges(rows: DataFrame, order: list[str]) -> DataFrame:
-    """rows in ranges of `order`, kept: block (ascending with the order) and idx (from 0 in each block, in order)."""
+#: Rows of a range: what a task holds of a log doesn't grow with the log.
+RANGE = 200_000
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows over all cores in even shares: a file of narrow rows may come in one piece however many it has."""
+    return rows.repartition(3 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
+def in_ranges(rows: DataFrame, order: list[str], most: int = RANGE) -> DataFrame:
+    """rows in ranges of `order` of about `most` rows, kept: block (ascending with the order) and idx (from 0 in each block, in order)."""
+    least = rows.sparkSession.sparkContext.defaultParallelism
 
     def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = 0
@@ -21,7 +31,7 @@ def in_ranges(rows: DataFrame, order: list[str]) -> DataFrame:
             yield pdf.assign(idx=np.arange(n, n + len(pdf)))
             n += len(pdf)
 
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("block", F.spark_partition_id())
+    ranged = rows.repartitionByRange(max(least, -(-rows.count() // most)), *order).sortWithinPartitions(*order).withColumn("block", F.spark_partition_id())
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema.fields) + ", idx long"
     return kept(ranged.mapInPandas(numbered, schema))
 
