@@ -77,7 +77,7 @@ def rejected(flaw: Column, section: Column, text: Column, key: Column, valid: Co
     )
 
 
-def flawed(response: Column, section: Column, key: Column, valid: Column) -> Column:
+def flawed(response: Column, section: Column, key: Column, valid: Column | list[str]) -> Column:
     """A drafted response with a subtle flaw: another section, no citation or an invented detail, by the md5 of key."""
     flaw = citations.picked(citations.literal(["wrong_section", "remove_citation", "add_hallucination"]), key, "flaw")
     own = F.coalesce(canonical(section), section)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marlwork.functions.text import tokens
 from marlwork.operators import citations, datasets, evaluation, keywords, preferences, training
+from marlwork.sources.ranges import dealt
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Pairs and examples that the queries make.
@@ -78,7 +79,7 @@ def answers(spark, d) -> DataFrame:
     cited = F.concat(F.lit("Under EA-2022-"), (k % 80).cast("string"), F.when(k % 3 == 0, F.lit("E")).otherwise(F.lit("")), F.lit(" and ea-2022-60f(1) the law says: "), "p_name")
     response = F.when(k % 7 == 0, F.col("p_name")).otherwise(cited)
     section = F.concat(F.lit("EA-"), (k % 5 * 20).cast("string"), F.when(k % 2 == 0, F.lit("F")).otherwise(F.lit("")))
-    return table(spark, d, "part").select("p_partkey", response.alias("response"), section.alias("section"), F.concat(F.lit("the law says "), "p_name").alias("good"), F.concat(F.lit("it depends on "), "p_name", F.lit(" under EA-2022-60F")).alias("bad"))
+    return dealt(table(spark, d, "part")).select("p_partkey", response.alias("response"), section.alias("section"), F.concat(F.lit("the law says "), "p_name").alias("good"), F.concat(F.lit("it depends on "), "p_name", F.lit(" under EA-2022-60F")).alias("bad"))
 
 
 @query
@@ -89,8 +90,8 @@ def citation_grounding(spark, d):
 
 @query
 def enhanced_win_rate(spark, d):
-    like = lambda x: citations.enhanced_similarity(F.col("response"), F.col(x), F.array("section"), valid())
-    rows = answers(spark, d).select((F.col("p_partkey") % 10).alias("kind"), like("good").alias("a"), like("bad").alias("b"))
+    like = lambda x: citations.similarity_of(F.col("g"), F.col("response"), F.col(x))
+    rows = answers(spark, d).withColumn("g", citations.groundedness(F.col("response"), F.array("section"), valid())).select((F.col("p_partkey") % 10).alias("kind"), like("good").alias("a"), like("bad").alias("b"))
     return rows.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg((F.col("a") > F.col("b")).cast("int")), 6).alias("win_rate"), F.round(F.avg("a"), 6).alias("mean"))
 
 
@@ -98,8 +99,8 @@ def enhanced_win_rate(spark, d):
 def different_section(spark, d):
     k = F.col("p_partkey")
     own = F.get(valid(), (k % len(citations.DEFAULT_SECTIONS)).cast("int"))
-    rows = table(spark, d, "part").select("p_partkey", own.alias("section"))
-    return rows.select("p_partkey", "section", citations.different_section(valid(), F.col("section"), k).alias("other"), F.size(citations.of_family(valid(), citations.family(F.col("section")))).alias("n_family"))
+    rows = dealt(table(spark, d, "part")).select("p_partkey", own.alias("section"))
+    return rows.select("p_partkey", "section", citations.different_section(citations.DEFAULT_SECTIONS, F.col("section"), k).alias("other"), F.size(citations.of_family(citations.DEFAULT_SECTIONS, citations.family(F.col("section")))).alias("n_family"))
 
 
 def made_pairs(spark, d) -> DataFrame:
@@ -165,7 +166,7 @@ def labelling_rows(spark, d):
 def flawed_drafts(spark, d):
     k, own = F.col("p_partkey"), F.concat(F.lit("EA-2022-"), (F.col("p_partkey") % 80).cast("string"))
     rows = answers(spark, d).select("p_partkey", F.concat("response", F.lit(". (Source: Employment Act Section "), own, F.lit(")\nEnd.")).alias("draft"), own.alias("section"))
-    return rows.select("p_partkey", F.md5(preferences.flawed(F.col("draft"), F.col("section"), k, valid())).alias("flawed"), F.md5(preferences.with_citation(F.col("draft"), F.lit("EA-2022-99"))).alias("cited"))
+    return rows.select("p_partkey", F.md5(preferences.flawed(F.col("draft"), F.col("section"), k, citations.DEFAULT_SECTIONS)).alias("flawed"), F.md5(preferences.with_citation(F.col("draft"), F.lit("EA-2022-99"))).alias("cited"))
 
 
 @query
