@@ -129,7 +129,6 @@ def repaired(body: Column, context: Column) -> Column:
     `context` is an array of (section_id, text), best first. Missing citations are taken from its first three chunks;
     a missing snippet from the first chunk of its section; what else is missing gets a careful value.
     """
-    found = F.from_json(governance.json_object(body), ANSWER)
     named = lambda section, snippet: F.struct(section.alias("section_id"), snippet.alias("snippet"))
     usable = F.filter(F.slice(context, 1, 3), lambda c: (F.coalesce(c["section_id"], F.lit("")) != "") & (F.coalesce(c["text"], F.lit("")) != ""))
     filled = F.transform(usable, lambda c: named(c["section_id"], shortened(c["text"], 150, 150)))
@@ -141,14 +140,16 @@ def repaired(body: Column, context: Column) -> Column:
         quoted = F.concat(F.substring(near, 1, 150), F.lit("..."))
         return named(section, shortened(F.coalesce(F.nullif(c["snippet"], F.lit("")), quoted, F.lit(NO_SNIPPET)), 200, 197))
 
-    own = F.transform(F.filter(found["citations"], lambda c: c.isNotNull()), mended)
-    out = F.struct(
-        F.coalesce(F.nullif(found["answer"], F.lit("")), F.lit(NO_ANSWER)).alias("answer"),
-        F.when(F.size(own) > 0, own).otherwise(filled).alias("citations"),
-        F.when(found["confidence"].isin("high", "medium", "low"), found["confidence"]).otherwise(F.lit("low")).alias("confidence"),
-        F.coalesce(found["should_escalate"], F.lit(True)).alias("should_escalate"),
-    )
-    return F.when(governance.json_object(body).isNotNull(), out)
+    def of(found: Column) -> Column:
+        own = F.transform(F.filter(found["citations"], lambda c: c.isNotNull()), mended)
+        return F.struct(
+            F.coalesce(F.nullif(found["answer"], F.lit("")), F.lit(NO_ANSWER)).alias("answer"),
+            once(own, lambda some: F.when(F.size(some) > 0, some).otherwise(filled)).alias("citations"),
+            F.when(found["confidence"].isin("high", "medium", "low"), found["confidence"]).otherwise(F.lit("low")).alias("confidence"),
+            F.coalesce(found["should_escalate"], F.lit(True)).alias("should_escalate"),
+        )
+
+    return once(governance.json_object(body), lambda text: F.when(text.isNotNull(), once(F.from_json(text, ANSWER), of)))
 
 
 def usable_section(section: Column) -> Column:
