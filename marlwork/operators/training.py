@@ -148,7 +148,7 @@ def told_apart(rows: DataFrame, key: str, instruction: str, section: str) -> Dat
     Rows without an instruction repeat none and stay as they are.
     """
     same = F.lower(F.trim(instruction))
-    first = rows.where(same.isNotNull()).groupBy(same.alias("marlwork_same")).agg(F.min(key).alias("marlwork_first"))
+    first = few(rows.where(same.isNotNull()).groupBy(same.alias("marlwork_same")).agg(F.min(key).alias("marlwork_first")))
     repeats = F.col("marlwork_first").isNotNull() & ~F.col(key).eqNullSafe(F.col("marlwork_first"))
     marked = F.when(repeats, F.concat_ws("", instruction, F.lit(" ["), section, F.lit("]"))).otherwise(F.col(instruction))
     return rows.join(first, same == F.col("marlwork_same"), "left").withColumn(instruction, marked).select(*rows.columns)

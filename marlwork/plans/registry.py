@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from marlwork.functions.text import hits, tokens, word_f1
 from marlwork.operators import answers, calculator, cells, chunking, governance, keywords, metrics, questions, search, segments, training
 from marlwork.plans import oracle, service_oracle, service_queries, training_oracle, training_queries
-from marlwork.sources.durable import fresh_folder
+from marlwork.sources.durable import fresh_folder, kept
+from marlwork.sources.ranges import dealt
 from marlwork.streaming import reuse, serving
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -425,7 +426,7 @@ def answer_repair(spark, d):
     cites = F.when(k % 3 == 0, F.lit("[]")).when(k % 3 == 1, F.lit('[{"section_id": "EA-60E"}, {"snippet": "own"}]')).otherwise(F.concat(F.lit('[{"section_id": "EA-9", "snippet": "'), F.repeat(F.lit("z"), 250), F.lit('"}]')))
     body = F.concat(F.lit('So: {"answer": "'), F.when(k % 5 == 0, F.lit("")).otherwise(F.lit("yes")), F.lit('", "citations": '), cites, F.lit(', "confidence": "'), F.when(k % 4 == 0, F.lit("sure")).otherwise(F.lit("high")), F.lit('"} end'))
     context = F.when(k % 2 == 0, F.array(F.struct(F.lit("EA-60E").alias("section_id"), F.repeat(F.col("p_name"), 20).alias("text")), F.struct(F.lit("").alias("section_id"), F.lit("none").alias("text")))).otherwise(F.array().cast("array<struct<section_id:string,text:string>>"))
-    rows = table(spark, d, "part").select("p_partkey", answers.repaired(F.when(k % 7 == 0, F.lit("no json")).otherwise(body), context).alias("r"))
+    rows = dealt(table(spark, d, "part")).select("p_partkey", answers.repaired(F.when(k % 7 == 0, F.lit("no json")).otherwise(body), context).alias("r"))
     listed = F.array_join(F.transform("r.citations", lambda c: F.concat_ws(":", c["section_id"], c["snippet"])), ";")
     return rows.select("p_partkey", "r.answer", F.md5(listed).alias("citations"), "r.confidence", "r.should_escalate")
 
@@ -476,7 +477,9 @@ def context_filter(spark, d):
 
 @query
 def unique_instructions(spark, d):
-    rows = sft_questions(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    category = questions.kind(F.col("text"), F.col("doc_id"))
+    rows = table(spark, d, "documents").select("doc_id", "source", category.alias("category"))
+    rows = kept(rows.select("doc_id", "source", questions.question(F.col("category"), F.col("doc_id")).alias("question")))
     return training.told_apart(rows, "doc_id", "question", "source").select("doc_id", "question")
 
 
