@@ -3,6 +3,7 @@
 A keyword is looked for under the rarest of its letter-grams: texts are cut into pieces, the distinct grams of a piece
 meet the keywords that they stand for, and only these are compared with the piece. So thousands of keywords cost two
 passes over the texts, one that counts grams and one that finds keywords, and no expression grows with their number.
+A keyword without white space lies within a word: such keywords are looked for in the distinct words of all texts alone.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlwork.functions.text import once
+from marlwork.functions.text import once, tokens
 from marlwork.operators.citations import KEYWORDS
 from marlwork.operators.governance import POLICIES
 from marlwork.operators.search import spread
@@ -40,10 +41,20 @@ def held(texts: DataFrame, key: list[str], text: str, keywords: DataFrame) -> Da
     and empty texts hold none. Rows of one key, null or not, count as one text. No column of `key` may be named keyword.
     """
     known = kept(keywords.select(F.col("keyword").alias("marlwork_word")).where("marlwork_word <> ''").distinct())
+    spaced = F.col("marlwork_word").rlike(r"(?U)\s")
+    words = spread(texts.select(*dict.fromkeys([*key, text]))).select(*key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("marlwork_token"))
+    vocabulary = words.select("marlwork_token").distinct()
+    inside = few(held_by_grams(vocabulary, ["marlwork_token"], "marlwork_token", kept(known.where(~spaced))))
+    found = words.join(inside, "marlwork_token").select(*key, "keyword")
+    return found.unionByName(held_by_grams(texts, key, text, kept(known.where(spaced)))).distinct()
+
+
+def held_by_grams(texts: DataFrame, key: list[str], text: str, known: DataFrame) -> DataFrame:
+    """As held(), of known (marlwork_word), under grams of the whole texts."""
     size = F.length("marlwork_word")
     shape = known.agg(F.max(size).alias("longest"), F.collect_set(F.least(size, F.lit(GRAM))).alias("widths")).first()  # GRAM widths at most
     if shape["longest"] is None:
-        return texts.select(*key, F.lit("").alias("keyword")).limit(0)
+        return texts.select(*key, F.lit("").alias("keyword")).where("false")
     widths = sorted(shape["widths"])
     own = F.coalesce(*(F.when(F.least(size, F.lit(GRAM)) == w, grams(F.col("marlwork_word"), w)) for w in widths))
     parts = kept(known.select("marlwork_word", F.explode(F.array_distinct(own)).alias("marlwork_gram")))
