@@ -43,8 +43,9 @@ def held(texts: DataFrame, key: list[str], text: str, keywords: DataFrame) -> Da
     known = kept(keywords.select(F.col("keyword").alias("marlwork_word")).where("marlwork_word <> ''").distinct())
     spaced = F.col("marlwork_word").rlike(r"(?U)\s")
     words = spread(texts.select(*dict.fromkeys([*key, text]))).select(*key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("marlwork_token"))
-    vocabulary = words.select("marlwork_token").distinct()
-    inside = few(held_by_grams(vocabulary, ["marlwork_token"], "marlwork_token", kept(known.where(~spaced))))
+    vocabulary = kept(words.select("marlwork_token").distinct())
+    inside = held_by_grams(vocabulary, ["marlwork_token"], "marlwork_token", kept(known.where(~spaced)))
+    inside = F.broadcast(inside) if inside.count() <= 200_000 else inside
     found = words.join(inside, "marlwork_token").select(*key, "keyword")
     return found.unionByName(held_by_grams(texts, key, text, kept(known.where(spaced)))).distinct()
 
