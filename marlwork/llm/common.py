@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\x0c\r"
 #: The 26 letters that contracts lower-case. Fixed values.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Spark's bound on what passes to and from Python at once.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +45,22 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most_bytes: int = 2 << 20) -> Iterator[None]:
+    """What is computed within passes to and from Python in batches of about `most_bytes` instead of the session's bytes.
+
+    Spark's default, 64 MB or 10,000 rows, makes one batch of a whole partition of texts, which the JVM (twice, as its
+    vectors double) and the worker hold for each core. A smaller setting of the session holds; it is back afterwards.
+    """
+    kept = spark.conf.get(BATCH_BYTES)
+    own = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(kept)
+    spark.conf.set(BATCH_BYTES, str(min(own, most_bytes) if own > 0 else most_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_BYTES, kept)
+
+
 def texts_of(batch: pa.RecordBatch, step: int = 256) -> Iterator[str | None]:
     """The values of the column text, of which only `step` are Python objects at a time."""
     column = batch.column(batch.schema.get_field_index("text"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlwork.llm.common import durable, small, text_hash, texts_of, without
+from marlwork.llm.common import durable, small, small_batches, text_hash, texts_of, without
 
 #: Bytes of context: three letters of Latin script, one or two of most others.
 ORDER = 3
@@ -145,7 +145,8 @@ def train(docs: DataFrame, docs_per_lang: int = 1500, most_bytes: int = 64 << 20
     usable = usable.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
     shares = small(usable.groupBy("lang").agg(F.least(F.lit(1.0), docs_per_lang / F.count("*")).alias("share")))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 20)) < F.col("share") * (1 << 20)
-    counts = gram_counts(usable.join(shares, "lang").where(drawn).select("lang", "text")).toArrow()
+    with small_batches(docs.sparkSession):
+        counts = gram_counts(usable.join(shares, "lang").where(drawn).select("lang", "text")).toArrow()
     lang = counts.column("lang").combine_chunks().dictionary_encode()
     code, gram, n = lang.indices.to_numpy(), counts.column("gram").to_numpy(), counts.column("n").to_numpy().astype(np.float64)
     return models({x: (gram[code == k], n[code == k]) for k, x in enumerate(lang.dictionary.to_pylist())}, most_bytes)
@@ -206,9 +207,11 @@ def keep_identified(docs: DataFrame, trained: list[Model], least: float = 0.999)
                     gone.append(found == "und" or (lang in known and lang != found and score >= least))
                 yield batch.select(["doc_id", "text_hash"]).filter(pa.array(gone, pa.bool_()))
 
-        return without(docs, plain.mapInArrow(run, "doc_id long, text_hash long"))
+        with small_batches(docs.sparkSession):
+            return without(docs, plain.mapInArrow(run, "doc_id long, text_hash long"))
     known = [x for model in trained for x in model.langs]
     rows = durable(plain.withColumn("uid", F.monotonically_increasing_id()))
     found = identify(rows.select(F.col("uid").alias("doc_id"), "text"), trained).withColumnRenamed("doc_id", "uid")
     wrong = F.col("lang").isin(known) & (F.col("lang") != F.col("lang_pred")) & (F.col("score") >= least)
-    return without(docs, rows.join(found, "uid").where((F.col("lang_pred") == "und") | F.coalesce(wrong, F.lit(False))))
+    with small_batches(docs.sparkSession):
+        return without(docs, rows.join(found, "uid").where((F.col("lang_pred") == "und") | F.coalesce(wrong, F.lit(False))))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlwork.llm.bpe import Codec, Vocabulary
-from marlwork.llm.common import durable, texts_of
+from marlwork.llm.common import durable, small_batches, texts_of
 
 
 def byte_of_character() -> dict[str, int]:
@@ -131,7 +131,8 @@ def pack(docs: DataFrame, path: str, pattern: str, most: int = 1024, end_id: int
     """
     spark = docs.sparkSession
     pieces = tokenized_pieces(docs, path, pattern, most, end_id).withColumn("uid", F.monotonically_increasing_id())
-    pieces = durable(pieces.withColumn("part", F.shiftright("uid", 33).cast("int")))
+    with small_batches(spark):
+        pieces = durable(pieces.withColumn("part", F.shiftright("uid", 33).cast("int")))
     # A length's rank: the pieces of this length in earlier partitions, then the place in its own one, so that no task
     # sorts all pieces of a frequent length.
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
@@ -140,10 +141,10 @@ def pack(docs: DataFrame, path: str, pattern: str, most: int = 1024, end_id: int
     counts = counts.select("length", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     local = F.row_number().over(Window.partitionBy("length", "part").orderBy("uid")) - 1
     ranked = pieces.withColumn("local", local).join(counts, ["length", "part"]).withColumn("rank", F.col("before") + F.col("local"))
-    table = spark.createDataFrame(
-        slots(shortest_pack_first(histogram, most)),
-        "slot_length long, low long, high long, each long, first_sequence long, first_offset long",
-    )
+    names = ["slot_length", "low", "high", "each", "first_sequence", "first_offset"]
+    found = slots(shortest_pack_first(histogram, most))
+    # As an Arrow table it needs no Python workers; those of a list stay in each executor beside the others.
+    table = spark.createDataFrame(pa.table([pa.array(x, pa.int64()) for x in (zip(*found, strict=True) if found else [()] * len(names))], names))
     # At most 44 different lengths fit in a pack of 1024 and there are a few packs a length: a bounded table.
     at = (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
     nth = F.col("rank") - F.col("low")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlwork.llm.common import durable, small, texts_of
+from marlwork.llm.common import durable, small, small_batches, texts_of
 from marlwork.llm.grams import CHAIN, chained, mixed
 
 #: Seed of a shingle's XXH64. Fixed value.
@@ -201,7 +201,8 @@ def near_duplicates(docs: DataFrame, most: int = 2, words_in_shingle: int = 3, r
     component has no other; other columns of `docs` are ignored. An empty table gives an empty result. Fingerprints of
     more than `hot` rows, as of null texts and of large groups of copies, meet their rows where these are.
     """
-    prints = durable(fingerprints(docs, words_in_shingle))
+    with small_batches(docs.sparkSession):
+        prints = durable(fingerprints(docs, words_in_shingle))
     distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows")))
     roots = components(links(distinct.select("fp"), most, range_size))
     rooted = distinct.join(roots.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "first_id", "rows", F.coalesce("u", "fp").alias("root"))
@@ -268,7 +269,8 @@ def near_groups(docs: DataFrame, copies: int = 8, shingle: int = 5, range_size:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), prints, pa.array([k.tobytes() for _, k in found], pa.binary())], ["doc_id", "prints", "sketch"])
 
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    own = durable(plain.mapInArrow(run, "doc_id long, prints array<long>, sketch binary").withColumn("key", F.xxhash64("prints")))
+    with small_batches(docs.sparkSession):
+        own = durable(plain.mapInArrow(run, "doc_id long, prints array<long>, sketch binary").withColumn("key", F.xxhash64("prints")))
     classes = durable(own.groupBy("key").agg(F.first("prints").alias("prints"), F.min("doc_id").alias("first_id"), F.count("*").alias("rows")))
     # Classes are joined where they share a fingerprint or have linked ones; those that don't are in no edge.
     holders = classes.select("key", F.explode("prints").alias("fp"))

@@ -724,3 +724,33 @@ def test_labelled_pages_with_missing_labels_are_an_error():
     pages = html.labelled_pages(3)
     with pytest.raises(ValueError, match="labelled page 1 has"):
         html.fitted([pages[0], (pages[1][0], pages[1][1][:-1]), pages[2]])
+
+
+def test_texts_pass_to_python_in_small_batches(spark, tmp_path, monkeypatch):
+    from marlwork.llm import common
+
+    text = " ".join(f"w{i}" for i in range(3000))
+    docs = spark.createDataFrame([(i, f"{i} {text}", "en") for i in range(600)], "doc_id long, text string, lang string").coalesce(1)
+    kept = spark.conf.get(common.BATCH_BYTES)
+
+    def noted(batch, real=common.texts_of):
+        with open(f"{tmp_path}/bytes", "a") as file:
+            file.write(f"{batch.nbytes}\n")
+        return real(batch)
+
+    for module in (langid, simhash, packing):
+        monkeypatch.setattr(module, "texts_of", noted)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    for stage in (
+        lambda: langid.keep_identified(docs, langid.train(docs)),
+        lambda: simhash.near_duplicates(docs),
+        lambda: simhash.keep_first(docs),
+        lambda: packing.pack(docs, path, public_tokenizers.PATTERN),
+    ):
+        (tmp_path / "bytes").write_text("")
+        stage().count()
+        sizes = [int(x) for x in (tmp_path / "bytes").read_text().split()]
+        assert sum(sizes) > 8 << 20 and max(sizes) < 4 << 20
+        assert spark.conf.get(common.BATCH_BYTES) == kept
+    with common.small_batches(spark, 1 << 40):
+        assert spark.conf.get(common.BATCH_BYTES) == str(64 << 20)
