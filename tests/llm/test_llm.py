@@ -660,6 +660,19 @@ def test_wrong_labels_go(spark):
     assert langid.keep_identified(docs.limit(0), trained).count() == 0
 
 
+def test_texts_of_no_known_language_contradict_no_label(spark):
+    rng = random.Random(8)
+    line = lambda words: " ".join(rng.choice(words.split()) for _ in range(80))
+    rows = [(i, line(x), lang) for i, (lang, x) in enumerate([("en", "the of and to in that"), ("de", "der die das und ist nicht")] * 40)]
+    odd = [(1000 + i, "".join(rng.choice("QXZJKVWY#%日本") for _ in range(200)), lang) for i, lang in enumerate(["en", "de"] * 5)]
+    docs = spark.createDataFrame([*rows, *odd, (2000, line("der die das und"), "en")], "doc_id long, text string, lang string")
+    trained = langid.train(docs.where("doc_id < 1000"))
+    each = [m for lang in ("de", "en") for m in langid.train(docs.where("doc_id < 1000").where(docs.lang == lang))]
+    for models in (trained, each):
+        assert {r.doc_id for r in langid.keep_identified(docs, models).collect()} == {r[0] for r in [*rows, *odd]}
+        assert 2000 not in {r.doc_id for r in langid.keep_identified(docs, models, most_bits=8).collect()}
+
+
 def test_pipeline_of_an_empty_table_and_of_extra_columns(spark, tmp_path):
     import corpus_pipeline
 
