@@ -10,15 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlwork.functions.text import tokens
-from marlwork.operators.search import Index, blocked, bounded, bucket_of, counted, in_folders, part_of, parts_of, rarity, write_blocks, write_documents, write_terms
+from marlwork.operators.search import Index, blocked, bucket_of, counted, in_folders, part_of, parts_of, rarity, with_docs, word_rows, write_blocks, write_documents, write_terms
 from marlwork.sources.durable import few, kept
 
 #: Columns of what is stored, by folder; the last ones are the folders' own.
 STORED = {
-    "blocks": "term string, part int, docs array<struct<doc_id:long,dl:int,tf:long>>, tf long, dl int, segment int, bucket int",
+    "blocks": "term string, part int, ids array<long>, dls array<int>, tfs array<int>, tf long, dl int, segment int, bucket int",
     "terms": "term string, df long, tf long, dl int, segment int, bucket int",
-    "documents": "doc_id long, dl int, words array<struct<term:string,tf:long>>, segment int, shelf int",
+    "documents": "doc_id long, dl int, text string, segment int, shelf int",
     "manifest": "doc_id long, hash string, dl int, file string, made int, version int",
     "dead": "doc_id long, made int, version int",
     "files": "file string, size long, modified timestamp, version int",
@@ -35,7 +34,8 @@ def latest(spark: SparkSession, path: str) -> int:
 
 
 def stored(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.schema(STORED[name]).parquet(f"{path}/{name}")
+    rows = spark.read.schema(STORED[name]).parquet(f"{path}/{name}")
+    return with_docs(rows) if name == "blocks" else rows
 
 
 def of_version(spark: SparkSession, path: str, name: str, version: int) -> DataFrame:
@@ -72,61 +72,78 @@ def update(spark: SparkSession, folder: str, path: str, buckets: int = 64) -> in
         return version
     some = spark.read.schema("doc_id long, text string").parquet(*fresh) if fresh else None
     texts = spark.createDataFrame([], "doc_id long, text string, file string") if some is None else some.select("doc_id", "text", F.col("_metadata.file_path").alias("file")).where("doc_id is not null")
-    rows = kept(texts.select("doc_id", hashed(F.col("text")).alias("hash"), F.greatest(F.size(tokens(F.col("text"))), F.lit(0)).alias("dl"), "file"))
+    rows = kept(texts.select("doc_id", hashed(F.col("text")).alias("hash"), "file"))
     manifest = of_version(spark, path, "manifest", version)
     removed = kept(manifest.join(stale, "file", "left_semi"))
-    back = rows.join(removed.select("doc_id", "hash", "made"), ["doc_id", "hash"], "left")
+    back = rows.join(removed.select("doc_id", "hash", "made", "dl"), ["doc_id", "hash"], "left")
     known = kept(manifest.join(stale, "file", "left_anti").unionByName(back.withColumn("made", F.coalesce("made", F.lit(made)))))
     twice = known.groupBy("doc_id").count().where("count > 1").first()
     if twice is not None:
         raise ValueError(f"document {twice['doc_id']} stands in the files more than once")
     dead = kept(removed.join(known, ["doc_id", "made"], "left_anti").select("doc_id", "made"))
-    added = texts.join(few(known.where(F.col("made") == made).select("doc_id")), "doc_id", "left_semi")
-    lost = with_words(spark, path, dead).select(F.inline("words")).groupBy("term").agg((-F.count("*")).alias("df")) if version else None
+    new = known.where(F.col("made") == made)
+    added = texts.join(few(new.select("doc_id")), "doc_id", "left_semi") if version else texts
     segments = [] if not version else of_version(spark, path, "figures", version).first()["segments"]
-    write_segment(spark, counted(added), path, made, known.where(F.col("made") == made).count(), buckets, lost)
+    lost = counted(texts_of(spark, path, segments, dead, False)).select(F.explode("words.term").alias("term")) if version else None
+    n = new.count()
+    write_documents(added, n, buckets, f"{path}/documents/segment={made}")
+    write_segment(spark, path, made, n, buckets, lost)
+    # Lengths are known by now: words are counted once.
+    lengths = stored(spark, path, "documents").where(F.col("segment") == made).select("doc_id", F.col("dl").alias("words"))
+    new = new.join(lengths, "doc_id", "left").withColumn("dl", F.coalesce("words", F.lit(0))).drop("words")
     every = of_version(spark, path, "dead", version).unionByName(dead)
-    publish(spark, path, made, [*segments, made], buckets, known, every, now.drop("path"))
+    publish(spark, path, made, [*segments, made], buckets, known.where(F.col("made") != made).unionByName(new), every, now.drop("path"))
     return made
 
 
 def merge(spark: SparkSession, path: str) -> int:
-    """Makes one segment of all, without the dead rows; no text is read. The number of the version."""
+    """Makes one segment of all, without the dead rows; no file is read. The number of the version."""
     version = latest(spark, path)
     if not version:
         raise ValueError("there is no index to merge")
     made, figures = version + 1, of_version(spark, path, "figures", version).first()
-    known = of_version(spark, path, "manifest", version)
-    write_segment(spark, with_words(spark, path, known.select("doc_id", "made")), path, made, figures["n"], figures["buckets"])
-    known = kept(known.withColumn("made", F.lit(made)))
-    publish(spark, path, made, [made], figures["buckets"], known, spark.createDataFrame([], "doc_id long, made int"), of_version(spark, path, "files", version))
+    n, buckets = figures["n"], figures["buckets"]
+    live = texts_of(spark, path, figures["segments"], of_version(spark, path, "dead", version), True)
+    write_documents(live, n, buckets, f"{path}/documents/segment={made}")
+    write_segment(spark, path, made, n, buckets)
+    known = kept(of_version(spark, path, "manifest", version).withColumn("made", F.lit(made)))
+    publish(spark, path, made, [made], buckets, known, spark.createDataFrame([], "doc_id long, made int"), of_version(spark, path, "files", version))
     return made
 
 
-def with_words(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
-    """doc_id, dl and words of rows (doc_id, made) from the segments that hold them."""
-    own = few(rows.select("doc_id", F.col("made").alias("segment")))
-    return stored(spark, path, "documents").join(own, ["doc_id", "segment"]).select("doc_id", "dl", "words")
+def texts_of(spark: SparkSession, path: str, segments: list[int], dead: DataFrame, live: bool) -> DataFrame:
+    """doc_id and text of the documents of segments that are live, or of those that are dead (doc_id, made).
+
+    Dead ids go to the documents in some lists, a slot of about a thousand each, as these are little and texts are much.
+    """
+    dead = kept(dead)
+    slots = parts_of(dead.count())
+    lists = few(dead.groupBy(F.col("made").alias("segment"), part_of(F.col("doc_id"), slots).alias("slot")).agg(F.collect_set("doc_id").alias("gone")))
+    own = stored(spark, path, "documents").where(F.col("segment").isin(segments)).withColumn("slot", part_of(F.col("doc_id"), slots))
+    marked = F.coalesce(F.array_contains("gone", F.col("doc_id")), F.lit(False))
+    return own.join(lists, ["segment", "slot"], "left" if live else "inner").where(~marked if live else marked).select("doc_id", "text")
 
 
-def write_segment(spark: SparkSession, rows: DataFrame, path: str, made: int, n: int, buckets: int, lost: DataFrame | None = None) -> None:
-    """Stores rows (doc_id, dl, words) as a segment; the df of `lost` (term, df) are added to its terms."""
+def write_segment(spark: SparkSession, path: str, made: int, n: int, buckets: int, lost: DataFrame | None = None) -> None:
+    """Stores blocks and terms of a segment by its documents; each row of `lost` (term) takes one from the df of its term."""
 
     where = lambda name: f"{path}/{name}/segment={made}"
     of_segment = lambda name: stored(spark, path, name).where(F.col("segment") == made).drop("segment")
-    write_documents(rows, n, buckets, where("documents"))
-    write_blocks(blocked(of_segment("documents"), n, buckets), where("blocks"))
-    terms = bounded(of_segment("blocks"), n).select("term", "df", "tf", "dl")
+    write_blocks(blocked(of_segment("documents"), n, buckets), n, buckets, where("blocks"))
+    terms = of_segment("blocks").select("bucket", "term", F.size("ids").alias("df"), "tf", "dl")
     if lost is not None:
-        both = terms.unionByName(lost.select("term", "df"), allowMissingColumns=True)
-        terms = both.groupBy("term").agg(F.sum("df").alias("df"), F.max("tf").alias("tf"), F.min("dl").alias("dl"))
-    write_terms(terms.withColumn("bucket", bucket_of(F.col("term"), buckets)), where("terms"))
+        terms = terms.unionByName(lost.select(bucket_of(F.col("term"), buckets).alias("bucket"), "term", F.lit(-1).alias("df")), allowMissingColumns=True)
+    write_terms(terms.groupBy("bucket", "term").agg(F.sum("df").alias("df"), F.max("tf").alias("tf"), F.min("dl").alias("dl")), where("terms"))
 
 
-def summed(spark: SparkSession, path: str, segments: list[int], n: int) -> DataFrame:
-    """terms over segments; their bounds may be those of dead rows, which makes them no smaller."""
-    own = stored(spark, path, "terms").where(F.col("segment").isin(segments)).groupBy("bucket", "term")
-    return own.agg(F.sum("df").alias("df"), F.max("tf").alias("tf"), F.min("dl").alias("dl")).where("df > 0").withColumn("raw", rarity(F.col("df"), n))
+def summed(spark: SparkSession, path: str, segments: list[int], n: int, asked: DataFrame | None = None) -> DataFrame:
+    """terms over segments, or those of asked (bucket, term) alone; their bounds may be those of dead rows, which makes them no smaller."""
+    own = stored(spark, path, "terms").where(F.col("segment").isin(segments))
+    if asked is not None:
+        own = in_folders(own, "bucket", asked).join(few(asked.select("bucket", "term").distinct()), ["bucket", "term"], "left_semi")
+    if len(segments) > 1:
+        own = own.groupBy("bucket", "term").agg(F.sum("df").alias("df"), F.max("tf").alias("tf"), F.min("dl").alias("dl"))
+    return own.select("bucket", "term", "df", "tf", "dl").where("df > 0").withColumn("raw", rarity(F.col("df"), n))
 
 
 def publish(spark: SparkSession, path: str, made: int, segments: list[int], buckets: int, manifest: DataFrame, dead: DataFrame, files: DataFrame) -> None:
@@ -149,20 +166,25 @@ def read(spark: SparkSession, path: str, epsilon: float = 0.25) -> Index:
     segments, buckets = figures["segments"], figures["buckets"]
     dead = few(of_version(spark, path, "dead", version).select("doc_id", F.col("made").alias("segment")))
     hurt = [r["segment"] for r in dead.select("segment").distinct().collect()]  # segments at most
-    blocks = stored(spark, path, "blocks")
-    whole = blocks.where(F.col("segment").isin([x for x in segments if x not in hurt])).drop("segment")
+    blocks = stored(spark, path, "blocks").where(F.col("segment").isin(segments))
+    whole = blocks.where(~F.col("segment").isin(hurt)).drop("segment")
     # Blocks of segments with dead rows lose these, by part; their bounds still hold.
     first = stored(spark, path, "manifest").where(F.col("version").isin(hurt) & (F.col("made") == F.col("version"))).groupBy("version").count().collect()
     own_part = F.coalesce(*(F.when(F.col("segment") == r["version"], part_of(F.col("doc_id"), parts_of(r["count"]))) for r in first), F.lit(0))
-    gone = few(dead.withColumn("part", own_part).groupBy("segment", "part").agg(F.collect_set("doc_id").alias("gone")), 20_000)
-    hit = blocks.where(F.col("segment").isin(hurt)).join(gone, ["segment", "part"], "left")
+    dead = dead.withColumn("part", own_part)
+    gone = dead.groupBy("segment", "part").agg(F.collect_set("doc_id").alias("gone"))
+    hit = blocks.where(F.col("segment").isin(hurt)).join(F.broadcast(gone), ["segment", "part"], "left")
     live = F.when(F.col("gone").isNull(), F.col("docs")).otherwise(F.filter("docs", lambda x: ~F.array_contains("gone", x["doc_id"])))
-    left = hit.withColumn("docs", live).where(F.size("docs") > 0).select(*whole.columns)
+    left = hit.withColumn("docs", live).where(F.size("docs") > 0)
+    apart = {"ids": F.col("docs.doc_id"), "dls": F.col("docs.dl"), "tfs": F.col("docs.tf").cast("array<int>")}
+    left = left.withColumns(apart).select(*whole.columns)
     shelves = stored(spark, path, "documents").where(F.col("segment").isin(segments))
 
     def documents(some: DataFrame) -> DataFrame:
         found = few(some.withColumn("shelf", part_of(F.col("doc_id"), buckets)))
         live = in_folders(shelves, "shelf", found).join(found, ["shelf", "doc_id"]).join(dead, ["segment", "doc_id"], "left_anti")
-        return live.select("query_id", "doc_id", "dl", F.inline("words"))
+        return word_rows(live)
 
-    return Index(whole.unionByName(left), summed(spark, path, segments, figures["n"]), documents, figures["n"], figures["average"], figures["mean"], epsilon, buckets)
+    terms_of = lambda asked: summed(spark, path, segments, figures["n"], asked)
+    marks = {"every": blocks, "dead": dead} if hurt else {}
+    return Index(whole.unionByName(left), summed(spark, path, segments, figures["n"]), documents, figures["n"], figures["average"], figures["mean"], epsilon, buckets, terms_of=terms_of, **marks)

@@ -4,8 +4,11 @@ import os
 import pathlib
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from marlwork.functions.text import tokens
 from marlwork.operators import search, segments
 
 
@@ -84,3 +87,38 @@ def test_dead_rows_leave_blocks_whole(spark, tmp_path):
     held = sorted(d.doc_id for r in blocks.where("term = 'a'").collect() for d in r.docs)
     assert held == [i for i in range(45) if i % 5]
     assert blocks.where("term = 'a'").count() <= 4  # one a shelf
+
+
+def test_the_dead_leave_where_the_words_of_queries_are_left(spark, tmp_path):
+    texts = {i: f"a w{i % 7} v{i}" for i in range(50)}
+    write(spark, list(texts.items()), tmp_path / "in/0")
+    path = str(tmp_path / "index")
+    segments.update(spark, str(tmp_path / "in"), path, 4)
+    texts = {i: t if i % 5 else f"w{i % 7} b" for i, t in texts.items() if i < 45}
+    write(spark, list(texts.items()), tmp_path / "in/0")
+    segments.update(spark, str(tmp_path / "in"), path)
+    own, asked = segments.read(spark, path), spark.createDataFrame([(1, "v7 w0"), (2, texts[10]), (3, "a w1 w2 w3"), (4, "v49 v40")], "query_id long, query string")
+    text = search.planned(own, asked, 5).read._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains" not in text  # no block is looked through for the dead before it meets the words
+    every = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert rows_of(search.found(own, asked, 5)) == rows_of(search.bm25(every, asked, 5)) != []
+
+
+def test_words_are_split_as_by_spark(spark):
+    spaces = [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x180E, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
+    texts = ["", " ", "Ab  \tcD", " İÀ ß ", *(f"x{chr(c)}Y{chr(c)}" for c in spaces)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, text string").select("text", F.lower("text").alias("low"), tokens(F.col("text")).alias("w")).collect()
+    for some in (rows, [r for r in rows if not set(r.text) & set("\x1c\x1d\x1e\x1f")]):  # both ways to split
+        assert search.words_of(pa.array([r.low for r in some])).to_pylist() == [r.w for r in some]
+
+
+def test_queries_of_many_candidates_read_their_blocks(spark, tmp_path):
+    texts = {i: "x y" if i < 150 else "x" if i < 160 else f"z w{i}" for i in range(500)}
+    write(spark, list(texts.items()), tmp_path / "in/0")
+    segments.update(spark, str(tmp_path / "in"), str(tmp_path / "index"), 4)
+    own, asked = segments.read(spark, str(tmp_path / "index")), spark.createDataFrame([(1, "x y"), (2, "w170")], "query_id long, query string")
+    plan = search.planned(own, asked, 1)
+    assert plan.thresholds.where("threshold > 0").count() == 2
+    assert {r.query_id for r in plan.candidates.collect()} == {2}  # no text of 150 equal ones is split for the other
+    every = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert rows_of(search.found(own, asked, 1)) == rows_of(search.bm25(every, asked, 1)) != []
